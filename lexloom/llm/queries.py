@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_quality_knn": op5_quality_knn,
 }
 ORACLE_SQL: dict[str, str] = {}
