@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLE_SQL: dict[str, str] = {}
