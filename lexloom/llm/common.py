@@ -104,7 +104,7 @@ def owners(counts: np.ndarray) -> np.ndarray:
 
 def per_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of the flattened values by row; 0 for rows without any."""
-    ends = np.concatenate([[0], np.cumsum(values)])
+    ends = np.concatenate([np.zeros(1, dtype=values.dtype), np.cumsum(values)])
     at = np.concatenate([[0], np.cumsum(counts)])
     return ends[at[1:]] - ends[at[:-1]]
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
