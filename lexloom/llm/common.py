@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,3 +121,22 @@ def windows(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     row = owners(counts)
     inside = row[: len(row) - k + 1] == row[k - 1 :]
     return mix(h[inside]), n
+
+
+def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: str, max_bytes: int) -> DataFrame:
+    """docs with columns computed from each row; a column of docs with an added name is replaced.
+
+    make is called once a task and returns what maps a batch to the added columns (`added`: their names and types).
+    """
+    fields = StructType.fromDDL(added).fields
+    names = [f.name for f in fields]
+    low = {n.lower() for n in names}
+    kept = docs.select([docs[c] for c in docs.columns if c.lower() not in low or c == "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in slices(batches, "text", max_bytes):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch)], [*batch.schema.names, *names])
+
+    schema = StructType([*kept.schema.fields, *fields])
+    return kept.mapInArrow(run, schema)

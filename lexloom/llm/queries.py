@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
+    "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLE_SQL: dict[str, str] = {}
