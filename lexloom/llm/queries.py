@@ -8,12 +8,14 @@ from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
+from .secret_crf import op6_secret_crf
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
+    "op6_secret_crf": op6_secret_crf,
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
 }
