@@ -6,11 +6,13 @@ from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
+from .mixing import op1_mixing
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
 from .secret_crf import op6_secret_crf
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
