@@ -7,6 +7,7 @@ from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
 from .mixing import op1_mixing
+from .preferences import OP8_SQL, op8_preferences
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
 from .secret_crf import op6_secret_crf
@@ -18,7 +19,8 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
     "op6_secret_crf": op6_secret_crf,
+    "op8_preferences": op8_preferences,
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_preferences": OP8_SQL}
