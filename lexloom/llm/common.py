@@ -60,8 +60,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column as large strings, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column as large strings, null as empty. Copied: some Arrow kernels misread the offsets of a slice."""
+    text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pa.concat_arrays([text, text.slice(0, 0)])
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
