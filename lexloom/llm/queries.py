@@ -11,6 +11,7 @@ from .preferences import OP8_SQL, op8_preferences
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
 from .secret_crf import op6_secret_crf
+from .wrappers import op7_wrappers
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_quality_knn": op5_quality_knn,
     "op6_secret_crf": op6_secret_crf,
+    "op7_wrappers": op7_wrappers,
     "op8_preferences": op8_preferences,
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
