@@ -1,16 +1,88 @@
-"""A training-data pipeline: quality, near duplicates, benchmark leaks, secrets, mixing."""
+"""A training-data pipeline: quality, near duplicates, benchmark leaks, secrets, mixing.
+
+Every stage takes and returns the columns of documents; the last adds how often a document is read. Between stages the
+documents are written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexloom.llm import decontaminate, jaccard_join, mixing, quality_knn, secret_crf
+from lexloom.llm.common import shared_path, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. The score is the text's alone, so repeated rows agree; texts
+    without words have the sample's mean label as their score and so stay."""
+    docs = docs.select(COLUMNS)
+    space = quality_knn.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.score(docs, space).filter(F.col("score") >= quality_knn.THRESHOLD).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates; of repeated rows of it, one.
+
+    Rows without an id can't be told apart and all stay. An id is taken to name one text; should it have several, they
+    stay or go together.
+    """
+    docs = docs.select(COLUMNS)
+    found = jaccard_join.jaccard_join(docs.filter("doc_id is not null"))
+    keep = found.filter("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").select(COLUMNS)
+    repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(again)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no benchmark item."""
+    found = decontaminate.leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark, and n_chars to match."""
+    docs = docs.select(COLUMNS)
+    clean = secret_crf.redact(docs, secret_crf.fit(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with `repeats`: how often. Documents without words are never taken."""
+    docs = docs.select(COLUMNS)
+    keys = ["doc_id", "source", "size"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))  # equal rows are told apart by number
+    mixed = mixing.mix(docs).select(*keys, "taken").withColumn("nth", nth).filter("taken > 0").alias("m")
+    own = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("nth", nth).alias("d")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in (*keys, "nth")]
+    joined = own.join(mixed, same[0] & same[1] & same[2] & same[3])
+    return joined.select(*[f"d.{c}" for c in COLUMNS], (F.col("m.taken") / F.col("m.size")).cast("long").alias("repeats"))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_knn", quality_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("decontaminate", decontamination_stage),
+    ("secret_crf", secret_stage),
+    ("mixing", mixing_stage),
+]
+#: No SQL: the stages train models, search by random hashing and fit budgets. The tests hold them to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on the documents table, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -104,7 +104,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
     Null and empty texts have size 0 and are never taken. Rows with a null source form a source of their own. Repeated
     rows count each by itself; among rows of one source, length and hash the choice is between equals.
@@ -139,8 +139,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     partly = placed.filter("quota > 0 and quota < n").withColumn("one", (rank <= F.col("quota")).cast("long"))
     wholly = placed.filter("quota is null or quota = 0 or quota = n").withColumn("one", (F.coalesce("quota", F.lit(0)) > 0).cast("long"))
     taken = wholly.unionByName(partly).withColumn("taken", (F.coalesce("passes", F.lit(0)) + F.col("one")) * F.col("size")).alias("t")
-    return taken.join(goals.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.doc_id", "t.size", "g.source_size", "g.target", "t.taken")
+    return taken.join(goals.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.doc_id", "t.source", "t.size", "g.source_size", "g.target", "t.taken")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("source")

@@ -8,7 +8,7 @@ blocked products, and the labels of the nearest vote by similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode, hash_words, id_bucket, owners, slices, split_words, table, text_of
+from .common import annotate, encode, hash_words, id_bucket, owners, slices, split_words, table, text_of
 
 WORDS, SHAPES = 3072, 1024
 #: Bounds of the fit: at most this many labelled rows of each label are vectors; nothing else is sampled.
@@ -120,25 +120,31 @@ def vote(vectors: np.ndarray, space: Space, neighbours: int = NEIGHBOURS, block:
     return np.clip(out, 0, 1)
 
 
-def score(docs: DataFrame, space: Space | None) -> DataFrame:
-    """doc_id and score of every row. Texts without words (null, empty) get the mean label of the sample; without any
-    labels every score is 0.5."""
+def score(docs: DataFrame, space: Space | None, name: str = "score") -> DataFrame:
+    """docs with the score of every row. Texts without words (null, empty) get the mean label of the sample; without any
+    labels every score is 0.5. Other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(space and vars(space))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         space = Space(**shared.value) if shared.value else None
-        for batch in slices(batches, "text", 1 << 20):
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
             text = text_of(batch)
-            found = vote(vectors_of(text, space), space) if space else np.full(len(text), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+            return [pa.array(vote(vectors_of(text, space), space) if space else np.full(len(text), 0.5))]
+
+        return run
+
+    return annotate(docs, make, f"{name} double", 1 << 20)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+def learn(docs: DataFrame, labels: DataFrame) -> Space | None:
+    """The space of the labels that aren't held out."""
+    return fit(docs, labels.filter(id_bucket("doc_id", 5) != 0))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; labels of held-out ids are not learned from."""
-    space = fit(docs, labels.filter(id_bucket("doc_id", 5) != 0))
-    return score(docs, space).select(
+    return score(docs.select("doc_id", "text"), learn(docs, labels)).select(
         "doc_id",
         (id_bucket("doc_id", 5) == 0).alias("held_out"),
         "score",
