@@ -53,6 +53,8 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = ~(blank & np.concatenate([[True], blank[:-1]]))  # runs of blanks become one
     # A text always ends in a blank of its own, so no word runs into the next text.
     low, row, blank = low[keep].astype(np.uint64), row[keep], blank[keep]
+    if not len(low):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     low = np.concatenate([[np.uint64(BLANK)], low])
     blank = np.concatenate([[True], blank])
     row = np.concatenate([row[:1], row])

@@ -57,13 +57,15 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
     """How many documents of each length to take so that their words come nearest to the budget from below.
 
     0 <= budget <= the words of all. Proportional shares first, then the longest that fit, then a bounded knapsack on
-    the rest, which is exact for what it is given.
+    the rest, which is exact for what it is given: for budgets within the window, that is everything.
     """
     total = int((lengths * counts).sum())
     if not total or budget <= 0:
         return np.zeros(len(lengths), dtype=np.int64)
     # Integer division in Python's own integers: no product overflows.
     take = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
+    # Half the window is given back, evenly by length, so that the knapsack may choose of every length.
+    take -= np.minimum(take, window // 2 // len(lengths) // lengths)
     gap = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths):
         if gap <= window:
