@@ -116,13 +116,39 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
+def may_be_tagged(scores: np.ndarray, row: np.ndarray, transitions: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Words that some best sequence may tag begin or inside.
+
+    A tag y is out at a word if "outside" scores more there than y could gain by its transitions, whatever possible
+    tags the neighbours have. Each round uses what the one before ruled out.
+    """
+    gain_in, gain_out = transitions - transitions[:, [OUTSIDE]], transitions - transitions[[OUTSIDE]]
+    most = max(float(gain_in[:, y].max() + max(gain_out[y].max(), 0)) for y in (BEGIN, INSIDE))
+    at = np.flatnonzero(scores[:, OUTSIDE] - scores[:, 1:].max(axis=1) <= max(most, float(gain_out[1:].max()), 0) + 1e-4)
+    possible = np.zeros((len(scores) + 2, 3), dtype=bool)  # with a place before and after
+    possible[:, OUTSIDE] = True
+    possible[at + 1] = True
+    inner = np.append(row, -1)
+    first, last = at == 0, inner[at + 1] != row[at]
+    first[at > 0] = row[at[at > 0] - 1] != row[at[at > 0]]
+    for _ in range(rounds):
+        keep = possible[at + 1]
+        for y in (BEGIN, INSIDE):
+            # At the ends of a text there is no transition.
+            into = np.where(first, 0, np.where(possible[at], gain_in[:, y], -np.inf).max(axis=1))
+            out_of = np.where(last, 0, np.where(possible[at + 2], gain_out[y], -np.inf).max(axis=1))
+            keep[:, y] &= scores[at, OUTSIDE] - scores[at, y] <= into + out_of + 1e-4
+        if (keep == possible[at + 1]).all():
+            break
+        possible[at + 1] = keep
+    return possible[1:-1, 1:].any(axis=1)
+
+
 def decode(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """The best tags of every text: Viterbi over the stretches between words that are outside for certain."""
     tags = np.zeros(len(scores), dtype=np.int64)
-    slack = 2 * float(transitions.max() - transitions.min())
-    open_ = scores[:, OUTSIDE] - scores[:, 1:].max(axis=1) <= slack
     row = owners(counts)
-    at = np.flatnonzero(open_)
+    at = np.flatnonzero(may_be_tagged(scores, row, transitions))
     if not len(at):
         return tags
     breaks = np.flatnonzero((np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])) + 1
