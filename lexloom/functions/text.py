@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space of the sources' language of origin, and the characters of its scripts.
 SPACES = "\t\n\x0b\x0c\r    -     　﻿"
@@ -21,23 +22,23 @@ CONTROL = r"[\x00-\x1f\x7f]"
 REDIRECT = "(?m)^@@@LINK=([^\\n\\r  ]+)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """Decomposed, without the combining marks U+0300 to U+036F."""
     return values.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not "̀" <= c <= "ͯ"), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_json(values: pd.Series) -> pd.Series:
     """JSON text with keys in order and no white space."""
     return values.map(lambda s: json.dumps(json.loads(s), sort_keys=True, ensure_ascii=False, separators=(",", ":")), na_action="ignore")
