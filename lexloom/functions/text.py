@@ -128,9 +128,14 @@ def correction_forms(word: Column) -> Column:
 
 def contains_item(tokens: Column, target: Column) -> Column:
     """Whether the target's tokens stand in a row in the text, each in some inflection."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - F.size(target))
     offsets = F.sequence(F.lit(0), F.size(target) - 1)
-    found = F.exists(starts, lambda s: F.forall(offsets, lambda o: F.array_contains(inflected_forms(F.element_at(target, o + 1)), F.element_at(tokens, s + o + 1))))
+
+    def among(forms: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(tokens) - F.size(target))
+        return F.exists(starts, lambda s: F.forall(offsets, lambda o: F.array_contains(F.element_at(forms, o + 1), F.element_at(tokens, s + o + 1))))
+
+    # As the variable of a lambda, the inflections are computed once a row.
+    found = F.exists(F.array(F.transform(target, inflected_forms)), among)
     return F.when((F.size(target) == 0) | (F.size(tokens) < F.size(target)), False).otherwise(found)
 
 

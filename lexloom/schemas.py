@@ -19,51 +19,53 @@ ENUMS = {
 TRANSITIONS = {"queued": ("running",), "running": ("completed", "failed"), "completed": (), "failed": ()}
 
 
-def _table(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
-
-
+#: The tables' columns, as DDL.
 TABLES = {
-    "dictionaries": _table(
+    "dictionaries": (
         "id string not null, name string not null, storage_key string not null, status string not null, content_model string not null, source_format string, "
         "languages array<string> not null, checksum string, source_metadata variant, imported_at timestamp_ntz, created_at timestamp_ntz"
     ),
-    "dictionary_entries": _table(
+    "dictionary_entries": (
         "id string not null, dictionary_id string not null, headword_original string not null, headword_normalized string not null, sort_key string not null, "
         "entry_raw string, entry_sanitized_html string, entry_plain_text string, entry_kind string not null, redirect_target_original string, source_ordinal int not null, "
         "source_record_id string, mdx_locator_version int, mdx_locator_file_checksum string, mdx_locator_key_text string, mdx_locator_key_block_index int, "
         "mdx_locator_record_start_offset bigint, mdx_locator_record_end_offset bigint"
     ),
-    "structured_entries": _table("entry_id string not null"),
-    "structured_forms": _table(
+    "structured_entries": ("entry_id string not null"),
+    "structured_forms": (
         "id string not null, structured_entry_id string not null, text string not null, normalized_text string not null, language string, kind string, "
         "tags array<string> not null, priority_tags array<string> not null, restrictions array<string> not null, ordinal int not null"
     ),
-    "structured_senses": _table(
+    "structured_senses": (
         "id string not null, structured_entry_id string not null, ordinal int not null, source_sense_ordinal int, part_of_speech array<string> not null, "
         "domains array<string> not null, tags array<string> not null, notes string"
     ),
-    "structured_entry_definitions": _table("id string not null, structured_entry_id string not null, text string not null, language string not null, source string not null, provenance string, ordinal int not null"),
-    "structured_sense_definitions": _table("id string not null, sense_id string not null, text string not null, language string not null, source string not null, provenance string, ordinal int not null"),
-    "structured_examples": _table("id string not null, structured_entry_id string not null, sense_id string, content_block_id string, ordinal int not null"),
-    "structured_example_texts": _table("id string not null, example_id string not null, language string, role string not null, text string not null, ordinal int not null"),
-    "structured_content_blocks": _table("id string not null, structured_entry_id string not null, parent_block_id string, sense_id string, kind string not null, annotation_kind string, ordinal int not null"),
-    "structured_content_texts": _table("id string not null, content_block_id string not null, language string, role string not null, text string not null, ordinal int not null"),
-    "entry_source_artifacts": _table("id string not null, entry_id string not null, parser_name string not null, parser_version string not null, representation_version int not null, text_payload string, bytes_payload binary"),
-    "dictionary_source_records": _table(
+    "structured_entry_definitions": ("id string not null, structured_entry_id string not null, text string not null, language string not null, source string not null, provenance string, ordinal int not null"),
+    "structured_sense_definitions": ("id string not null, sense_id string not null, text string not null, language string not null, source string not null, provenance string, ordinal int not null"),
+    "structured_examples": ("id string not null, structured_entry_id string not null, sense_id string, content_block_id string, ordinal int not null"),
+    "structured_example_texts": ("id string not null, example_id string not null, language string, role string not null, text string not null, ordinal int not null"),
+    "structured_content_blocks": ("id string not null, structured_entry_id string not null, parent_block_id string, sense_id string, kind string not null, annotation_kind string, ordinal int not null"),
+    "structured_content_texts": ("id string not null, content_block_id string not null, language string, role string not null, text string not null, ordinal int not null"),
+    "entry_source_artifacts": ("id string not null, entry_id string not null, parser_name string not null, parser_version string not null, representation_version int not null, text_payload string, bytes_payload binary"),
+    "dictionary_source_records": (
         "id string not null, dictionary_id string not null, entry_id string, source_key string not null, source_ordinal int not null, record_kind string not null, "
         "raw_payload string, raw_bytes binary, content_checksum string not null"
     ),
-    "dictionary_source_artifacts": _table(
+    "dictionary_source_artifacts": (
         "id string not null, source_record_id string not null, parser_name string not null, parser_version string not null, representation_version int not null, "
         "parsed_representation string, representation_checksum string not null, diagnostics string"
     ),
-    "vocabulary_items": _table("id string not null, entry_id string not null, created_at timestamp_ntz not null"),
-    "import_jobs": _table(
+    "vocabulary_items": ("id string not null, entry_id string not null, created_at timestamp_ntz not null"),
+    "import_jobs": (
         "id string not null, dictionary_id string not null, status string not null, progress int not null, attempt_count int not null, claimed_by string, claimed_at timestamp_ntz, error string, created_at timestamp_ntz not null"
     ),
 }
 
+
+def schema(name: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[name])
+
+
 #: Columns that are unique together.
 UNIQUE = {
     "dictionaries": (("storage_key",),),
