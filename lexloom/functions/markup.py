@@ -122,8 +122,7 @@ class _Sanitizer(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        # What a sound link holds is replaced by its marker.
-        if not self.mute and not self.sound:
+        if not self.mute:
             self.out.append(html.escape(data, quote=False))
 
     def result(self) -> str:

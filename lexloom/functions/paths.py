@@ -38,7 +38,8 @@ def decoded_reference(value: Column) -> Column:
     well = value.rlike("^(?:[^%]|%[0-9A-Fa-f]{2})*$")
     plus = F.replace(value, F.lit("+"), F.lit("%2B"))
     decoded = F.when((value != "") & (F.char_length(value) <= LONGEST_REFERENCE) & well, F.try_url_decode(plus))
-    return F.when(F.is_valid_utf8(decoded), decoded)
+    # Bytes that aren't UTF-8 are decoded to the replacement character.
+    return F.when(~decoded.contains("\ufffd") | value.contains("\ufffd"), decoded)
 
 
 def resource_reference(value: Column, root_relative: bool) -> Column:
