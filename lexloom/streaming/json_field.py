@@ -55,8 +55,12 @@ def push(source: str, emitted: str, fragment: str, field: str) -> tuple[str, str
     return source, now, now[len(emitted) :]
 
 
-def field_deltas(chunks: DataFrame, field: str = "paragraph", timeout_ms: int = 3_600_000) -> DataFrame:
-    """request_id, seq, delta from a stream of request_id, seq, fragment. A request's state goes after the timeout."""
+def field_deltas(chunks: DataFrame, field: str = "paragraph", timeout_ms: int | None = None) -> DataFrame:
+    """request_id, seq, delta from a stream of request_id, seq, fragment.
+
+    A null fragment ends a request, whose state then goes; with a timeout, so does that of requests gone quiet. A query
+    with a timeout runs batches without data to look for them, and so never comes to rest by itself.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,12 +73,16 @@ def field_deltas(chunks: DataFrame, field: str = "paragraph", timeout_ms: int =
             source, emitted, delta = push(source, emitted, fragment or "", field)
             if delta:
                 out.append((key[0], int(seq), delta))
-        state.update((source, emitted))
-        state.setTimeoutDuration(timeout_ms)
+        if rows["fragment"].isna().iloc[-1]:
+            state.remove()
+        else:
+            state.update((source, emitted))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["request_id", "seq", "delta"])
 
     return chunks.groupBy("request_id").applyInPandasWithState(
-        step, "request_id string, seq long, delta string", "source string, emitted string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "request_id string, seq long, delta string", "source string, emitted string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     )
 
 
