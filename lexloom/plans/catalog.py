@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
-from ..operators import audit, detail, lines, maintenance, search, validation
+from ..operators import audit, detail, lines, maintenance, reports, search, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +574,39 @@ def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("headword"), "text")
     nodes = lines.parse_records(records)
     return audit.histogram(nodes, "type", "type")
+
+
+@query("SELECT DISTINCT trim(split_part(p_name, ' ', 1)) AS name FROM part WHERE trim(split_part(p_name, ' ', 1)) <> ''")
+def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"))
+    return reports.model_names(names)
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IS NOT NULL ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
+def most_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("status"), F.col("o_orderpriority").alias("package_path"), F.col("o_orderdate").alias("imported_at")
+    )
+    return reports.most_recent_dictionary(stored).select("id")
+
+
+@query("""
+WITH s AS (SELECT event_id, value, event_type FROM events ORDER BY sha256('run' || chr(0) || event_id), event_id LIMIT 200),
+m AS (SELECT *, row_number() OVER (ORDER BY event_id) = 1 AS cold FROM s)
+SELECT (SELECT count(*) FROM m) AS samples, (SELECT count(*) FROM m WHERE event_type <> 'view') AS failures, (SELECT max(value) FROM m WHERE cold) AS cold,
+       round(avg(value), 6) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max
+FROM m WHERE NOT cold
+""")
+def diagnostic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of two hundred events as the results of a diagnostic run."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("source_ordinal"), "value", "event_type")
+    sample = reports.diagnostic_sample(events, "run", 200).select(F.col("id").alias("ordinal"), F.col("value").alias("milliseconds"), F.when(F.col("event_type") == "view", "ok").otherwise("failed").alias("status"))
+    return reports.diagnostic_run(sample).withColumn("avg", F.round("avg", 6))
+
+
+@query()
+def projection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the line grammar, projected: rows by kind, language and code."""
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("headword"), "text")
+    nodes = lines.parse_records(records)
+    return reports.projection_audit(lines.forms(records, nodes), lines.project_definitions(nodes), lines.project_examples(nodes), lines.project_blocks(nodes), lines.diagnostics(nodes))
