@@ -232,14 +232,14 @@ def count(docs: DataFrame) -> Model:
         word, stats, _ = merge(np.concatenate([w, v]), stats)
         totals = [int((c == k).sum()) for k in (1, 2, 3, 4)]
         cut = np.searchsorted(shard_of(word, unigram_shards), np.arange(unigram_shards + 1, dtype=np.uint64))
-        rows = [(-1 - shard, name, [*totals, len(c)], None, None)]
+        rows = [(shard % unigram_shards, name, [shard, *totals, len(c)], None)]
         codec = pa.Codec("zstd", 1)
         for s in range(unigram_shards):
             a, b = int(cut[s]), int(cut[s + 1])
             if b > a:
                 raw = word[a:b].tobytes() + _planes(stats[a:b].astype(np.uint32)) if stats.max() < 1 << 32 else b""
                 raw = raw or word[a:b].tobytes() + _planes(stats[a:b])
-                rows.append((s, "", [b - a, len(raw)], codec.compress(raw, asbytes=True), None))
+                rows.append((s, "", [b - a, len(raw)], codec.compress(raw, asbytes=True)))
         return pa.Table.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
             ["shard", "name", "totals", "data"],
@@ -247,34 +247,38 @@ def count(docs: DataFrame) -> Model:
 
     def add_words(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        if shard < 0:
-            return group.select(["shard", "name", "totals"])
-        words, stats = [], []
-        for (n, size), data in zip(group.column("totals").to_pylist(), group.column("data").to_pylist(), strict=True):
+        words, stats, out = [], [], []
+        for name, totals, data in zip(*(group.column(c).to_pylist() for c in ("name", "totals", "data")), strict=True):
+            if name:  # of a shard of pairs
+                out.append((-1, name, totals))
+                continue
+            n, size = totals
             raw = memoryview(pa.Codec("zstd").decompress(data, size, asbytes=True))
             words.append(np.frombuffer(raw[: 8 * n], dtype=np.uint64))
             wide = np.uint64 if size == 8 * n + 8 * n * STATS else np.uint32
             width = np.dtype(wide).itemsize * STATS
             flat = np.frombuffer(raw[8 * n :], dtype=np.uint8).reshape(width, n).T
             stats.append(np.ascontiguousarray(flat).view(wide).reshape(n, STATS).astype(np.int64))
-        word, s, _ = merge(np.concatenate(words), np.concatenate(stats))
-        name = save(root, "words", shard, [word, s.astype(np.uint32 if s.max() < 1 << 32 else np.uint64)])
-        seen, left = s[:, 0] > 0, s[:, 1]
-        totals = [int(s[:, 0].sum()), int(seen.sum()), *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum())]
-        return pa.Table.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([totals], pa.list_(pa.int64()))], ["shard", "name", "totals"])
+        if words:
+            word, s, _ = merge(np.concatenate(words), np.concatenate(stats))
+            name = save(root, "words", shard, [word, s.astype(np.uint32 if s.max() < 1 << 32 else np.uint64)])
+            seen, left = s[:, 0] > 0, s[:, 1]
+            out.append((shard, name, [int(s[:, 0].sum()), int(seen.sum()), *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum())]))
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "name", "totals"])
 
     manifest = (
         docs.select("text")
         .mapInArrow(bigrams, "shard int, size long, data binary")
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .groupBy("shard")
         .applyInArrow(add_pairs, "shard int, name string, totals array<long>, data binary")
-        .repartition(unigram_shards, "shard")
+        .repartitionById(unigram_shards, "shard")
         .groupBy("shard")
         .applyInArrow(add_words, "shard int, name string, totals array<long>")
         .collect()  # one row a shard
     )
-    pairs = sorted((-1 - r.shard, r.name, r.totals) for r in manifest if r.shard < 0)
+    pairs = sorted((r.totals[0], r.name, r.totals[1:]) for r in manifest if r.shard < 0)
     words = sorted((r.shard, r.name, r.totals) for r in manifest if r.shard >= 0)
     p = np.array([t for _, _, t in pairs], dtype=np.int64).reshape(-1, 5).sum(axis=0).tolist()
     u = np.array([t for _, _, t in words], dtype=np.int64).reshape(-1, 7).sum(axis=0).tolist()
