@@ -31,10 +31,10 @@ def plain_model(texts):
     d = kn.discounts([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)])
     e = kn.discounts([sum(n == k for n in left.values()) for k in (1, 2, 3, 4)])
 
+    rest = sum(e[min(n, 3)] for n in left.values()) / max(len(pairs), 1) / (len(words) + 1)
+
     def single(w):
-        if not pairs:
-            return 1.0
-        return max(left[w] - e[min(left[w], 3)], 0) / len(pairs) + sum(e[min(n, 3)] for n in left.values()) / len(pairs) / (len(words) + 1)
+        return max(left[w] - e[min(left[w], 3)], 0) / len(pairs) + rest
 
     def p(v, w):
         if not context[v]:
