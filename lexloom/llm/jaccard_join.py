@@ -323,7 +323,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     weights = linked.groupBy("key").agg(F.sum("weight").alias("weight"))
     label = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
     least = label.join(sets.select("key", "rep"), "key").groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = (
+    # Kept, so that the last join is one of two plain sides, whose large classes adaptive execution can split.
+    known = durable(
         sets.select("key", "rep", "copies")
         .join(weights, "key", "left")
         .join(label.join(least, "label").select("key", "class_id"), "key", "left")
