@@ -53,40 +53,51 @@ def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return entries, forms
 
 
-RANKED = """
-WITH candidates AS (
-  SELECT p_partkey AS id, 0 AS match_rank, NULL AS matched_form, NULL AS o FROM part WHERE p_brand = 'Brand#11' AND p_name = 'ring'
-  UNION ALL SELECT p_partkey, 1, split_part(p_name, ' ', 2), 1 FROM part WHERE p_brand = 'Brand#11' AND split_part(p_name, ' ', 2) = 'ring'
-  UNION ALL SELECT p_partkey, 2, NULL, NULL FROM part WHERE p_brand = 'Brand#11' AND starts_with(p_name, 'ring') AND p_name <> 'ring'
-  UNION ALL SELECT p_partkey, 3, split_part(p_name, ' ', 2), 1 FROM part WHERE p_brand = 'Brand#11' AND starts_with(split_part(p_name, ' ', 2), 'ring') AND split_part(p_name, ' ', 2) <> 'ring'
-), best AS (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY match_rank, o NULLS FIRST, matched_form NULLS FIRST) AS n FROM candidates
-)
+BRAND = "Brand#13"
+ARMS = {
+    0: "SELECT p_partkey AS id, 0 AS match_rank, NULL AS matched_form, NULL AS o FROM part WHERE p_brand = '{brand}' AND p_name = '{word}'",
+    1: "SELECT p_partkey, 1, split_part(p_name, ' ', 2), 1 FROM part WHERE p_brand = '{brand}' AND split_part(p_name, ' ', 2) = '{word}'",
+    2: "SELECT p_partkey, 2, NULL, NULL FROM part WHERE p_brand = '{brand}' AND starts_with(p_name, '{word}') AND p_name <> '{word}'",
+    3: "SELECT p_partkey, 3, split_part(p_name, ' ', 2), 1 FROM part WHERE p_brand = '{brand}' AND starts_with(split_part(p_name, ' ', 2), '{word}') AND split_part(p_name, ' ', 2) <> '{word}'",
+}
+
+
+def ranked_sql(word: str, arms: tuple[int, ...], end: str) -> str:
+    return f"""
+WITH candidates AS ({' UNION ALL '.join(ARMS[a] for a in arms).format(brand=BRAND, word=word)}),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY match_rank, o NULLS FIRST, matched_form NULLS FIRST) AS n FROM candidates)
 SELECT p.p_partkey AS id, p_brand AS dictionary_id, p_name AS headword_original, 'definition' AS entry_kind, p_type AS entry_plain_text,
        p_partkey AS source_ordinal, matched_form, CAST(match_rank AS INTEGER) AS match_rank
-FROM best JOIN part p ON p.p_partkey = best.id WHERE n = 1
-ORDER BY match_rank, p_name, source_ordinal, id LIMIT 50 OFFSET 2
+FROM best JOIN part p ON p.p_partkey = best.id WHERE n = 1 ORDER BY match_rank, p_name, source_ordinal, id {end}
 """
 
 
+RANKED_COLUMNS = ("id", "dictionary_id", "headword_original", "entry_kind", "entry_plain_text", "source_ordinal", "matched_form", "match_rank")
 
-@query(RANKED)
+
+@query(ranked_sql("r", (0, 1, 2, 3), "LIMIT 50 OFFSET 2"))
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the entries whose headword or form begins with a letter."""
+    entries, forms = lexicon(spark, sf_dir)
+    return search.ranked_search(entries, forms, BRAND, "r", limit=50, offset=2).select(*RANKED_COLUMNS)
+
+
+@query(ranked_sql("ring", (0, 1), ""))
+def ranked_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, forms = lexicon(spark, sf_dir)
-    found = search.ranked_search(entries, forms, "Brand#11", "ring", limit=50, offset=2)
-    return found.select("id", "dictionary_id", "headword_original", "entry_kind", "entry_plain_text", "source_ordinal", "matched_form", "match_rank")
+    return search.ranked_search(entries, forms, BRAND, "ring", "exact").select(*RANKED_COLUMNS)
 
 
-@query("SELECT p_partkey AS id, p_name AS headword, p_partkey AS source_ordinal FROM part WHERE p_brand = 'Brand#11' AND p_name = 'small ring'")
+@query("SELECT p_partkey AS id, p_name AS headword, p_partkey AS source_ordinal FROM part WHERE p_brand = 'Brand#16' AND p_name = 'hot rod'")
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _ = lexicon(spark, sf_dir)
-    return search.exact(entries, "Brand#11", "small ring").select("id", F.col("headword_original").alias("headword"), "source_ordinal")
+    return search.exact(entries, "Brand#16", "hot rod").select("id", F.col("headword_original").alias("headword"), "source_ordinal")
 
 
-@query("SELECT p_partkey AS id, p_name AS headword, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part WHERE p_brand = 'Brand#11' AND starts_with(p_name, 'small')")
+@query("SELECT p_partkey AS id, p_name AS headword, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part WHERE p_brand = 'Brand#13' AND starts_with(p_name, 'old')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _ = lexicon(spark, sf_dir)
-    found = search.prefix(entries, "Brand#11", "small")
+    found = search.prefix(entries, "Brand#13", "old")
     place = F.row_number().over(Window.orderBy("sort_key", "source_ordinal")).cast("long")
     return found.select("id", F.col("headword_original").alias("headword"), place.alias("place"))
 
