@@ -48,7 +48,9 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     astral = chars > 0xFFFF
     low = _TABLE[0][np.where(astral, 0, chars)]
     if astral.any():
-        low = np.where(astral, np.uint16(0xFFFF), low)
+        known, at = np.unique(chars[astral], return_inverse=True)
+        letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in known.tolist()])
+        low[astral] = np.where(letter[at], np.uint16(0xFFFF), np.uint16(BLANK))
     blank = low == BLANK
     keep = ~(blank & np.concatenate([[True], blank[:-1]]))  # runs of blanks become one
     # A text always ends in a blank of its own, so no word runs into the next text.
