@@ -24,7 +24,7 @@ REDIRECT = "(?m)^@@@LINK=([^\\n\\r  ]+)$"
 
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+    return values.map(lambda s: s if s.isascii() else unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -35,7 +35,8 @@ def nfc(values: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """Decomposed, without the combining marks U+0300 to U+036F."""
-    return values.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not "̀" <= c <= "ͯ"), na_action="ignore")
+    drop = dict.fromkeys(range(0x300, 0x370))
+    return values.map(lambda s: s if s.isascii() else unicodedata.normalize("NFKD", s).translate(drop), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
