@@ -132,7 +132,7 @@ def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list
     fields = StructType.fromDDL(added).fields
     names = [f.name for f in fields]
     low = {n.lower() for n in names}
-    kept = docs.select([docs[c] for c in docs.columns if c.lower() not in low or c == "text"])
+    kept = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in low or c == "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()

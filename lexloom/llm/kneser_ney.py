@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,9 +122,14 @@ def merge(keys: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], sums, order[first]
 
 
+def store(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of the shared folder, and the path in it. Hadoop's names of S3 are Arrow's s3."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root))
+
+
 def save(root: str, kind: str, shard: int, arrays: list[np.ndarray]) -> str:
     """Writes the arrays under names of this attempt's own; only paths of attempts that succeed are used."""
-    fs, base = pyarrow.fs.FileSystem.from_uri(root)
+    fs, base = store(root)
     fs.create_dir(base, recursive=True)
     name = f"{kind}-{shard:06d}-{uuid.uuid4().hex}"
     for i, x in enumerate(arrays):
@@ -135,7 +141,7 @@ def save(root: str, kind: str, shard: int, arrays: list[np.ndarray]) -> str:
 
 def load(root: str, name: str, count: int) -> list[np.ndarray]:
     """The arrays, mapped into memory; from a store without local files, copied to a file of the worker first."""
-    fs, base = pyarrow.fs.FileSystem.from_uri(root)
+    fs, base = store(root)
     out = []
     for i in range(count):
         path = f"{base}/{name}-{i}.npy"
