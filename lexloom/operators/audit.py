@@ -18,6 +18,14 @@ BRACKETS = {"［": "］", "【": "】", "（": "）", "〔": "〕", "⟪": "⟫"
 ARTIFACTS = ("@@@LINK=", "░", "🗏", "⚠️", "🌸", "🍀", "▾", "▿", "ⓚ", "🡺")
 
 
+def in_one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables as one row of all their columns."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for p in parts for c in p.columns])
+
+
 def histogram(df: DataFrame, key: Column | str, name: str = "key", missing: str = "und") -> DataFrame:
     column = F.col(key) if isinstance(key, str) else key
     return df.groupBy(F.coalesce(column.cast("string"), F.lit(missing)).alias(name)).agg(F.count("*").alias("n"))
@@ -54,7 +62,7 @@ def most_common(counts: DataFrame, k: int, n: str = "n", first: str = "first") -
 def capped_failures(failures: DataFrame, ordinal: str = "ordinal", message: str = "message", most: int = 100, longest: int = 500) -> DataFrame:
     """n, samples: the number of failures, and the first of them, messages cut."""
     first = failures.select(F.struct(ordinal, F.substring(message, 1, longest).alias("message")).alias("x")).orderBy(F.col(f"x.{ordinal}"), F.col("x.message")).limit(most)
-    return failures.agg(F.count("*").alias("n")).crossJoin(first.agg(F.array_sort(F.collect_list("x")).alias("samples")))  # one row each
+    return in_one_row(failures.agg(F.count("*").alias("n")), first.agg(F.array_sort(F.collect_list("x")).alias("samples")))
 
 
 def duplicate_groups(df: DataFrame, *keys: str) -> DataFrame:
@@ -123,13 +131,8 @@ def shapes(rows: DataFrame, entry: str, order: str, kind: str) -> DataFrame:
 def cumulative_share(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """key, n, rank, share: running share of all, most frequent first. counts has one row a key."""
     ranked = Window.orderBy(F.col(n).desc(), F.col(key).asc_nulls_first())
-    total = counts.agg(F.sum(n).alias("total"))
-    return (
-        counts.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("running", F.sum(n).over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-        .crossJoin(F.broadcast(total))  # one row
-        .select(key, n, "rank", (F.col("running") / F.col("total")).alias("share"))
-    )
+    running = F.sum(n).over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(key, n, F.row_number().over(ranked).alias("rank"), (running / F.sum(n).over(Window.partitionBy())).alias("share"))
 
 
 def sequence_flags(rows: DataFrame, entry: str, order: str, number: str) -> DataFrame:
@@ -201,7 +204,8 @@ def node_audit(nodes: DataFrame) -> DataFrame:
     """One row: nodes by type and reason, and entries with any raw node."""
     per = nodes.groupBy("ordinal").agg(F.bool_or(F.col("type") == "raw").alias("raw"), F.bool_or(F.coalesce(F.col("reason") == "unknown-structure", F.lit(False))).alias("unknown"), F.count("*").alias("n"))
     types = nodes.groupBy("type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-    return per.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count_if("raw").alias("entries_with_raw"), F.count_if("unknown").alias("entries_with_unknown")).crossJoin(types)
+    entries = per.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count_if("raw").alias("entries_with_raw"), F.count_if("unknown").alias("entries_with_unknown"))
+    return in_one_row(entries, types)
 
 
 def corpus_report(records: DataFrame) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import sample_top
-from .audit import latency_statistics
+from .audit import in_one_row, latency_statistics
 
 
 def projection_audit(forms: DataFrame, definitions: DataFrame, examples: DataFrame, blocks: DataFrame, diagnostics: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def diagnostic_run(results: DataFrame, value: str = "milliseconds", status: str
     marked = results.withColumn("cold_run", first)
     warm = latency_statistics(marked.filter("NOT cold_run"), value)
     rest = marked.agg(F.count("*").alias("samples"), F.count_if(F.col(status) != "ok").alias("failures"), F.max(F.when(F.col("cold_run"), F.col(value))).alias("cold"))
-    return rest.crossJoin(warm)  # one row each
+    return in_one_row(rest, warm)
 
 
 def diagnostic_sample(entries: DataFrame, seed: str, n: int) -> DataFrame:

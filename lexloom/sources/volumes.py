@@ -32,11 +32,9 @@ def stored_files(spark, folder: str) -> DataFrame:
 
 def without_common_root(files: DataFrame, path: str = "path") -> DataFrame:
     """files without their first path segment, if all share it and all have more."""
-    root = F.substring_index(path, "/", 1)
-    shared = files.agg((F.count_distinct(root) == 1).alias("one"), F.min(F.size(F.split(path, "/"))).alias("depth"))
-    cut = files.crossJoin(F.broadcast(shared))  # one row
-    strip = F.col("one") & (F.col("depth") > 1)
-    return cut.withColumn(path, F.when(strip, F.expr(f"substring({path}, instr({path}, '/') + 1)")).otherwise(F.col(path))).drop("one", "depth")
+    root, every = F.substring_index(path, "/", 1), Window.partitionBy()  # a package has few files
+    one = (F.min(root).over(every) == F.max(root).over(every)) & (F.min(F.size(F.split(path, "/"))).over(every) > 1)
+    return files.withColumn("one", one).withColumn(path, F.when(F.col("one"), F.expr(f"substring({path}, instr({path}, '/') + 1)")).otherwise(F.col(path))).drop("one")
 
 
 def package_problems(files: DataFrame, path: str = "path") -> DataFrame:
