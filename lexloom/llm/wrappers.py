@@ -6,9 +6,9 @@ each with its inner stream aligned in turn; texts that differ become a slot. The
 repeated, but no alternatives. Aligning is done within each task first, then among the tasks' results, so every page of
 a host counts and only small wrappers are exchanged.
 
-A wrapper's slots are then judged by place and statistics: where the host marks its articles, the slots within them,
-elsewhere the slots that hold running text. A page is cut by its host's wrapper; parts that the wrapper doesn't know
-are judged by the page alone.
+A wrapper's slots are then judged by place and statistics. Each page is matched with its host's wrapper part by part:
+where the parts it takes mark its article, the texts within are kept, elsewhere those whose slots hold running text.
+Parts that the wrapper doesn't know are judged by the page alone.
 """
 
 from __future__ import annotations
@@ -116,25 +116,6 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(node: Node, path: str = "") -> Iterator[tuple[str, str, int, int]]:
-    """(path, text, words, linked words) of every block of text, in page order, white space made one space."""
-    run: list[tuple[str, bool]] = []
-
-    def close() -> Iterator[tuple[str, str, int, int]]:
-        text = " ".join("".join(t for t, _ in run).split())
-        if text:
-            yield path, text, len(text.split(" ")), sum(len(t.split()) for t, linked in run if linked)
-        run.clear()
-
-    for part in node.parts:
-        if isinstance(part, Node):
-            yield from close()
-            yield from blocks(part, f"{path}/{part.label}")
-        else:
-            run.append(part)
-    yield from close()
-
-
 # A wrapper's part: [label, quantifier, text, words, linked, pages, parts]. Texts have the label "#"; their text is the
 # constant, or None for a slot. Quantifiers: "1", "?", "+", "*".
 def stream(node: Node) -> list:
@@ -227,45 +208,127 @@ def is_main(label: str) -> bool:
     return tag in MAIN or (any(n in MAIN_NAMES for n in names) and not any(n in NOT_MAIN_NAMES for n in names))
 
 
-def marked_main(part: list) -> bool:
-    """Whether some article is marked and holds text."""
+# A rule is what a wrapper's part says of a page's: [label, required, verdict, constant, holds text, parts, alignments].
+def rules(wrapper: list) -> list:
+    """The wrapper with each text judged for pages that don't mark their article. A text is template if it is constant
+    on more than two pages, and else is kept if some varying text at its path runs or is a heading."""
+    good: set[str] = set()
 
-    def texts(p: list) -> int:
-        return p[3] + sum(texts(x) for x in p[6] if not is_boilerplate(x[0], True))
+    def template(p: list) -> bool:
+        return p[2] is not None and p[5] > 2
 
-    if is_boilerplate(part[0], False):
-        return False
-    return (is_main(part[0]) and texts(part) > 0) or any(marked_main(p) for p in part[6])
+    def walk(part: list, path: str) -> None:
+        for p in part[6]:
+            if p[0] != "#":
+                walk(p, f"{path}/{p[0]}")
+            elif not template(p) and ((p[3] >= TEXT_WORDS * p[5] and p[4] < LINKED * p[3]) or part[0][:1] == "h"):
+                good.add(path)
+
+    def rule(p: list, path: str) -> list:
+        inner = [rule(x, path if x[0] == "#" else f"{path}/{x[0]}") for x in p[6]]
+        holds = p[3] > 0 or any(x[4] for x in inner if not is_boilerplate(x[0], True))
+        return [p[0], p[1] in "1+", p[0] == "#" and path in good and not template(p), p[2] is not None, holds, inner, {}]
+
+    walk(wrapper, "")
+    return rule(wrapper, "")
+
+
+def places(labels: tuple, rule: list) -> list:
+    """For each of a page's neighbours, the rule it takes, or None: as many as can be, and the fewest required ones left
+    out. Neighbours with one label are one."""
+    known = rule[6].get(labels)
+    if known is None:
+        parts = rule[5]
+        n, m, much = len(labels), len(parts), len(parts) + 1
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n, -1, -1):
+            for j in range(m - 1, -1, -1):
+                skip = best[i][j + 1] - parts[j][1]
+                if i < n:
+                    skip = max(skip, best[i + 1][j], best[i + 1][j + 1] + much if labels[i] == parts[j][0] else skip)
+                best[i][j] = skip
+        known, i, j = [], 0, 0
+        while i < n:
+            if j < m and labels[i] == parts[j][0] and best[i][j] == best[i + 1][j + 1] + much:
+                known.append(parts[j])
+                i, j = i + 1, j + 1
+            elif j < m and best[i][j] == best[i][j + 1] - parts[j][1]:
+                j += 1
+            else:
+                known.append(None)
+                i += 1
+        if len(rule[6]) < 1000:
+            rule[6][labels] = known
+    return known
 
 
-def keeps(wrapper: list) -> dict[str, bool]:
-    """For each place of text in the wrapper, whether it belongs to the main text."""
-    out: dict[str, bool] = {}
-    marked = marked_main(wrapper)
+def neighbours(node: Node) -> list[tuple[str, list]]:
+    """The parts by runs of one label: elements, and texts."""
+    out: list[tuple[str, list]] = []
+    run: list[str] = []
 
-    def walk(part: list, path: str, in_main: bool, out_of: bool) -> None:
-        for p in part[6]:
-            if p[0] == "#":
-                template = p[2] is not None and p[5] > 2
-                running = p[3] >= TEXT_WORDS * p[5] and p[4] < LINKED * p[3]
-                good = in_main if marked else (running or part[0][:1] == "h") and not template
-                out[path] = out.get(path, False) or (good and not out_of)
-            else:
-                inside = in_main or is_main(p[0])
-                walk(p, f"{path}/{p[0]}", inside, out_of or is_boilerplate(p[0], inside))
+    def add(label: str, part) -> None:
+        if out and out[-1][0] == label:
+            out[-1][1].append(part)
+        else:
+            out.append((label, [part]))
+
+    def close() -> None:
+        text = " ".join("".join(run).split())
+        if text:
+            add("#", text)
+        run.clear()
 
-    walk(wrapper, "", False, False)
+    for part in node.parts:
+        if isinstance(part, Node):
+            close()
+            add(part.label, part)
+        else:
+            run.append(part[0])
+    close()
     return out
 
 
-def main_text(html: str, known: dict[str, bool] | None) -> str:
-    """The main text of a page. known: its host's places; a page with places it doesn't have, or none, adds its own."""
+def taken(tree: Node, wrapper: list | None) -> tuple[list[tuple[str, bool, bool, list | None]], bool]:
+    """Every text of the page with whether it lies in a marked article, whether in what isn't one, and the rule it
+    takes; and whether the page marks its article, which the parts it takes decide, not other pages' parts."""
+    out: list = []
+    marked = False
+
+    def walk(node: Node, rule: list | None, in_main: bool, out_of: bool, shut: bool) -> bool:
+        nonlocal marked
+        shut = shut or is_boilerplate(node.label, False)
+        runs, holds = neighbours(node), False
+        of = places(tuple(label for label, _ in runs), rule) if rule else [None] * len(runs)
+        for (label, parts), r in zip(runs, of, strict=True):
+            if label == "#":
+                out.extend((text, in_main, out_of, r) for text in parts)
+                holds = True
+                continue
+            inside = in_main or is_main(label)
+            for part in parts:
+                full = walk(part, r, inside, out_of or is_boilerplate(label, inside), shut)
+                holds = holds or (full and not is_boilerplate(label, True))
+        if is_main(node.label) and not shut and (holds or (rule and rule[4])):
+            marked = True
+        return holds
+
+    walk(tree, wrapper, False, False, False)
+    return out, marked
+
+
+def main_text(html: str, known: list | None) -> str:
+    """The main text of a page. known: the rules of its host. Texts that the wrapper doesn't have, and pages of which it
+    only has constants (so that nothing tells template from article), are judged by the page alone."""
     tree = parse(html or "")
-    found = list(blocks(tree))
-    places = dict(known or {})
-    if any(path not in places for path, *_ in found):
-        places = keeps(stream(tree)) | places
-    return "\n".join(text for path, text, _, _ in found if places.get(path))
+    found, marked = taken(tree, known)
+    if marked:
+        return "\n".join(text for text, in_main, out_of, _ in found if in_main and not out_of)
+    if any(r is None for *_, r in found) or all(r[3] for *_, r in found):
+        varies = any(r is not None and not r[3] for *_, r in found)
+        alone, _ = taken(tree, rules(stream(tree)))
+        found = [x if varies and x[3] is not None else y for x, y in zip(found, alone, strict=True)]
+    return "\n".join(text for text, _, out_of, r in found if not out_of and r is not None and r[2])
 
 
 def host_of(url: str = "url"):
@@ -311,14 +374,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, bool]] = {}
+        known: dict[str, list] = {}
         for batch in slices(batches, "html", 4 << 20):
             out = []
             for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
                 if wrapper is not None and wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = keeps(json.loads(wrapper))
+                    known[wrapper] = rules(json.loads(wrapper))
                 out.append(main_text(html, known.get(wrapper)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

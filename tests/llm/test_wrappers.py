@@ -27,6 +27,26 @@ def test_unmarked_pages_need_their_host(spark):
     assert got == {**{i: words.format(i) for i in range(6)}, 9: ""}
 
 
+def test_a_page_without_marks_beside_marked_pages(spark):
+    """Whether a page marks its article is its own matter; the other pages tell what is template."""
+    top = "<div>This line of ten or more words stands on every page of the host here</div>"
+    words = "running text of page {} that goes on for quite a few words more than ten of them"
+    marked = "<body>" + top + "<article><p>{}</p></article></body>"
+    plain = "<body>" + top + "<div id=x><p>{}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", (plain if i % 2 else marked).format(words.format(i))) for i in range(8)]
+    got = {r.page_id: r.text for r in wr.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: words.format(i) for i in range(8)}
+
+
+def test_slots_of_one_path_are_told_apart():
+    top, words = "This line of ten or more words stands on every page of the host here", "running text {} that goes on for quite a few words more than ten of them"
+    pages = [f"<div>{top}</div><h2>t {i}</h2><div>{words.format(i)}</div>" for i in range(4)]
+    whole = stream(pages[0])
+    for page in pages[1:]:
+        whole = wr.merged(whole, stream(page))
+    assert wr.main_text(pages[2], wr.rules(whole)) == f"t 2\n{words.format(2)}"
+
+
 def stream(html):
     return wr.stream(wr.parse(html))
 
