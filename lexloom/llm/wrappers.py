@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def parse(html: str) -> Node:
 
 
 # A wrapper's part: [label, quantifier, text, words, linked, pages, parts]. Texts have the label "#"; their text is the
-# constant, or None for a slot. Quantifiers: "1", "?", "+", "*".
+# constant as the hash (32 hexadecimal digits) of all of it and its begin for display, or None for a slot. Quantifiers: "1", "?", "+", "*".
 def stream(node: Node) -> list:
     """The page itself as a wrapper: every text constant, like siblings not yet folded."""
     parts, run = [], []
@@ -125,7 +126,7 @@ def stream(node: Node) -> list:
     def close() -> None:
         text = " ".join("".join(t for t, _ in run).split())
         if text:
-            parts.append(["#", "1", text[:80], len(text.split(" ")), sum(len(t.split()) for t, linked in run if linked), 1, []])
+            parts.append(["#", "1", xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")) + text[:80], len(text.split(" ")), sum(len(t.split()) for t, linked in run if linked), 1, []])
         run.clear()
 
     for part in node.parts:
@@ -190,7 +191,7 @@ def n_parts(part: list) -> int:
 def expression(part: list) -> str:
     """The wrapper as a regular expression over tags, texts and slots."""
     if part[0] == "#":
-        inner = "TEXT" if part[2] is None else re.escape(part[2])
+        inner = "TEXT" if part[2] is None else re.escape(part[2][32:])
     else:
         inner = f"<{part[0]}>" + "".join(map(expression, part[6])) + f"</{part[0].split('.')[0]}>" if part[0] else "".join(map(expression, part[6]))
     return inner if part[1] == "1" else f"({inner}){part[1]}"

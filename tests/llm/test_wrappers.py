@@ -47,6 +47,15 @@ def test_slots_of_one_path_are_told_apart():
     assert wr.main_text(pages[2], wr.rules(whole)) == f"t 2\n{words.format(2)}"
 
 
+def test_texts_with_one_beginning_are_not_constant():
+    lead = "From our own correspondent, who has been there for many years and writes every week now: "
+    texts = [f"{lead}story {i} in running words" for i in range(4)]
+    whole = stream(f"<div>{texts[0]}</div>")
+    for text in texts[1:]:
+        whole = wr.merged(whole, stream(f"<div>{text}</div>"))
+    assert wr.main_text(f"<div>{texts[3]}</div>", wr.rules(whole)) == texts[3]
+
+
 def stream(html):
     return wr.stream(wr.parse(html))
 
