@@ -3,8 +3,9 @@
 A page is a stream of block tags and texts (tags within a line belong to the text). Inference aligns streams, one after
 another: equal tags match; a run of like siblings becomes a repeated group, and what one side lacks an optional group,
 each with its inner stream aligned in turn; texts that differ become a slot. The result has groups, optional and
-repeated, but no alternatives. Aligning is done within each task first, then among the tasks' results, so every page of
-a host counts and only small wrappers are exchanged.
+repeated, but no alternatives; too many neighbours become one repeated group in which each label stands once. Pages of
+one layout are merged first, in any order, and then a host's layouts by their hash, so every page of a host counts and
+the result doesn't depend on how rows fall into tasks.
 
 A wrapper's slots are then judged by place and statistics. Each page is matched with its host's wrapper part by part:
 where the parts it takes mark its article, the texts within are kept, elsewhere those whose slots hold running text.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,8 +45,10 @@ MAIN_NAMES = set("article content entry main post story".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: A wrapper with more parts than this isn't kept; its host's pages are each judged alone.
-MOST_PARTS = 2000
+#: Neighbours in a wrapper; more of them become a repeated group that has each label once.
+LONGEST = 100
+#: Groups of layouts of a host that are aligned at once, and parts held in a task before they are sent on.
+SALTS, HELD_PARTS = 256, 500_000
 #: Elements nested deeper than this are read as parts of the one at this depth; their text stays.
 DEEPEST = 150
 #: In hosts that don't mark their articles, a slot of running text has so many words a page, and fewer of them linked.
@@ -136,7 +140,8 @@ def stream(node: Node) -> list:
         else:
             run.append(part)
     close()
-    return [node.label, "1", None, 0, 0, 1, fold(parts)]
+    parts = fold(parts)
+    return [node.label, "1", None, 0, 0, 1, parts if len(parts) <= LONGEST else bag(parts)]
 
 
 def fold(parts: list) -> list:
@@ -152,6 +157,26 @@ def fold(parts: list) -> list:
     return out
 
 
+def is_bag(parts: list) -> bool:
+    return bool(parts) and parts[0][0] == "()"
+
+
+def bag(parts: list) -> list:
+    """A repeated group in which each label stands once, optional and repeated, in the order of labels."""
+    if is_bag(parts):
+        return parts
+    by: dict[str, list] = {}
+    for p in parts:
+        by[p[0]] = merged(by[p[0]], p, same_page=True) if p[0] in by else p
+    return [["()", "*", None, 0, 0, max((p[5] for p in parts), default=0), [[k, "*", *by[k][2:]] for k in sorted(by)]]]
+
+
+def join_bags(a: list, b: list, same_page: bool) -> list:
+    x, y = ({p[0]: p for p in group[0][6]} for group in (a, b))
+    inner = [merged(x[k], y[k], same_page) if k in x and k in y else x.get(k) or y[k] for k in sorted(x.keys() | y.keys())]
+    return [["()", "*", None, 0, 0, max(a[0][5], b[0][5]) if same_page else a[0][5] + b[0][5], inner]]
+
+
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """Two parts with one label aligned."""
     many, maybe = a[1] in "+*" or b[1] in "+*", a[1] in "?*" or b[1] in "?*"
@@ -162,6 +187,8 @@ def merged(a: list, b: list, same_page: bool = False) -> list:
 
 def align(a: list, b: list, same_page: bool = False) -> list:
     """Two streams aligned by a longest common subsequence of labels; what one lacks is optional."""
+    if a and b and (is_bag(a) or is_bag(b)):
+        return join_bags(bag(a), bag(b), same_page)
     if [p[0] for p in a] == [p[0] for p in b]:
         return [merged(x, y, same_page) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
@@ -181,19 +208,25 @@ def align(a: list, b: list, same_page: bool = False) -> list:
         else:
             out.append([b[j][0], optional[b[j][1]], *b[j][2:]])
             j += 1
-    return fold(out)
+    out = fold(out)
+    return out if len(out) <= LONGEST else join_bags(bag(a), bag(b), same_page)
 
 
 def n_parts(part: list) -> int:
     return 1 + sum(map(n_parts, part[6]))
 
 
+def layout(part: list) -> str:
+    """Labels and quantifiers. Merging parts of one layout keeps it, and gives the same in any order."""
+    return f"{part[0]}{part[1]}({' '.join(map(layout, part[6]))})"
+
+
 def expression(part: list) -> str:
     """The wrapper as a regular expression over tags, texts and slots."""
     if part[0] == "#":
         inner = "TEXT" if part[2] is None else re.escape(part[2][32:])
     else:
-        inner = f"<{part[0]}>" + "".join(map(expression, part[6])) + f"</{part[0].split('.')[0]}>" if part[0] else "".join(map(expression, part[6]))
+        inner = f"<{part[0]}>" + "".join(map(expression, part[6])) + f"</{part[0].split('.')[0]}>" if part[0] not in ("", "()") else "".join(map(expression, part[6]))
     return inner if part[1] == "1" else f"({inner}){part[1]}"
 
 
@@ -209,7 +242,8 @@ def is_main(label: str) -> bool:
     return tag in MAIN or (any(n in MAIN_NAMES for n in names) and not any(n in NOT_MAIN_NAMES for n in names))
 
 
-# A rule is what a wrapper's part says of a page's: [label, required, verdict, constant, holds text, parts, alignments].
+# A rule is what a wrapper's part says of a page's: [label, required, verdict, constant, holds text, parts, alignments,
+# whether the parts are a repeated group of labels].
 def rules(wrapper: list) -> list:
     """The wrapper with each text judged for pages that don't mark their article. A text is template if it is constant
     on more than two pages, and else is kept if some varying text at its path runs or is a heading."""
@@ -218,17 +252,20 @@ def rules(wrapper: list) -> list:
     def template(p: list) -> bool:
         return p[2] is not None and p[5] > 2
 
+    def parts(p: list) -> list:
+        return p[6][0][6] if is_bag(p[6]) else p[6]
+
     def walk(part: list, path: str) -> None:
-        for p in part[6]:
+        for p in parts(part):
             if p[0] != "#":
                 walk(p, f"{path}/{p[0]}")
             elif not template(p) and ((p[3] >= TEXT_WORDS * p[5] and p[4] < LINKED * p[3]) or part[0][:1] == "h"):
                 good.add(path)
 
     def rule(p: list, path: str) -> list:
-        inner = [rule(x, path if x[0] == "#" else f"{path}/{x[0]}") for x in p[6]]
+        inner = [rule(x, path if x[0] == "#" else f"{path}/{x[0]}") for x in parts(p)]
         holds = p[3] > 0 or any(x[4] for x in inner if not is_boilerplate(x[0], True))
-        return [p[0], p[1] in "1+", p[0] == "#" and path in good and not template(p), p[2] is not None, holds, inner, {}]
+        return [p[0], p[1] in "1+", p[0] == "#" and path in good and not template(p), p[2] is not None, holds, inner, {}, is_bag(p[6])]
 
     walk(wrapper, "")
     return rule(wrapper, "")
@@ -238,7 +275,10 @@ def places(labels: tuple, rule: list) -> list:
     """For each of a page's neighbours, the rule it takes, or None: as many as can be, and the fewest required ones left
     out. Neighbours with one label are one."""
     known = rule[6].get(labels)
-    if known is None:
+    if known is None and rule[7]:
+        by = {p[0]: p for p in rule[5]}
+        known = [by.get(label) for label in labels]
+    elif known is None:
         parts = rule[5]
         n, m, much = len(labels), len(parts), len(parts) + 1
         best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -337,35 +377,65 @@ def host_of(url: str = "url"):
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
+    held: dict[tuple[str, str], list] = {}
+    size = 0
+
+    def send() -> pa.RecordBatch:
+        columns = [[h for h, _ in held], [k for _, k in held], [json.dumps(w) for w in held.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "layout", "wrapper"])
+
     for batch in slices(batches, "html", 4 << 20):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            if html:
-                page = stream(parse(html))
-                held[host] = merged(held[host], page) if host in held and n_parts(held[host]) <= MOST_PARTS else held.get(host, page)
-    rows = [(h, json.dumps(w)) for h, w in held.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "wrapper"])
+            if not html:
+                continue
+            page = stream(parse(html))
+            key = (host, xxhash.xxh3_128_hexdigest(layout(page)))
+            if key in held:
+                held[key] = merged(held[key], page)
+            else:
+                held[key] = page
+                size += n_parts(page)
+        if size > HELD_PARTS:
+            yield send()
+            held.clear()
+            size = 0
+    yield send()
 
 
 def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
-    whole = None
-    for text in sorted(pdf["wrapper"]):
+    """All layouts of the group as one wrapper: first the parts of each layout, then the layouts in order."""
+    by: dict[str, list] = {}
+    for key, text in zip(pdf["layout"], pdf["wrapper"], strict=True):
         part = json.loads(text)
-        whole = part if whole is None else merged(whole, part)
-        if n_parts(whole) > MOST_PARTS:
-            return pdf.iloc[:0][["host", "wrapper"]]
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+        by[key] = merged(by[key], part) if key in by else part
+    whole = None
+    for key in sorted(by):
+        whole = by[key] if whole is None else merged(whole, by[key])
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [min(by)], "wrapper": [json.dumps(whole)]})
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """host, wrapper (as JSON; `expression` shows it as a regular expression), from all pages with html.
 
-    A host's group holds one wrapper a task, in two rounds, so it stays small however many pages the host has.
+    Layouts of a host meet in up to SALTS groups by their hash, whose wrappers then meet in one, so a group stays small
+    however many pages the host has.
     """
-    part = pages.select(host_of().alias("host"), "html").mapInArrow(_infer, "host string, wrapper string")
-    salted = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    once = salted.groupBy("host", "salt").applyInPandas(_combine, "host string, wrapper string")
-    return once.groupBy("host").applyInPandas(_combine, "host string, wrapper string")
+    kind = "host string, layout string, wrapper string"
+    part = pages.select(host_of().alias("host"), "html").mapInArrow(_infer, kind)
+    salted = part.withColumn("salt", F.pmod(F.xxhash64("layout"), F.lit(SALTS)))
+    once = salted.groupBy("host", "salt").applyInPandas(_combine, kind)
+    return once.groupBy("host").applyInPandas(_combine, kind).select("host", "wrapper")
+
+
+def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers without their texts, compressed, as rows of pages carry them."""
+
+    def bare(p: list) -> list:
+        return [p[0], p[1], None if p[2] is None else "", *p[3:6], [bare(x) for x in p[6]]]
+
+    for batch in batches:
+        small = [zlib.compress(json.dumps(bare(json.loads(w))).encode(), 9) for w in batch.column("wrapper").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(small, pa.binary())], ["host", "wrapper"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -375,21 +445,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[bytes, list] = {}
         for batch in slices(batches, "html", 4 << 20):
             out = []
             for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
                 if wrapper is not None and wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = rules(json.loads(wrapper))
+                    known[wrapper] = rules(json.loads(zlib.decompress(wrapper)))
                 out.append(main_text(html, known.get(wrapper)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
     # Skewed hosts are split by adaptive execution; few wrappers are broadcast by their measured size.
     hosted = pages.select("page_id", "url", "html", host_of().alias("host"))
-    return hosted.join(infer(pages), "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return hosted.join(infer(pages).mapInArrow(_slim, "host string, wrapper binary"), "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

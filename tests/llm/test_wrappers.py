@@ -56,6 +56,24 @@ def test_texts_with_one_beginning_are_not_constant():
     assert wr.main_text(f"<div>{texts[3]}</div>", wr.rules(whole)) == texts[3]
 
 
+def test_hosts_with_very_many_layouts_have_a_wrapper_under_any_partitioning(spark):
+    import random
+    import re
+
+    rng, top = random.Random(0), "<div class=top>This line of ten or more words stands on every page of the host here</div>"
+    words = "running text of page {} that goes on for quite a few words more than ten of them"
+    rows = []
+    for i in range(60):
+        tags = [rng.choice("h2 p ul table pre section dl blockquote".split()) for _ in range(rng.choice((5, 40, 400)))]
+        rows.append((i, f"http://h.example/{i}", top + f"<div><p>{words.format(i)}</p>" + "".join(f"<{t}><div><p>{t} {words.format(i)} {k}</p></div></{t}>" for k, t in enumerate(tags)) + "</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = (wr.infer(pages.repartition(n, "page_id")).collect() for n in (1, 7))
+    assert len(one) == 1 and one == other
+    got = {r.page_id: r.text for r in wr.extract(pages).collect()}
+    for i, _, html in rows:
+        assert got[i] == "\n".join(re.findall("<p>([^<]+)", html))
+
+
 def stream(html):
     return wr.stream(wr.parse(html))
 
