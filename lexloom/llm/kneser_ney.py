@@ -1,18 +1,19 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in memory-mapped arrays.
+"""An interpolated modified Kneser-Ney model of any order from 2, counted in Spark and looked up in memory-mapped arrays.
 
-Counting: each task merges its bigrams and sends them, packed, to shards by the hash of the pair, so that no word or
-context, however frequent, has a task of its own. A shard adds up its counts, writes them as a sorted hash array to
-the shared folder, and passes on what it knows of single words (count, left neighbours, right neighbours), which a
-second exchange adds up into sorted unigram arrays. Only paths and a few totals reach the driver.
+Counting: each task merges its n-grams and sends them, packed, to shards by a hash, so that no word or context, however
+frequent, has a task of its own. A shard adds up its counts, writes them as a sorted hash array to the shared folder,
+and passes on what it knows of the n-grams one word shorter (occurrences, left neighbours, right neighbours), which the
+next exchange adds up into sorted arrays in turn, down to single words. Only paths and a few totals reach the driver.
 
-Scoring: each worker maps the arrays into memory and looks up a slice's distinct words and pairs by binary search.
-The arrays hold counts; discounts and interpolation are applied at lookup:
+Scoring: each worker maps the arrays into memory and looks up a slice's distinct n-grams by binary search. The arrays
+hold counts; discounts and interpolation are applied at lookup. With u the words between (none for pairs):
 
-    p(w | v) = max(c(vw) - D(c), 0) / c(v.) + gamma(v) p(w)
-    p(w)     = max(n(.w) - D'(n), 0) / n(..) + gamma' / (types + 1)
+    p(w | vu) = max(a(vuw) - D(a), 0) / a(vu.) + gamma(vu) p(w | u)
+    p(w)      = max(n(.w) - D'(n), 0) / n(..) + gamma' / (types + 1)
 
-where n(.w) counts distinct left neighbours, and the last term also covers unknown words. A text is its lower-cased
-words between a begin and an end mark; the end is predicted, the begin is not.
+where a is the count at the highest order, and below it the number of distinct left neighbours, n; n-grams that start
+with a begin mark have none, and keep their counts. The last term also covers unknown words. A text is its lower-cased
+words between begin marks and an end mark; the end is predicted, the begin is not.
 """
 
 from __future__ import annotations
@@ -39,15 +40,30 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Tokens merged in a task before they are sent on, and tokens counted for each shard.
 MERGE = 1 << 21
 SHARD_TOKENS = 3_000_000
-#: Columns of the unigram arrays: occurrences, left neighbours, occurrences as context, and right neighbours seen
-#: once, twice, and more often.
+#: Columns that are added up below the highest order: occurrences, left neighbours, occurrences as context, and right
+#: neighbours seen once, twice, and more often.
 STATS = 6
+#: The order of the query's model.
+ORDER = 3
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
+def gram(*words: np.ndarray) -> np.ndarray:
+    """The key of n-grams. From three words on its leading bits are those of the context and two of the last word, so
+    that a shard has most of what it knows of a context together, and a context has four places at least."""
+    key = words[0]
+    for w in words[1:-1]:
+        key = pair(key, w)
+    if len(words) < 3:
+        return pair(key, words[1]) if len(words) == 2 else key
+    low = np.uint64((1 << 40) - 1)
+    top = (key >> np.uint64(42)) << np.uint64(42)
+    return top | (mix(words[-1]) >> np.uint64(62) << np.uint64(40)) | (pair(key, words[-1]) & low)
+
+
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     """By the leading bits, so the shards in order hold the hashes in order."""
     return ((key >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
@@ -82,12 +98,13 @@ def _unplanes(data: memoryview, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T).view(dtype).reshape(n)
 
 
-def pack(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs with counts: the distinct words of either side once, and places among them."""
+def pack(*columns: np.ndarray) -> bytes:
+    """N-grams with counts, which are the last column: the distinct words of every side once, and places among them."""
+    *sides, c = columns
     out = io.BytesIO()
     head = []
     parts = []
-    for side in (v, w):
+    for side in sides:
         known, at = np.unique(side, return_inverse=True)
         head.append(len(known))
         parts += [known.tobytes(), _planes(at.astype(np.uint32))]
@@ -97,20 +114,44 @@ def pack(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(out.getvalue(), asbytes=True)
 
 
-def unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(data: bytes, size: int, order: int = 2) -> tuple[np.ndarray, ...]:
     raw = memoryview(pa.Codec("zstd").decompress(data, size, asbytes=True))
-    n, nv, nw = np.frombuffer(raw[:24], dtype=np.int64).tolist()
-    at, sides = 24, []
-    for k in (nv, nw):
+    at = 8 + 8 * order
+    n, *lengths = np.frombuffer(raw[:at], dtype=np.int64).tolist()
+    sides = []
+    for k in lengths:
         known = np.frombuffer(raw[at : at + 8 * k], dtype=np.uint64)
         at += 8 * k
         sides.append(known[_unplanes(raw[at : at + 4 * n], n, np.uint32)])
         at += 4 * n
-    return sides[0], sides[1], _unplanes(raw[at:], n, np.uint32).astype(np.int64)
+    return *sides, _unplanes(raw[at:], n, np.uint32).astype(np.int64)
+
 
+def packed_size(*sizes: int) -> int:
+    """Of the numbers of distinct words of every side, and of n-grams."""
+    *words, n = sizes
+    return 8 + 8 * len(words) + 8 * sum(words) + 4 * (len(words) + 1) * n
 
-def packed_size(v: int, w: int, n: int) -> int:
-    return 24 + 8 * (v + w) + 12 * n
+
+def pack_stats(sides: list[np.ndarray], stats: np.ndarray) -> tuple[bytes, int]:
+    """N-grams with the columns of STATS, and the size unpacked."""
+    known, at = np.unique(np.concatenate(sides), return_inverse=True)
+    wide = np.uint32 if stats.max() < 1 << 32 else np.uint64
+    head = np.array([len(stats), len(known), np.dtype(wide).itemsize], dtype=np.int64)
+    raw = b"".join([head.tobytes(), known.tobytes(), *(_planes(x) for x in at.astype(np.uint32).reshape(len(sides), -1)), _planes(stats.astype(wide))])
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True), len(raw)
+
+
+def unpack_stats(data: bytes, size: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = memoryview(pa.Codec("zstd").decompress(data, size, asbytes=True))
+    n, k, width = np.frombuffer(raw[:24], dtype=np.int64).tolist()
+    known = np.frombuffer(raw[24 : 24 + 8 * k], dtype=np.uint64)
+    at, sides = 24 + 8 * k, []
+    for _ in range(order):
+        sides.append(known[_unplanes(raw[at : at + 4 * n], n, np.uint32)])
+        at += 4 * n
+    flat = np.frombuffer(raw[at:], dtype=np.uint8).reshape(width * STATS, n).T
+    return sides, np.ascontiguousarray(flat).view(np.uint32 if width == 4 else np.uint64).reshape(n, STATS).astype(np.int64)
 
 
 def merge(keys: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,22 +200,25 @@ def load(root: str, name: str, count: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Where the sorted arrays lie, by shard, and the totals."""
+    """Where the sorted arrays lie, by length of n-grams and shard, and the totals."""
 
     root: str
-    bigrams: list[tuple[int, str]]
-    unigrams: list[tuple[int, str]]
-    shards: int
-    unigram_shards: int
+    order: int
+    #: Shards by length, from single words on.
+    n_shards: list[int]
     n_tokens: int
     n_types: int
-    #: Bigrams, and words by left neighbours, that occur once, twice, three and four times.
-    bigram_counts: list[int] = field(default_factory=list)
-    left_counts: list[int] = field(default_factory=list)
-    #: Distinct bigrams, and words with one, two, more left neighbours.
-    n_bigrams: int = 0
+    grams: list[list[tuple[int, str]]] = field(default_factory=list)
+    #: By length: n-grams that count once, twice, three and four times, and all of them.
+    counts: list[list[int]] = field(default_factory=list)
+    totals: list[int] = field(default_factory=list)
+    #: Words with one, two, more left neighbours.
     left_classes: list[int] = field(default_factory=list)
 
+    @property
+    def shards(self) -> int:
+        return self.n_shards[-1]
+
 
 def discounts(n: list[int]) -> np.ndarray:
     """The three discounts from the counts of counts, at places 1 to 3; each lies in [0, its count]."""
@@ -186,32 +230,49 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(float(np.clip(x, 0.05, k + 0.95)) for k, x in enumerate(d))])
 
 
-def count(docs: DataFrame) -> Model:
+def records(columns: list[np.ndarray]) -> np.ndarray:
+    """The columns as one array of records, each in the least type that holds it."""
+    kinds = [np.min_scalar_type(int(x.max())) for x in columns]
+    out = np.empty(len(columns[0]), dtype=[(f"f{i}", k) for i, k in enumerate(kinds)])
+    for i, x in enumerate(columns):
+        out[f"f{i}"] = x
+    return out
+
+
+def contexts(w: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens at each place of the n-grams that end in each token, the last of them the token itself."""
+    sides = [w]
+    for _ in range(order - 1):
+        sides.insert(0, before(sides[0], n))
+    return sides
+
+
+def count(docs: DataFrame, order: int = 2) -> Model:
     """Counts all texts of docs (null: empty)."""
     spark = docs.sparkSession
     root = shared_path(spark, "kneser-ney")
     # About one token in six bytes; more or fewer shards change only their size.
     total = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = 1 + int((total[0] or 0) / 6 + total[1]) // SHARD_TOKENS
-    unigram_shards = 1 + shards // 4
+    shards = 1 + int((total[0] or 0) / 6 + total[1]) * (order - 1) // SHARD_TOKENS
+    n_shards = [1 + shards // 4, *[shards] * (order - 1)]
 
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, c, at = merge(pair(v, w), np.ones(len(v), dtype=np.int64))
-        v, w = v[at], w[at]
+    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sides = [np.concatenate(x) for x in zip(*held, strict=True)]
+        key, c, at = merge(gram(*sides), np.ones(len(sides[0]), dtype=np.int64))
+        sides = [x[at] for x in sides]
         cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1, dtype=np.uint64))
         for s in range(shards):
             a, b = cut[s], cut[s + 1]
             if b > a:
-                x = pack(v[a:b], w[a:b], c[a:b])
-                size = packed_size(len(np.unique(v[a:b])), len(np.unique(w[a:b])), int(b - a))
+                x = pack(*(x[a:b] for x in sides), c[a:b])
+                size = packed_size(*(len(np.unique(x[a:b])) for x in sides), int(b - a))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([x], pa.binary())], ["shard", "size", "data"])
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
         for batch in slices(batches, "text", 4 << 20):
             w, n = tokens(text_of(batch))
-            held.append((before(w, n), w))
+            held.append(contexts(w, n, order))
             n_held += len(w)
             if n_held >= MERGE:
                 yield from send(held)
@@ -219,76 +280,89 @@ def count(docs: DataFrame) -> Model:
         if held:
             yield from send(held)
 
-    def add_pairs(group: pa.Table) -> pa.Table:
+    def shorter(level: int, sides: list[np.ndarray], raw: np.ndarray, a: np.ndarray) -> Iterator[tuple]:
+        """What n-grams tell of those one word shorter: of their ends, then of their contexts."""
+        seen = np.flatnonzero(a > 0)
+        sides, raw, a = [x[seen] for x in sides], raw[seen], a[seen]
+        stats = np.zeros((len(a), STATS), dtype=np.int64)
+        stats[:, 0], stats[:, 1] = raw, 1
+        ends = sides[1:]
+        key_e, stats_e, at_e = merge(gram(*ends), stats)
+        stats[:, :2] = 0
+        stats[:, 2] = a
+        for j, hit in enumerate((a == 1, a == 2, a > 2)):
+            stats[:, 3 + j] = hit
+        heads = sides[:-1]
+        key_h, stats_h, at_h = merge(gram(*heads), stats)
+        key, stats, at = merge(np.concatenate([key_e, key_h]), np.concatenate([stats_e, stats_h]))
+        sides = [np.concatenate([e[at_e], h[at_h]])[at] for e, h in zip(ends, heads, strict=True)]
+        n = n_shards[level - 2]
+        cut = np.searchsorted(shard_of(key, n), np.arange(n + 1, dtype=np.uint64)).tolist()
+        for s in range(n):
+            x, y = cut[s], cut[s + 1]
+            if y > x:
+                data, size = pack_stats([z[x:y] for z in sides], stats[x:y])
+                yield s, "", [level - 1, size], data
+
+    def result(rows: list[tuple]) -> pa.Table:
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "name", "totals", "data"])
+
+    def described(level: int, shard: int, a: np.ndarray) -> list[int]:
+        return [level, shard, *(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a > 0).sum())]
+
+    def add_top(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        key, stats = np.zeros(0, dtype=np.uint64), np.zeros((0, 3), dtype=np.int64)
-        v = w = key
-        parts = [unpack(d, s) for d, s in zip(group.column("data").to_pylist(), group.column("size").to_pylist(), strict=True)]
-        v, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [unpack(d, s, order) for d, s in zip(group.column("data").to_pylist(), group.column("size").to_pylist(), strict=True)]
+        *sides, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        key, c, at = merge(pair(v, w), c)
-        v, w = v[at], w[at]
-        name = save(root, "bigrams", shard, [key, c.astype(np.uint32 if c.max() < 1 << 32 else np.uint64)])
-        # What this shard knows of single words: as the second word, then as the context.
-        stats = np.zeros((2 * len(c), STATS), dtype=np.int64)
-        stats[: len(c), 0], stats[: len(c), 1] = c, 1
-        stats[len(c) :, 2] = c
-        for j, hit in enumerate((c == 1, c == 2, c > 2)):
-            stats[len(c) :, 3 + j] = hit
-        word, stats, _ = merge(np.concatenate([w, v]), stats)
-        totals = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        cut = np.searchsorted(shard_of(word, unigram_shards), np.arange(unigram_shards + 1, dtype=np.uint64))
-        rows = [(shard % unigram_shards, name, [shard, *totals, len(c)], None)]
-        codec = pa.Codec("zstd", 1)
-        for s in range(unigram_shards):
-            a, b = int(cut[s]), int(cut[s + 1])
-            if b > a:
-                raw = word[a:b].tobytes() + _planes(stats[a:b].astype(np.uint32)) if stats.max() < 1 << 32 else b""
-                raw = raw or word[a:b].tobytes() + _planes(stats[a:b])
-                rows.append((s, "", [b - a, len(raw)], codec.compress(raw, asbytes=True)))
-        return pa.Table.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-            ["shard", "name", "totals", "data"],
-        )
-
-    def add_words(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        words, stats, out = [], [], []
-        for name, totals, data in zip(*(group.column(c).to_pylist() for c in ("name", "totals", "data")), strict=True):
-            if name:  # of a shard of pairs
-                out.append((-1, name, totals))
-                continue
-            n, size = totals
-            raw = memoryview(pa.Codec("zstd").decompress(data, size, asbytes=True))
-            words.append(np.frombuffer(raw[: 8 * n], dtype=np.uint64))
-            wide = np.uint64 if size == 8 * n + 8 * n * STATS else np.uint32
-            width = np.dtype(wide).itemsize * STATS
-            flat = np.frombuffer(raw[8 * n :], dtype=np.uint8).reshape(width, n).T
-            stats.append(np.ascontiguousarray(flat).view(wide).reshape(n, STATS).astype(np.int64))
-        if words:
-            word, s, _ = merge(np.concatenate(words), np.concatenate(stats))
-            name = save(root, "words", shard, [word, s.astype(np.uint32 if s.max() < 1 << 32 else np.uint64)])
-            seen, left = s[:, 0] > 0, s[:, 1]
-            out.append((shard, name, [int(s[:, 0].sum()), int(seen.sum()), *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum())]))
-        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "name", "totals"])
-
-    manifest = (
-        docs.select("text")
-        .mapInArrow(bigrams, "shard int, size long, data binary")
-        .repartitionById(shards, "shard")
-        .groupBy("shard")
-        .applyInArrow(add_pairs, "shard int, name string, totals array<long>, data binary")
-        .repartitionById(unigram_shards, "shard")
-        .groupBy("shard")
-        .applyInArrow(add_words, "shard int, name string, totals array<long>")
-        .collect()  # one row a shard
-    )
-    pairs = sorted((r.totals[0], r.name, r.totals[1:]) for r in manifest if r.shard < 0)
-    words = sorted((r.shard, r.name, r.totals) for r in manifest if r.shard >= 0)
-    p = np.array([t for _, _, t in pairs], dtype=np.int64).reshape(-1, 5).sum(axis=0).tolist()
-    u = np.array([t for _, _, t in words], dtype=np.int64).reshape(-1, 7).sum(axis=0).tolist()
-    return Model(root, [x[:2] for x in pairs], [x[:2] for x in words], shards, unigram_shards, u[0], u[1], p[:4], u[2:6], p[4], [u[2], u[3], u[6]])
+        key, c, at = merge(gram(*sides), c)
+        sides = [x[at] for x in sides]
+        name = save(root, f"grams{order}", shard, [key, records([c])])
+        return result([(shard % n_shards[-2], name, described(order, shard, c), None), *shorter(order, sides, c, c)])
+
+    def add(level: int):
+        """Adds up the n-grams of a length below the highest; rows that describe longer ones pass."""
+
+        def run(group: pa.Table) -> pa.Table:
+            shard = group.column("shard")[0].as_py()
+            rows, parts = [], []
+            for name, totals, data in zip(*(group.column(c).to_pylist() for c in ("name", "totals", "data")), strict=True):
+                if name:
+                    rows.append((shard % n_shards[max(level - 2, 0)], name, totals, None))
+                else:
+                    parts.append(unpack_stats(data, totals[1], level))
+            if not parts:
+                return result(rows)
+            sides = [np.concatenate([p[0][i] for p in parts]) for i in range(level)]
+            stats = np.concatenate([p[1] for p in parts])
+            del parts
+            key, stats, at = merge(gram(*sides), stats)
+            sides = [x[at] for x in sides]
+            if level == 1:
+                name = save(root, "words", shard, [key, records([*stats.T])])
+                seen, left = stats[:, 0], stats[:, 1]
+                return result([*rows, (shard, name, [*described(1, shard, left), int(seen.sum()), int((seen > 0).sum()), int((left > 2).sum())], None)])
+            a = np.where(sides[0] == BEGIN, stats[:, 0], stats[:, 1])
+            name = save(root, f"grams{level}", shard, [key, records([a, *stats[:, 2:].T])])
+            return result([*rows, (shard % n_shards[level - 2], name, described(level, shard, a), None), *shorter(level, sides, stats[:, 0], a)])
+
+        return run
+
+    kind = "shard int, name string, totals array<long>, data binary"
+    rows = docs.select("text").mapInArrow(grams, "shard int, size long, data binary").repartitionById(shards, "shard").groupBy("shard").applyInArrow(add_top, kind)
+    for level in range(order - 1, 0, -1):
+        rows = rows.repartitionById(n_shards[level - 1], "shard").groupBy("shard").applyInArrow(add(level), kind)
+    manifest = rows.select("name", "totals").collect()  # one row a shard
+    grams_of, counts, totals, words = [], [], [], np.zeros(8, dtype=np.int64)
+    for level in range(1, order + 1):
+        own = sorted((r.totals[1], r.name, r.totals[2:]) for r in manifest if r.totals[0] == level)
+        sums = np.array([t for *_, t in own], dtype=np.int64).reshape(len(own), -1).sum(axis=0).tolist() if own else [0] * 8
+        words = sums if level == 1 else words
+        grams_of.append([x[:2] for x in own])
+        counts.append(sums[:4])
+        totals.append(sums[4])
+    return Model(root, order, n_shards, words[5], words[6], grams_of, counts, totals, [words[0], words[1], words[7]])
 
 
 def lookup(keys: np.ndarray, arrays: dict[int, list[np.ndarray]], shards: int, width: int) -> np.ndarray:
@@ -300,27 +374,41 @@ def lookup(keys: np.ndarray, arrays: dict[int, list[np.ndarray]], shards: int, w
         if b > a:
             at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
             hit = known[at] == keys[a:b]
-            out[a:b][hit] = np.asarray(values[at[hit]]).reshape(-1, width)
+            got = values[at[hit]]
+            for i, name in enumerate(got.dtype.names):
+                out[a:b, i][hit] = got[name]
     return out
 
 
-def log_probabilities(w: np.ndarray, n: np.ndarray, model: Model, words: dict, pairs: dict) -> tuple[np.ndarray, np.ndarray]:
-    """log10 p of every token given the one before, and its training count."""
-    v = before(w, n)
-    known, at = np.unique(np.concatenate([w, v]), return_inverse=True)
-    stats = lookup(known, words, model.unigram_shards, STATS)
-    at_w, at_v = at[: len(w)], at[len(w) :]
-    d, d1 = discounts(model.bigram_counts), discounts(model.left_counts)
-    total = max(model.n_bigrams, 1)
-    left = stats[:, 1]
-    rest = float(np.dot(d1[1:], model.left_classes)) / total if model.n_bigrams else 1.0
-    unigram = np.maximum(left - d1[np.minimum(left, 3)], 0) / total + rest / (model.n_types + 1)
-    context = stats[:, 2]
-    gamma = np.where(context > 0, stats[:, 3:6] @ d[1:] / np.maximum(context, 1), 1.0)
-    keys, back = np.unique(pair(v, w), return_inverse=True)
-    c = lookup(keys, pairs, model.shards, 1)[back, 0]
-    p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(context[at_v], 1) + gamma[at_v] * unigram[at_w]
-    return np.log10(p), stats[at_w, 0]
+def width(level: int, order: int) -> int:
+    """Columns of the arrays: all, without occurrences and left neighbours but with the count, or the count alone."""
+    return STATS if level == 1 else STATS - 1 if level < order else 1
+
+
+def log_probabilities(w: np.ndarray, n: np.ndarray, model: Model, arrays: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 p of every token given those before, and its training count."""
+    order = model.order
+    sides = contexts(w, n, order)
+
+    def find(words: list[np.ndarray]) -> np.ndarray:
+        level = len(words)
+        keys, back = np.unique(gram(*words), return_inverse=True)
+        return lookup(keys, arrays[level - 1], model.n_shards[level - 1], width(level, order))[back]
+
+    own = find([w])
+    seen, left = own[:, 0], own[:, 1]
+    d = discounts(model.counts[0])
+    total = max(model.totals[1], 1)
+    rest = float(np.dot(d[1:], model.left_classes)) / total if model.totals[1] else 1.0
+    p = np.maximum(left - d[np.minimum(left, 3)], 0) / total + rest / (model.n_types + 1)
+    for level in range(2, order + 1):
+        d = discounts(model.counts[level - 1])
+        context = find(sides[order - level : order - 1])[:, -4:]
+        times = np.maximum(context[:, 0], 1)
+        gamma = np.where(context[:, 0] > 0, context[:, 1:] @ d[1:] / times, 1.0)
+        a = find(sides[order - level :])[:, 0]
+        p = np.maximum(a - d[np.minimum(a, 3)], 0) / times + gamma * p
+    return np.log10(p), seen
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -330,11 +418,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**given)
-        words = {s: load(m.root, name, 2) for s, name in m.unigrams}
-        pairs = {s: load(m.root, name, 2) for s, name in m.bigrams}
+        arrays = [{s: load(m.root, name, 2) for s, name in g} for g in m.grams]
         for batch in slices(batches, "text", 4 << 20):
             w, n = tokens(text_of(batch))
-            logp, c = log_probabilities(w, n, m, words, pairs)
+            logp, c = log_probabilities(w, n, m, arrays)
             base = np.log10((c + 0.5) / (m.n_tokens + 0.5 * (m.n_types + 1)))
             # Text by text, so that a document's sums don't depend on its neighbours.
             first = np.cumsum(n) - n
@@ -347,5 +434,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = count(docs.filter(id_bucket("doc_id", 5) != 1))
+    model = count(docs.filter(id_bucket("doc_id", 5) != 1), ORDER)
     return score(docs, model).select("doc_id", (id_bucket("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -66,6 +66,56 @@ def test_scores_equal_the_plain_model(spark, small_dir, monkeypatch, shard):
         assert math.isclose(r.base_score, sum(math.log10((words[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tokens), rel_tol=1e-9)
 
 
+def plain_trigrams(texts):
+    """p(w | u, v) of the interpolated modified model of order 3."""
+    top, raw = Counter(), Counter()
+    for t in texts:
+        a, b = "<s>", "<s>"
+        for w in plain_tokens(t):
+            top[a, b, w] += 1
+            raw[b, w] += 1
+            a, b = b, w
+    distinct = Counter((v, w) for _, v, w in top)
+    middle = {(v, w): raw[v, w] if v == "<s>" else n for (v, w), n in distinct.items()}
+    left = Counter(w for _, w in middle)
+    ds = [kn.discounts([sum(n == k for n in x.values()) for k in (1, 2, 3, 4)]) for x in (left, middle, top)]
+    rest = sum(ds[0][min(n, 3)] for n in left.values()) / len(middle) / (len(left) + 1)
+
+    def step(table, d, gram, lower):
+        own = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        if not own:
+            return lower
+        n = table.get(gram, 0)
+        return (max(n - d[min(n, 3)], 0) + sum(d[min(x, 3)] for x in own) * lower) / sum(own)
+
+    def p(u, v, w):
+        one = max(left[w] - ds[0][min(left[w], 3)], 0) / len(middle) + rest
+        return step(top, ds[2], (u, v, w), step(middle, ds[1], (v, w), one))
+
+    return p, left
+
+
+@pytest.mark.parametrize("shard", [3_000_000, 8])
+def test_order_three_equals_the_plain_model(spark, monkeypatch, shard):
+    monkeypatch.setattr(kn, "SHARD_TOKENS", shard)
+    texts = ["a b a c a b", "a b b a b a b", "c a b a a", "d", "b a c", None, "a b a c d d d"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "a b e a", "c c a b"])], "doc_id long, text string")
+    model = kn.count(docs.filter(f"doc_id < {len(texts)}"), 3)
+    assert model.shards == 1 or shard == 8
+    p, words = plain_trigrams(texts)
+    assert math.isclose(sum(p("a", "b", w) for w in [*words, "<unknown>"]), 1.0, rel_tol=1e-9)
+    for r in kn.score(docs, model).join(docs, "doc_id").collect():
+        u, v, want = "<s>", "<s>", 0.0
+        for w in plain_tokens(r.text):
+            want += math.log10(p(u, v, w))
+            u, v = v, w
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_the_query_sees_more_than_one_word_before():
+    assert kn.ORDER >= 3
+
+
 def test_probabilities_add_up_to_one():
     p, words = plain_model(["a b a c", "a b b", "c a b a a", "d"])
     for v in ("<s>", "a", "b", "unseen"):
