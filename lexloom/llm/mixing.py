@@ -3,7 +3,7 @@
 Documents are counted by source and exact word length. A source's target is first met by whole passes over the source;
 the words then missing are fitted from its histogram: every length gives its proportional share, the longest lengths
 that still fit are added, and a bounded knapsack over the lengths left chooses how many documents of each close the
-gap, exactly if any choice does. Which documents of a length are taken is decided by a seeded hash.
+gap, exactly if any choice of them does. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
 SEED = 17
-#: Words that the knapsack works on at most; the steps before it leave less, unless only longer documents are left.
+#: Words that the knapsack works on first; if these don't meet the budget, twice the longest length of the source.
 WINDOW = 1 << 16
 #: The order of documents within a length is by so many buckets, then by hash within the one bucket that is cut.
 BUCKETS = 4096
@@ -57,8 +57,19 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
     """How many documents of each length to take so that their words come nearest to the budget from below.
 
     0 <= budget <= the words of all. Proportional shares first, then the longest that fit, then a bounded knapsack on
-    the rest, which is exact for what it is given: for budgets within the window, that is everything.
+    the rest, which is exact for what it is given: for budgets within the window, that is everything. A budget that is
+    missed is tried again with a window of twice the longest length, so that every document left may be chosen.
     """
+    take = _fill(lengths, counts, budget, window)
+    wide = 2 * int(lengths.max(initial=0))
+    if wide > window and int((take * lengths).sum()) < budget:
+        other = _fill(lengths, counts, budget, wide)
+        if int((other * lengths).sum()) > int((take * lengths).sum()):
+            return other
+    return take
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if not total or budget <= 0:
         return np.zeros(len(lengths), dtype=np.int64)
@@ -82,8 +93,10 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
         rest, group = min(int(left[i]), goal // int(lengths[i])), 1
         while rest:
             n = min(group, rest)
-            steps.append((i, n, reach))
-            reach |= (reach << (n * int(lengths[i]))) & mask
+            more = reach | (reach << (n * int(lengths[i]))) & mask
+            if more != reach:
+                steps.append((i, n, reach))
+                reach = more
             rest, group = rest - n, group * 2
         if reach >> goal & 1:
             break

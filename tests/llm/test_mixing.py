@@ -28,6 +28,12 @@ def test_fill_large_budget_with_few_lengths():
     assert int((take * np.array([1000, 1, 70_000])).sum()) == 600_000_123
 
 
+@pytest.mark.parametrize(("budget", "best"), [(100_000, 90_000), (150_000, 150_000), (165_000, 160_000), (240_000, 240_000)])
+def test_fill_with_documents_longer_than_the_window(budget, best):
+    lengths = np.array([70_000, 80_000, 90_000])
+    assert int((mixing.fill(lengths, np.array([1, 1, 1]), budget) * lengths).sum()) == best
+
+
 def expected_targets(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
