@@ -2,14 +2,13 @@
 
 The field tags words as begin, inside or outside of a secret, from the shape of a word, the kinds of its neighbours and
 features of the whole file; Viterbi decoding gives the best tag sequence. It is trained on a bounded sample of
-documents in which the patterns' own finds are the labels, so it learns what such secrets look like and finds them in
+windows in which the patterns' own finds are the labels, so it learns what such secrets look like and finds them in
 other surroundings. A word whose emissions favour "outside" by more than any transitions could make up is outside in
 every best sequence, so only the stretches between such words are decoded: the result is that of decoding it all.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Documents the field is trained on at most, and the most windows of either sort.
+#: Every text in which some base pattern finds a secret matches one of these, in Java's syntax.
+LIKELY = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", ACCESS.pattern, "[0-9a-f]{32}")
+
+#: Documents that windows without a mark come from at most, and the most windows of either sort.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4096, 4096
 REACH = 8
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -252,16 +254,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights and transitions from at most `sample` documents, those of the least id hashes, and `windows` windows of
-    either sort. None if the patterns find nothing there; then the patterns alone work."""
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")  # at most `sample` ids
-    got = rows.mapInArrow(_windows, "words array<string>, tags array<int>, file array<float>, marked int").collect()
-    got = sorted(got, key=lambda r: (-r.marked, hashlib.md5(" ".join(r.words).encode("utf-8", "surrogatepass")).digest()))
-    marked = [r for r in got if r.marked][:windows]
+    """Weights and transitions from at most `windows` windows of either sort, those of the least hashes: marked ones out
+    of all documents, others out of `sample` documents of the least id hashes. None if the patterns find nothing
+    anywhere; then the patterns alone work."""
+
+    def least(rows: DataFrame, marked: int) -> list:
+        found = rows.select("text").mapInArrow(_windows, "words array<string>, tags array<int>, file array<float>, marked int").filter(F.col("marked") == marked)
+        return found.orderBy(F.md5(F.array_join("words", " ").cast("binary")), "words", "tags", "file").limit(windows).collect()
+
+    likely = F.lit(False)
+    for pattern in LIKELY:
+        likely = likely | F.col("text").rlike(pattern)
+    marked = least(docs.filter(likely), 1)
     if not marked:
         return None
-    chosen = marked + [r for r in got if not r.marked][:windows]
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    plain = least(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), 0)  # at most `sample` ids
+    chosen = marked + plain
     x, mask = window_features([r.words for r in chosen], np.array([r.file for r in chosen], dtype=np.float32))
     y = np.zeros(mask.shape, dtype=np.int64)
     for i, r in enumerate(chosen):

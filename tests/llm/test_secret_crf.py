@@ -62,6 +62,15 @@ def test_field_finds_secrets_in_other_surroundings(spark):
     assert sc.redact(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), model).orderBy("doc_id").collect()[0].text == text.replace(odd, "[SECRET]")
 
 
+def test_rare_secrets_are_learned_from_wherever_they_are(spark):
+    rows = [(i, f"only plain words in this one, with a number {i} and a name, nothing that is to be hidden at all") for i in range(400)]
+    rows += [(1000 + i, f"plain words stand here and there token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and more") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = docs.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").limit(4)
+    assert all(r.doc_id < 1000 for r in least.collect())
+    assert sc.fit(docs, sample=4) is not None
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     got = sc.find_secrets(docs, sc.fit(docs)).collect()
