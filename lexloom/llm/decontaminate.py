@@ -14,7 +14,7 @@ document: enough of the item's question and of its answer must stand in it, word
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, encode, hash_words, mix, owners, slices, split_words, table, text_of, windows
+from .common import annotate, durable, encode, hash_words, mix, owners, slices, split_words, table, text_of, windows
 
 PIECE, STEP = 32, 32
 THRESHOLD = 0.6
@@ -48,8 +48,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
         h, counts, words = term_hashes(text_of(batch))
         ends = np.asarray(pc.match_substring_regex(words, r"[.!?]$"))
-        start, items = 0, batch.column("item_id").to_pylist()
-        for item, n in zip(items, counts.tolist(), strict=True):
+        start, items, versions = 0, batch.column("item_id").to_pylist(), batch.column("version").to_pylist()
+        for item, version, n in zip(items, versions, counts.tolist(), strict=True):
             own, stops = h[start : start + n].view(np.int64), np.flatnonzero(ends[start : start + n]) + 1
             start += n
             if not n:
@@ -58,10 +58,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = max([s for s in stops.tolist() if s < n], default=0) or max(1, n - max(1, n // 4))
             parts = max(1, -(-n // PIECE))
             bounds = [n * p // parts for p in range(parts + 1)]
-            rows = [(item, p, own[a:b].tolist(), own.tolist() if p == 0 else None, cut) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            rows = [(item, version, p, own[a:b].tolist(), own.tolist() if p == 0 else None, cut) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()), strict=True)],
-                ["item_id", "piece", "terms", "words", "cut"],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()), strict=True)],
+                ["item_id", "version", "piece", "terms", "words", "cut"],
             )
 
 
@@ -77,12 +77,14 @@ class Index:
     common: np.ndarray
     rest: np.ndarray
     item: np.ndarray
-    words: dict[int, tuple[np.ndarray, int]]
+    #: The words of every text by item and the text's hash, as an item may have several, and each piece's hash.
+    words: dict[tuple[int, int], tuple[np.ndarray, int]]
+    version: np.ndarray | None = None
 
 
 def build_index(rows: list, common_share: float = SLACK) -> Index:
-    """rows: item_id, piece, words, cut, and postings as (term, share)."""
-    rows = sorted(rows, key=lambda r: (r.item_id, r.piece))
+    """rows: item_id, version, piece, words, cut, and postings as (term, share)."""
+    rows = sorted(rows, key=lambda r: (r.item_id, r.version, r.piece))
     term = np.array([p.term for r in rows for p in r.postings], dtype=np.int64).view(np.uint64)
     share = np.array([p.share for r in rows for p in r.postings])
     piece = np.repeat(np.arange(len(rows)), [len(r.postings) for r in rows])
@@ -95,21 +97,36 @@ def build_index(rows: list, common_share: float = SLACK) -> Index:
         if (rest[piece[a:b]] + share[a:b] <= common_share).all():
             common[t] = True
             rest[piece[a:b]] += share[a:b]
-    words = {r.item_id: (np.array(r.words, dtype=np.int64).view(np.uint64), r.cut) for r in rows if r.piece == 0}
-    return Index(terms, np.append(at, len(term)), piece, share, common, rest, np.array([r.item_id for r in rows]), words)
+    words = {(r.item_id, r.version): (np.array(r.words, dtype=np.int64).view(np.uint64), r.cut) for r in rows if r.piece == 0}
+    return Index(terms, np.append(at, len(term)), piece, share, common, rest, np.array([r.item_id for r in rows]), words, np.array([r.version for r in rows]))
 
 
-def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> list[Index]:
+class Parts(Sequence):
+    """Indexes that are built when they are asked for, so that the driver holds one at a time."""
+
+    def __init__(self, rows: DataFrame | None, parts: list[int]):
+        self.rows, self.parts = rows, parts
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, k: int) -> Index:
+        part = self.parts[k]
+        return build_index(self.rows.filter(F.col("part") == part).drop("uid", "part").collect())
+
+
+def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> Parts:
     """One index for each `index_words` words of test items (item_id, text), with statistics over all items.
 
-    Items with a null id, or without words, are left out; of several rows with one id, each is searched under that id.
+    Items with a null id, or without words, are left out; of several rows with one id, each is searched and
+    verified under that id.
     """
-    own = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    pieces = own.mapInArrow(_pieces, "item_id long, piece int, terms array<long>, words array<long>, cut int")
-    pieces = pieces.withColumn("uid", F.xxhash64("item_id", "piece", "terms"))
+    own = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("version")).distinct()
+    pieces = own.mapInArrow(_pieces, "item_id long, version long, piece int, terms array<long>, words array<long>, cut int")
+    pieces = pieces.withColumn("uid", F.xxhash64("item_id", "version", "piece", "terms"))
     n, words = pieces.agg(F.count("*"), F.sum(F.size("terms"))).first()
     if not n:
-        return []
+        return Parts(None, [])
     parts = -(-words // index_words)
     tf = pieces.select("uid", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("uid", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -119,7 +136,8 @@ def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> list[Index]:
     own_score = scored.groupBy("uid").agg(F.sum("gain").alias("own"), F.collect_list(F.struct("term", "gain")).alias("gains"))
     posted = own_score.select("uid", F.transform("gains", lambda g: F.struct(g.term.alias("term"), (g.gain / F.col("own")).alias("share"))).alias("postings"))
     rows = pieces.drop("terms").join(posted, "uid").withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    return [build_index(got) for p in range(parts) if (got := rows.filter(F.col("part") == p).drop("uid", "part").collect())]
+    rows = durable(rows)
+    return Parts(rows, sorted(r.part for r in rows.select("part").distinct().collect()))
 
 
 def block_max_wand(query: list[int], index: Index, threshold: float) -> list[tuple[int, float]]:
@@ -239,15 +257,17 @@ def _finder(given: dict, threshold: float, overlap: float) -> Callable[[pa.Recor
         out: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
         start = np.cumsum(counts) - counts
         for row, pieces in passages_above(code, counts, index, threshold).items():
-            best: dict[int, float] = {}
+            best: dict[tuple[int, int], float] = {}
             for piece, value in pieces.items():
-                item = int(index.item[piece])
+                item = int(index.item[piece]), int(index.version[piece])
                 best[item] = max(best.get(item, 0.0), value)
+            hits: dict[int, tuple] = {}
             own = h[start[row] : start[row] + counts[row]]
             for item, value in sorted(best.items()):
                 question, answer = overlaps(index.words[item], own)
                 if question >= overlap and answer >= overlap:
-                    out[row].append((item, min(value, 1.0), question, answer))
+                    hits[item[0]] = max(hits.get(item[0], ()), (min(value, 1.0), question, answer))
+            out[row] = [(item, *hit) for item, hit in sorted(hits.items())]
         return out
 
     return find
@@ -263,7 +283,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     spark, out = docs.sparkSession, docs
     parts = indexes(items)
     for p, index in enumerate(parts):
-        shared = spark.sparkContext.broadcast(vars(index))  # at most INDEX_WORDS words of test items
+        shared = spark.sparkContext.broadcast(vars(index))  # about INDEX_WORDS words of test items
+        del index
 
         def make(shared=shared) -> Callable[[pa.RecordBatch], list[pa.Array]]:
             find = _finder(shared.value, threshold, overlap)

@@ -101,6 +101,14 @@ def test_overlaps_by_hand():
     assert dc.overlaps(item, words("what is the name of the river")) == (1.0, 0.0)
 
 
+def test_every_text_of_an_item_is_verified(spark):
+    texts = [f"what is the colour of thing number{i} in the old house by the sea. it is shade{i} of the deep tone{i} there" for i in range(4)]
+    items = spark.createDataFrame([(1, t) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so they say {t} and nothing more") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in dc.leaks(docs, items).collect()} == {i: [1] for i in range(4)}
+    assert {(r.question, r.answer) for d in dc.leaks(docs, items).collect() for r in d.leaks} == {(1.0, 1.0)}
+
+
 def test_awkward_rows(spark):
     items = spark.createDataFrame([(1, "the same few words"), (2, None), (None, "x y z"), (3, ""), (1, "the same few words")], "item_id long, text string")
     got = dc.leaks(documents(spark), items)
