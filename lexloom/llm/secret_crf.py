@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 The field tags words as begin, inside or outside of a secret, from the shape of a word, the kinds of its neighbours and
-features of the whole file; Viterbi decoding gives the best tag sequence. It is trained on a bounded sample of
-windows in which the patterns' own finds are the labels, so it learns what such secrets look like and finds them in
-other surroundings. A word whose emissions favour "outside" by more than any transitions could make up is outside in
-every best sequence, so only the stretches between such words are decoded: the result is that of decoding it all.
+features of the whole file; Viterbi decoding gives the best tag sequence. It is trained on a bounded sample of windows
+in which the patterns' own finds are the labels. What the patterns go by is then hidden from it in copies of these
+windows: the keyword is replaced by a plain word, the value is drawn anew from other alphabets and lengths, or written
+in groups; so it learns what secrets look like rather than the patterns, and finds them in other surroundings.
+
+A word whose emissions favour "outside" by more than any transitions could make up is outside in every best sequence,
+so only the stretches between such words are decoded: the result is that of decoding it all.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,11 @@ KINDS = ("assign", "access", "hex", "crf")
 LIKELY = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", ACCESS.pattern, "[0-9a-f]{32}")
 
 #: Documents that windows without a mark come from at most, and the most windows of either sort.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4096, 4096
-REACH = 8
+SAMPLE_DOCS, SAMPLE_WINDOWS = 4096, 1024
+REACH = 4
+#: The alphabets and lengths of values that are drawn for altered copies of windows.
+ALPHABETS = tuple(map("".join, ("0123456789abcdef", (DIGITS := "0123456789") + (UPPER := "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), DIGITS + UPPER + UPPER.lower(), DIGITS + UPPER + UPPER.lower() + "+/")))
+LENGTHS = (12, 40)
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 EDGES = "\"'`,;:.()[]{}<>#*$%&!?"
 SECRET_WORD = r"(?i)(pass(word|wd)|pwd|secret|token|api_?key|credential|bearer|private_?key|access_?key)"
@@ -167,15 +174,17 @@ def decode(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> n
     return tags
 
 
-def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 0.02, settled: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions that maximise the conditional likelihood of the tags, by gradient steps with momentum
-    (Adam). x: windows x length x WIDTH, y: tags, mask: 1 where a window has a word."""
+    (Adam), until the likelihood of a window hardly changes. x: windows x length x WIDTH, y: tags, mask: 1 where a
+    window has a word."""
     n, length, width = x.shape
-    weights, trans = np.zeros((width, 3)), np.zeros((3, 3))
-    gold = np.eye(3)[y] * mask[..., None]
+    weights, trans = np.zeros((width, 3), dtype=np.float32), np.zeros((3, 3), dtype=np.float32)
+    gold = np.eye(3, dtype=np.float32)[y] * mask[..., None]
     gold_pairs = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     flat = x.reshape(-1, width)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, trans)]
+    before = np.inf
     for step in range(1, steps + 1):
         e = (flat @ weights).reshape(n, length, 3)
         # Forward and backward in log space; past the end of a window the state is carried along.
@@ -199,7 +208,54 @@ def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 150, rate
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.999 * s[1] + 0.001 * g * g
             q += rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
-    return weights.astype(np.float32), trans.astype(np.float32)
+        if step % 10 == 0:
+            loss = float((z.sum() - (e * gold).sum() - (trans * gold_pairs).sum()) / n)
+            if abs(before - loss) < settled:
+                break
+            before = loss
+    return weights, trans
+
+
+def altered(words: list[str], tags: list[int]) -> list[tuple[list[str], list[int]]]:
+    """Copies of a marked window in which what the patterns go by is hidden, always the same for the same words: without
+    the keyword; with a value of another kind, with or without the keyword and quotes; with a value written in groups."""
+    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(" ".join(words)))
+    cues = [j for j, w in enumerate(words) if not tags[j] and re.search(f"{SECRET_WORD}|{KINDS_OF_WORD[1]}", w)]
+    plain = [w for j, w in enumerate(words) if not tags[j] and j not in cues and not re.search("[0-9]", w)] or ["the"]
+
+    def value() -> str:
+        letters = ALPHABETS[int(rng.integers(len(ALPHABETS)))]
+        return "".join(letters[int(k)] for k in rng.integers(len(letters), size=int(rng.integers(*LENGTHS))))
+
+    def copy(hide: bool, new: str, bare: bool = False) -> tuple[list[str], list[int]]:
+        out: list[str] = []
+        own: list[int] = []
+        for j, (w, tag) in enumerate(zip(words, tags, strict=True)):
+            if not tag:
+                out.append(plain[int(rng.integers(len(plain)))] if hide and j in cues else w)
+                own.append(tag)
+                continue
+            head = re.match(r"(?:[^:=]*[:=]+)?[\"']?", w)
+            lead = re.sub(r"^[^:=]*[:=]+", "", head[0]) if hide else head[0]
+            rest = w[head.end() :]
+            core = rest.rstrip(EDGES)
+            tail = rest[len(core) :]
+            if new == "value" and bare:
+                lead, tail = lead.rstrip("\"'"), tail.lstrip("\"'")
+            parts = [core]
+            if new:
+                core = value()
+                size = int(rng.integers(8, 13)) if new == "groups" else len(core)
+                parts = [core[k : k + size] for k in range(0, len(core), size)]
+                if len(parts) > 1 and len(parts[-1]) < 8:
+                    parts[-2:] = ["".join(parts[-2:])]
+            parts[0] = lead + parts[0]
+            parts[-1] += tail
+            out += parts
+            own += [tag, *[INSIDE] * (len(parts) - 1)]
+        return out[: 2 * REACH + 1], own[: 2 * REACH + 1]
+
+    return [copy(True, ""), copy(bool(rng.integers(2)), "value", bool(rng.integers(2))), copy(False, "groups")]
 
 
 def window_features(words: list[list[str]], files: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +279,8 @@ def window_features(words: list[list[str]], files: np.ndarray) -> tuple[np.ndarr
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: windows around the words that the patterns mark, and one elsewhere."""
+    """Of each text: windows around the words that the patterns mark, one around a long word with digits that they don't
+    mark, and one anywhere."""
     for batch in slices(batches, "text", 1 << 20):
         text = text_of(batch)
         words, counts = split_words(text)
@@ -244,10 +301,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in inside:
                     tags[j] = BEGIN if j == inside[0] else INSIDE
             marks = [j for j, t in enumerate(tags) if t == BEGIN]
-            spot = len(s) * 2654435761 % len(places)
-            for j in [*marks, spot]:
+            odd = [j for j, (c, d) in enumerate(places) if d - c >= 8 and not tags[j] and re.search("[0-9]", s[c:d])]
+            spots = {len(s) * 2654435761 % len(places), *odd[len(s) % max(1, len(odd)) :][:1]}
+            for j in [*marks, *sorted(spots.difference(marks))]:
                 a, b = max(0, j - REACH), min(len(places), j + REACH + 1)
-                out.append(([s[c:d] for c, d in places[a:b]], tags[a:b], files[i].tolist(), int(bool(marks) and j != spot)))
+                out.append(([s[c:d] for c, d in places[a:b]], tags[a:b], files[i].tolist(), int(j in marks)))
         if out:
             kinds_of = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_of, strict=True)], ["words", "tags", "file", "marked"])
@@ -255,8 +313,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and transitions from at most `windows` windows of either sort, those of the least hashes: marked ones out
-    of all documents, others out of `sample` documents of the least id hashes. None if the patterns find nothing
-    anywhere; then the patterns alone work."""
+    of all documents, with three altered copies each, others out of `sample` documents of the least id hashes. None if
+    the patterns find nothing anywhere; then the patterns alone work. Repeated rows give equal windows, each counting."""
 
     def least(rows: DataFrame, marked: int) -> list:
         found = rows.select("text").mapInArrow(_windows, "words array<string>, tags array<int>, file array<float>, marked int").filter(F.col("marked") == marked)
@@ -270,11 +328,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOW
         return None
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     plain = least(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), 0)  # at most `sample` ids
-    chosen = marked + plain
-    x, mask = window_features([r.words for r in chosen], np.array([r.file for r in chosen], dtype=np.float32))
+    chosen = [(w, t, r.file) for r in marked for w, t in [(r.words, r.tags), *altered(r.words, r.tags)]] + [(r.words, r.tags, r.file) for r in plain]
+    # What the patterns mark is the rule in files with keywords and assignments, so copies must do without these, too.
+    files = np.array([f for *_, f in chosen], dtype=np.float32)
+    files[1 : 4 * len(marked) : 4, :2] = 0
+    x, mask = window_features([w for w, _, _ in chosen], files)
     y = np.zeros(mask.shape, dtype=np.int64)
-    for i, r in enumerate(chosen):
-        y[i, : len(r.tags)] = r.tags
+    for i, (_, tags, _) in enumerate(chosen):
+        y[i, : len(tags)] = tags
     return train(x, y, mask)
 
 
@@ -321,8 +382,9 @@ def _spans(model: tuple[np.ndarray, np.ndarray] | None) -> Callable[[pa.RecordBa
 def find_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """docs with `secrets`: an array of kind, start and end (code points, end exclusive) by start and kind.
 
-    Null and empty texts have an empty array. Spans of the field that touch a pattern's span are left out. Other
-    columns stay; each row is judged by itself.
+    Null and empty texts have an empty array; very long ones are read whole. Spans of the field that touch a pattern's
+    span are left out; of equally good tag sequences the one with the lower tags is taken, so reruns agree. Other columns
+    stay, but for one named `secrets`, which is replaced; each row is judged by itself, so repeated rows agree.
     """
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import secret_crf as sc
 
@@ -62,6 +63,43 @@ def test_field_finds_secrets_in_other_surroundings(spark):
     assert sc.redact(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), model).orderBy("doc_id").collect()[0].text == text.replace(odd, "[SECRET]")
 
 
+def test_altered_copies():
+    words, tags = 'stands here token = "0123456789abcdef0123456789abcdef", and more'.split(), [0, 0, 0, 0, 1, 0, 0]
+    hidden, other, groups = sc.altered(words, tags)
+    assert (hidden, other, groups) == tuple(sc.altered(words, tags))
+    assert "token" not in hidden[0] and "=" not in hidden[0] and hidden[0][4] == words[4] and hidden[1] == tags
+    assert other[0][4] != words[4] and other[0][4].endswith(",") and other[1] == tags
+    assert groups[1].count(1) == 1 and set(groups[1][4:]) <= {0, 1, 2} and len(groups[0]) == len(groups[1])
+    glued = sc.altered(['password="abcdefgh12345678"'], [1])
+    assert glued[0][0] == ['"abcdefgh12345678"']
+
+
+def test_recall_and_precision_where_keyword_and_pattern_are_hidden(spark):
+    """Of a third of the documents, not learned from, every known secret is rewritten so that no pattern finds it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("text is not null")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    model = sc.fit(docs.filter(~held_out))
+    rng, letters = np.random.default_rng(5), "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    ways = [("the ", '"', 28, 16), ("key ", '"', 24, 62), ("passphrase is ", "", 20, 36), ("x-auth ", '"', 32, 62)]
+    rows, want = [], {}
+    for r in docs.filter(held_out).collect():
+        known = list(re.finditer('(?i)token = "[0-9a-f]{40}"', r.text))
+        if len(known) * 2 != len(plain_spans(r.text)) - sum(m[0].isupper() for m in known):
+            continue
+        for way, (before, quote, length, kinds) in enumerate(ways if known else ways[:1]):
+            text, end, spans = "", 0, set()
+            for m in known:
+                text += r.text[end : m.start()] + before + quote
+                value = "".join(letters[k] for k in rng.integers(kinds, size=length))
+                spans.add((len(text), len(text) + length))
+                text, end = text + value + quote, m.end()
+            rows.append((r.doc_id * 10 + way, text + r.text[end:]))
+            want[rows[-1][0]] = spans
+    got = {r.doc_id: {(s.start, s.end) for s in r.secrets} for r in sc.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    right, found, all_ = (sum(len(f(i)) for i in want) for f in (lambda i: got[i] & want[i], got.get, want.get))
+    assert all_ >= 100 and right >= 0.9 * all_ and right >= 0.95 * found, (right, found, all_)
+
+
 def test_rare_secrets_are_learned_from_wherever_they_are(spark):
     rows = [(i, f"only plain words in this one, with a number {i} and a name, nothing that is to be hidden at all") for i in range(400)]
     rows += [(1000 + i, f"plain words stand here and there token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and more") for i in range(3)]
