@@ -5,7 +5,7 @@ the piece's BM25 score against itself, so scores lie in [0, 1] and one threshold
 document is read as overlapping passages of two steps of `STEP` words, so any piece that a document repeats lies whole
 within some passage, and every passage is a query.
 
-Two bounds come before the exact search. Terms that many pieces share are set aside as long as no piece gets more than
+Two bounds come before the exact search, as WAND's own pivoting, passage by passage, is slow in Python (see README). Terms that many pieces share are set aside as long as no piece gets more than
 `SLACK` of its score from them; a passage must then reach `threshold - rest(piece)` from the others, which is tested for
 all passages of a slice at once. Passages left are searched by block-max WAND. Each hit is verified against the whole
 document: enough of the item's question and of its answer must stand in it, word for word.
@@ -60,7 +60,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = [n * p // parts for p in range(parts + 1)]
             rows = [(item, version, p, own[a:b].tolist(), own.tolist() if p == 0 else None, cut) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()), strict=True)],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()), strict=True)],
                 ["item_id", "version", "piece", "terms", "words", "cut"],
             )
 
@@ -78,7 +78,7 @@ class Index:
     rest: np.ndarray
     item: np.ndarray
     #: The words of every text by item and the text's hash, as an item may have several, and each piece's hash.
-    words: dict[tuple[int, int], tuple[np.ndarray, int]]
+    words: dict[tuple[str, int], tuple[np.ndarray, int]]
     version: np.ndarray | None = None
 
 
@@ -98,7 +98,7 @@ def build_index(rows: list, common_share: float = SLACK) -> Index:
             common[t] = True
             rest[piece[a:b]] += share[a:b]
     words = {(r.item_id, r.version): (np.array(r.words, dtype=np.int64).view(np.uint64), r.cut) for r in rows if r.piece == 0}
-    return Index(terms, np.append(at, len(term)), piece, share, common, rest, np.array([r.item_id for r in rows]), words, np.array([r.version for r in rows]))
+    return Index(terms, np.append(at, len(term)), piece, share, common, rest, np.array([r.item_id for r in rows], dtype=object), words, np.array([r.version for r in rows]))
 
 
 class Parts(Sequence):
@@ -119,10 +119,10 @@ def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> Parts:
     """One index for each `index_words` words of test items (item_id, text), with statistics over all items.
 
     Items with a null id, or without words, are left out; of several rows with one id, each is searched and
-    verified under that id.
+    verified under that id, and equal ones count once. Ids may be of any type that has a text.
     """
-    own = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("version")).distinct()
-    pieces = own.mapInArrow(_pieces, "item_id long, version long, piece int, terms array<long>, words array<long>, cut int")
+    own = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", F.xxhash64("text").alias("version")).distinct()
+    pieces = own.mapInArrow(_pieces, "item_id string, version long, piece int, terms array<long>, words array<long>, cut int")
     pieces = pieces.withColumn("uid", F.xxhash64("item_id", "version", "piece", "terms"))
     n, words = pieces.agg(F.count("*"), F.sum(F.size("terms"))).first()
     if not n:
@@ -257,11 +257,11 @@ def _finder(given: dict, threshold: float, overlap: float) -> Callable[[pa.Recor
         out: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
         start = np.cumsum(counts) - counts
         for row, pieces in passages_above(code, counts, index, threshold).items():
-            best: dict[tuple[int, int], float] = {}
+            best: dict[tuple[str, int], float] = {}
             for piece, value in pieces.items():
-                item = int(index.item[piece]), int(index.version[piece])
+                item = index.item[piece], int(index.version[piece])
                 best[item] = max(best.get(item, 0.0), value)
-            hits: dict[int, tuple] = {}
+            hits: dict[str, tuple] = {}
             own = h[start[row] : start[row] + counts[row]]
             for item, value in sorted(best.items()):
                 question, answer = overlaps(index.words[item], own)
@@ -274,13 +274,17 @@ def _finder(given: dict, threshold: float, overlap: float) -> Callable[[pa.Recor
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """docs with `leaks`: an array of the test items that a document repeats, with score, question and answer share.
+    """docs with `leaks`: an array of the test items that a document repeats, with score, question and answer share,
+    by item_id.
 
-    Null and empty texts, and all texts if there are no items, have an empty array. Every row is judged by itself, so
-    repeated rows get the same answer. docs: text and any other columns, which stay.
+    Null and empty texts, and all texts if there are no items, have an empty array. Very long texts are read whole, a
+    slice of rows at a time. Every row is judged by itself, so repeated rows get the same answer. An item counts once,
+    with its best score; of equal scores the greater shares stand. docs: text and any other columns, which stay, but for
+    a column named `leaks`, which is replaced.
     """
-    kind = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
-    spark, out = docs.sparkSession, docs
+    kind = "array<struct<item_id: string, score: double, question: double, answer: double>>"
+    spark = docs.sparkSession
+    out = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "leaks"])
     parts = indexes(items)
     for p, index in enumerate(parts):
         shared = spark.sparkContext.broadcast(vars(index))  # about INDEX_WORDS words of test items
@@ -288,17 +292,63 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
         def make(shared=shared) -> Callable[[pa.RecordBatch], list[pa.Array]]:
             find = _finder(shared.value, threshold, overlap)
-            struct = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
+            struct = pa.struct([("item_id", pa.string()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
             return lambda batch: [pa.array([[dict(zip(struct.names, x, strict=True)) for x in r] for r in find(batch)], pa.list_(struct))]
 
         out = annotate(out, make, f"_leaks{p} {kind}", 1 << 20)
+    own = dict(items.dtypes)["item_id"]
+    final = kind.replace("item_id: string", f"item_id: {own}")
     if not parts:
-        return out.withColumn("leaks", F.from_json(F.lit("[]"), kind))
+        return out.withColumn("leaks", F.from_json(F.lit("[]"), final))
     names = [f"_leaks{p}" for p in range(len(parts))]
-    return out.withColumn("leaks", F.concat(*names)).drop(*names)
+    return out.withColumn("leaks", F.array_sort(F.concat(*names).cast(final))).drop(*names)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and test item that it repeats."""
+    """A row for each document and test item that it repeats; shares and scores to six places."""
     found = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.score", F.col("leak.question").alias("question_overlap"), F.col("leak.answer").alias("answer_overlap"))
+    shown = {"score": "score", "question_overlap": "question", "answer_overlap": "answer"}
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", *[F.round(F.col(f"leak.{c}"), 6).alias(n) for n, c in shown.items()])
+
+
+_WORDS = r"list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: trim(lower(x), '.,;:!?\"''()[]{}*$%&#|<>'))"
+#: BM25 of every piece against every passage, by a plain join, and the overlaps of what reaches the threshold.
+OP9_SQL = f"""
+WITH item AS (
+  SELECT *, len(terms) AS n, CAST(ceil(len(terms) / {PIECE}.0) AS BIGINT) AS parts, row_number() OVER () AS v
+  FROM (SELECT item_id, text, {_WORDS} AS terms, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS raw
+        FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)) WHERE len(terms) > 0
+), cut AS (
+  SELECT *, coalesce(list_max(list_filter(range(1, n), lambda i: regexp_matches(raw[i], '[.!?]$'))), greatest(1, n - greatest(1, n // 4))) AS c FROM item
+), tf AS (
+  SELECT v, p, term, count(*) AS tf FROM (
+    SELECT v, ((i + 1) * parts - 1) // n AS p, terms[i + 1] AS term FROM (SELECT *, unnest(range(n)) AS i FROM item)
+  ) GROUP BY ALL
+), dl AS (SELECT v, p, sum(tf) AS dl FROM tf GROUP BY ALL
+), total AS (SELECT count(*) AS pieces, sum(dl) AS words FROM dl
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), gain AS (
+  SELECT v, p, term, ln(1 + (pieces - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl * pieces / words)) AS gain
+  FROM tf JOIN dl USING (v, p) JOIN df USING (term) CROSS JOIN total
+), share AS (SELECT v, p, term, gain / sum(gain) OVER (PARTITION BY v, p) AS share FROM gain
+), doc AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS terms FROM documents WHERE text IS NOT NULL
+), step AS (
+  SELECT DISTINCT d, i // {STEP} AS s, term FROM (SELECT d, unnest(range(len(terms))) AS i, unnest(terms) AS term FROM doc) WHERE term IN (SELECT term FROM df)
+), passage AS (SELECT d, s, term FROM step UNION SELECT d, s - 1, term FROM step WHERE s > 0
+), best AS (
+  SELECT d, v, max(score) AS score
+  FROM (SELECT d, s, v, p, sum(share) AS score FROM passage JOIN share USING (term) GROUP BY ALL HAVING sum(share) >= {THRESHOLD} - 1e-9) GROUP BY d, v
+), part AS (SELECT v, 0 AS answer, terms[1:c] AS w FROM cut UNION ALL SELECT v, 1, terms[c + 1:n] FROM cut
+), phrases AS (
+  SELECT v, answer, k, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS grams
+  FROM (SELECT *, least({PHRASE}, len(w)) AS k FROM part)
+), shown AS (
+  SELECT b.d, b.v, b.score, answer,
+         CASE WHEN k = 0 THEN 1.0 ELSE len(list_intersect(grams, list_transform(range(1, len(terms) - k + 2), lambda i: array_to_string(terms[i:i + k - 1], ' ')))) / len(grams) END AS overlap
+  FROM best b JOIN phrases USING (v) JOIN doc USING (d)
+), hit AS (
+  SELECT d, item_id, least(score, 1.0) AS score, max(overlap) FILTER (WHERE answer = 0) AS q, max(overlap) FILTER (WHERE answer = 1) AS a
+  FROM shown JOIN item USING (v) GROUP BY d, v, item_id, score HAVING min(overlap) >= {OVERLAP}
+), top AS (SELECT d, item_id, max(struct_pack(score := score, q := q, a := a)) AS x FROM hit GROUP BY d, item_id)
+SELECT doc_id, item_id, round(x.score, 6) AS score, round(x.q, 6) AS question_overlap, round(x.a, 6) AS answer_overlap FROM top JOIN doc USING (d)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op9_decontaminate
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLE_SQL = {"op8_preferences": OP8_SQL}
+ORACLE_SQL = {"op8_preferences": OP8_SQL, "op9_decontaminate": OP9_SQL}

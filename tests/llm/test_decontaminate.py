@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -109,6 +110,22 @@ def test_every_text_of_an_item_is_verified(spark):
     assert {(r.question, r.answer) for d in dc.leaks(docs, items).collect() for r in d.leaks} == {(1.0, 1.0)}
 
 
+def test_hits_are_those_of_plain_bm25_in_sql(spark, small_dir):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small_dir}/{t}.parquet'")
+    want = con.sql(dc.OP9_SQL)
+    got = [tuple(r) for r in dc.op9_decontaminate(spark, small_dir).select(want.columns).collect()]
+    assert want.columns[:2] == ["doc_id", "item_id"] and len(got) > 0
+    assert sorted(got) == sorted((*r[:2], *map(float, r[2:])) for r in want.fetchall())
+
+
+def test_ids_may_be_texts(spark):
+    items = spark.createDataFrame([("a-1", "what is the colour of this thing. it is shade seven of all"), ("a-2", "The, same few words")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "they say what is the colour of this thing. it is shade seven of all", "old"), ("y", "the same few words", "old")], "doc_id string, text string, Leaks string")
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in dc.leaks(docs, items).collect()} == {"x": ["a-1"], "y": ["a-2"]}
+
+
 def test_awkward_rows(spark):
     items = spark.createDataFrame([(1, "the same few words"), (2, None), (None, "x y z"), (3, ""), (1, "the same few words")], "item_id long, text string")
     got = dc.leaks(documents(spark), items)
