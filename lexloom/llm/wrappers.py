@@ -7,9 +7,11 @@ repeated, but no alternatives; too many neighbours become one repeated group in
 one layout are merged first, in any order, and then a host's layouts by their hash, so every page of a host counts and
 the result doesn't depend on how rows fall into tasks.
 
-A wrapper's slots are then judged by place and statistics. Each page is matched with its host's wrapper part by part:
-where the parts it takes mark its article, the texts within are kept, elsewhere those whose slots hold running text.
-Parts that the wrapper doesn't know are judged by the page alone.
+Each page is then matched with its host's wrapper part by part, and its texts are judged by the slots they take. A
+text that the wrapper has as a constant of many pages is template; a slot that holds mostly links is a menu; elements
+that say what they are (nav, footer, class names) are believed. Where the parts that a page takes mark its article,
+only texts within the mark are kept, else all that are left. Parts that the wrapper doesn't know are judged by the page
+alone.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import durable, slices, table
 
 # The kinds of HTML elements, and words in names of parts that aren't the article.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
@@ -40,6 +42,8 @@ NOT_MAIN = set("head nav header footer aside form button select menu dialog".spl
 NOT_MAIN_NAMES = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that name a place or a container and so leave what another word says: `cookie-bar` is a notice, `related-work` isn't.
+NEUTRAL = set("area bar block bottom box col column container content footer global group header holder inner item items left link links list main outer page panel posts right row section sidebar site slot top unit wrap wrapper".split())
 MAIN = {"article", "main"}
 MAIN_NAMES = set("article content entry main post story".split())
 
@@ -49,14 +53,21 @@ NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 LONGEST = 100
 #: Groups of layouts of a host that are aligned at once, and parts held in a task before they are sent on.
 SALTS, HELD_PARTS = 256, 500_000
-#: Elements nested deeper than this are read as parts of the one at this depth; their text stays.
+#: Elements nested deeper than this lend their texts to the one at this depth, with what their labels say of them.
 DEEPEST = 150
-#: In hosts that don't mark their articles, a slot of running text has so many words a page, and fewer of them linked.
-TEXT_WORDS, LINKED = 10, 0.5
+#: A constant is template from so many pages on; within an article that a page marks, from so many.
+TEMPLATE_PAGES, MARKED_PAGES = 3, 10
+#: The share of linked words from which a slot is a menu.
+LINKED = 0.5
+#: Wrappers (compressed) are broadcast up to so many bytes in all; beyond, pages and wrappers are joined by host.
+BROADCAST_BYTES = 32 << 20
+#: What labels of elements below DEEPEST say of a text.
+PLAIN, OUT, WITHIN = 0, 1, 2
 
 
 class Node:
-    """An element: its label (tag, and names where they tell), and its parts: elements, and texts as [words, linked]."""
+    """An element: its label (tag, and names where they tell), and its parts: elements, texts as (text, linked, what
+    deeper labels say), and None where a block ends."""
 
     __slots__ = ("label", "parts")
 
@@ -64,25 +75,48 @@ class Node:
         self.label, self.parts = label, []
 
 
+def names_of(value: str) -> set[str]:
+    """The telling words of a class, id or role: of `cookie-bar` the first, of `related-work` none."""
+    out = set()
+    for name in value.lower().split():
+        words = [w for w in re.split("[_-]+", name) if w]
+        if all(w in NOT_MAIN_NAMES or w in MAIN_NAMES or w in NEUTRAL for w in words):
+            out.update(w for w in words if w in NOT_MAIN_NAMES or w in MAIN_NAMES)
+    return out
+
+
 def label_of(tag: str, attributes: str) -> str:
-    names = sorted({n for m in NAME.finditer(attributes) for n in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if n in NOT_MAIN_NAMES or n in MAIN_NAMES})
-    return ".".join([tag, *names])
+    names = set().union(*(names_of(m[1] or m[2] or m[3] or "") for m in NAME.finditer(attributes)))
+    return ".".join([tag, *sorted(names)])
 
 
 def parse(html: str) -> Node:
     """The tree of block elements. Never fails: stray end tags are ignored, open elements end with their parents."""
     root = Node("")
-    stack, anchors = [root], 0
+    stack, anchors = [(root, "")], 0  # the node that takes the parts, and the element's own label
+
+    def add(text: str, linked: bool) -> None:
+        says = PLAIN
+        if len(stack) > DEEPEST:
+            for _, label in stack[DEEPEST:]:
+                says = OUT if says == OUT or is_boilerplate(label, says == WITHIN) else WITHIN if says == WITHIN or is_main(label) else PLAIN
+        stack[-1][0].parts.append((text, linked, says))
+
+    def close(k: int) -> None:
+        if len(stack) > DEEPEST:
+            stack[-1][0].parts.append(None)
+        del stack[k:]
+
     at, low = 0, None
     while at < len(html):
         m = TOKEN.match(html, at)
         if not m:  # a "<" that begins nothing
-            stack[-1].parts.append(("<", anchors > 0))
+            add("<", anchors > 0)
             at += 1
             continue
         at = m.end()
         if m[4] is not None:
-            stack[-1].parts.append((entities.unescape(m[4]), anchors > 0))
+            add(entities.unescape(m[4]), anchors > 0)
             continue
         if m[2] is None:
             continue
@@ -95,29 +129,35 @@ def parse(html: str) -> Node:
             if tag == "a":
                 anchors = max(0, anchors + (-1 if m[1] else 1))
             elif tag == "br":
-                stack[-1].parts.append((" ", False))
+                add(" ", False)
         elif m[1]:
             anchors = 0
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].label.split(".")[0] == tag:
-                    del stack[k:]
+                name = stack[k][1].split(".")[0]
+                if name == tag:
+                    close(k)
                     break
-                if tag in ("p", "li") and stack[k].label.split(".")[0] in BOUNDARY:
+                if tag in ("p", "li") and name in BOUNDARY:
                     break
         else:
             anchors = 0
             closes = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
             for k in range(len(stack) - 1, 0, -1):
-                name = stack[k].label.split(".")[0]
+                name = stack[k][1].split(".")[0]
                 if name in closes:
-                    del stack[k:]
+                    close(k)
                     break
                 if name in BOUNDARY:
                     break
-            node = Node(label_of(tag, m[3]))
-            stack[-1].parts.append(node)
-            if tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEEPEST:
-                stack.append(node)
+            label, open_ = label_of(tag, m[3]), tag not in VOID and not m[3].rstrip().endswith("/")
+            if len(stack) < DEEPEST:
+                node = Node(label)
+                stack[-1][0].parts.append(node)
+            else:
+                node = stack[-1][0]
+                node.parts.append(None)
+            if open_:
+                stack.append((node, label))
     return root
 
 
@@ -128,15 +168,17 @@ def stream(node: Node) -> list:
     parts, run = [], []
 
     def close() -> None:
-        text = " ".join("".join(t for t, _ in run).split())
+        text = " ".join("".join(t for t, *_ in run).split())
         if text:
-            parts.append(["#", "1", xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")) + text[:80], len(text.split(" ")), sum(len(t.split()) for t, linked in run if linked), 1, []])
+            parts.append(["#", "1", xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")) + text[:80], len(text.split(" ")), sum(len(t.split()) for t, linked, _ in run if linked), 1, []])
         run.clear()
 
     for part in node.parts:
         if isinstance(part, Node):
             close()
             parts.append(stream(part))
+        elif part is None:
+            close()
         else:
             run.append(part)
     close()
@@ -242,33 +284,16 @@ def is_main(label: str) -> bool:
     return tag in MAIN or (any(n in MAIN_NAMES for n in names) and not any(n in NOT_MAIN_NAMES for n in names))
 
 
-# A rule is what a wrapper's part says of a page's: [label, required, verdict, constant, holds text, parts, alignments,
-# whether the parts are a repeated group of labels].
+# A rule is what a wrapper's part says of a page's: [label, required, kept, pages if constant, holds text, parts,
+# alignments, whether the parts are a repeated group of labels].
 def rules(wrapper: list) -> list:
-    """The wrapper with each text judged for pages that don't mark their article. A text is template if it is constant
-    on more than two pages, and else is kept if some varying text at its path runs or is a heading."""
-    good: set[str] = set()
-
-    def template(p: list) -> bool:
-        return p[2] is not None and p[5] > 2
-
-    def parts(p: list) -> list:
-        return p[6][0][6] if is_bag(p[6]) else p[6]
-
-    def walk(part: list, path: str) -> None:
-        for p in parts(part):
-            if p[0] != "#":
-                walk(p, f"{path}/{p[0]}")
-            elif not template(p) and ((p[3] >= TEXT_WORDS * p[5] and p[4] < LINKED * p[3]) or part[0][:1] == "h"):
-                good.add(path)
-
-    def rule(p: list, path: str) -> list:
-        inner = [rule(x, path if x[0] == "#" else f"{path}/{x[0]}") for x in parts(p)]
-        holds = p[3] > 0 or any(x[4] for x in inner if not is_boilerplate(x[0], True))
-        return [p[0], p[1] in "1+", p[0] == "#" and path in good and not template(p), p[2] is not None, holds, inner, {}, is_bag(p[6])]
-
-    walk(wrapper, "")
-    return rule(wrapper, "")
+    """The wrapper with each text judged: it is kept unless it is template or mostly links."""
+    inner_of = wrapper[6][0][6] if is_bag(wrapper[6]) else wrapper[6]
+    inner = [rules(x) for x in inner_of]
+    constant = wrapper[5] if wrapper[2] is not None else 0
+    kept = wrapper[0] == "#" and constant < TEMPLATE_PAGES and wrapper[4] < LINKED * wrapper[3]
+    holds = wrapper[3] > 0 or any(x[4] for x in inner if not is_boilerplate(x[0], True))
+    return [wrapper[0], wrapper[1] in "1+", kept, constant, holds, inner, {}, is_bag(wrapper[6])]
 
 
 def places(labels: tuple, rule: list) -> list:
@@ -304,9 +329,9 @@ def places(labels: tuple, rule: list) -> list:
 
 
 def neighbours(node: Node) -> list[tuple[str, list]]:
-    """The parts by runs of one label: elements, and texts."""
+    """The parts by runs of one label: elements, and texts with what deeper labels say of them."""
     out: list[tuple[str, list]] = []
-    run: list[str] = []
+    run: list[tuple] = []
 
     def add(label: str, part) -> None:
         if out and out[-1][0] == label:
@@ -315,17 +340,19 @@ def neighbours(node: Node) -> list[tuple[str, list]]:
             out.append((label, [part]))
 
     def close() -> None:
-        text = " ".join("".join(run).split())
+        text = " ".join("".join(t for t, *_ in run).split())
         if text:
-            add("#", text)
+            add("#", (text, next(says for t, _, says in run if t.strip())))
         run.clear()
 
     for part in node.parts:
         if isinstance(part, Node):
             close()
             add(part.label, part)
+        elif part is None:
+            close()
         else:
-            run.append(part[0])
+            run.append(part)
     close()
     return out
 
@@ -343,8 +370,10 @@ def taken(tree: Node, wrapper: list | None) -> tuple[list[tuple[str, bool, bool,
         of = places(tuple(label for label, _ in runs), rule) if rule else [None] * len(runs)
         for (label, parts), r in zip(runs, of, strict=True):
             if label == "#":
-                out.extend((text, in_main, out_of, r) for text in parts)
-                holds = True
+                for text, says in parts:
+                    out.append((text, in_main or says == WITHIN, out_of or says == OUT, r))
+                    marked = marked or (says == WITHIN and not shut)
+                    holds = holds or says != OUT
                 continue
             inside = in_main or is_main(label)
             for part in parts:
@@ -364,7 +393,9 @@ def main_text(html: str, known: list | None) -> str:
     tree = parse(html or "")
     found, marked = taken(tree, known)
     if marked:
-        return "\n".join(text for text, in_main, out_of, _ in found if in_main and not out_of)
+        found = [(text, r) for text, in_main, out_of, r in found if in_main and not out_of]
+        varies = any(r is not None and not r[3] for _, r in found)
+        return "\n".join(text for text, r in found if not varies or r is None or r[3] < MARKED_PAGES)
     if any(r is None for *_, r in found) or all(r[3] for *_, r in found):
         varies = any(r is not None and not r[3] for *_, r in found)
         alone, _ = taken(tree, rules(stream(tree)))
@@ -441,7 +472,9 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html): blocks of the main text joined by newlines.
 
-    Null and empty html give an empty text. Pages without a host form the host ''. Repeated rows get the same text.
+    Null and empty html give an empty text; very long and deeply nested pages are read whole. Pages without a host form
+    the host ''. Repeated rows get the same text; of equally good alignments the one that leaves out a page's later
+    parts is taken, so reruns agree. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,9 +490,13 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
-    # Skewed hosts are split by adaptive execution; few wrappers are broadcast by their measured size.
     hosted = pages.select("page_id", "url", "html", host_of().alias("host"))
-    return hosted.join(infer(pages).mapInArrow(_slim, "host string, wrapper binary"), "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
+    wrappers = durable(infer(pages).mapInArrow(_slim, "host string, wrapper binary"))
+    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
+    # Few wrappers go to the pages. Of many, each goes with its host's pages, and adaptive execution splits hot hosts.
+    if size <= BROADCAST_BYTES:
+        wrappers = F.broadcast(wrappers)
+    return hosted.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 import pytest
 
 from lexloom.llm import wrappers as wr
@@ -45,6 +49,7 @@ def test_slots_of_one_path_are_told_apart():
     for page in pages[1:]:
         whole = wr.merged(whole, stream(page))
     assert wr.main_text(pages[2], wr.rules(whole)) == f"t 2\n{words.format(2)}"
+    assert wr.main_text(pages[2], None) == f"{top}\nt 2\n{words.format(2)}"  # nothing but the wrapper tells
 
 
 def test_texts_with_one_beginning_are_not_constant():
@@ -57,9 +62,6 @@ def test_texts_with_one_beginning_are_not_constant():
 
 
 def test_hosts_with_very_many_layouts_have_a_wrapper_under_any_partitioning(spark):
-    import random
-    import re
-
     rng, top = random.Random(0), "<div class=top>This line of ten or more words stands on every page of the host here</div>"
     words = "running text of page {} that goes on for quite a few words more than ten of them"
     rows = []
@@ -91,9 +93,119 @@ def test_alignment_order_gives_the_same_kinds():
     assert wr.expression(left) == wr.expression(right) == "<div>(<h2>t</h2>)?(<p>TEXT</p>)+</div>"
 
 
+def test_the_same_text_is_template_in_one_slot_and_article_in_another():
+    """Only the part that a page's text takes tells: on the odd page the article says what the box says elsewhere."""
+    box = "The board meets on every first Monday of the month"
+    pages = [f"<div><p>{box}</p></div><h2>t {i}</h2><div><p>{box if i == 3 else f'story {i}'}</p></div>" for i in range(6)]
+    whole = stream(pages[0])
+    for page in pages[1:]:
+        whole = wr.merged(whole, stream(page))
+    known = wr.rules(whole)
+    assert wr.main_text(pages[3], known) == f"t 3\n{box}"
+    assert wr.main_text(pages[4], known) == "t 4\nstory 4"
+
+
+def test_template_within_a_marked_article():
+    pages = [f"<article><h1>t {i}</h1><p>story {i}</p><div>Write to the editor about this</div></article>" for i in range(12)]
+    whole = stream(pages[0])
+    for page in pages[1:]:
+        whole = wr.merged(whole, stream(page))
+    assert wr.main_text(pages[0], wr.rules(whole)) == "t 0\nstory 0"
+    assert wr.main_text(pages[0], None) == "t 0\nstory 0\nWrite to the editor about this"
+
+
+def test_copies_of_one_page_are_not_template():
+    page = "<article><h1>t</h1><p>story</p></article>"
+    whole = stream(page)
+    for _ in range(20):
+        whole = wr.merged(whole, stream(page))
+    assert wr.main_text(page, wr.rules(whole)) == "t\nstory"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<div><p>Short one.</p><p>Tiny.</p></div>", "Short one.\nTiny."),
+        ("<article><p>a</p><div class=related-work>b</div><div class='notice-board'>c</div><div class='cookie-bar'>d</div><div class='x related_posts'>e</div></article>", "a\nb\nc"),
+        ("<div>" * 400 + "<nav>menu</nav><article>one<p>two</p><div class=ad>buy</div></article><article>three</article>" + "</div>" * 400, "one\ntwo\nthree"),
+        ("<div>" * 400 + "<p>one</p><footer>f</footer><p>two</p>", "one\ntwo"),
+    ],
+)
+def test_pages_by_themselves(html, text):
+    assert wr.main_text(html, None) == text
+
+
+def regex(part):
+    inner = "T" if part[0] == "#" else "".join(map(regex, part[6]))
+    inner = inner if part[0] in ("#", "()") else f"<{part[0]}>{inner}</>"
+    return inner if part[1] == "1" else f"(?:{inner}){part[1]}"
+
+
+def written(node):
+    out, text = f"<{node.label}>", ""
+    for part in [*node.parts, None]:
+        if isinstance(part, wr.Node) or part is None:
+            out += "T" * bool(text.strip())
+            text = ""
+            out += written(part) if part else ""
+        else:
+            text += part[0]
+    return out + "</>"
+
+
+def random_page(rng, depth=3):
+    parts = []
+    for _ in range(rng.randrange(4)):
+        tag = rng.choice(["div", "p", "ul", "h2", "#"])
+        parts.append(f"w{rng.randrange(3)} " if tag == "#" or not depth else f"<{tag}>{random_page(rng, depth - 1)}</{tag}>")
+    return "".join(parts)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_wrapper_matches_every_page_it_was_inferred_from(seed):
+    rng = random.Random(seed)
+    trees = [wr.parse(random_page(rng)) for _ in range(rng.randrange(1, 6))]
+    whole = wr.stream(trees[0])
+    for tree in trees[1:]:
+        whole = wr.merged(whole, wr.stream(tree))
+    for tree in trees:
+        assert re.fullmatch(regex(whole), written(tree))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_is_the_longest_of_all(seed):
+    rng = random.Random(seed)
+
+    def side():
+        out = []
+        for _ in range(rng.randrange(7)):
+            tag = rng.choice([t for t in "abcd" if not out or t != out[-1][0]])
+            out.append([tag, "1", None, 0, 0, 1, []])
+        return out
+
+    a, b = side(), side()
+    subs = lambda x: {tuple(p[0] for p in c) for n in range(len(x) + 1) for c in itertools.combinations(x, n)}
+    most = max(map(len, subs(a) & subs(b)))
+    got = wr.align(a, b)
+    assert sum(p[5] == 2 for p in got) >= most and len(got) <= len(a) + len(b) - most
+    assert all(p[1] in "1?+*" for p in got)
+
+
+def test_few_wrappers_are_broadcast_and_no_page_is_shuffled(spark, small_dir):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    plan = wr.extract(pages)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_wrappers_are_joined_by_host(spark, small_dir, monkeypatch):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    few = sorted(map(tuple, wr.extract(pages).collect()))
+    monkeypatch.setattr(wr, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, wr.extract(pages).collect())) == few
+
+
 def test_articles_of_all_pages(spark, small_dir):
     import html
-    import re
 
     got = {r.page_id: r.text for r in wr.op7_wrappers(spark, small_dir).collect()}
     for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect():
