@@ -2,12 +2,15 @@
 
 Texts with one and the same set form an exact class, which one representative stands for. Each run hashes sets into
 nodes: a set is sent to the node of every shingle whose hash under the run lies below 1 / (threshold * size), so two
-similar sets meet with a known chance. Nodes with many sets are split once more the same way, by a hash that depends
-on the node. What then shares a node is compared by brute force: first by small sketches, then, for those that may be
-similar, by their whole sets. Nodes that stay large (groups of near copies) are compared in pairs of blocks, so no
-task holds more than two blocks and nothing is left out. Runs repeat until the target recall.
-
-A pair that meets in several nodes counts in the least of them only, so links are counted without a list of pairs.
+similar sets meet with a known chance. A node with many sets is split the same way, again and again until it is small:
+its sets are sent on by the entries of their min-hash sketches that hash low under the node, a little more generously,
+so that a pair at the threshold keeps its chance at any depth. Nodes whose sets are alike on average (groups of near
+copies) gain nothing from splitting and are compared as they are.
+
+What shares a node in the end is compared by brute force: first by sketches, then, for those that may be similar, by
+whole sets. Large nodes are compared in pairs of blocks, so no task holds more than two blocks and nothing is left out.
+Runs repeat until the target recall. A pair that meets in several nodes counts in the least of them only, so links are
+counted without a list of pairs.
 """
 
 from __future__ import annotations
@@ -26,19 +29,34 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.995
-#: Nodes of more sets than this are split; leaves are compared in blocks of about so many sets or shingles.
-SPLIT = 256
+#: Nodes of more sets than this are split, unless the sets' mean similarity is at least this.
+SPLIT, ALIKE = 256, 0.45
+#: Entries of the sketch that mean similarity is measured on.
+PROBES = 8
+#: How many shared entries a pair at the threshold sends on from a node, on average.
+SPREAD = 1.6
+#: Nodes are compared in blocks of about so many sets or shingles.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 BINS, EMPTY = 64, 0xFFFF
+#: The test of sketches allows for so many standard deviations, which loses so many of the pairs at the threshold at most.
+DEVIATIONS, SKETCH_LOSS = 5, 2e-5
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this chance, if all its nodes are split once.
+def chance() -> float:
+    """The least chance that a pair at the threshold meets in a run, however deep its nodes are split.
 
-    The shingles that two such sets share and both choose are Poisson with mean 1 or more at each level.
+    The entries it shares and both choose are Poisson, with mean 1 at the first level and SPREAD below. With the chance
+    x at the level after, a level has 1 - exp(-mean * x), which falls with depth to the fixed point.
     """
-    once = 1 - math.exp(-1)
-    return math.ceil(math.log(1 - recall) / math.log(math.exp(-once)))
+    x = 1.0
+    for _ in range(200):
+        x = 1 - math.exp(-SPREAD * x)
+    return 1 - math.exp(-x)
+
+
+def runs_for(recall: float) -> int:
+    """Runs after which a pair at the threshold has met, and is not lost by the sketches, with this chance."""
+    return math.ceil(math.log(1 - recall - SKETCH_LOSS) / math.log(1 - chance()))
 
 
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,41 +104,36 @@ def chosen(found: np.ndarray, n: np.ndarray, row: np.ndarray, seed: np.ndarray,
     return row[at], mix(h[at] + np.uint64(0x9E3779B97F4A7C15))
 
 
-def paths(found: np.ndarray, n: np.ndarray, runs: int, threshold: float) -> tuple[tuple, tuple]:
-    """Nodes of all runs as (row, node), and of the level below as (row, parent, node)."""
-    row, start = owners(n), np.cumsum(n) - n
-    tops, below = [], []
-    for run in range(runs):
-        seed = np.full(len(n), mix(np.array([run + 1], dtype=np.uint64))[0])
-        r, node = chosen(found, n, row, seed, threshold)
-        tops.append((r, node))
-        size = n[r]
-        sub = owners(size)
-        tokens = found[np.repeat(start[r], size) + np.arange(len(sub)) - np.repeat(np.cumsum(size) - size, size)]
-        r2, node2 = chosen(tokens, size, sub, node, threshold)
-        below.append((r[r2], node[r2], node2))
-    return tuple(map(np.concatenate, zip(*tops, strict=True))), tuple(map(np.concatenate, zip(*below, strict=True)))
+def paths(found: np.ndarray, n: np.ndarray, runs: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of all runs, as (row, node)."""
+    row = owners(n)
+    seeds = [np.full(len(n), mix(np.array([run + 1], dtype=np.uint64))[0]) for run in range(runs)]
+    return tuple(map(np.concatenate, zip(*(chosen(found, n, row, seed, threshold) for seed in seeds), strict=True)))
 
 
-def _lists(row: np.ndarray, rows: int, *values: np.ndarray) -> list[pa.Array]:
-    order = np.argsort(row, kind="stable")
-    at = np.searchsorted(row[order], np.arange(rows + 1)).astype(np.int32)
-    return [pa.ListArray.from_arrays(at, pa.array(v[order].view(np.int64))) for v in values]
+def _split(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The nodes below each node for each of its sets, by the entries of the set's sketch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+        row, part = np.nonzero(sketch != EMPTY)
+        entries = mix((part.astype(np.uint64) << np.uint64(16)) | sketch[row, part])
+        n = np.bincount(row, minlength=len(sketch))
+        of, node = chosen(entries, n, row, np.asarray(batch.column("node")).view(np.uint64), threshold / SPREAD)
+        taken = batch.take(pa.array(of))
+        yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("size"), pa.array(node.view(np.int64)), taken.column("sketch")], ["key", "size", "node", "sketch"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, runs: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 2 << 20):
         found, n = shingle_sets(text_of(batch), k)
-        (r1, n1), (r2, p2, n2) = paths(found, n, runs, threshold)
-        cols = [
-            batch.column("doc_id"),
-            pa.array(set_keys(found, n)),
-            pa.array(n),
-            *_lists(r1, len(n), n1),
-            *_lists(r2, len(n), p2, n2),
-            pa.array([x.tobytes() for x in sketches(found, n)], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "size", "nodes", "parents", "below", "sketch"])
+        row, node = paths(found, n, runs, threshold)
+        order = np.argsort(row, kind="stable")
+        at = np.searchsorted(row[order], np.arange(len(n) + 1)).astype(np.int32)
+        nodes = pa.ListArray.from_arrays(at, pa.array(node[order].view(np.int64)))
+        cols = [batch.column("doc_id"), batch.column("id"), batch.column("hash"), pa.array(set_keys(found, n)), pa.array(n), nodes, pa.array([x.tobytes() for x in sketches(found, n)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "hash", "key", "size", "nodes", "sketch"])
 
 
 def met_before(ids: list[np.ndarray], node: int) -> np.ndarray:
@@ -144,13 +157,13 @@ def met_before(ids: list[np.ndarray], node: int) -> np.ndarray:
 
 
 def may_be_similar(sketch: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs whose sketches agree as similar sets' do, give or take four standard deviations."""
+    """Pairs whose sketches agree as similar sets' do, give or take some standard deviations."""
     out = np.zeros((len(sketch), len(sketch)), dtype=bool)
     full = sketch != EMPTY
     for i in range(len(sketch)):
         either = (full[i] | full[i + 1 :]).sum(axis=1)
         same = ((sketch[i] == sketch[i + 1 :]) & full[i]).sum(axis=1)
-        out[i, i + 1 :] = same >= threshold * either - 4 * np.sqrt(threshold * (1 - threshold) * either)
+        out[i, i + 1 :] = same >= threshold * either - DEVIATIONS * np.sqrt(threshold * (1 - threshold) * either)
     return out | out.T
 
 
@@ -221,7 +234,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     """A row for each group that a set is needed in."""
     for batch in slices(batches, "text", 256 << 10):
         found, n = shingle_sets(text_of(batch), k)
-        right = set_keys(found, n) == np.asarray(batch.column("key"))  # an id may stand for several texts
+        right = set_keys(found, n) == np.asarray(batch.column("key"))  # hashes may collide
         start = np.cumsum(n) - n
         groups = batch.column("groups")
         at = np.asarray(groups.offsets)
@@ -259,45 +272,60 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(weight[at]), pa.array(key[root[at]])], ["key", "weight", "root"])
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """The nodes whose sets have a mean similarity below ALIKE, from (node, sketch): the share of pairs of sets that
+    agree in an entry of the sketch, over some of the entries."""
+    probes = F.array(*[F.struct(F.lit(b).alias("b"), F.substring("sketch", 2 * b * (BINS // PROBES) + 1, 2).alias("v")) for b in range(PROBES)])
+    each = rows.select("node", F.explode(probes).alias("p")).select("node", "p.b", "p.v").filter("v <> X'FFFF'")
+    values = each.groupBy("node", "b", "v").agg(F.count("*").alias("c"))
+    entries = values.groupBy("node", "b").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    total = F.sum(F.col("n") * (F.col("n") - 1))
+    return entries.groupBy("node").agg((F.sum("same") / F.nullif(total, F.lit(0))).alias("mean")).filter(F.coalesce("mean", F.lit(0.0)) < ALIKE).select("node")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, copies for every row of docs (doc_id, text).
 
     class_id is the least doc_id of the component of documents linked by a similarity of `threshold` or more, n_links
     the number of other rows linked to this one, copies the number of rows with exactly its set, itself included.
     Texts without words (null, empty) have no links and stand alone, copies 1. Repeated rows are copies of each other.
-    Rows with a null doc_id take part; a class of such rows alone has a null class_id.
+    Rows with a null doc_id take part; a class of such rows alone has a null class_id. Ids may be of any type with an
+    order. Very long texts are taken whole. A similarity of exactly the threshold is a link. Other columns of docs are
+    ignored, whatever their names.
     """
     runs = runs_for(recall)
-    text = docs.select("doc_id", "text")
+    text = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), "text")
     signed = durable(
         text.mapInArrow(
             lambda it: _signatures(it, shingle, runs, threshold),
-            f"doc_id {dict(docs.dtypes)['doc_id']}, key long, size long, nodes array<long>, parents array<long>, below array<long>, sketch binary",
+            f"doc_id {dict(docs.dtypes)['doc_id']}, id string, hash long, key long, size long, nodes array<long>, sketch binary",
         )
     )
-    # One row a distinct set; copies meet in partial aggregates, so a large class is no large group.
-    last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    # One row a distinct set, with a row that has it; copies meet in partial aggregates, so a large class is no large group.
     sets = durable(
         signed.filter("size > 0")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("size", "nodes", "parents", "below", "sketch"), last).alias("s"))
-        .select("key", "rep", "copies", "s.*")
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "hash")).alias("at"), F.first(F.struct("size", "nodes", "sketch")).alias("s"))
+        .select("key", "rep", "copies", "at.*", "s.*")
     )
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
-
-    top = sets.select("key", "size", F.explode("nodes").alias("node"))
-    top_nodes = durable(counted(top))
-    deep = sets.select("key", "size", F.explode(F.arrays_zip("parents", "below")).alias("p")).select("key", "size", F.col("p.parents").alias("parent"), F.col("p.below").alias("node"))
-    large = top_nodes.filter(F.col("n") > SPLIT).select(F.col("node").alias("parent"))
-    deep = durable(deep.join(large, "parent", "left_semi"))
+    # Level by level: small nodes, and those of sets that are alike, are leaves; the others are split.
+    level = sets.select("key", "size", F.explode("nodes").alias("node"), "sketch")
+    leaves = None
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    leaves = (
-        top.join(top_nodes.filter(F.col("n") <= SPLIT), "node").select("key", "node", blocks).unionByName(deep.join(counted(deep), "node").select("key", "node", blocks).distinct())
-    )
+    while True:
+        counts = durable(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
+        large = counts.filter(F.col("n") > SPLIT).select("node")
+        wide = durable(unlike(level.join(large, "node", "left_semi"))) if not large.isEmpty() else None
+        done = wide is None or wide.isEmpty()
+        own = counts if done else counts.join(wide, "node", "left_anti")
+        here = level.join(own, "node").select("key", "node", blocks)
+        leaves = here if leaves is None else leaves.unionByName(here)
+        if done:
+            break
+        inner = level.join(wide, "node", "left_semi").select("key", "size", "node", "sketch")
+        level = durable(inner.mapInArrow(lambda it: _split(it, threshold), "key long, size long, node long, sketch binary"))
     leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("leaves"))
-    placed = durable(leaves.join(sets.select("key", "rep", "copies", "sketch"), "key").withColumn("ids", F.col("leaves.node")))
+    placed = durable(leaves.join(sets.select("key", "copies", "id", "hash", "sketch"), "key").withColumn("ids", F.col("leaves.node")))
     rows = (
         placed.select("key", "sketch", "ids", F.explode("leaves").alias("leaf"))
         .select("key", "sketch", "ids", "leaf.*", F.pmod(F.xxhash64("key"), "leaf.blocks").cast("int").alias("block"))
@@ -310,10 +338,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
         .mapInArrow(lambda it: _candidates(it, threshold), "key long, node long, i int, j int, block int")
         .groupBy("key")
         .agg(F.collect_list(F.struct("node", "i", "j", "block")).alias("groups"))
-        .join(placed.select("key", "rep", "copies", "ids"), "key")
+        .join(placed.select("key", "copies", "id", "hash", "ids"), "key")
     )
+    # Rows that repeat an id and its text would each bring the set again.
+    if not signed.groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        text = text.dropDuplicates(["id", "hash"])
     linked = durable(
-        need.join(text, F.col("rep").eqNullSafe(F.col("doc_id")))
+        need.join(text.drop("doc_id"), ["id", "hash"])
         .select("key", "copies", "ids", "groups", "text")
         .mapInArrow(lambda it: _with_sets(it, shingle), "node long, i int, j int, block int, key long, copies long, ids array<long>, shingles binary")
         .groupBy("node", "i", "j")

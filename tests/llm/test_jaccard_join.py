@@ -76,11 +76,50 @@ def test_awkward_rows(spark):
     assert jj.jaccard_join(no_documents(spark)).count() == 0
 
 
-def test_recall_of_runs():
-    once = 1 - np.exp(-(1 - np.exp(-1)))
-    for recall in (0.5, 0.9, 0.995):
-        n = jj.runs_for(recall)
-        assert 1 - (1 - once) ** n >= recall > 1 - (1 - once) ** (n - 1)
+def test_runs_give_the_recall_at_any_depth():
+    x = 1.0
+    for _ in range(30):
+        once = 1 - np.exp(-x)
+        for recall in (0.5, 0.9, 0.995):
+            assert 1 - (1 - once) ** jj.runs_for(recall) >= recall
+        x = 1 - np.exp(-jj.SPREAD * x)
+
+
+@pytest.mark.parametrize("split", [256, 8])
+def test_recall_at_the_default_on_pairs_at_the_threshold(spark, monkeypatch, split):
+    """Pairs of a similarity just above 0.8, each pair by itself, in a crowd that shares a long passage."""
+    monkeypatch.setattr(jj, "SPLIT", split)
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for _ in range(300):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 160)]
+        for edit in (0, 1):
+            words = [*own]
+            for at in (20, 60, 100, 140)[: 4 * edit]:
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), f"{passage} " + " ".join(words)))
+    links, _ = brute_force(rows[:40])
+    assert set(links) == {1}
+    got = jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(r.n_links for r in got) == 1
+    assert sum(r.n_links for r in got) >= 0.98 * len(rows)
+
+
+def test_recall_on_the_tables(spark):
+    """All links of the middle tables, by brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.n_links for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links, _ = brute_force(rows)
+    assert sum(links) > 100
+    assert sum(min(got[d], n) for (d, _), n in zip(rows, links, strict=True)) >= 0.99 * sum(links)
+    assert all(got[d] <= n for (d, _), n in zip(rows, links, strict=True))
+
+
+def test_ids_may_be_texts_or_null(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six")] + [(None, "seven eight nine ten eleven twelve")] * 40
+    got = Counter(map(tuple, jj.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+    assert got == Counter({("b", "a", 2, 3): 1, ("a", "a", 2, 3): 1, (None, "a", 2, 3): 1, (None, None, 39, 40): 40})
 
 
 def test_components(spark):
