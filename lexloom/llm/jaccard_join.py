@@ -284,14 +284,15 @@ def unlike(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, copies for every row of docs (doc_id, text).
+    """doc_id, class_id, n_links, copies, id, hash, class_key, class_hash for every row of docs (doc_id, text).
 
     class_id is the least doc_id of the component of documents linked by a similarity of `threshold` or more, n_links
     the number of other rows linked to this one, copies the number of rows with exactly its set, itself included.
     Texts without words (null, empty) have no links and stand alone, copies 1. Repeated rows are copies of each other.
     Rows with a null doc_id take part; a class of such rows alone has a null class_id. Ids may be of any type with an
     order. Very long texts are taken whole. A similarity of exactly the threshold is a link. Other columns of docs are
-    ignored, whatever their names.
+    ignored, whatever their names. id (the doc_id as text, '' for null) and hash (of the text) name a row's content,
+    class_key and class_hash the row that stands for its class, so one row of a class can be kept without ids, too.
     """
     runs = runs_for(recall)
     text = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), "text")
@@ -305,8 +306,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     sets = durable(
         signed.filter("size > 0")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "hash")).alias("at"), F.first(F.struct("size", "nodes", "sketch")).alias("s"))
-        .select("key", "rep", "copies", "at.*", "s.*")
+        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "hash")).alias("rep"), F.first(F.struct("size", "nodes", "sketch")).alias("s"))
+        .select("key", "copies", "rep", "rep.id", "rep.hash", "s.*")
     )
     # Level by level: small nodes, and those of sets that are alike, are leaves; the others are split.
     level = sets.select("key", "size", F.explode("nodes").alias("node"), "sketch")
@@ -353,17 +354,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     )
     weights = linked.groupBy("key").agg(F.sum("weight").alias("weight"))
     label = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
-    least = label.join(sets.select("key", "rep"), "key").groupBy("label").agg(F.min("rep").alias("class_id"))
+    least = label.join(sets.select("key", "rep"), "key").groupBy("label").agg(F.min("rep").alias("first"))
     # Kept, so that the last join is one of two plain sides, whose large classes adaptive execution can split.
+    first = F.coalesce("first", "rep")
     known = durable(
         sets.select("key", "rep", "copies")
         .join(weights, "key", "left")
-        .join(label.join(least, "label").select("key", "class_id"), "key", "left")
-        .select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), "copies")
+        .join(label.join(least, "label").select("key", "first"), "key", "left")
+        .select("key", first.doc_id.alias("class_id"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), "copies", first.id.alias("class_key"), first.hash.alias("class_hash"))
     )
-    alone = signed.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return signed.filter("size > 0").select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_links", "copies").unionByName(alone)
+    out = ["doc_id", "class_id", "n_links", "copies", "id", "hash", "class_key", "class_hash"]
+    alone = signed.filter("size = 0").select("*", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.col("id").alias("class_key"), F.col("hash").alias("class_hash"))
+    return signed.filter("size > 0").select("doc_id", "id", "hash", "key").join(known, "key").select(out).unionByName(alone.select(out))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ BLANK = 0x20
 
 
 def _letters() -> np.ndarray:
-    """For each 16-bit code point, its lower-case letter, or a blank for anything else. Others count as U+FFFF."""
+    """For each 16-bit code point, its lower-case letter or mark, or a blank for anything else. Others count as U+FFFF."""
     to = np.full(0x10000, BLANK, dtype=np.uint16)
     for c in range(0x10000):
         s = chr(c)
@@ -37,6 +38,11 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def with_letters(text: pa.Array) -> np.ndarray:
+    """Whether each text has a letter; marks alone are none."""
+    return np.asarray(pc.match_substring_regex(text, r"\p{L}"))
+
+
 def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram, count) of every n-gram of every text, by row and n-gram. An n-gram packs three 16-bit characters."""
     if not _TABLE:
@@ -114,17 +120,17 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, dict[int,
         .mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(rank) - 1)
-        .filter(F.col("rank") < size)
+        .withColumn("rank", F.row_number().over(rank))
+        .filter(F.col("rank") <= size)
     )
     out: dict[str, dict[int, int]] = {}
     for r in top.select("lang", "gram", "rank").collect():
-        out.setdefault(r.lang, {})[r.gram] = r["rank"]
+        out.setdefault(r.lang, {})[r.gram] = r["rank"] - 1
     return dict(sorted(out.items()))
 
 
 def distances(text: pa.Array, tables: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Out-of-place distance of every text from every profile, and how many n-grams each text ranks."""
+    """Out-of-place distance of every text from every profile, and how many n-grams each text ranks (0 without letters)."""
     row, gram, n = grams(text)
     order = np.argsort((row << 32) | ((1 << 32) - 1 - n), kind="stable")  # ties stay in n-gram order
     row, gram = row[order], gram[order]
@@ -137,15 +143,16 @@ def distances(text: pa.Array, tables: list[tuple[np.ndarray, np.ndarray]], size:
         at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
         off = np.where(keys[at] == gram, np.abs(ranks[at] - place), size)
         far[:, j] = np.bincount(row, off, minlength=len(text))
-    return far, np.minimum(kinds, size)
+    return far, np.where(with_letters(text), np.minimum(kinds, size), 0)
 
 
 def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], size: int = PROFILE) -> DataFrame:
     """docs' doc_id with lang_pred and score, for every row.
 
     The score is 1 - distance / largest possible distance, scaled by the lead over the second language, so it lies in
-    [0, 1]. Null, empty and letterless texts are `und` with score 0; so is everything if no profile was learned. Equal
-    distances go to the first language by code point.
+    [0, 1]. Null, empty and letterless texts are `und` with score 0; so is everything if no profile was learned. Very
+    long texts are ranked whole. Equal distances go to the first language by code point. Repeated rows agree; other
+    columns are ignored, whatever their names.
     """
     names = list(profiles)
 

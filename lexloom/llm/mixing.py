@@ -119,13 +119,14 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, hash (of the text) for every row of docs (doc_id, text, source).
 
-    Null and empty texts have size 0 and are never taken. Rows with a null source form a source of their own. Repeated
-    rows count each by itself; among rows of one source, length and hash the choice is between equals.
+    Null and empty texts have size 0 and are never taken; very long ones are counted whole. Rows with a null source form
+    a source of their own. Repeated rows count each by itself; among rows of one source, length, id and text the choice
+    is between equals. Other columns of docs are ignored, whatever their names.
     """
     count = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BUCKETS)).cast("int")
-    rows = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("bucket", count))
+    rows = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")).withColumn("bucket", count))
     goals = durable(targets(rows))
     # Lengths of one source meet in one group: as many rows as it has different lengths, not documents.
     cells = durable(rows.filter("size > 0").groupBy("source", "size", "bucket").agg(F.count("*").alias("n")))
@@ -150,12 +151,12 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     cut = durable(cut)
     key = F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.size") == F.col("k.size")) & (F.col("r.bucket") == F.col("k.bucket"))
     placed = rows.alias("r").join(cut.alias("k"), key, "left").select("r.*", "k.n", "k.passes", "k.quota")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "hash"))
     partly = placed.filter("quota > 0 and quota < n").withColumn("one", (rank <= F.col("quota")).cast("long"))
     wholly = placed.filter("quota is null or quota = 0 or quota = n").withColumn("one", (F.coalesce("quota", F.lit(0)) > 0).cast("long"))
     taken = wholly.unionByName(partly).withColumn("taken", (F.coalesce("passes", F.lit(0)) + F.col("one")) * F.col("size")).alias("t")
-    return taken.join(goals.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.doc_id", "t.source", "t.size", "g.source_size", "g.target", "t.taken")
+    return taken.join(goals.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.doc_id", "t.source", "t.size", "g.source_size", "g.target", "t.taken", "t.hash")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "hash")

@@ -69,12 +69,13 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: int = RANK) -> Space | None:
     """The latent space of a bounded sample: per_label rows of each label, by hash of the id. None without labelled texts.
 
-    labels: doc_id, quality (0 or 1; rows with null are ignored; a doc_id with both counts as 0).
+    labels: doc_id, quality (0 or 1; rows with null are ignored; a doc_id with both counts as 0). Of a doc_id with
+    several texts, the least is taken.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     pick = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     sample = F.broadcast(pick[0].unionAll(pick[1]))  # at most 2 * per_label ids
-    rows = docs.filter("text is not null").select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.filter("text is not null").select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     got = rows.select("quality", "text").mapInArrow(_sparse, "quality int, feature array<int>, n array<int>").collect()
     got = sorted((r for r in got if r.feature), key=lambda r: (r.quality, r.feature, r.n))
     if not got:
@@ -107,7 +108,9 @@ def vectors_of(text: pa.Array, space: Space) -> np.ndarray:
 
 
 def vote(vectors: np.ndarray, space: Space, neighbours: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
-    """Share of label 1 among the nearest labelled vectors, weighted by similarity, pulled slightly to the mean label."""
+    """Share of label 1 among the nearest labelled vectors, weighted by similarity, pulled slightly to the mean label.
+
+    Of vectors equally far as the last neighbour, which ones vote is the selection's choice, the same in every run."""
     prior = float(space.labels.mean())
     k = min(neighbours, len(space.labels))
     out = np.empty(len(vectors))
@@ -122,7 +125,8 @@ def vote(vectors: np.ndarray, space: Space, neighbours: int = NEIGHBOURS, block:
 
 def score(docs: DataFrame, space: Space | None, name: str = "score") -> DataFrame:
     """docs with the score of every row. Texts without words (null, empty) get the mean label of the sample; without any
-    labels every score is 0.5. Other columns stay."""
+    labels every score is 0.5. Very long texts are read whole; repeated rows agree. Other columns stay, but for one
+    with the score's name, which is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(space and vars(space))
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:

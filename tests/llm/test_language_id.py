@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -52,6 +53,36 @@ def test_held_out_accuracy(spark, small_dir):
     assert right > 0.95
 
 
+def packed(g):
+    return int.from_bytes(g.encode("utf-16-be"), "big")
+
+
+def ranking(counts, size=li.PROFILE):
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], packed(g)))[:size])}
+
+
+def test_the_whole_query_is_a_plain_version(spark, small_dir):
+    """Profiles of the learned documents, rankings and distances, with nothing but dictionaries."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            learned.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    profiles = {lang: ranking(c) for lang, c in sorted(learned.items())}
+    got = {r.doc_id: r for r in li.op4_language_id(spark, small_dir).collect()}
+    for r in docs:
+        mine = ranking(plain_grams(r.text or ""))
+        far = {lang: sum(abs(p[g] - i) if g in p else li.PROFILE for g, i in mine.items()) for lang, p in profiles.items()}
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert got[r.doc_id].lang_pred == (min(far, key=far.get) if any(c.isalpha() for c in r.text or "") else "und")
+
+
+def test_marks_and_digits_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "\u0301\u0302 12", None), (3, "", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(docs, li.learn_profiles(docs)).collect()}
+    assert got[1][0] == "en" and got[2] == got[3] == ("und", 0.0)
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     got = {r.doc_id: r for r in li.identify(docs, li.learn_profiles(docs)).collect()}

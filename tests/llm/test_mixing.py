@@ -76,7 +76,7 @@ def test_mix_meets_targets_and_repeats_itself(spark, small_dir):
     one = sorted(map(tuple, mixing.mix(docs).collect()))
     assert one == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
     by = {}
-    for _, source, _, _, target, taken in one:
+    for _, source, _, _, target, taken, _ in one:
         by.setdefault(source, [target, 0])[1] += taken
     assert all(abs(t - w) < 0.02 * t + 50 for t, w in by.values())
 

@@ -77,3 +77,12 @@ def test_awkward_rows(spark, small_dir):
         assert stage(spark, no_documents(spark), small_dir).count() == 0
     kept = cp.near_duplicate_stage(spark, docs, small_dir).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2, 3, 4, 6, 8, 9]
+
+
+def test_copies_without_ids_go_and_repeated_rows_are_taken_as_often_as_the_mix_says(spark, small_dir):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "a", 1), (None, text, "en", "a", 1), (None, text + " x", "en", "a", 1), (5, text, "en", "a", 1), (None, "another text", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0, len(r.text)) for r in cp.near_duplicate_stage(spark, docs, small_dir).collect()) == [(0, 12), (5, len(text))]
+    mixed = cp.mixing_stage(spark, docs, small_dir).collect()
+    assert sum(r.repeats * len(r.text.split()) for r in mixed) in (364, 365)  # 1.5 times 243 words

@@ -1,5 +1,10 @@
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 
 from lexloom.llm import quality_knn as kn
 
@@ -30,6 +35,46 @@ def test_features_count_words_and_shapes():
     assert sorted(n[feature < kn.WORDS].tolist()) == [1, 2]
 
 
+def plain_features(text):
+    out = np.zeros(kn.WORDS + kn.SHAPES)
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        out[xxhash.xxh3_64_intdigest(w.lower().strip(kn.PUNCTUATION)) % kn.WORDS] += 1
+        for pattern, sign in ((r"\p{Lu}\p{Lu}+", "AA"), (r"[\p{Ll}\p{M}]+", "a"), ("[0-9]+", "9")):
+            w = regex.sub(pattern, sign, w)
+        out[kn.WORDS + xxhash.xxh3_64_intdigest(w) % kn.SHAPES] += 1
+    return np.log1p(out)
+
+
+def test_the_whole_query_is_a_plain_version(spark, small_dir):
+    """Weights, a full singular value decomposition, all cosines and the vote, one document after another."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{small_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    all_ = {r.doc_id: plain_features(r.text) for r in docs}
+    own = sorted(d for d in known if d in all_ and all_[d].any())
+    x = np.array([all_[d] for d in own])
+    idf = np.log((1 + len(own)) / (1 + (x > 0).sum(axis=0))) + 1
+    x = x * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    basis = np.linalg.svd(x, full_matrices=False)[2][: kn.RANK].T
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
+    vectors, y = unit(x @ basis), np.array([known[d] for d in own])
+    got = {r.doc_id: r for r in kn.op5_quality_knn(spark, small_dir).collect()}
+    close = 0
+    for d, f in all_.items():
+        cosine = vectors @ unit((f * idf) @ basis)
+        near = np.argsort(-cosine)[: kn.NEIGHBOURS]
+        w = np.clip(cosine[near], 0, 1) ** kn.SHARPNESS
+        close += abs(got[d].score - ((w * y[near]).sum() + 0.01 * y.mean()) / (w.sum() + 0.01)) < 1e-3
+    assert close >= 0.98 * len(all_)  # neighbours at nearly one distance may change places
+
+
+def test_of_a_repeated_id_the_least_text_is_learned(spark):
+    docs = spark.createDataFrame([(1, "b b"), (1, "a a"), (2, "c c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    one, other = (kn.fit(d, labels) for d in (docs, docs.repartition(3).orderBy("text", ascending=False)))
+    assert (one.vectors == other.vectors).all() and (one.idf == other.idf).all()
+
+
 def test_awkward_rows(spark):
     got = kn.classify(documents(spark), labels(spark)).collect()
     assert len(got) == documents(spark).count()
