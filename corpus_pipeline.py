@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, jaccard_join, mixing, quality_knn, secret_crf
-from lexloom.llm.common import shared_path, table
+from lexloom.llm.common import durable, shared_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,20 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates; of repeated rows of it, one.
-
-    Rows without an id can't be told apart and all stay. An id is taken to name one text; should it have several, they
-    stay or go together.
-    """
+    """One document of each group of near duplicates: of those with an id, that of the least id. Of repeated rows of it,
+    one stays. Rows without an id take part by their texts, so copies among them go, too."""
     docs = docs.select(COLUMNS)
-    found = jaccard_join.jaccard_join(docs.filter("doc_id is not null"))
-    keep = found.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(COLUMNS)
-    repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(again)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    found = jaccard_join.jaccard_join(docs)
+    keep = durable(found.filter("id = class_key and hash = class_hash").groupBy("id", "hash").agg(F.count("*").alias("n")))
+    named = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("hash", F.xxhash64("text"))
+    kept = named.join(keep.select("id", "hash"), ["id", "hash"], "left_semi")
+    if not keep.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +52,19 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with `repeats`: how often. Documents without words are never taken."""
+    """The documents that the mix takes, with `repeats`: how often. Documents without words are never taken. Rows are
+    told apart by id, source and text; of rows that agree in these, as many are taken as often as the mix says."""
     docs = docs.select(COLUMNS)
-    keys = ["doc_id", "source", "size"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))  # equal rows are told apart by number
-    mixed = mixing.mix(docs).select(*keys, "taken").withColumn("nth", nth).filter("taken > 0").alias("m")
-    own = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("nth", nth).alias("d")
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in (*keys, "nth")]
-    joined = own.join(mixed, same[0] & same[1] & same[2] & same[3])
-    return joined.select(*[f"d.{c}" for c in COLUMNS], (F.col("m.taken") / F.col("m.size")).cast("long").alias("repeats"))
+    keys = ["id", "of", "hash"]
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("source").alias("of")]
+    mixed = durable(mixing.mix(docs).filter("taken > 0").select(*key, "hash", (F.col("taken") / F.col("size")).cast("long").alias("repeats")))
+    own = docs.select("*", *key, F.xxhash64("text").alias("hash"))
+    if not mixed.groupBy(keys).count().filter("count > 1").isEmpty():
+        in_order = Window.partitionBy(keys)
+        mixed = mixed.withColumn("nth", F.row_number().over(in_order.orderBy(F.desc("repeats"))))
+        own = own.withColumn("nth", F.row_number().over(in_order.orderBy("n_chars", "lang")))
+        keys = [*keys, "nth"]
+    return own.join(mixed, keys).select(*COLUMNS, "repeats")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
