@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The white space of the sources' language of origin, and the characters of its scripts.
 SPACES = "\t\n\x0b\x0c\r    -     　﻿"
@@ -32,6 +32,12 @@ def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_each(values: pd.Series) -> pd.Series:
+    """Texts of a list trimmed and composed; a null among them counts as empty."""
+    return values.map(lambda words: [unicodedata.normalize("NFC", (w or "").strip()) for w in words], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """Decomposed, without the combining marks U+0300 to U+036F."""
@@ -86,7 +92,12 @@ def is_safe_orthography(value: Column) -> Column:
 
 
 def lexical_tokens(value: Column) -> Column:
-    """Words of letters and digits with inner apostrophes, of a text already composed."""
+    """Words of letters and digits with inner apostrophes, compatibility-composed."""
+    return composed_tokens(nfkc(value))
+
+
+def composed_tokens(value: Column) -> Column:
+    """The same of a text already composed, without leaving the JVM."""
     return F.regexp_extract_all(F.lower(value), F.lit(TOKEN), F.lit(0))
 
 
@@ -113,7 +124,7 @@ def inflected_forms(word: Column) -> Column:
 
 def correction_forms(word: Column) -> Column:
     """The forms suggested for a correction: one plural, one past and one progressive of a single ASCII word."""
-    low = F.lower(F.trim(word))
+    low = F.lower(nfkc(collapse_spaces(word)))
     stem = F.substring(low, F.lit(1), F.length(low) - 1)
     doubled = F.concat(low, F.substring(low, -1, 1))
     plural = F.when(low.rlike("(?:s|x|z|ch|sh)$"), F.concat(low, F.lit("es"))).when(low.rlike("[^aeiou]y$"), F.concat(stem, F.lit("ies"))).otherwise(F.concat(low, F.lit("s")))
@@ -128,7 +139,8 @@ def correction_forms(word: Column) -> Column:
 
 
 def contains_item(tokens: Column, target: Column) -> Column:
-    """Whether the target's tokens stand in a row in the text, each in some inflection."""
+    """Whether the target's tokens (of composed texts) stand in a row in the text, each in some inflection. For one
+    target a row; `generated.covered_items` looks for many at once."""
     offsets = F.sequence(F.lit(0), F.size(target) - 1)
 
     def among(forms: Column) -> Column:
@@ -150,8 +162,8 @@ def length_policy(n: Column) -> Column:
 
 
 def valid_items(words: Column, most: int = 30, longest: int = 100) -> Column:
-    """Whether a request's words are few, short, printable and each with a letter or digit (texts already composed)."""
-    ok = F.forall(words, lambda w: (F.char_length(F.trim(w)) >= 1) & (F.char_length(F.trim(w)) <= longest) & ~w.rlike(CONTROL) & w.rlike(r"[\p{L}\p{N}]"))
+    """Whether a request's words, composed, are few, short, printable and each with a letter or digit."""
+    ok = F.forall(nfc_each(words), lambda w: (F.char_length(w) >= 1) & (F.char_length(w) <= longest) & ~w.rlike(CONTROL) & w.rlike(r"[\p{L}\p{N}]"))
     return (F.size(words) >= 1) & (F.size(words) <= most) & ok
 
 
@@ -177,8 +189,10 @@ def align_languages(body: Column) -> Column:
     return F.struct(F.when(one & (left != ""), left).alias("left"), F.when(one & ((right != "") | (left == "")), right).alias("right"), how.alias("alignment"))
 
 
-def slash_shape(line: Column) -> Column:
-    """The audit's own reading of a bilingual line; its Han class lacks the hexagram symbols."""
+def slash_shape(line: Column, marker: Column | int = 0) -> Column:
+    """The audit's own reading of a bilingual line after a marker of that length; its Han class lacks the hexagram
+    symbols."""
+    line = F.substring(line, F.lit(1) + marker, F.char_length(line))
     left, right = F.split_part(line, F.lit("/"), F.lit(1)), F.split_part(line, F.lit("/"), F.lit(2))
     n = F.length(line) - F.length(F.replace(line, F.lit("/"), F.lit("")))
     kana, han = "[぀-ヿー]", "[㐀-䶿一-鿿]"

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from .lines import LABEL, LINK, NUMBERED, SECTIONS
+from .lines import LABEL, NUMBERED, SECTIONS
 
 # The audit's own line kinds and tokens.
 LINE_SECTIONS = ("表現", "派生", "語源", "類語", "対義語", "参考", "注意", "表記", "用法", "語法")
@@ -120,7 +116,8 @@ def line_kind(raw: Column, line: Column, initial_label: Column) -> Column:
 
 
 def shapes(rows: DataFrame, entry: str, order: str, kind: str) -> DataFrame:
-    """entry, shape: the kinds in order, runs written as kind×length. Runs are found by windows within the entry."""
+    """entry, shape: the kinds in order, runs written as kind×length, for entries with any row. Runs are found by windows
+    within the entry."""
     w = Window.partitionBy(entry).orderBy(order)
     run = rows.withColumn("new", (~F.col(kind).eqNullSafe(F.lag(kind).over(w))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = run.groupBy(entry, "run").agg(F.first(kind).alias("kind"), F.count("*").alias("n"))
@@ -135,21 +132,27 @@ def cumulative_share(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.select(key, n, F.row_number().over(ranked).alias("rank"), (running / F.sum(n).over(Window.partitionBy())).alias("share"))
 
 
-def sequence_flags(rows: DataFrame, entry: str, order: str, number: str) -> DataFrame:
-    """entry, repeated, skipping, restarting: what an entry's numbers do in order. Rows without a number don't count."""
+def sequence_flags(rows: DataFrame, entry: str, order: str, number: str, other: Column | None = None) -> DataFrame:
+    """entry, repeated, skipping, restarting, mixed: what an entry's numbers do in order, and whether there are both
+    numbers and other marks (`other`: which rows are). Rows without a number count for nothing else."""
     w = Window.partitionBy(entry).orderBy(order)
-    seen = rows.filter(F.col(number).isNotNull()).withColumn("before", F.lag(number).over(w))
+    marks = rows.withColumn("other_mark", F.coalesce(other, F.lit(False)) if other is not None else F.lit(False))
+    before = F.last_value(number, F.lit(True)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = marks.filter(F.col(number).isNotNull() | F.col("other_mark")).withColumn("before", before)
     return seen.groupBy(entry).agg(
         (F.count(number) > F.count_distinct(number)).alias("repeated"),
         F.coalesce(F.bool_or(F.col(number) > F.col("before") + 1), F.lit(False)).alias("skipping"),
         F.coalesce(F.bool_or(F.col(number) <= F.col("before")), F.lit(False)).alias("restarting"),
+        (F.bool_or("other_mark") & (F.count(number) > 0)).alias("mixed"),
     )
 
 
-def around_last(rows: DataFrame, entry: str, order: str, is_mark: Column) -> DataFrame:
-    """rows with place: before, at or after the entry's last mark, or none."""
+def around_marks(rows: DataFrame, entry: str, order: str, is_mark: Column) -> DataFrame:
+    """rows with place: before-definition in an entry without any mark, after-last-definition after its last mark, and
+    between-definitions elsewhere."""
     last = F.max(F.when(is_mark, F.col(order))).over(Window.partitionBy(entry))
-    return rows.withColumn("last", last).withColumn("place", F.when(F.col("last").isNull(), "none").when(F.col(order) < F.col("last"), "before").when(F.col(order) > F.col("last"), "after").otherwise("at")).drop("last")
+    place = F.when(last.isNull(), "before-definition").when(F.col(order) > last, "after-last-definition").otherwise("between-definitions")
+    return rows.withColumn("place", place)
 
 
 def seen_before(rows: DataFrame, entry: str, order: str, is_mark: Column) -> DataFrame:
@@ -160,40 +163,25 @@ def seen_before(rows: DataFrame, entry: str, order: str, is_mark: Column) -> Dat
 
 def link_relations(links: DataFrame, headwords: DataFrame) -> DataFrame:
     """links with target_known and relation: how the key relates to the link's parts."""
+    from .corpus_audit import link_relation
+
     known = headwords.select(F.col("headword").alias("target")).distinct().withColumn("known", F.lit(True))
-    relation = (
-        F.when(F.col("headword") == F.col("target"), "headword=target")
-        .when(F.col("headword") == F.col("display"), "headword=display")
-        .when(F.lower("headword") == F.lower("target"), "casefold-target")
-        .when(F.contains("source", "headword"), "headword-in-source-orthography")
-        .otherwise("unexplained-mismatch")
-    )
-    return links.join(known, "target", "left").withColumn("target_known", F.coalesce("known", F.lit(False))).withColumn("relation", relation).drop("known")
-
-
-def heading_pattern(raw: Column) -> Column:
-    """The features of a heading line, joined."""
-    return F.when(raw == "", "empty").otherwise(
-        F.concat_ws(
-            "+",
-            F.when(raw.rlike("[ぁ-ヿー]"), "kana"),
-            F.when(raw.rlike("[㐀-鿿]"), "han"),
-            F.when(raw.contains("［"), "orthography"),
-            F.when(raw.contains("・"), "alternatives"),
-            F.when(raw.rlike("[⟪⟨]"), "annotation"),
-            F.when(raw.rlike("[‐―-]"), "hyphen"),
-            F.when(raw.rlike("[A-Za-z]"), "latin"),
-        )
+    return links.join(known, "target", "left").withColumn("target_known", F.coalesce("known", F.lit(False))).withColumn("relation", link_relation()).drop("known")
+
+
+def heading_pattern(first: Column, is_link: Column, is_redirect: Column, labelled: Column, headword: Column) -> tuple[Column, Column]:
+    """What a record's first line is made of, and how it relates to the headword."""
+    parts = F.concat_ws(
+        "+",
+        F.lit("explicit"),
+        F.when(first.contains("［") & first.contains("］"), "reading-orthography").otherwise("plain"),
+        F.when(occurrences(first, "［") > 1, "multi-bracket"),
+        F.when(first.rlike("[‐―-]"), "hyphen"),
+        F.when(first.contains("・"), "middle-dot"),
     )
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def unusual_characters(values: pd.Series) -> pd.Series:
-    """Control, format, private and unassigned characters of each text, as U+XXXX; line breaks and tabs aside."""
-    def of(s: str) -> list[str]:
-        return [f"U+{ord(c):04X}" for c in s if c not in "\n\r\t" and unicodedata.category(c) in ("Cc", "Cf", "Co", "Cn", "Cs")]
-
-    return values.map(lambda s: of(s) if s else [])
+    pattern = F.when(is_link, "link-record").when(is_redirect, "plain-redirect").when(labelled, "implicit-index-heading").otherwise(parts)
+    explicit = F.when(first == headword, "exact").when(F.contains(first, headword), "contains-index").otherwise("different")
+    return pattern, F.when(is_link, "link-record").when(is_redirect, "plain-redirect").when(labelled, "payload-starts-with-pos").otherwise(explicit)
 
 
 def longest(records: DataFrame, size: str, k: int, *ties: str) -> DataFrame:
@@ -201,36 +189,28 @@ def longest(records: DataFrame, size: str, k: int, *ties: str) -> DataFrame:
 
 
 def node_audit(nodes: DataFrame) -> DataFrame:
-    """One row: nodes by type and reason, and entries with any raw node."""
-    per = nodes.groupBy("ordinal").agg(F.bool_or(F.col("type") == "raw").alias("raw"), F.bool_or(F.coalesce(F.col("reason") == "unknown-structure", F.lit(False))).alias("unknown"), F.count("*").alias("n"))
-    types = nodes.groupBy("type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-    entries = per.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count_if("raw").alias("entries_with_raw"), F.count_if("unknown").alias("entries_with_unknown"))
-    return in_one_row(entries, types)
-
-
-def corpus_report(records: DataFrame) -> dict[str, DataFrame]:
-    """The audit of a corpus (ordinal, headword, text): a name for each table of the report."""
-    from .lines import parse_records, split_lines, custom_links
-
-    nodes = parse_records(records)
-    lexical = split_lines(records.filter(~F.col("text").rlike(LINK)))
-    initial = F.coalesce(F.first("raw").over(Window.partitionBy("ordinal").orderBy("line")).rlike(LABEL), F.lit(False))
-    kinds = lexical.withColumn("kind", line_kind(F.col("raw"), F.col("line"), initial))
-    headings = lexical.filter("line = 0")
-    marks = kinds.filter(F.col("raw").rlike(f"^[{NUMBERED}]")).withColumn("number", F.call_function("locate", F.substring("raw", 1, 1), F.lit(NUMBERED)))
-    return {
-        "nodes": node_audit(nodes),
-        "line_kinds": histogram(kinds, "kind"),
-        "shapes": cumulative_share(histogram(shapes(kinds, "ordinal", "line", "kind"), "shape"), "key"),
-        "sequences": sequence_flags(marks, "ordinal", "line", "number").agg(*[F.count_if(c).alias(c) for c in ("repeated", "skipping", "restarting")]),
-        "artifacts": token_counts(records, "text", ARTIFACTS),
-        "imbalances": histogram(records.select(F.explode(imbalance(F.col("text"), QUOTES | BRACKETS)).alias("k")), "k"),
-        "links": histogram(link_relations(custom_links(records), records), "relation"),
-        "headings": histogram(headings, heading_pattern(F.col("raw"))),
-        "characters": histogram(records.select(F.explode(unusual_characters("text")).alias("c")), "c"),
-        "duplicates": duplicate_groups(records, "headword"),
-        "sizes": size_statistics(records.select(F.octet_length("text").alias("size")), "size"),
-    }
+    """One row: nodes by type and raw ones by reason, and entries with any raw, unknown or blank node."""
+
+    def has(condition: Column, name: str) -> Column:
+        return F.bool_or(F.coalesce(condition, F.lit(False))).alias(name)
+
+    raw, reason = F.col("type") == "raw", F.col("reason")
+    per = nodes.groupBy("ordinal").agg(has(raw, "raw"), has(reason == "unknown-structure", "unknown"), has(reason == "blank-line", "blank"), F.count("*").alias("n"))
+    flags = [F.count_if(c).alias(f"entries_with_{c}") for c in ("raw", "unknown", "blank")]
+    entries = per.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), *flags)
+
+    def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    return in_one_row(entries, counted(nodes, "type", "by_type"), counted(nodes.filter(raw), "reason", "raw_by_reason"))
+
+
+def count_distribution(rows: DataFrame, entry: str, entries: DataFrame | None = None, name: str = "key") -> DataFrame:
+    """How many entries have how many rows; with `entries`, those without any count as having none."""
+    per = rows.groupBy(entry).agg(F.count("*").alias(name))
+    if entries is not None:
+        per = entries.select(entry).join(per, entry, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return per.groupBy(name).agg(F.count("*").alias("n"))
 
 
 def write_report(report: dict[str, DataFrame], path: str) -> None:

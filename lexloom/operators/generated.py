@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_item, length_policy, lexical_tokens, nfkc
+from ..functions.text import composed_tokens, contains_item, inflected_forms, length_policy, lexical_tokens, nfkc
 
 KEYS = ("paragraph", "translation", "usedWords")
 SHAPE_ERROR = "Output must be an object with only paragraph, translation, and usedWords"
@@ -25,10 +25,10 @@ def validate_generated(results: DataFrame) -> DataFrame:
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     paragraph = nfkc(F.coalesce(_string(F.col("v"), "paragraph"), F.lit("")))
     out = parsed.withColumn("is_object", is_object).withColumn("paragraph", paragraph).withColumn("composed", F.array())
-    out = out.withColumn("tokens", lexical_tokens(F.col("paragraph"))).drop("composed")
+    out = out.withColumn("tokens", composed_tokens(F.col("paragraph"))).drop("composed")
     bounds = length_policy(F.size("words"))
     keys = F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>"))
-    missing = F.filter("words", lambda w: ~contains_item(F.col("tokens"), lexical_tokens(w)))
+    missing = F.filter("words", lambda w: ~contains_item(F.col("tokens"), composed_tokens(w)))
     reported = F.try_variant_get("v", "$.usedWords", "array<string>")
     strings = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.usedWords", "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
 
@@ -47,3 +47,19 @@ def validate_generated(results: DataFrame) -> DataFrame:
     )
     every = F.when(F.col("v").isNull(), F.array(F.lit("Output is not valid JSON"))).when(~F.col("is_object"), F.array(F.lit(SHAPE_ERROR))).otherwise(F.array_compact(errors))
     return out.withColumn("errors", every).withColumn("word_count", F.when(F.col("is_object"), F.size("tokens"))).withColumn("valid", F.size("errors") == 0).drop("v", "is_object", "paragraph", "tokens")
+
+
+def covered_items(texts: DataFrame, items: list[str], key: str = "id", text: str = "text") -> DataFrame:
+    """key, items: for each text, those of the items whose words stand in it in a row, each in some inflection.
+
+    Words of texts meet a small table of the items' inflections; a start at which all of an item's words stand is a hit.
+    """
+    spark = texts.sparkSession
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(items)], "item int, word string").select("item", lexical_tokens(F.col("word")).alias("words"))
+    forms = asked.select("item", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word")).select("item", "n", "offset", F.explode(inflected_forms(F.col("word"))).alias("word"))
+    words = texts.select(key, F.posexplode(lexical_tokens(F.col(text))).alias("at", "word"))
+    # A few forms for every requested word, of which a request has thirty at most.
+    hits = words.join(F.broadcast(forms), "word").groupBy(key, "item", "n", (F.col("at") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("found"))
+    names = F.array(*map(F.lit, items))
+    found = hits.filter("found = n").groupBy(key).agg(F.array_sort(F.collect_set(names[F.col("item")])).alias("items"))
+    return texts.select(key).join(found, key, "left").select(key, F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import deterministic_uuid
 from ..functions.text import normalize_headword, sort_key
+from .audit import in_one_row
 
 # The shapes of the export's JSON columns.
 ENTRY = (
@@ -152,5 +153,21 @@ def import_lexicon(tables: dict[str, DataFrame], dictionary: str) -> dict[str, D
     }
 
 
-def import_counts(imported: dict[str, DataFrame]) -> dict[str, int]:
-    return {name: df.count() for name, df in imported.items()}
+def definition_languages(imported: dict[str, DataFrame]) -> DataFrame:
+    """One row: the languages that the definitions of an import are in, each once, in order."""
+    tables = [imported[t].select("language") for t in ("structured_entry_definitions", "structured_sense_definitions") if t in imported]
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every.agg(F.sort_array(F.collect_set("language")).alias("languages"))
+
+
+def import_counts(imported: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of every table, in one job."""
+    counts = [df.agg(F.count("*").alias(name)) for name, df in imported.items()]
+    return in_one_row(*counts)
+
+
+def import_summary(imported: dict[str, DataFrame]) -> DataFrame:
+    """One row: the counts of all tables, and the languages."""
+    return in_one_row(import_counts(imported), definition_languages(imported))

@@ -99,8 +99,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Nodes of all records (ordinal, headword, text) that aren't links."""
-    return parse_lines(split_lines(records.filter(~F.col("text").rlike(LINK)))).drop("text")
+    """Nodes of all records (ordinal, headword, text) that aren't links. A null text has no lines."""
+    return parse_lines(split_lines(records.filter(~F.coalesce(F.col("text").rlike(LINK), F.lit(False))))).drop("text")
 
 
 def serialize(nodes: DataFrame) -> DataFrame:

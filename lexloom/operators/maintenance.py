@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .audit import in_one_row
+
 LOCATOR = ("version", "file_checksum", "key_text", "key_block_index", "record_start_offset", "record_end_offset")
 
 
@@ -42,43 +44,75 @@ def locator_state(prefix: str = "mdx_locator_") -> Column:
     return F.when(F.forall(missing, lambda x: x), "none").when(F.coalesce(whole, F.lit(False)), "complete").otherwise("partial")
 
 
-def locator_key() -> Column:
-    """A locator's columns as one JSON array, offsets as text."""
-    return F.to_json(F.array(*[F.col(c).cast("string") for c in LOCATOR]))
+def locator_key(prefix: str = "") -> Column:
+    """A locator as one JSON array: version and block index as numbers, offsets as text."""
+
+    def quoted(name: str) -> Column:
+        text = F.to_json(F.array(F.col(f"{prefix}{name}").cast("string")))
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    def plain(name: str) -> Column:
+        return F.col(f"{prefix}{name}").cast("string")
+
+    parts = [plain(c) if c in ("version", "key_block_index") else quoted(c) for c in LOCATOR]
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
-def align_locators(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Entries beside the source's key list by ordinal, with the columns that disagree.
+def align_locators(entries: DataFrame, keys: DataFrame, checksum: str) -> DataFrame:
+    """Entries beside the source's key list by ordinal, with `mismatches`, the reasons why an entry may not be mapped,
+    and `state`, that of the stored locator.
 
-    keys: source_ordinal, headword_original, headword_normalized, entry_kind, redirect_target_original, and the locator.
+    keys: source_ordinal, headword_normalized, entry_raw, entry_kind, redirect_target_original as the source has them,
+    and the locator. Reasons: missing, checksum (of another file), headword, raw (content absent or another), kind,
+    partial (a stored locator that isn't whole), locator (a stored one that differs from the source's).
     """
-    compared = ("headword_original", "headword_normalized", "entry_kind", "redirect_target_original")
-    source = keys.select("source_ordinal", *[F.col(c).alias(f"k_{c}") for c in compared], *[F.col(c).alias(f"k_{c}_loc") for c in LOCATOR], F.lit(True).alias("k_found"))
-    both = entries.join(source, "source_ordinal", "left")
-    wrong = F.array_compact(F.array(F.when(F.col("k_found").isNull(), "missing"), *[F.when(F.col("k_found") & ~F.col(c).eqNullSafe(F.col(f"k_{c}")), c) for c in compared]))
-    return both.withColumn("mismatches", wrong).withColumn("state", locator_state())
+    compared = ("headword_normalized", "entry_raw", "entry_kind", "redirect_target_original")
+    source = keys.select("source_ordinal", *[F.col(c).alias(f"k_{c}") for c in compared], *[F.col(c).alias(f"k_loc_{c}") for c in LOCATOR], F.lit(True).alias("k_found"))
+    both = entries.join(source, "source_ordinal", "left").withColumn("state", locator_state())
+    found, stored = F.col("k_found").isNotNull(), F.col("state") == "complete"
+
+    def differs(a: str, b: str) -> Column:
+        return ~F.col(a).eqNullSafe(F.col(b))
+
+    reasons = {
+        "missing": ~found,
+        "checksum": found & (F.coalesce("k_loc_file_checksum", F.lit("")) != checksum),
+        "headword": found & (differs("headword_original", "k_loc_key_text") | differs("headword_normalized", "k_headword_normalized")),
+        "raw": found & (F.col("entry_raw").isNull() | differs("entry_raw", "k_entry_raw")),
+        "kind": found & (differs("entry_kind", "k_entry_kind") | differs("redirect_target_original", "k_redirect_target_original")),
+        "partial": F.col("state") == "partial",
+        "locator": found & stored & (locator_key("mdx_locator_") != locator_key("k_loc_")),
+    }
+    return both.withColumn("mismatches", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in reasons.items()])))
+
+
+def locator_collisions(keys: DataFrame) -> DataFrame:
+    """One row: how many keys of the whole list share a locator with another one before it."""
+    return keys.select(locator_key().alias("k")).agg((F.count("*") - F.count_distinct("k")).alias("collisions"))
 
 
-def backfill_summary(aligned: DataFrame) -> DataFrame:
-    """Counts of an alignment; collisions are locators that several keys share."""
+def backfill_summary(aligned: DataFrame, keys: DataFrame) -> DataFrame:
+    """Counts of an alignment: what may be mapped, what has its locator already, and what a backfill would write."""
     ok = F.size("mismatches") == 0
-    locator = F.struct(*[f"k_{c}_loc" for c in LOCATOR])
-    return aligned.agg(
+    counts = aligned.agg(
         F.count("*").alias("processed"),
-        F.count_if(ok & (F.col("state") != "partial")).alias("mappable"),
-        F.count_if(~ok | (F.col("state") == "partial")).alias("mismatches"),
-        F.count_if(F.col("state") == "complete").alias("already_populated"),
-        (F.count(F.when(F.col("k_found"), 1)) - F.count_distinct(F.when(F.col("k_found"), locator))).alias("collisions"),
+        F.count_if(ok).alias("mappable"),
+        F.count_if(~ok).alias("mismatches"),
+        F.count_if(ok & (F.col("state") == "complete")).alias("already_populated"),
+        F.count_if(ok & (F.col("state") == "none")).alias("fillable"),
     )
+    both = in_one_row(counts, locator_collisions(keys))
+    return both.withColumn("written", F.when(F.col("collisions") == 0, F.col("fillable")).otherwise(0)).drop("fillable")
 
 
-def apply_backfill(aligned: DataFrame, columns: list[str], prefix: str = "mdx_locator_") -> DataFrame:
-    """The entries with locators filled in where they were absent and the source agrees."""
+def apply_backfill(aligned: DataFrame, columns: list[str], keys: DataFrame, prefix: str = "mdx_locator_") -> DataFrame:
+    """The entries with locators filled in where they were absent and the source agrees; as they were if any keys of
+    the source share a locator."""
+    if locator_collisions(keys).first().collisions:
+        return aligned.select(columns)
     fill = (F.size("mismatches") == 0) & (F.col("state") == "none")
-    out = aligned
-    for c in LOCATOR:
-        out = out.withColumn(f"{prefix}{c}", F.when(fill, F.col(f"k_{c}_loc")).otherwise(F.col(f"{prefix}{c}")))
-    return out.select(columns)
+    filled = {f"{prefix}{c}": F.when(fill, F.col(f"k_loc_{c}")).otherwise(F.col(f"{prefix}{c}")) for c in LOCATOR}
+    return aligned.select([filled[c].alias(c) if c in filled else F.col(c) for c in columns])
 
 
 def column_mismatches(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -98,19 +132,39 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> D
     return both.select(F.coalesce(key, "__key").alias(key), outcome.alias("outcome"), F.when(outcome == "different", labels).otherwise(F.array().cast("array<string>")).alias("labels"))
 
 
+# The errors of a detail read by its locator, and the categories that reports count them under, first match first.
+MAPPING_ERROR = "LazyDetailMappingError"
+FAILURES = (
+    ("sanitizer", ("ShadowSanitizerError", "LazyDetailPipelineError"), ()),
+    ("checksum_mismatch", ("MdxFileIdentityMismatchError",), ("checksum",)),
+    ("malformed_locator", ("PartialPersistedMdxLocatorError", "InvalidMdxLocatorError"), ()),
+    ("missing_locator", (), ("no persisted",)),
+    ("identity_mismatch", (), ("identity", "align")),
+    ("mdx_read", ("MdxEntryNotFoundByLocatorError", MAPPING_ERROR), ()),
+)
+
+
 def failure_category(error_class: Column, message: Column) -> Column:
-    return (
-        F.when(error_class.contains("NotFound") | F.lower(message).contains("not found"), "not-found")
-        .when(error_class.contains("Checksum") | F.lower(message).contains("checksum"), "checksum-mismatch")
-        .when(error_class.contains("Timeout") | F.lower(message).contains("timed out"), "timeout")
-        .when(F.lower(message).contains("locator"), "invalid-locator")
-        .otherwise("unexpected")
-    )
+    """By the error's class, and for mapping errors by words in the message."""
+    out = F.lit("unknown")
+    for name, classes, words in reversed(FAILURES):
+        hit = error_class.isin(*classes) if classes else F.lit(False)
+        for word in words:
+            hit = hit | ((error_class == MAPPING_ERROR) & message.contains(word))
+        out = F.when(F.coalesce(hit, F.lit(False)), name).otherwise(out)
+    return out
+
 
+def one_per_key(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Of rows with one key, the first by `order` and then by content, so that reruns agree."""
+    content = F.to_json(F.struct(*rows.columns))
+    first = F.min_by(F.struct(*rows.columns), F.struct(order, content) if order is not None else content)
+    return rows.groupBy(F.col(key).alias("__key")).agg(first.alias("__row")).select("__row.*")
 
-def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
+
+def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
     """The rows to append so that each key is stored once, the stored one standing."""
-    return rows.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(rows.columns)
+    return one_per_key(rows.join(existing.select(key), key, "left_anti").select(rows.columns), key, order)
 
 
 def conflicts(rows: DataFrame, existing: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -122,9 +176,16 @@ def conflicts(rows: DataFrame, existing: DataFrame, key: str, columns: list[str]
     return rows.join(old, rows[key] == old["__key"]).filter(differ).select(rows.columns)
 
 
-def upsert(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """The table with the rows in place of those of the same keys."""
-    return existing.join(rows.select(key), key, "left_anti").select(rows.columns).unionByName(rows)
+def upsert(rows: DataFrame, existing: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """The table with the rows in place of those of the same keys; of rows with one key, the first by `order`."""
+    once = one_per_key(rows, key, order)
+    return existing.join(once.select(key), key, "left_anti").select(rows.columns).unionByName(once)
+
+
+def rebuild_children(parents: DataFrame, key: str, children: DataFrame, existing: DataFrame, reference: str) -> DataFrame:
+    """The children's table after the parents were stored again: all that they had goes, what they have now comes."""
+    kept = existing.join(parents.select(F.col(key).alias(reference)), reference, "left_anti")
+    return kept.select(existing.columns).unionByName(children.select(existing.columns))
 
 
 def write_append(rows: DataFrame, path: str, *partitions: str) -> None:

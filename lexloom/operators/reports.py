@@ -56,10 +56,9 @@ def markdown_measurements(lines: DataFrame, heading: str, pattern: str, names: t
     return found.select("file", "line", *[F.regexp_extract("text", pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
-def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small report as a Markdown table."""
-    rows = df.limit(most).collect()
-    shown = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]
+def markdown_table(df: DataFrame) -> str:
+    """A small report as a Markdown table, all of its rows, taken partition by partition."""
+    shown = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.toLocalIterator()]
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *shown])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHECKS, REFERENCES, UNIQUE
+from ..storage import durable
 
 LANGUAGE = "^[a-z]{2,3}(-[A-Z]{2})?$"
 ISSUE = "table string, code string, ref string"
@@ -52,18 +53,26 @@ def integrity_issues(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def block_levels(blocks: DataFrame, key: str = "id", parent: str = "parent_block_id", deepest: int = 50) -> DataFrame:
-    """key, level: roots at 0, children one below their parents. Blocks in a cycle, below a missing parent, or below the
-    deepest level have level null."""
-    edges = blocks.select(F.col(key).alias("k"), F.col(parent).alias("p"))
-    level = edges.filter("p is null").select("k", F.lit(0).alias("level"))
-    done, depth = level, 0
-    while depth < deepest:
-        below = edges.join(level.select(F.col("k").alias("p")), "p").select("k", F.lit(depth + 1).alias("level"))
-        if below.isEmpty():
-            break
-        done, level, depth = done.unionByName(below), below, depth + 1
-    return edges.select("k").join(done, "k", "left").select(F.col("k").alias(key), "level")
+def block_levels(blocks: DataFrame, key: str = "id", parent: str = "parent_block_id", strict: bool = True) -> DataFrame:
+    """key, level: roots at 0, children one below their parents, however deep.
+
+    Every round doubles how far a block looks up, so rounds grow with the logarithm of the depth. Blocks in a cycle or
+    below a missing parent are an error; if not strict, they have level null.
+    """
+    state = blocks.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("d"), F.lit(False).alias("lost"))
+    state = durable(state)
+    rounds = state.count().bit_length() + 1
+    while rounds and not state.filter("up is not null").isEmpty():
+        above = state.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("lost").alias("lost2"), F.lit(True).alias("known"))
+        both = state.join(above, "up", "left")
+        missing = F.col("up").isNotNull() & F.col("known").isNull()
+        state = durable(both.select("k", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), (F.col("lost") | missing | F.coalesce("lost2", F.lit(False))).alias("lost")))
+        rounds -= 1
+    placed = F.when(F.col("up").isNull() & ~F.col("lost"), F.col("d"))
+    out = state.select(F.col("k").alias(key), placed.alias("level"))
+    if strict:
+        must_be_empty(out.filter("level is null"), "blocks in a cycle or without their parent")
+    return out
 
 
 def projection_issues(nodes: DataFrame, forms: DataFrame, definitions: DataFrame, examples: DataFrame, blocks: DataFrame, accounting: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ dictionary, part name the headword, its second word a form), `orders` and `event
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
-from ..operators import audit, detail, lines, maintenance, reports, search, validation
+from ..operators import audit, corpus_audit, detail, generated, lexicon_import, lines, maintenance, reports, search, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,10 +140,16 @@ def normalize_headword_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_ascii(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  x "))).alias("headword"))
 
 
-@query()
+@query("""
+SELECT doc_id, h AS headword, strip_accents(h) AS sort_key, lower(trim(regexp_replace(left(text, 20), '\\s+', ' ', 'g'))) AS narrow
+FROM (SELECT doc_id, text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents)
+""")
 def normalize_headword_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, which are composed already, and their beginnings written in wide letters, which are made narrow."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.normalize_headword(F.col("text")).alias("headword"), text.sort_key(F.col("text")).alias("sort_key"))
+    wide = F.translate(F.substring("text", 1, 20), "".join(map(chr, range(0x21, 0x7F))), "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)))
+    head = docs.select("doc_id", text.normalize_headword(F.col("text")).alias("headword"), text.normalize_headword(wide).alias("narrow"))
+    return head.withColumn("sort_key", text.without_marks("headword"))
 
 
 @query("""
@@ -189,7 +196,10 @@ def size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 def median_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    kinds = [r.event_type for r in events.select("event_type").distinct().collect()]  # a handful
+    parts = [audit.size_statistics(events.filter(F.col("event_type").eqNullSafe(F.lit(k))), "value").select(F.lit(k).alias("event_type"), F.round("median", 6).alias("median")) for k in kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""
@@ -241,11 +251,14 @@ def shape_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_brand, p_partkey, p_size, lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)
-SELECT p_brand, count(p_size) > count(DISTINCT p_size) AS repeated, coalesce(bool_or(p_size > b + 1), false) AS skipping, coalesce(bool_or(p_size <= b), false) AS restarting FROM n GROUP BY p_brand
+WITH m AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END AS k, p_size % 7 = 0 AS o FROM part),
+n AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m)
+SELECT p_brand, count(k) > count(DISTINCT k) AS repeated, coalesce(bool_or(k > b + 1), false) AS skipping, coalesce(bool_or(k <= b), false) AS restarting, bool_or(o) AND count(k) > 0 AS mixed FROM n GROUP BY p_brand
 """)
 def numbering_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.sequence_flags(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size")
+    """Sizes as the numbers of a brand's parts; multiples of seven stand for marks that are no numbers."""
+    marks = table(spark, sf_dir, "part").withColumn("number", F.when(F.col("p_size") % 7 != 0, F.col("p_size")))
+    return audit.sequence_flags(marks, "p_brand", "p_partkey", "number", F.col("p_size") % 7 == 0)
 
 
 @query("""
@@ -261,13 +274,13 @@ def active_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT conv_id, turn, coalesce(max(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen,
-       CASE WHEN l IS NULL THEN 'none' WHEN turn < l THEN 'before' WHEN turn > l THEN 'after' ELSE 'at' END AS place
+       CASE WHEN l IS NULL THEN 'before-definition' WHEN turn > l THEN 'after-last-definition' ELSE 'between-definitions' END AS place
 FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS l FROM conversations)
 """)
 def marks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     seen = audit.seen_before(turns, "conv_id", "turn", F.col("role") == "assistant")
-    return audit.around_last(seen, "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "seen", "place")
+    return audit.around_marks(seen, "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "seen", "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ordinal FROM lineitem")
@@ -325,9 +338,9 @@ SELECT d.doc_id, w.item, ok.item IS NOT NULL AS covered FROM documents d CROSS J
 """ % TOKENS)
 def vocabulary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each text has each item, word after word, in some inflection."""
-    words = F.array(*map(F.lit, ("the ing", "and", "er then", "tion")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.lexical_tokens(F.col("text")).alias("tokens"))
-    return docs.select("doc_id", "tokens", F.explode(words).alias("item")).select("doc_id", "item", text.contains_item(F.col("tokens"), text.lexical_tokens(F.col("item"))).alias("covered"))
+    items = ["the ing", "and", "er then", "tion"]
+    found = generated.covered_items(table(spark, sf_dir, "documents"), items, "doc_id")
+    return found.select("doc_id", "items", F.explode(F.array(*map(F.lit, items))).alias("item")).select("doc_id", "item", F.array_contains("items", F.col("item")).alias("covered"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN k <= 3 THEN 35 WHEN k <= 7 THEN 50 ELSE 80 END AS INTEGER) AS least, CAST(CASE WHEN k <= 3 THEN 120 WHEN k <= 7 THEN 150 ELSE 180 END AS INTEGER) AS most FROM (SELECT doc_id, n_chars % 12 AS k FROM documents)")
@@ -510,8 +523,7 @@ def cumulative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n AS key, count(*) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1")
 def count_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("key"))
-    return per.groupBy("key").agg(F.count("*").alias("n"))
+    return audit.count_distribution(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 10")
@@ -556,9 +568,14 @@ def resource_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT lang, count(*) AS n, CAST(min(doc_id) AS BIGINT) AS first FROM documents GROUP BY lang")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail.first_seen(table(spark, sf_dir, "documents"), "lang", "doc_id")
+
+
+@query("SELECT o_orderkey AS \"key\", min(l_linenumber) AS first, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def grouped_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detail.grouped_in_order(table(spark, sf_dir, "documents"), "lang", "doc_id", "doc_id")
-    return found.select("lang", F.size("rows").cast("long").alias("n"), "first")
+    found = detail.grouped_in_order(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    return found.select(F.col("l_orderkey").alias("key"), "first", F.array_join(F.transform("rows", lambda r: r.l_partkey.cast("string")), ",").alias("parts"))
 
 
 @query("SELECT count(*) AS n, array_to_string(list(m ORDER BY doc_id)[1:5], ',') AS samples FROM (SELECT doc_id, 'doc ' || doc_id AS m FROM documents WHERE n_chars < 200)")
@@ -568,7 +585,7 @@ def capped_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", F.array_join(F.transform("samples", lambda s: s.message), ",").alias("samples"))
 
 
-@query()
+@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, string_agg(text, '' ORDER BY turn) AS text, 'completed' AS status FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def stream_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated texts cut into chunks: each request's field, read again from its fragments in order."""
     from ..streaming.json_field import completions, checked_events, ndjson
@@ -579,7 +596,17 @@ def stream_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions(checked_events(ndjson(events.unionByName(ends))))
 
 
-@query()
+@query("""
+WITH l AS (
+  SELECT doc_id, k - 1 AS line, CASE WHEN k < n OR NOT ends THEN raw END AS raw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n, ends_with(text, chr(10)) OR text = '' AS ends FROM documents)
+)
+SELECT CASE WHEN raw = '' THEN 'raw' WHEN regexp_matches(raw, '^【[^】]*】$') THEN 'grammatical-label' WHEN regexp_matches(raw, '^[◯①-⑳]') THEN 'definition' WHEN starts_with(raw, '｢') THEN 'example'
+            WHEN starts_with(raw, '▶') THEN 'note' WHEN starts_with(raw, '◈') THEN 'special-section' WHEN starts_with(raw, '表現') THEN 'expression' WHEN starts_with(raw, '派生') THEN 'derivative'
+            WHEN regexp_matches(raw, '^([㋐-㋾⑴-⒇]|\\([0-9]{1,2}\\)|\\[[0-9]{1,2}\\])') THEN 'subdivision' WHEN regexp_matches(raw, '^→') THEN 'redirect' WHEN line = 0 THEN 'heading' ELSE 'raw' END AS type,
+       count(*) AS n
+FROM l WHERE raw IS NOT NULL GROUP BY 1
+""")
 def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read under the line grammar: their nodes, blocks and diagnostics in one histogram."""
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("headword"), "text")
@@ -621,3 +648,180 @@ def projection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("headword"), "text")
     nodes = lines.parse_records(records)
     return reports.projection_audit(lines.forms(records, nodes), lines.project_definitions(nodes), lines.project_examples(nodes), lines.project_blocks(nodes), lines.diagnostics(nodes))
+
+
+LOCATED = """
+SELECT p_partkey AS k, p_name AS w, p_partkey % 11 = 0 AS absent, p_partkey % 13 = 0 AS other_raw, p_partkey % 17 = 0 AS partly, p_partkey % 3 = 0 AS stored, p_partkey % 9 = 0 AS wrong FROM part
+"""
+
+
+def located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries out of `part` and the key list of their source. Of the entries some lack a key, some have another content,
+    some half a locator; every third has one, of which every third is wrong."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_ordinal"), F.col("p_name").alias("headword_original"), F.col("p_type").alias("entry_raw"))
+    k = F.col("source_ordinal")
+    locator = {"version": F.lit(1), "file_checksum": F.lit("f"), "key_text": F.col("headword_original"), "key_block_index": (k % 7).cast("int"), "record_start_offset": k.cast("long") + (1 << 53), "record_end_offset": k.cast("long") + (1 << 53) + 1}
+    kinds = [F.col("headword_original").alias("headword_normalized"), F.lit("definition").alias("entry_kind"), F.lit(None).cast("string").alias("redirect_target_original")]
+    keys = part.filter(k % 11 != 0).select("source_ordinal", "entry_raw", *kinds, *[c.alias(n) for n, c in locator.items()])
+    whole = (k % 3 == 0) & (k % 17 != 0)
+    stored = {n: F.when(whole | ((k % 17 == 0) & F.lit(n == "version")), c) for n, c in locator.items()}
+    stored["record_end_offset"] = F.when(whole, locator["record_end_offset"] + F.when(k % 9 == 0, 1).otherwise(0))
+    raw = F.when(k % 13 == 0, F.concat("entry_raw", F.lit("!"))).otherwise(F.col("entry_raw")).alias("entry_raw")
+    return part.select("source_ordinal", "headword_original", raw, *kinds, *[c.alias(f"mdx_locator_{n}") for n, c in stored.items()]), keys
+
+
+@query(f"""
+WITH e AS (SELECT *, NOT absent AND NOT other_raw AND NOT partly AND NOT (stored AND wrong) AS ok FROM ({LOCATED}))
+SELECT count(*) AS processed, count(*) FILTER (WHERE ok) AS mappable, count(*) FILTER (WHERE NOT ok) AS mismatches, count(*) FILTER (WHERE ok AND stored) AS already_populated,
+       0::BIGINT AS collisions, count(*) FILTER (WHERE ok AND NOT stored) AS written FROM e
+""")
+def locator_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, keys = located(spark, sf_dir)
+    found = maintenance.backfill_summary(maintenance.align_locators(entries, keys, "f"), keys)
+    return found.select(*[F.col(c).cast("long").alias(c) for c in found.columns])
+
+
+@query(f"""
+SELECT reason, count(*) AS n FROM (
+  SELECT unnest([CASE WHEN absent THEN 'missing' END, CASE WHEN NOT absent AND other_raw THEN 'raw' END, CASE WHEN partly THEN 'partial' END, CASE WHEN NOT absent AND NOT partly AND stored AND wrong THEN 'locator' END]) AS reason
+  FROM ({LOCATED})) WHERE reason IS NOT NULL GROUP BY reason
+""")
+def locator_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, keys = located(spark, sf_dir)
+    return maintenance.align_locators(entries, keys, "f").select(F.explode("mismatches").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT k AS source_ordinal, '[1,\"f\",\"' || w || '\",' || k % 7 || ',\"' || (k + 9007199254740992) || '\",\"' || (k + 9007199254740993) || '\"]' AS locator FROM ({LOCATED}) WHERE NOT absent")
+def locator_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return located(spark, sf_dir)[1].select("source_ordinal", maintenance.locator_key().alias("locator"))
+
+
+@query("SELECT count(*) - count(DISTINCT p_name) AS collisions, 0::BIGINT AS filled FROM part")
+def locator_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose locators are their names only: where they collide, nothing may be filled in."""
+    entries, keys = located(spark, sf_dir)
+    keys = keys.unionByName(keys.limit(0))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_ordinal"), F.col("p_name").alias("key_text"))
+    same = part.select("source_ordinal", "key_text", F.col("key_text").alias("headword_normalized"), F.lit(None).cast("string").alias("entry_raw"), F.lit("definition").alias("entry_kind"), F.lit(None).cast("string").alias("redirect_target_original"), F.lit(1).alias("version"), F.lit("f").alias("file_checksum"), F.lit(0).alias("key_block_index"), F.lit(0).cast("long").alias("record_start_offset"), F.lit(1).cast("long").alias("record_end_offset"))
+    bare = entries.filter("mdx_locator_version is null")
+    filled = maintenance.apply_backfill(maintenance.align_locators(bare, same, "f"), bare.columns, same).filter("mdx_locator_version is not null")
+    return audit.in_one_row(maintenance.locator_collisions(same), filled.agg(F.count("*").alias("filled")))
+
+
+CASES = "(VALUES ('ShadowSanitizerError', 'x', 'sanitizer'), ('LazyDetailPipelineError', 'checksum', 'sanitizer'), ('MdxFileIdentityMismatchError', '', 'checksum_mismatch'), ('LazyDetailMappingError', 'the checksum differs', 'checksum_mismatch'), ('PartialPersistedMdxLocatorError', 'x', 'malformed_locator'), ('InvalidMdxLocatorError', 'x', 'malformed_locator'), ('LazyDetailMappingError', 'has no persisted locator', 'missing_locator'), ('LazyDetailMappingError', 'identity differs', 'identity_mismatch'), ('LazyDetailMappingError', 'does not align', 'identity_mismatch'), ('LazyDetailMappingError', 'other', 'mdx_read'), ('MdxEntryNotFoundByLocatorError', 'identity', 'mdx_read'), ('TypeError', 'checksum', 'unknown'))"
+
+
+@query(f"SELECT c, m, category FROM {CASES} v(c, m, category)")
+def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT col1 AS c, col2 AS m FROM {CASES}").withColumn("category", maintenance.failure_category(F.col("c"), F.col("m")))
+
+
+PAYLOADS = """
+SELECT p_partkey AS ordinal, p_name AS headword, p_partkey % 6 AS v, p_size AS z, p_name AS w, p_partkey AS k FROM part
+"""
+#: By the rest of the key divided by six: a record's text, its heading pattern and relation.
+FORMS = (
+    ("w || '［' || w || '・x］' || chr(10) || '①a/b' || chr(10) || '表現x'", "explicit+reading-orthography+middle-dot", "contains-index"),
+    ("w || chr(10) || '注意y' || chr(10) || 'z'", "explicit+plain", "exact"),
+    ("'x-' || k || chr(10) || '◯a' || chr(10) || '派生p・q' || chr(10) || '◯b' || chr(10) || '｢c/d｣'", "explicit+plain+hyphen", "different"),
+    ("'【名】' || chr(10) || '①かな/汉' || chr(10) || '③c' || chr(10) || '①d'", "implicit-index-heading", "payload-starts-with-pos"),
+    ("'→ ' || w || ' 【x】'", "plain-redirect", "plain-redirect"),
+    ("w || ' @@@LINK=░d░【s】🗏1№2'", "link-record", "link-record"),
+)
+
+
+def payload_sql() -> str:
+    return f"SELECT ordinal, headword, v, CASE v {' '.join(f'WHEN {i} THEN {t}' for i, (t, *_) in enumerate(FORMS))} END AS text FROM ({PAYLOADS})"
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as dictionary records of six forms."""
+    return spark.sql(payload_sql().replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")).select("ordinal", "headword", "text")
+
+
+@query(f"""
+WITH p AS ({payload_sql()}), f AS (
+  SELECT 'heading-pattern' AS topic, CASE v {' '.join(f"WHEN {i} THEN '{h}'" for i, (_, h, _) in enumerate(FORMS))} END AS key, 1 AS n FROM p
+  UNION ALL SELECT 'heading-relation', CASE v {' '.join(f"WHEN {i} THEN '{r}'" for i, (*_, r) in enumerate(FORMS))} END, 1 FROM p
+  UNION ALL SELECT 'section-position', CASE v WHEN 0 THEN '表現|after-last-definition' WHEN 1 THEN '注意|before-definition' ELSE '派生|between-definitions' END, 1 FROM p WHERE v < 3
+  UNION ALL SELECT 'numbering', unnest(['repeated', 'skipping', 'restarting']), 1 FROM p WHERE v = 3
+  UNION ALL SELECT 'codepoint', 'U+1F5CF', 1 FROM p WHERE v = 5
+  UNION ALL SELECT 'derivative-shape', 'multiple-separators', 1 FROM p WHERE v = 2
+  UNION ALL SELECT 'example-note', 'after-notes', 1 FROM p WHERE v = 2
+  UNION ALL SELECT 'shape', CASE v WHEN 0 THEN 'H D# 表現' WHEN 1 THEN 'H 注意 RAW' WHEN 2 THEN 'H D◯ 派生 D◯ E' WHEN 3 THEN 'P D#×3' WHEN 4 THEN 'R' ELSE 'L' END, 1 FROM p
+  UNION ALL SELECT 'marker', CASE v WHEN 2 THEN '◯' ELSE '①' END, CASE v WHEN 0 THEN 1 ELSE 2 END FROM p WHERE v IN (0, 2, 3)
+  UNION ALL SELECT 'marker', '③', 1 FROM p WHERE v = 3
+  UNION ALL SELECT 'slash-definition', 'one-ambiguous', 1 FROM p WHERE v = 0
+  UNION ALL SELECT 'slash-definition', 'none', 2 FROM p WHERE v IN (2, 3)
+  UNION ALL SELECT 'slash-definition', 'obvious-ja-zh', 1 FROM p WHERE v = 3
+  UNION ALL SELECT 'redirect', unnest(['records', 'target-in-index']), 1 FROM p WHERE v = 4
+  UNION ALL SELECT 'link', unnest(['records', 'parsed', 'target-in-index', 'headword=target']), 1 FROM p WHERE v = 5
+) SELECT topic, key, CAST(sum(n) AS BIGINT) AS n, count(*) AS entries FROM f GROUP BY topic, key
+""")
+def corpus_audit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus audit of records of six forms."""
+    topics = ["heading-pattern", "heading-relation", "section-position", "numbering", "codepoint", "derivative-shape", "example-note", "shape", "marker", "slash-definition", "redirect", "link"]
+    records = payloads(spark, sf_dir)
+    return corpus_audit.facts(records).filter(F.col("topic").isin(topics)).groupBy("topic", "key").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
+
+
+@query("SELECT count(*) FILTER (WHERE k % 6 <> 5) AS entries, count(*) FILTER (WHERE k % 6 = 1) AS entries_with_unknown, 0::BIGINT AS entries_with_blank FROM (SELECT p_partkey AS k FROM part)")
+def node_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.node_audit(lines.parse_records(payloads(spark, sf_dir)).filter("raw not like '注意%' and raw not like '表現%' or raw is null"))
+    return found.select("entries", F.col("entries_with_unknown"), "entries_with_blank")
+
+
+@query("SELECT array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM (SELECT lang FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'ja')")
+def definition_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"))
+    found = lexicon_import.definition_languages({"structured_sense_definitions": docs, "structured_entry_definitions": docs.limit(1).select(F.lit("ja").alias("language"))})
+    return found.select(F.array_join("languages", ",").alias("languages"))
+
+
+@query("""
+WITH t AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, lang FROM documents)
+SELECT d.doc_id, CASE WHEN d.lang = 'en' OR t.source IS NULL THEN '<p>' || d.n_chars || '</p>' ELSE '<p>' || t.n_chars || '</p>' END AS shown_html
+FROM documents d LEFT JOIN t ON d.source = t.source AND t.n = 1
+""")
+def html_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in other languages than English show the first text of their source."""
+    docs = table(spark, sf_dir, "documents")
+    html = F.concat(F.lit("<p>"), F.col("n_chars").cast("string"), F.lit("</p>"))
+    entries = docs.select(F.col("doc_id").alias("id"), F.lit("d").alias("dictionary_id"), F.col("source").alias("headword_normalized"), F.when(F.col("lang") == "en", "definition").otherwise("redirect").alias("entry_kind"), F.col("source").alias("redirect_target_normalized"), html.alias("entry_sanitized_html"), F.lit("").alias("entry_plain_text"), F.col("doc_id").alias("source_ordinal"))
+    return detail.html_detail(entries).select(F.col("id").alias("doc_id"), "shown_html")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_returnflag AS f FROM lineitem)
+SELECT o_orderkey AS id, coalesce((SELECT string_agg(p, ',' ORDER BY n, p) FROM i WHERE i.k = o_orderkey AND f = 'A'), '') AS forms,
+       coalesce((SELECT string_agg(n || ':' || p, ',' ORDER BY n, p) FROM i WHERE i.k = o_orderkey AND f <> 'A'), '') AS senses
+FROM orders
+""")
+def structured_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries: items returned are their forms, others senses with one definition each."""
+    items = table(spark, sf_dir, "lineitem")
+    none, word = F.array().cast("array<string>"), F.col("l_partkey").cast("string")
+    own = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    forms = items.filter("l_returnflag = 'A'").select(F.lpad(word, 12, "0").alias("id"), F.col("l_orderkey").alias("structured_entry_id"), word.alias("text"), F.lit("ja").alias("language"), F.lit("kana").alias("kind"), none.alias("tags"), none.alias("restrictions"), F.col("l_linenumber").alias("ordinal"))
+    other = items.filter("l_returnflag <> 'A'")
+    senses = other.select(F.concat(F.lpad(word, 12, "0"), own).alias("id"), F.col("l_orderkey").alias("structured_entry_id"), F.col("l_linenumber").alias("ordinal"), none.alias("part_of_speech"), none.alias("domains"), none.alias("tags"), F.lit(None).cast("string").alias("notes"))
+    meanings = other.select(F.lit("m").alias("id"), F.concat(F.lpad(word, 12, "0"), own).alias("sense_id"), word.alias("text"), F.lit("en").alias("language"), F.lit("s").alias("source"), F.lit(0).alias("ordinal"))
+    definitions = forms.limit(0).select("id", "structured_entry_id", "text", "language", F.lit("s").alias("source"), "ordinal")
+    full = detail.structured_detail(entries, forms, definitions, senses, meanings)
+    shown = F.transform("senses", lambda s: F.concat_ws(":", s.ordinal.cast("string"), s.definitions[0].text))
+    return full.select("id", F.array_join(F.transform("forms", lambda f: f.text), ",").alias("forms"), F.array_join(shown, ",").alias("senses"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Output is not valid JSON' WHEN 1 THEN '' WHEN 2 THEN 'paragraph is missing requested items: ' || w || '; usedWords does not match the requested vocabulary items' ELSE 'paragraph must contain 35–120 English words' END AS errors
+FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)
+""")
+def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated texts of four sorts: broken, sound, without the word, too short."""
+    k, word = F.col("p_partkey"), F.split_part("p_name", F.lit(" "), F.lit(1))
+    said = F.when(k % 4 == 2, F.lit("qqq")).otherwise(word)
+    paragraph = F.concat_ws(" ", said, F.repeat(F.lit("zzz "), F.when(k % 4 == 3, 5).otherwise(39)))
+    output = F.to_json(F.struct(paragraph.alias("paragraph"), F.lit("t").alias("translation"), F.array(said).alias("usedWords")))
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 4 == 0, "{broken").otherwise(output).alias("text"), F.array(word).alias("words"))
+    return generated.validate_generated(asked).select("p_partkey", F.array_join("errors", "; ").alias("errors"))

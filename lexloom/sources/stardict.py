@@ -1,7 +1,8 @@
 """A Spark data source for StarDict containers: `spark.read.format("stardict").load(folder)`.
 
-The driver reads the header and plans ranges of the index; each task reads its own range of records. A compressed
-payload is unpacked once in each task, as the format has no other way in.
+The driver reads the header and plans ranges of the index; each task reads its own range of the index, and of the
+payload only the bytes that its records span: by seeking in a plain payload, by the chunk table of one compressed for
+random access. A payload that is plain gzip is unpacked once in each task, as it has no other way in.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import glob
 import gzip
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEADER = "StarDict's dict ifo file"
 LARGEST_OFFSET = (1 << 53) - 1
 RECORDS = 100_000
-#: An offset index lists the start of every so many-th record.
-STRIDE = 32
+# An offset index begins with this line and four more bytes, and lists the start of every 32nd record.
+CACHE_HEADER, CACHE_OPAQUE, STRIDE = b"StarDict's Cache, Version: 0.2", 4, 32
 
 
 class StarDictError(ValueError):
@@ -65,9 +67,10 @@ class Container:
     def bits(self) -> int:
         return int(self.info.get("idxoffsetbits", "32"))
 
-    def index(self) -> bytes:
+    def index(self, start: int = 0, end: int | None = None) -> bytes:
         with open(f"{self.base}.idx", "rb") as f:
-            return f.read()
+            f.seek(start)
+            return f.read() if end is None else f.read(end - start)
 
     def payload(self) -> bytes:
         if os.path.exists(f"{self.base}.dict"):
@@ -76,10 +79,51 @@ class Container:
         with gzip.open(f"{self.base}.dict.dz") as f:
             return f.read()
 
+    def span(self, start: int, end: int) -> bytes:
+        """The payload's bytes from start to end, as far as there are any."""
+        if os.path.exists(f"{self.base}.dict"):
+            with open(f"{self.base}.dict", "rb") as f:
+                f.seek(start)
+                return f.read(max(0, end - start))
+        with open(f"{self.base}.dict.dz", "rb") as f:
+            table = chunk_table(f.read(1 << 17))
+            if table is None:
+                return self.payload()[start:end]
+            length, places = table
+            out = bytearray()
+            for k in range(start // length, min(-(-end // length), len(places) - 1)):
+                f.seek(places[k])
+                out += zlib.decompressobj(-15).decompress(f.read(places[k + 1] - places[k]))
+            return bytes(out[start % length : start % length + max(0, end - start)])
+
     def payload_size(self) -> int:
         return os.path.getsize(f"{self.base}.dict") if os.path.exists(f"{self.base}.dict") else len(self.payload())
 
 
+def chunk_table(head: bytes) -> tuple[int, list[int]] | None:
+    """The length of a chunk unpacked, and the places of all chunks and their end, of a gzip file made for random
+    access: its extra field RA lists the packed sizes. None for other files."""
+    if head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
+        return None
+    size = struct.unpack_from("<H", head, 10)[0]
+    at, end, found = 12, 12 + size, None
+    while at + 4 <= end:
+        name, n = head[at : at + 2], struct.unpack_from("<H", head, at + 2)[0]
+        if name == b"RA":
+            _, length, count = struct.unpack_from("<HHH", head, at + 4)
+            found = length, struct.unpack_from(f"<{count}H", head, at + 10)
+        at += 4 + n
+    if found is None:
+        return None
+    for flag in (8, 16):  # name and comment end in a zero byte
+        if head[3] & flag:
+            end = head.index(b"\0", end) + 1
+    places = [end + 2 * bool(head[3] & 2)]
+    for n in found[1]:
+        places.append(places[-1] + n)
+    return found[0], places
+
+
 def open_container(folder: str) -> Container:
     found = sorted(glob.glob(os.path.join(folder, "*.ifo")))
     if len(found) != 1:
@@ -107,21 +151,30 @@ def check(container: Container) -> list[tuple[str, int, int, int]]:
 
 
 def offset_index_faults(container: Container) -> list[str]:
-    """What a `.idx.oft` file, if there is one, gets wrong: it lists every 32nd record's start, then the end."""
+    """What a `.idx.oft` file, if there is one, gets wrong: it has a header, and lists as little-endian numbers every
+    32nd record's start and then the end of the index."""
     path = f"{container.base}.idx.oft"
     if not os.path.exists(path):
         return []
     with open(path, "rb") as f:
         data = f.read()
-    listed = [x for (x,) in struct.iter_unpack(">I", data[: len(data) // 4 * 4])]
+    begin = len(CACHE_HEADER) + CACHE_OPAQUE
+    if not data.startswith(CACHE_HEADER) or len(data) < begin:
+        return ["unexpected header"]
+    if (len(data) - begin) % 4:
+        return ["the list's length is no multiple of four"]
+    listed = [x for (x,) in struct.iter_unpack("<I", data[begin:])]
     index = container.index()
     due = [at for i, (_, _, _, at) in enumerate(parse_index(index, container.bits)) if i % STRIDE == 0] + [len(index)]
-    return [] if listed == due else [f"{sum(a != b for a, b in zip(listed, due, strict=False)) + abs(len(listed) - len(due))} of {len(due)} entries differ"]
+    wrong = sum(a != b for a, b in zip(listed, due, strict=False)) + abs(len(listed) - len(due))
+    return [f"{wrong} of {len(due)} entries differ"] if wrong else []
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, records: list):
-        self.first, self.records = first, records
+    """Records from the number `first` on, in the index from byte `start` to `end`."""
+
+    def __init__(self, first: int, start: int, end: int):
+        self.first, self.start, self.end = first, start, end
 
 
 class _Reader(DataSourceReader):
@@ -131,13 +184,18 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         container = open_container(self.folder)
-        records = list(parse_index(container.index(), container.bits)) if self.lenient else check(container)
-        return [_Range(i, [r[:3] for r in records[i : i + self.rows]]) for i in range(0, len(records), self.rows)] or [_Range(0, [])]
+        records = parse_index(container.index(), container.bits) if self.lenient else check(container)
+        starts = [at for i, (_, _, _, at) in enumerate(records) if i % self.rows == 0]
+        ends = [*starts[1:], os.path.getsize(f"{container.base}.idx")]
+        return [_Range(i * self.rows, a, b) for i, (a, b) in enumerate(zip(starts, ends, strict=False))] or [_Range(0, 0, 0)]
 
     def read(self, partition: _Range):
-        payload = open_container(self.folder).payload()
-        for i, (word, offset, size) in enumerate(partition.records):
-            raw, error = payload[offset : offset + size], None
+        container = open_container(self.folder)
+        records = list(parse_index(container.index(partition.start, partition.end), container.bits))
+        begin = min((offset for _, offset, _, _ in records), default=0)
+        payload = container.span(begin, max((offset + size for _, offset, size, _ in records), default=0))
+        for i, (word, offset, size, _) in enumerate(records):
+            raw, error = payload[offset - begin : offset - begin + size], None
             if len(raw) < size:
                 error = "outside of the payload"
             try:

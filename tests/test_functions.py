@@ -29,9 +29,24 @@ def test_forms_and_policies(spark):
     assert column(spark, [" id ", "", "a\x00b", "z" * 201], text.valid_identifier) == [True, False, False, False]
 
 
+def test_compositions(spark):
+    assert column(spark, ["ＡＢ don't ﬁt"], text.lexical_tokens, "string") == [["ab", "don't", "fit"]]
+    assert column(spark, ["ｗａｌｋ"], text.correction_forms) == [["walk", "walks", "walked", "walking"]]
+    assert column(spark, [["e\u0301" * 100], [None], None], text.valid_items, "array<string>") == [True, False, None]
+    assert column(spark, ["①a/b", "①かな/汉", "①/b"], lambda c: text.slash_shape(c, 1)) == ["one-ambiguous", "obvious-ja-zh", "right-only"]
+
+
+def test_covered_items(spark):
+    from lexloom.operators.generated import covered_items
+
+    df = spark.createDataFrame([(1, "She was LOOKING forward to it"), (2, "forward looking"), (3, ""), (4, None)], "id int, text string")
+    got = {r.id: r["items"] for r in covered_items(df, ["look forward", "forward", "it"]).collect()}
+    assert got == {1: ["forward", "it", "look forward"], 2: ["forward"], 3: [], 4: []}
+
+
 def test_coverage_of_phrases(spark):
     df = spark.createDataFrame([("she was looking forward to it", "look forward"), ("forward looking", "look forward"), ("", "x"), ("a b", "")], "t string, w string")
-    assert [r.x for r in df.select(text.contains_item(text.lexical_tokens("t"), text.lexical_tokens("w")).alias("x")).collect()] == [True, False, False, False]
+    assert [r.x for r in df.select(text.contains_item(text.composed_tokens(F.col("t")), text.composed_tokens(F.col("w"))).alias("x")).collect()] == [True, False, False, False]
 
 
 def test_stable_json(spark):

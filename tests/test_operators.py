@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import audit, detail, lines, maintenance, search, validation
+from lexloom.operators import audit, corpus_audit, detail, lines, maintenance, search, validation
 
 ENTRY = "id string, dictionary_id string, headword_original string, headword_normalized string, sort_key string, entry_kind string, entry_plain_text string, redirect_target_original string, redirect_target_normalized string, source_ordinal int, source_record_id string, entry_sanitized_html string"
 
@@ -118,7 +118,9 @@ def test_integrity(spark):
     assert any(t == "structured_content_blocks" and c.startswith("duplicate") and r == "e1|0" for t, c, r in got)
     assert ("structured_content_blocks", "orphan:structured_entry_id,parent_block_id", "e1|b9") in got
     assert ("structured_examples", "orphan:structured_entry_id,content_block_id", "e2|b1") in got
-    levels = {r.id: r.level for r in validation.block_levels(blocks).collect()}
+    with pytest.raises(ValueError, match="cycle"):
+        validation.block_levels(blocks)
+    levels = {r.id: r.level for r in validation.block_levels(blocks, strict=False).collect()}
     assert levels == {"b1": 0, "b2": 0, "b3": None, "b4": None}
     from lexloom.schemas import schema
 
@@ -150,19 +152,47 @@ def test_reprocessing(spark):
 
 
 def test_locator_backfill(spark):
-    loc = "mdx_locator_version int, mdx_locator_file_checksum string, mdx_locator_key_text string, mdx_locator_key_block_index int, mdx_locator_record_start_offset bigint, mdx_locator_record_end_offset bigint"
-    e = spark.createDataFrame([(i, w, w, "definition", None, *[None] * 6) for i, w in enumerate("aabcd")], f"source_ordinal int, headword_original string, headword_normalized string, entry_kind string, redirect_target_original string, {loc}")
-    keys = spark.createDataFrame([(i, w, w, "definition", None, 1, "f", w, 0, (1 << 53) + i, (1 << 53) + i + 1) for i, w in enumerate("aabcd")], "source_ordinal int, headword_original string, headword_normalized string, entry_kind string, redirect_target_original string, version int, file_checksum string, key_text string, key_block_index int, record_start_offset bigint, record_end_offset bigint")
-    first = maintenance.align_locators(e, keys)
-    r = maintenance.backfill_summary(first).first()
-    assert (r.processed, r.mappable, r.mismatches, r.already_populated, r.collisions) == (5, 5, 0, 0, 0)
-    written = maintenance.apply_backfill(first, e.columns)
-    r = maintenance.backfill_summary(maintenance.align_locators(written, keys)).first()
-    assert (r.mappable, r.already_populated) == (5, 5)
+    own = ", ".join(f"mdx_locator_{c} {t}" for c, t in zip(maintenance.LOCATOR, ("int", "string", "string", "int", "bigint", "bigint"), strict=True))
+    e = spark.createDataFrame([(i, w, w, f"raw {w}", "definition", None, *[None] * 6) for i, w in enumerate("aabcd")], f"source_ordinal int, headword_original string, headword_normalized string, entry_raw string, entry_kind string, redirect_target_original string, {own}")
+    keys = spark.createDataFrame([(i, w, f"raw {w}", "definition", None, 1, "f", w, 0, (1 << 53) + i, (1 << 53) + i + 1) for i, w in enumerate("aabcd")], "source_ordinal int, headword_normalized string, entry_raw string, entry_kind string, redirect_target_original string, version int, file_checksum string, key_text string, key_block_index int, record_start_offset bigint, record_end_offset bigint")
+
+    def seen(entries, keys=keys, checksum="f"):
+        aligned = maintenance.align_locators(entries, keys, checksum)
+        return maintenance.backfill_summary(aligned, keys).first().asDict(), aligned
+
+    counts, aligned = seen(e)
+    assert counts == {"processed": 5, "mappable": 5, "mismatches": 0, "already_populated": 0, "collisions": 0, "written": 5}
+    written = maintenance.apply_backfill(aligned, e.columns, keys)
     assert written.orderBy("source_ordinal").first().mdx_locator_record_start_offset == 1 << 53
+    assert seen(written)[0]["already_populated"] == 5 and seen(written)[0]["written"] == 0
     partial = written.withColumn("mdx_locator_key_text", F.when(F.col("source_ordinal") > 0, F.col("mdx_locator_key_text")))
-    r = maintenance.backfill_summary(maintenance.align_locators(partial, keys)).first()
-    assert (r.mappable, r.mismatches) == (4, 1)
+    assert seen(partial)[0]["mismatches"] == 1
+    moved = written.withColumn("mdx_locator_record_end_offset", F.col("mdx_locator_record_end_offset") + 1)
+    assert seen(moved)[0]["mismatches"] == 5
+    assert seen(e.withColumn("entry_raw", F.lit("other")))[0]["mappable"] == seen(e, checksum="g")[0]["mappable"] == 0
+    # One key twice, even where no entry stands: nothing is written at all.
+    twice = keys.unionByName(keys.filter("source_ordinal = 4").withColumn("source_ordinal", F.lit(9)))
+    counts, aligned = seen(e, twice)
+    assert (counts["mappable"], counts["collisions"], counts["written"]) == (5, 1, 0)
+    assert maintenance.apply_backfill(aligned, e.columns, twice).filter("mdx_locator_version is not null").count() == 0
+    assert maintenance.locator_key().alias("k") is not None
+    assert keys.filter("source_ordinal = 2").select(maintenance.locator_key().alias("k")).first().k == '[1,"f","b",0,"9007199254740994","9007199254740995"]'
+
+
+def test_levels_of_a_deep_tree(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "id int, parent_block_id int")
+    assert {r.id: r.level for r in validation.block_levels(chain).collect()} == {i: i for i in range(300)}
+
+
+def test_what_is_kept_of_rows_with_one_key(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "id string, v int")
+    old = spark.createDataFrame([("a", 9), ("c", 9)], "id string, v int")
+    assert sorted(map(tuple, maintenance.upsert(rows, old).collect())) == [("a", 1), ("b", 3), ("c", 9)]
+    assert sorted(map(tuple, maintenance.upsert(rows, old, order=-F.col("v")).collect())) == [("a", 2), ("b", 3), ("c", 9)]
+    assert sorted(map(tuple, maintenance.new_rows(rows.repartition(3), old).collect())) == [("b", 3)]
+    kids = spark.createDataFrame([("k1", "a"), ("k2", "c")], "id string, parent string")
+    new = spark.createDataFrame([("k3", "a"), ("k4", "b")], "id string, parent string")
+    assert sorted(r.id for r in maintenance.rebuild_children(rows, "id", new, kids, "parent").collect()) == ["k2", "k3", "k4"]
 
 
 def test_writes(spark, tmp_path):
@@ -178,20 +208,18 @@ def test_writes(spark, tmp_path):
 
 
 def test_audit_report(spark, tmp_path):
-    texts = ["よみ［読み］\n【名】\n①かな/汉\n①又/字\n｢「れい/例｣", "t @@@LINK=░d░【s】🗏1№2", "→ よそ", "x​"]
+    texts = ["よみ［読み］\n【名】\n①かな/汉\n①又/字\n｢「れい/例｣", "t @@@LINK=░d░【s】🗏1№2", "→ よそ", "x\u200b\n\n注意y\n◯a\n②b", None, ""]
     records = spark.createDataFrame([(i, f"w{i}", t) for i, t in enumerate(texts)], "ordinal int, headword string, text string")
-    report = audit.corpus_report(records)
-    assert report["nodes"].first().entries == 3
-    assert {r.key: r.n for r in report["characters"].collect()} == {"U+200B": 1}
-    assert {r.key: r.n for r in report["imbalances"].collect()} == {"「」: 1/0": 1}
-    assert report["sequences"].first().restarting == 1
-    assert {r.key for r in report["links"].collect()} == {"unexplained-mismatch"}
-    assert "H P D#×2 E" in {r.key for r in report["shapes"].collect()}
-    audit.write_report({"links": report["links"]}, str(tmp_path))
-    assert spark.read.json(str(tmp_path / "links")).count() == 1
-
-
-def test_failure_categories(spark):
-    cases = {("ResourceNotFound", "x"): "not-found", ("X", "checksum differs"): "checksum-mismatch", ("X", "timed out"): "timeout", ("X", "bad locator"): "invalid-locator", ("X", "y"): "unexpected"}
-    df = spark.createDataFrame(list(cases), "c string, m string")
-    assert [r.x for r in df.select(maintenance.failure_category(F.col("c"), F.col("m")).alias("x")).collect()] == list(cases.values())
+    report = corpus_audit.report(records)
+    nodes = report["nodes"].first()
+    assert (nodes.entries, nodes.entries_with_blank, nodes.by_type["raw"], nodes.raw_by_reason) == (3, 1, 2, {"blank-line": 1, "unknown-structure": 1})
+    found = {(r.topic, r.key): (r.n, r.entries, r.samples) for r in report["facts"].collect()}
+    assert {k for t, k in found if t == "shape"} == {"H P D#×2 E", "L", "R", "H 注意 D◯ D#", "EMPTY"}
+    assert {k: n for (t, k), (n, *_) in found.items() if t == "numbering"} == {"repeated": 1, "restarting": 1, "mixed": 1}
+    assert found["codepoint", "U+1F5CF"] == (1, 1, []) and found["anomaly", "control-or-format"][:2] == (1, 1)
+    assert found["section-position", "注意|between-definitions"] == (1, 1, ["注意y"])
+    assert found["quote-imbalance", "「」: 1/0"][2][0].startswith("よみ") and found["link", "unexplained-mismatch"][0] == 1
+    assert found["heading-pattern", "explicit+reading-orthography"] == (1, 1, ["よみ［読み］"]) and found["examples-per-entry", "0"][1] == 5
+    assert found["redirect", "target-missing"][0] == 1 and found["slash-definition", "obvious-ja-zh"] == (1, 1, ["①かな/汉"])
+    audit.write_report({"sizes": report["sizes"]}, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "sizes")).count() == 1

@@ -2,6 +2,7 @@ import gzip
 import json
 import sqlite3
 import struct
+import zlib
 
 import pytest
 
@@ -52,10 +53,35 @@ def test_stardict_lenient_scan_reports(spark, tmp_path):
 def test_stardict_offset_index(tmp_path):
     index = container(tmp_path, [(f"w{i}", "x") for i in range(40)])
     starts = [at for i, (_, _, _, at) in enumerate(stardict.parse_index(index, 32)) if i % 32 == 0]
-    (tmp_path / "f.idx.oft").write_bytes(b"".join(struct.pack(">I", x) for x in [*starts, len(index)]))
-    assert stardict.offset_index_faults(stardict.open_container(str(tmp_path))) == []
-    (tmp_path / "f.idx.oft").write_bytes(struct.pack(">I", 5))
-    assert stardict.offset_index_faults(stardict.open_container(str(tmp_path)))
+    def faults(data):
+        (tmp_path / "f.idx.oft").write_bytes(data)
+        return stardict.offset_index_faults(stardict.open_container(str(tmp_path)))
+
+    head = b"StarDict's Cache, Version: 0.2" + b"\xc1\xd1\xa4\x51"
+    listed = struct.pack(f"<{len(starts) + 1}I", *starts, len(index))
+    assert faults(head + listed) == []
+    assert faults(head + listed[:-4] + struct.pack("<I", 5)) == ["1 of 3 entries differ"]
+    assert faults(head + listed + b"x") and faults(listed) == ["unexpected header"]
+
+
+def test_payload_for_random_access(spark, tmp_path):
+    """A gzip file whose extra field lists chunks that begin afresh is read chunk by chunk."""
+    records = [(f"w{i}", f"text {i} " * 40) for i in range(50)]
+    container(tmp_path, records)
+    payload, size = (tmp_path / "f.dict").read_bytes(), 1000
+    packer, chunks = zlib.compressobj(9, zlib.DEFLATED, -15), []
+    for at in range(0, len(payload), size):
+        chunks.append(packer.compress(payload[at : at + size]) + packer.flush(zlib.Z_FULL_FLUSH))
+    extra = b"RA" + struct.pack("<H", 6 + 2 * len(chunks)) + struct.pack("<HHH", 1, size, len(chunks)) + struct.pack(f"<{len(chunks)}H", *map(len, chunks))
+    head = b"\x1f\x8b\x08\x0c" + bytes(6) + struct.pack("<H", len(extra)) + extra + b"f.dict\0"
+    (tmp_path / "f.dict.dz").write_bytes(head + b"".join(chunks) + packer.flush() + struct.pack("<II", zlib.crc32(payload), len(payload)))
+    (tmp_path / "f.dict").unlink()
+    box = stardict.open_container(str(tmp_path))
+    assert box.payload() == payload
+    assert all(box.span(a, b) == payload[a:b] for a, b in ((0, 10), (990, 1010), (0, len(payload)), (3500, 3500), (len(payload) - 5, len(payload) + 5)))
+    spark.dataSource.register(stardict.StarDictSource)
+    rows = spark.read.format("stardict").option("rowsPerPartition", "7").load(str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r.headword, r.text) for r in rows] == records
 
 
 def test_truncated_index():
@@ -104,7 +130,8 @@ def test_lexicon_import(spark, tmp_path):
     assert entries["2"].headword_original == "ねこ"
     assert [(r.text, r.ordinal) for r in out["structured_entry_definitions"].orderBy("ordinal").collect()] == [("動物", 0), ("ペット", 1), ("続き", 2)]
     assert sorted((r.language, r.text) for r in out["structured_sense_definitions"].collect()) == [("en", "cat"), ("en", "feline"), ("zh-CN", "猫科")]
-    assert li.import_counts(out) == {"dictionary_entries": 2, "structured_entries": 2, "structured_forms": 3, "structured_senses": 2, "structured_entry_definitions": 3, "structured_sense_definitions": 3}
+    assert li.import_summary(out).first().languages == ["en", "ja", "zh-CN"]
+    assert li.import_counts(out).first().asDict() == {"dictionary_entries": 2, "structured_entries": 2, "structured_forms": 3, "structured_senses": 2, "structured_entry_definitions": 3, "structured_sense_definitions": 3}
     again = li.import_lexicon(tables(spark, path), "d")
     assert {r.id for r in again["structured_forms"].collect()} == {r.id for r in out["structured_forms"].collect()}
     from lexloom.operators.validation import integrity_issues
