@@ -31,8 +31,8 @@ THRESHOLD = 0.8
 RECALL = 0.995
 #: Nodes of more sets than this are split, unless the sets' mean similarity is at least this.
 SPLIT, ALIKE = 256, 0.45
-#: Entries of the sketch that mean similarity is measured on.
-PROBES = 8
+#: Mean similarity is measured on every so many-th entry of the sketch.
+PROBE = 2
 #: How many shared entries a pair at the threshold sends on from a node, on average.
 SPREAD = 1.6
 #: Nodes are compared in blocks of about so many sets or shingles.
@@ -96,6 +96,11 @@ def sketches(found: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def bits(of: np.ndarray) -> pa.Array:
+    """Rows of 64 truth values as signed 64-bit numbers, the first value lowest."""
+    return pa.array(np.packbits(of, axis=1, bitorder="little").view("<i8").ravel().astype(np.int64))
+
+
 def chosen(found: np.ndarray, n: np.ndarray, row: np.ndarray, seed: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The nodes below each seed (one a set): places in found's rows, and the nodes' hashes."""
     limit = np.minimum(2.0**64 / np.maximum(threshold * n, 1), 2.0**64 - 2048).astype(np.uint64)
@@ -122,7 +127,8 @@ def _split(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         n = np.bincount(row, minlength=len(sketch))
         of, node = chosen(entries, n, row, np.asarray(batch.column("node")).view(np.uint64), threshold / SPREAD)
         taken = batch.take(pa.array(of))
-        yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("size"), pa.array(node.view(np.int64)), taken.column("sketch")], ["key", "size", "node", "sketch"])
+        names = ["key", "size", "node", "signs", "full", "sketch"]
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)) if n == "node" else taken.column(n) for n in names], names)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, runs: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -132,8 +138,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, runs: int, threshold:
         order = np.argsort(row, kind="stable")
         at = np.searchsorted(row[order], np.arange(len(n) + 1)).astype(np.int32)
         nodes = pa.ListArray.from_arrays(at, pa.array(node[order].view(np.int64)))
-        cols = [batch.column("doc_id"), batch.column("id"), batch.column("hash"), pa.array(set_keys(found, n)), pa.array(n), nodes, pa.array([x.tobytes() for x in sketches(found, n)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "hash", "key", "size", "nodes", "sketch"])
+        sketch = sketches(found, n)
+        cols = [batch.column("doc_id"), batch.column("id"), batch.column("hash"), pa.array(set_keys(found, n)), pa.array(n), nodes, bits(sketch & 1), bits(sketch != EMPTY), pa.array([x.tobytes() for x in sketch], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "hash", "key", "size", "nodes", "signs", "full", "sketch"])
 
 
 def met_before(ids: list[np.ndarray], node: int) -> np.ndarray:
@@ -273,14 +280,20 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def unlike(rows: DataFrame) -> DataFrame:
-    """The nodes whose sets have a mean similarity below ALIKE, from (node, sketch): the share of pairs of sets that
-    agree in an entry of the sketch, over some of the entries."""
-    probes = F.array(*[F.struct(F.lit(b).alias("b"), F.substring("sketch", 2 * b * (BINS // PROBES) + 1, 2).alias("v")) for b in range(PROBES)])
-    each = rows.select("node", F.explode(probes).alias("p")).select("node", "p.b", "p.v").filter("v <> X'FFFF'")
-    values = each.groupBy("node", "b", "v").agg(F.count("*").alias("c"))
-    entries = values.groupBy("node", "b").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    total = F.sum(F.col("n") * (F.col("n") - 1))
-    return entries.groupBy("node").agg((F.sum("same") / F.nullif(total, F.lit(0))).alias("mean")).filter(F.coalesce("mean", F.lit(0.0)) < ALIKE).select("node")
+    """The nodes whose sets have a mean similarity below ALIKE, from (node, signs, full).
+
+    Similarity is the share of pairs of sets that agree in an entry of the sketch, or (sum of c * c - n) / (n * n - n)
+    with c sets for each value the entry has. If every value has a sign at random (here its lowest bit), the square of
+    the sum of all signs is the sum of c * c on average; the mean over many entries is close to it.
+    """
+    places = range(0, BINS, PROBE)
+    has = [F.getbit("full", F.lit(b)).cast("long") for b in places]
+    sign = [h * (2 * F.getbit("signs", F.lit(b)).cast("long") - 1) for b, h in zip(places, has, strict=True)]
+    sums = rows.groupBy("node").agg(*[F.sum(h).alias(f"n{b}") for b, h in zip(places, has, strict=True)], *[F.sum(s).alias(f"s{b}") for b, s in zip(places, sign, strict=True)])
+    n, s = ([F.col(f"{c}{b}").cast("double") for b in places] for c in "ns")
+    agree = sum(F.when(x > 1, (y * y - x) / (x * x - x)).otherwise(0.0) for x, y in zip(n, s, strict=True))
+    known = sum((x > 1).cast("int") for x in n)
+    return sums.filter(F.coalesce(agree / F.nullif(known, F.lit(0)), F.lit(0.0)) < ALIKE).select("node")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
@@ -299,32 +312,36 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     signed = durable(
         text.mapInArrow(
             lambda it: _signatures(it, shingle, runs, threshold),
-            f"doc_id {dict(docs.dtypes)['doc_id']}, id string, hash long, key long, size long, nodes array<long>, sketch binary",
+            f"doc_id {dict(docs.dtypes)['doc_id']}, id string, hash long, key long, size long, nodes array<long>, signs long, full long, sketch binary",
         )
     )
     # One row a distinct set, with a row that has it; copies meet in partial aggregates, so a large class is no large group.
     sets = durable(
         signed.filter("size > 0")
         .groupBy("key")
-        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "hash")).alias("rep"), F.first(F.struct("size", "nodes", "sketch")).alias("s"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "hash")).alias("rep"), F.first(F.struct("size", "nodes", "signs", "full", "sketch")).alias("s"))
         .select("key", "copies", "rep", "rep.id", "rep.hash", "s.*")
     )
     # Level by level: small nodes, and those of sets that are alike, are leaves; the others are split.
-    level = sets.select("key", "size", F.explode("nodes").alias("node"), "sketch")
-    leaves = None
+    columns = ["key", "size", "node", "signs", "full", "sketch"]
+    level = sets.withColumn("node", F.explode("nodes")).select(columns)
+    leaves = crowd = None
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     while True:
         counts = durable(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
         large = counts.filter(F.col("n") > SPLIT).select("node")
         wide = durable(unlike(level.join(large, "node", "left_semi"))) if not large.isEmpty() else None
-        done = wide is None or wide.isEmpty()
+        now = counts.join(wide, "node").agg(F.sum("n")).first()[0] or 0 if wide is not None else 0
+        # Sets that splitting no longer thins out are alike after all; they are compared as they are.
+        done = now == 0 or (crowd is not None and now > 0.7 * crowd)
+        crowd = now
         own = counts if done else counts.join(wide, "node", "left_anti")
         here = level.join(own, "node").select("key", "node", blocks)
         leaves = here if leaves is None else leaves.unionByName(here)
         if done:
             break
-        inner = level.join(wide, "node", "left_semi").select("key", "size", "node", "sketch")
-        level = durable(inner.mapInArrow(lambda it: _split(it, threshold), "key long, size long, node long, sketch binary"))
+        inner = level.join(wide, "node", "left_semi").select(columns)
+        level = durable(inner.mapInArrow(lambda it: _split(it, threshold), "key long, size long, node long, signs long, full long, sketch binary"))
     leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("leaves"))
     placed = durable(leaves.join(sets.select("key", "copies", "id", "hash", "sketch"), "key").withColumn("ids", F.col("leaves.node")))
     rows = (

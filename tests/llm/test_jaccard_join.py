@@ -116,6 +116,19 @@ def test_recall_on_the_tables(spark):
     assert all(got[d] <= n for (d, _), n in zip(rows, links, strict=True))
 
 
+def test_mean_similarity_of_nodes(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for node, shared in ((1, 0.95), (2, 0.7), (3, 0.2), (4, 0.0)):
+        values = rng.integers(0, 60000, 64)
+        for _ in range(400):
+            sketch = np.where(rng.random(64) < np.sqrt(shared), values, rng.integers(0, 60000, 64)).astype(np.uint16)
+            signs, full = (jj.bits(x[None, :])[0].as_py() for x in (sketch & 1, sketch != jj.EMPTY))
+            rows.append((node, signs, full))
+    got = {r.node for r in jj.unlike(spark.createDataFrame(rows, "node long, signs long, full long")).collect()}
+    assert got == {3, 4}
+
+
 def test_ids_may_be_texts_or_null(spark):
     rows = [("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six")] + [(None, "seven eight nine ten eleven twelve")] * 40
     got = Counter(map(tuple, jj.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "class_id", "n_links", "copies").collect()))
