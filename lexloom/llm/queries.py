@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op11_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_preferences": op8_preferences,
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLE_SQL = {"op8_preferences": OP8_SQL, "op9_decontaminate": OP9_SQL}
