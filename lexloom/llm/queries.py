@@ -8,6 +8,7 @@ from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
 from .language_id import op4_language_id
 from .mixing import op1_mixing
+from .periodic_runs import op12_periodic_runs
 from .preferences import OP8_SQL, op8_preferences
 from .quality_knn import op5_quality_knn
 from .quality_rules import op3_quality_rules
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_kneser_ney": op10_kneser_ney,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL = {"op8_preferences": OP8_SQL, "op9_decontaminate": OP9_SQL}
