@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op11_byte_bpe
+from .centroids import OP13_SQL, op13_centroids
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .kneser_ney import op10_kneser_ney
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_kneser_ney": op10_kneser_ney,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
-ORACLE_SQL = {"op8_preferences": OP8_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL = {"op8_preferences": OP8_SQL, "op9_decontaminate": OP9_SQL, "op13_centroids": OP13_SQL}
