@@ -31,7 +31,7 @@ from .common import annotate, slices, table, text_of
 
 #: Text that is cut at a time, in bytes, and pieces that are encoded at a time: a very long text is taken in parts.
 SLICE = 8 << 20
-PIECES = 1 << 21
+PIECES = 1 << 20
 #: Pieces of up to so many bytes share the arrays of trees.
 SHORT = 64
 #: Ids that are decoded at a time.
