@@ -1,27 +1,38 @@
 """A Spark data source for StarDict containers: `spark.read.format("stardict").load(folder)`.
 
-The driver reads the header and plans ranges of the index; each task reads its own range of the index, and of the
-payload only the bytes that its records span: by seeking in a plain payload, by the chunk table of one compressed for
-random access. A payload that is plain gzip is unpacked once in each task, as it has no other way in.
+The folder holds one container, or a manifest of many that `stardict_writer` made. The driver reads headers and, from the
+list of every 32nd record's start beside an index, only where partitions begin; an index without that list is walked once,
+in blocks. Each task reads its own range of the index, and of the payload only the runs of bytes that its records take: by
+seeking in a plain payload, by the chunk table of one compressed for random access. A payload that is plain gzip is unpacked
+once in each task, as it has no other way in.
+
+Read by `for_lookups`, conditions on the headword (equal, one of, begins with) are pushed into the source: where the list is
+there, a binary search over it finds the records, as the format orders them, and only these are read.
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import json
+import re
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+
+from . import files
 
 HEADER = "StarDict's dict ifo file"
 LARGEST_OFFSET = (1 << 53) - 1
 RECORDS = 100_000
 # An offset index begins with this line and four more bytes, and lists the start of every 32nd record.
 CACHE_HEADER, CACHE_OPAQUE, STRIDE = b"StarDict's Cache, Version: 0.2", 4, 32
+#: Lists the containers of a folder that holds many.
+MANIFEST = "containers.json"
 
 
 class StarDictError(ValueError):
@@ -62,42 +73,55 @@ def parse_index(data: bytes, bits: int) -> Iterator[tuple[str, int, int, int]]:
 class Container:
     base: str
     info: dict[str, str]
+    system: object = field(default=None, repr=False)
+
+    def __post_init__(self):
+        if self.system is None:
+            self.system, self.base = files.opened(self.base)
 
     @property
     def bits(self) -> int:
         return int(self.info.get("idxoffsetbits", "32"))
 
+    def has(self, ending: str) -> bool:
+        return files.exists(self.system, self.base + ending)
+
+    def index_size(self) -> int:
+        return files.size(self.system, f"{self.base}.idx")
+
     def index(self, start: int = 0, end: int | None = None) -> bytes:
-        with open(f"{self.base}.idx", "rb") as f:
-            f.seek(start)
-            return f.read() if end is None else f.read(end - start)
+        return files.span(self.system, f"{self.base}.idx", start, end)
 
     def payload(self) -> bytes:
-        if os.path.exists(f"{self.base}.dict"):
-            with open(f"{self.base}.dict", "rb") as f:
-                return f.read()
-        with gzip.open(f"{self.base}.dict.dz") as f:
-            return f.read()
+        if self.has(".dict"):
+            return files.span(self.system, f"{self.base}.dict")
+        return gzip.decompress(files.span(self.system, f"{self.base}.dict.dz"))
+
+    @cached_property
+    def chunks(self) -> tuple[int, list[int]] | None:
+        return chunk_table(files.span(self.system, f"{self.base}.dict.dz", 0, 1 << 17))
+
+    @cached_property
+    def unpacked(self) -> bytes:
+        return self.payload()
 
     def span(self, start: int, end: int) -> bytes:
         """The payload's bytes from start to end, as far as there are any."""
-        if os.path.exists(f"{self.base}.dict"):
-            with open(f"{self.base}.dict", "rb") as f:
-                f.seek(start)
-                return f.read(max(0, end - start))
-        with open(f"{self.base}.dict.dz", "rb") as f:
-            table = chunk_table(f.read(1 << 17))
-            if table is None:
-                return self.payload()[start:end]
-            length, places = table
-            out = bytearray()
-            for k in range(start // length, min(-(-end // length), len(places) - 1)):
-                f.seek(places[k])
-                out += zlib.decompressobj(-15).decompress(f.read(places[k + 1] - places[k]))
-            return bytes(out[start % length : start % length + max(0, end - start)])
+        if self.has(".dict"):
+            return files.span(self.system, f"{self.base}.dict", start, end)
+        if self.chunks is None:
+            return self.unpacked[start:end]
+        length, places = self.chunks
+        first, last = start // length, min(-(-end // length), len(places) - 1)
+        if first >= last:
+            return b""
+        packed = files.span(self.system, f"{self.base}.dict.dz", places[first], places[last])
+        parts = (packed[places[k] - places[first] : places[k + 1] - places[first]] for k in range(first, last))
+        out = b"".join(zlib.decompressobj(-15).decompress(p) for p in parts)
+        return out[start % length : start % length + max(0, end - start)]
 
     def payload_size(self) -> int:
-        return os.path.getsize(f"{self.base}.dict") if os.path.exists(f"{self.base}.dict") else len(self.payload())
+        return files.size(self.system, f"{self.base}.dict") if self.has(".dict") else len(self.unpacked)
 
 
 def chunk_table(head: bytes) -> tuple[int, list[int]] | None:
@@ -125,14 +149,15 @@ def chunk_table(head: bytes) -> tuple[int, list[int]] | None:
 
 
 def open_container(folder: str) -> Container:
-    found = sorted(glob.glob(os.path.join(folder, "*.ifo")))
+    system, folder = files.opened(folder)
+    found = [n for n in files.listed(system, folder) if n.endswith(".ifo")]
     if len(found) != 1:
         raise StarDictError(f"{len(found)} .ifo files in {folder}, where one is due")
-    with open(found[0], encoding="utf-8") as f:
-        info = parse_ifo(f.read())
+    base = f"{folder.rstrip('/')}/{found[0].removesuffix('.ifo')}"
+    info = parse_ifo(files.span(system, f"{base}.ifo").decode("utf-8"))
     if info.get("sametypesequence") != "m":
         raise StarDictError("only payloads of type m are read")
-    return Container(found[0].removesuffix(".ifo"), info)
+    return Container(base, info, system)
 
 
 def check(container: Container) -> list[tuple[str, int, int, int]]:
@@ -153,11 +178,9 @@ def check(container: Container) -> list[tuple[str, int, int, int]]:
 def offset_index_faults(container: Container) -> list[str]:
     """What a `.idx.oft` file, if there is one, gets wrong: it has a header, and lists as little-endian numbers every
     32nd record's start and then the end of the index."""
-    path = f"{container.base}.idx.oft"
-    if not os.path.exists(path):
+    if not container.has(".idx.oft"):
         return []
-    with open(path, "rb") as f:
-        data = f.read()
+    data = files.span(container.system, f"{container.base}.idx.oft")
     begin = len(CACHE_HEADER) + CACHE_OPAQUE
     if not data.startswith(CACHE_HEADER) or len(data) < begin:
         return ["unexpected header"]
@@ -170,45 +193,230 @@ def offset_index_faults(container: Container) -> list[str]:
     return [f"{wrong} of {len(due)} entries differ"] if wrong else []
 
 
+def folded(word: bytes) -> bytes:
+    """ASCII letters made small; the format orders by this, then by the bytes themselves."""
+    return word.lower() if word.isascii() else re.sub(rb"[A-Z]+", lambda m: m[0].lower(), word)
+
+
+def order(word: str) -> tuple[bytes, bytes]:
+    raw = word.encode("utf-8")
+    return folded(raw), raw
+
+
+class SparseIndex:
+    """The list of every 32nd record's start, read entry by entry where it lies."""
+
+    def __init__(self, container: Container):
+        self.container, self.path = container, f"{container.base}.idx.oft"
+        self.begin = len(CACHE_HEADER) + CACHE_OPAQUE
+        size = files.size(container.system, self.path)
+        if not files.span(container.system, self.path, 0, self.begin).startswith(CACHE_HEADER) or (size - self.begin) % 4:
+            raise StarDictError("the list of record starts is malformed")
+        self.blocks = max(0, (size - self.begin) // 4 - 1)
+
+    def start(self, block: int) -> int:
+        """Where in the index a block of 32 records begins; the block after the last is the index's end."""
+        at = self.begin + 4 * min(block, self.blocks)
+        return struct.unpack("<I", files.span(self.container.system, self.path, at, at + 4))[0]
+
+    def first_word(self, block: int) -> tuple[bytes, bytes]:
+        at, end = self.start(block), self.start(block + 1)
+        head = self.container.index(at, min(end, at + 512))
+        if b"\0" not in head:
+            head = self.container.index(at, end)
+        raw = head[: head.index(b"\0")]
+        return folded(raw), raw
+
+    def first_block(self, least: tuple[bytes, bytes]) -> int:
+        """The block in which the first word from `least` on lies, or one before it."""
+        low, high = 0, self.blocks
+        while low < high:
+            mid = (low + high) // 2
+            if self.first_word(mid) < least:
+                low = mid + 1
+            else:
+                high = mid
+        return max(0, low - 1)
+
+    def end_block(self, beyond, from_block: int) -> int:
+        """The first block from there on whose first word lies beyond, as a test of its order says."""
+        low, high = from_block, self.blocks
+        while low < high:
+            mid = (low + high) // 2
+            if beyond(self.first_word(mid)):
+                high = mid
+            else:
+                low = mid + 1
+        return low
+
+
+def starts_of(container: Container, every: int, block: int = 1 << 20) -> tuple[list[int], int]:
+    """The starts of every so many records, and how many there are, by a walk through the index a block at a time."""
+    tail, starts, n, at = (12 if container.bits == 64 else 8), [], 0, 0
+    size, read, held = container.index_size(), 0, b""
+    while True:
+        zero = held.find(b"\0", at)
+        if zero < 0 or zero + 1 + tail > len(held):
+            if read >= size:
+                break
+            held = held[at:] + container.index(read, read + block)
+            at, read = 0, min(size, read + block)
+            continue
+        if n % every == 0:
+            starts.append(read - len(held) + at)
+        n, at = n + 1, zero + 1 + tail
+    if at < len(held):
+        raise StarDictError(f"truncated index record at {read - len(held) + at}")
+    return starts, n
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """What conditions on the headword ask for: certain words, or those that begin so."""
+
+    words: tuple[str, ...] | None = None
+    prefix: str | None = None
+
+    def keeps(self, word: str) -> bool:
+        return (self.words is None or word in self.words) and (self.prefix is None or word.startswith(self.prefix))
+
+    def ranges(self) -> list[tuple[tuple[bytes, bytes], object]]:
+        """For each stretch of the order that may hold a word: where it begins, and the test of what lies beyond it."""
+        if self.words is not None:
+            return [(order(w), lambda key, last=order(w): key > last) for w in sorted(self.words, key=order) if self.prefix is None or w.startswith(self.prefix)]
+        small = folded(self.prefix.encode("utf-8"))
+        return [((small, b""), lambda key: key[0] > small and not key[0].startswith(small))]
+
+    def meets(self, first: str, last: str) -> bool:
+        """Whether a container from the word `first` to the word `last` may hold one."""
+        return any(low <= order(last) and not beyond(order(first)) for low, beyond in self.ranges())
+
+
 class _Range(InputPartition):
-    """Records from the number `first` on, in the index from byte `start` to `end`."""
+    """Records of one container from the number `first` on, `due` of them (None: unknown), in the index from byte `start`
+    to `end`; `before`: the records of the containers before it."""
 
-    def __init__(self, first: int, start: int, end: int):
-        self.first, self.start, self.end = first, start, end
+    def __init__(self, folder: str, first: int, start: int, end: int, before: int = 0, due: int | None = None):
+        self.folder, self.first, self.start, self.end, self.before, self.due = folder, first, start, end, before, due
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.lenient = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
-        self.rows = int(options.get("rowsPerPartition", RECORDS))
+        self.rows = max(1, int(options.get("rowsPerPartition", RECORDS)))
+        self.wanted: Wanted | None = None
 
     def partitions(self):
-        container = open_container(self.folder)
-        records = parse_index(container.index(), container.bits) if self.lenient else check(container)
-        starts = [at for i, (_, _, _, at) in enumerate(records) if i % self.rows == 0]
-        ends = [*starts[1:], os.path.getsize(f"{container.base}.idx")]
-        return [_Range(i * self.rows, a, b) for i, (a, b) in enumerate(zip(starts, ends, strict=False))] or [_Range(0, 0, 0)]
+        found = []
+        for folder, before, first, last in containers(self.folder):
+            if self.wanted is None or first is None or self.wanted.meets(first, last):
+                found += self._of(folder, before)
+        return found or [_Range(self.folder, 0, 0, 0)]
+
+    def _of(self, folder: str, before: int) -> list[_Range]:
+        container = open_container(folder)
+        size = container.index_size()
+        if not self.lenient and int(container.info.get("idxfilesize", size)) != size:
+            raise StarDictError("idxfilesize differs from the index")
+        if not container.has(".idx.oft"):
+            if not size:
+                return []
+            starts, n = starts_of(container, self.rows)
+            if not self.lenient and int(container.info.get("wordcount", n)) != n:
+                raise StarDictError("wordcount differs from the index")
+            return [_Range(folder, i * self.rows, a, b, before) for i, (a, b) in enumerate(zip(starts, [*starts[1:], size], strict=True))]
+        sparse = SparseIndex(container)
+        n = int(container.info["wordcount"]) if "wordcount" in container.info else None
+        if not self.lenient and (sparse.start(sparse.blocks) != size or (n is not None and -(-n // STRIDE) != sparse.blocks)):
+            raise StarDictError("the list of record starts differs from the index")
+        step, out, done = max(1, self.rows // STRIDE), [], 0
+        for a, b in [(0, sparse.blocks)] if self.wanted is None else self._blocks(sparse):
+            a = max(a, done)
+            for k in range(a, b, step):
+                to = min(k + step, b)
+                due = None if n is None else min(n, to * STRIDE) - k * STRIDE
+                out.append(_Range(folder, k * STRIDE, sparse.start(k), sparse.start(to), before, due))
+            done = max(done, b)
+        return out
+
+    def _blocks(self, sparse: SparseIndex) -> Iterator[tuple[int, int]]:
+        for least, beyond in self.wanted.ranges():
+            first = sparse.first_block(least)
+            yield first, sparse.end_block(beyond, first)
 
     def read(self, partition: _Range):
-        container = open_container(self.folder)
-        records = list(parse_index(container.index(partition.start, partition.end), container.bits))
-        begin = min((offset for _, offset, _, _ in records), default=0)
-        payload = container.span(begin, max((offset + size for _, offset, size, _ in records), default=0))
-        for i, (word, offset, size, _) in enumerate(records):
-            raw, error = payload[offset - begin : offset - begin + size], None
-            if len(raw) < size:
-                error = "outside of the payload"
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                text, error = raw.decode("utf-8", "replace"), "payload is not UTF-8"
-            if error and not self.lenient:
-                raise StarDictError(f"record {word}: {error}")
-            yield (partition.first + i, word, offset, size, text, error)
+        if partition.start == partition.end:
+            return
+        container = open_container(partition.folder)
+        records = [(i, *r) for i, r in enumerate(parse_index(container.index(partition.start, partition.end), container.bits))]
+        if not self.lenient and partition.due is not None and partition.due != len(records):
+            raise StarDictError("wordcount differs from the index")
+        if self.wanted is not None:
+            records = [r for r in records if self.wanted.keeps(r[1])]
+        for begin, payload, run in runs(container, records):
+            for i, word, offset, size, _ in run:
+                raw, error = payload[offset - begin : offset - begin + size], None
+                if len(raw) < size or offset > LARGEST_OFFSET:
+                    error = "outside of the payload"
+                try:
+                    text = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    text, error = raw.decode("utf-8", "replace"), "payload is not UTF-8"
+                if error and not self.lenient:
+                    raise StarDictError(f"record {word}: {error}")
+                yield (partition.before + partition.first + i, word, offset, size, text, error)
+
+
+class _LookupReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes note of conditions on the headword; all are left for Spark to check again."""
+        words, prefix = None, None
+        for f in filters:
+            if getattr(f, "attribute", None) != ("headword",):
+                continue
+            if isinstance(f, EqualTo) and f.value is not None:
+                words = (f.value,)
+            elif isinstance(f, In) and words is None:
+                words = tuple({v for v in f.value if v is not None})
+            elif isinstance(f, StringStartsWith) and f.value:
+                prefix = f.value
+        if words is not None or prefix is not None:
+            self.wanted = Wanted(words, prefix)
+        return filters
+
+
+def runs(container: Container, records: list[tuple], most: int = 8 << 20) -> Iterator[tuple[int, bytes, list[tuple]]]:
+    """Records in groups whose payloads lie together, with the bytes read for each: (where they begin, bytes, records).
+    Records (number, word, offset, size, place) come in their order; payloads far from each other aren't read through."""
+    at = 0
+    while at < len(records):
+        begin, end, to = records[at][2], records[at][2] + records[at][3], at + 1
+        while to < len(records):
+            offset, stop = records[to][2], records[to][2] + records[to][3]
+            low, high = min(begin, offset), max(end, stop)
+            if high - low > most or offset > end + (1 << 16) or stop < begin - (1 << 16):
+                break
+            begin, end, to = low, high, to + 1
+        yield begin, container.span(begin, end), records[at:to]
+        at = to
+
+
+def containers(folder: str) -> list[tuple[str, int, str | None, str | None]]:
+    """(folder, records before it, first word, last word) of the containers of a manifest, or the one in the folder itself."""
+    system, path = files.opened(folder)
+    name = f"{path.rstrip('/')}/{MANIFEST}"
+    if not files.exists(system, name):
+        return [(folder, 0, None, None)]
+    out, before = [], 0
+    for part in json.loads(files.span(system, name))["containers"]:
+        out.append((f"{folder.rstrip('/')}/{part['folder']}", before, part["first"], part["last"]))
+        before += part["records"]
+    return out
 
 
 class StarDictSource(DataSource):
-    """Options: mode (FAILFAST or PERMISSIVE, which reports bad records in `error`), rowsPerPartition."""
+    """Reading options: mode (FAILFAST or PERMISSIVE, which reports bad records in `error`), rowsPerPartition, and pushdown,
+    which `for_lookups` sets. Writing (see `stardict_writer.write_containers`): bookname."""
 
     @classmethod
     def name(cls) -> str:
@@ -218,4 +426,17 @@ class StarDictSource(DataSource):
         return "ordinal int, headword string, offset bigint, size int, text string, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_LookupReader if self.options.get("pushdown", "false").lower() == "true" else _Reader)(self.options)
+
+    def writer(self, schema, overwrite: bool):
+        from .stardict_writer import ContainerWriter
+
+        return ContainerWriter(self.options, overwrite)
+
+
+def for_lookups(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """The containers' records, with conditions on the headword pushed into the source. The index must be in the format's
+    order, as all written here are; Spark is told to hand conditions to Python sources."""
+    spark.dataSource.register(StarDictSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("stardict").options(**options).option("pushdown", "true").load(folder)

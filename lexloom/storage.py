@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, checkpointed: later reads survive lost executors, and plans that refer to it twice don't grow. A session
-    without spark.checkpoint.dir (tests, one machine) gets a temporary folder; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it. A session without it (tests, one machine) gets a
+    temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, checkpointed: later reads survive lost executors, and plans that refer to it twice don't grow."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

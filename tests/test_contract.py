@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lexloom.operators import search
-from lexloom.plans import catalog
+from lexloom.plans import catalog, stores  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
