@@ -5,56 +5,171 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import lookup_store, stardict, stardict_writer
+from ..sources import ledger, lookup_store, stardict, stardict_writer
 from ..storage import shared_path
-from .catalog import lexicon, query, table
+from ..streaming import chunk_log, json_field
+from .catalog import query, table
 
 
-@query("SELECT p_partkey AS id, p_name AS headword, p_partkey AS source_ordinal FROM part WHERE p_brand = 'Brand#16' AND p_name = 'hot rod'")
+WORD = "lower(split_part(text, ' ', 1))"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries: their source is the dictionary, their first word the headword."""
+    word = F.expr(WORD)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("dictionary_id"), word.alias("headword_normalized"), word.alias("sort_key"), F.col("doc_id").alias("source_ordinal"), "lang", "n_chars")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> lookup_store.Store:
+    return lookup_store.write(entries(spark, sf_dir), shared_path(spark, "entries"), shard_rows=5000)
+
+
+@query(f"SELECT doc_id AS id, {WORD} AS headword, n_chars FROM documents WHERE source = 'src3' AND {WORD} = 'the'")
 def stored_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon written as a clustered store of sixteen shards; one headword of it."""
-    store = lookup_store.write(lexicon(spark, sf_dir)[0], shared_path(spark, "lexicon"), shards=16)
-    return store.exact("Brand#16", "hot rod").select("id", F.col("headword_original").alias("headword"), "source_ordinal")
+    """One headword of a clustered store."""
+    return stored(spark, sf_dir).exact("src3", "the").select("id", F.col("headword_normalized").alias("headword"), "n_chars")
 
 
-@query("SELECT p_partkey AS id, p_name AS headword, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part WHERE p_brand = 'Brand#13' AND starts_with(p_name, 'old')")
+@query(f"SELECT doc_id AS id, {WORD} AS headword, row_number() OVER (ORDER BY {WORD}, doc_id) AS place FROM documents WHERE source = 'src3' AND starts_with({WORD}, 't')")
 def stored_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = lookup_store.write(lexicon(spark, sf_dir)[0], shared_path(spark, "lexicon"), shards=16)
+    found = stored(spark, sf_dir).prefix("src3", "t")
     place = F.row_number().over(Window.orderBy("sort_key", "source_ordinal")).cast("long")
-    return store.prefix("Brand#13", "old").select("id", F.col("headword_original").alias("headword"), place.alias("place"))
+    return found.select("id", F.col("headword_normalized").alias("headword"), place.alias("place"))
 
 
-@query("SELECT p_partkey AS id, p_brand AS dictionary_id, p_name AS headword FROM part WHERE (p_brand, p_name) IN (SELECT (p_brand, p_name) FROM part WHERE p_partkey % 100 = 0)")
+@query(f"SELECT doc_id AS id, source AS dictionary_id, {WORD} AS headword FROM documents WHERE (source, {WORD}) IN (SELECT (source, {WORD}) FROM documents WHERE doc_id % 100 = 0)")
 def stored_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries under the headwords of every hundredth."""
-    entries, _ = lexicon(spark, sf_dir)
-    store = lookup_store.write(entries, shared_path(spark, "lexicon"), shards=16)
-    return store.lookup(entries.filter("id % 100 = 0")).select("id", "dictionary_id", F.col("headword_original").alias("headword"))
+    store = stored(spark, sf_dir)
+    return store.lookup(entries(spark, sf_dir).filter("id % 100 = 0")).select("id", "dictionary_id", F.col("headword_normalized").alias("headword"))
+
+
+HEAD = "CASE WHEN doc_id % 3 = 0 THEN translate(split_part(text, ' ', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE split_part(text, ' ', 1) END"
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`part` written as containers and read for lookups: names are the headwords, some with capitals."""
-    part = table(spark, sf_dir, "part")
-    word = F.when(F.col("p_partkey") % 3 == 0, F.initcap("p_name")).otherwise(F.col("p_name"))
+    """Documents written as containers and read for lookups: first words are the headwords, some in capitals, whole texts
+    the payloads. Texts that begin with a blank have no headword and are left out."""
+    docs = table(spark, sf_dir, "documents").filter("split_part(text, ' ', 1) <> ''")
     folder = shared_path(spark, "containers")
-    stardict_writer.write_containers(part.select(word.alias("headword"), F.concat_ws("\n", F.col("p_partkey").cast("string"), "p_type", F.lit("余味")).alias("text")), folder, containers=4)
+    stardict_writer.write_containers(docs.select(F.expr(HEAD).alias("headword"), "text", "doc_id"), folder, ("doc_id",))
     return stardict.for_lookups(spark, folder)
 
 
-HELD = "(SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) ELSE p_name END AS headword, p_partkey || chr(10) || p_type || chr(10) || '余味' AS text FROM part)"
+HELD = f"(SELECT {HEAD} AS headword, text, doc_id FROM documents WHERE split_part(text, ' ', 1) <> '')"
 
 
-@query(f"SELECT headword, text FROM {HELD} WHERE headword IN ('hot rod', 'Hot Rod', 'cold gear', 'nothing')")
+@query(f"SELECT headword, sha256(text) AS checksum FROM {HELD} WHERE headword IN ('the', 'THE', 'nothing such')")
 def container_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers(spark, sf_dir).filter(F.col("headword").isin("hot rod", "Hot Rod", "cold gear", "nothing")).select("headword", "text")
+    found = containers(spark, sf_dir).filter(F.col("headword").isin("the", "THE", "nothing such"))
+    return found.select("headword", F.sha2("text", 256).alias("checksum"))
 
 
-@query(f"SELECT headword, text FROM {HELD} WHERE starts_with(headword, 'Old')")
+@query(f"SELECT headword, sha256(text) AS checksum FROM {HELD} WHERE starts_with(headword, 'Th')")
 def container_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers(spark, sf_dir).filter(F.col("headword").startswith("Old")).select("headword", "text")
+    return containers(spark, sf_dir).filter(F.col("headword").startswith("Th")).select("headword", F.sha2("text", 256).alias("checksum"))
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY lower(headword), headword, text) - 1 AS INTEGER) AS ordinal, headword, octet_length(encode(text)) AS size FROM {HELD}")
+@query(f"""
+SELECT CAST(row_number() OVER (ORDER BY translate(headword, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), headword, doc_id) - 1 AS INTEGER) AS ordinal,
+       headword, octet_length(encode(text)) AS size FROM {HELD}
+""")
 def container_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records in the order of the format, which their numbers follow over all containers."""
     return containers(spark, sf_dir).select("ordinal", "headword", F.col("size").cast("long").alias("size"))
+
+
+def assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return turns.select(F.col("conv_id").cast("string").alias("request_id"), "turn", "text")
+
+
+def cut(rows: DataFrame, text: str, size: int, name: str) -> DataFrame:
+    """request_id, seq and pieces of so many characters or bytes of each row's text, in order, and a null at the end."""
+    value, n = F.col(text), F.octet_length(text) if dict(rows.dtypes)[text] == "binary" else F.char_length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda i: F.substring(value, i * size + 1, F.lit(size)))
+    return rows.select("request_id", F.posexplode(F.concat(pieces, F.array(F.lit(None).cast(dict(rows.dtypes)[text])))).alias("seq", name)).withColumn("seq", F.col("seq").cast("long"))
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives until its source is at its end, by way of a ledger."""
+    spark, folder = stream.sparkSession, shared_path(stream.sparkSession, name)
+    spark.dataSource.register(ledger.Ledger)
+    run = stream.writeStream.format("ledger").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/ledger")
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return ledger.read(spark, f"{folder}/ledger").drop(ledger.BATCH)
+
+
+def streamed(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """Chunks appended to logs and read from them as a stream."""
+    folder = shared_path(spark, "logs")
+    chunk_log.append_logs(chunks, folder)
+    spark.dataSource.register(chunk_log.ChunkLog)
+    return spark.readStream.format("chunk-log").option("bytesPerPartition", str(16 << 20)).load(folder)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, text AS response FROM conversations WHERE role = 'assistant'")
+def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generator lines cut into chunks of 50 bytes, anywhere, read from logs as a stream and framed into lines again."""
+    line = F.to_json(F.struct(F.col("text").alias("response"), F.lit(False).alias("done")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x.line), "\n")
+    requests = assistant(spark, sf_dir).groupBy("request_id").agg(joined.cast("binary").alias("data"))
+    found = finished(json_field.framed_lines(streamed(spark, cut(requests, "data", 50, "chunk"))), "lines")
+    return json_field.checked_events(found).filter("problem is null").select("request_id", "seq", "response")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, string_agg(text, chr(10) ORDER BY turn) AS paragraph FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def streamed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph of each conversation's generated JSON, read while its fragments of 30 characters come in."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n")
+    requests = assistant(spark, sf_dir).groupBy("request_id").agg(F.to_json(F.struct(F.lit('"paragraph": ').alias("note"), joined.alias("paragraph"), F.lit("t").alias("translation"))).alias("json"))
+    pieces = cut(requests, "json", 30, "fragment").withColumn("chunk", F.col("fragment").cast("binary")).drop("fragment")
+    stream = streamed(spark, pieces).withColumn("fragment", F.col("chunk").cast("string"))
+    deltas = finished(json_field.field_deltas(stream), "fields")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "delta")))
+    return deltas.groupBy("request_id").agg(F.array_join(F.transform(parts, lambda x: x.delta), "").alias("paragraph"))
+
+
+@query("""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, conv_id % 4 AS v FROM conversations WHERE role = 'assistant')
+SELECT CAST(conv_id AS VARCHAR) AS request_id, CASE v WHEN 0 THEN 'completed' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'protocol-error' END AS status,
+       CASE v WHEN 3 THEN '' ELSE coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE v <> 1 OR k > 1), '') END AS draft
+FROM e GROUP BY conv_id, v
+""")
+def streamed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as the deltas of attempts: sound ones, ones with a retry behind the first reply, failures, double retries."""
+    turns = assistant(spark, sf_dir).withColumn("v", F.col("request_id").cast("long") % 4)
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("turn"))
+    deltas = turns.withColumn("seq", (10 * nth).cast("long")).withColumn("kind", F.lit("delta"))
+    first, last = deltas.filter("seq = 10"), deltas.groupBy("request_id", "v").agg((F.max("seq") + 5).alias("seq"))
+    none = F.lit(None).cast("string").alias("text")
+    events = [deltas.select("request_id", "seq", "kind", "text")]
+    events += [first.filter(f"v {rule}").select("request_id", (F.col("seq") + by).alias("seq"), F.lit("retry").alias("kind"), none) for rule, by in (("in (1, 3)", 1), ("= 3", 2))]
+    events.append(last.select("request_id", "seq", F.when(F.col("v") == 2, "error").otherwise("result").alias("kind"), none))
+    folder = shared_path(spark, "events")
+    for e in events:
+        e.write.mode("append").parquet(folder)
+    return finished(json_field.attempt_results(spark.readStream.schema("request_id string, seq long, kind string, text string").parquet(folder)), "attempts")
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN n_chars + 100 ELSE n_chars END AS n_chars FROM documents")
+def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in two batches, one of them twice, and every fifth again with another size; the last count."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), shared_path(spark, "ledger")
+    for batch, rows in (("1", docs.filter("doc_id % 2 = 0")), ("2", docs.filter("doc_id % 2 = 1")), ("2", docs), ("3", docs.filter("doc_id % 5 = 0").withColumn("n_chars", F.col("n_chars") + 100))):
+        ledger.append(rows, folder, batch)
+    return ledger.snapshot(ledger.read(spark, folder), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stored' ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS ways FROM documents")
+def ledger_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents inserted into a ledger that has every third, otherwise: these stay, and are told as conflicts."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang"), shared_path(spark, "ledger")
+    ledger.append(docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("stored")), folder, "1")
+    ledger.append(docs, folder, "2")
+    rows = ledger.read(spark, folder)
+    kept = ledger.snapshot(rows, "doc_id", keep="first")
+    return kept.join(ledger.conflicts(rows, "doc_id"), "doc_id", "left").select("doc_id", "lang", F.coalesce("ways", F.lit(1)).cast("int").alias("ways"))

@@ -28,13 +28,13 @@ LISTED = 1000
 SHARD = "store_shard"
 
 
-def write(rows: DataFrame, path: str, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ORDER, shards: int | None = None) -> Store:
+def write(rows: DataFrame, path: str, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ORDER, shards: int | None = None, shard_rows: int = SHARD_ROWS) -> Store:
     """Writes rows as a store; the folder must not hold one. Null keys come first, and no lookup finds them."""
     spark = rows.sparkSession
     if SHARD in (c.lower() for c in rows.columns):
         raise ValueError(f"a column of the rows is named {SHARD}")
     if shards is None:
-        shards = max(1, -(-rows.count() // SHARD_ROWS))
+        shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.repartitionByRange(shards, *keys, *order).withColumn(SHARD, F.spark_partition_id())
     out = dealt.sortWithinPartitions(SHARD, *keys, *order).write.partitionBy(SHARD)
     # Pages and row groups end often, so that statistics are narrow; the filter answers for words that are not there.

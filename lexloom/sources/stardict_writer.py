@@ -23,8 +23,8 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from . import files
 from .stardict import CACHE_HEADER, CACHE_OPAQUE, HEADER, MANIFEST, STRIDE, StarDictError, StarDictSource, folded, order
 
-#: Records in a container, about.
-RECORDS = 1_000_000
+#: Bytes of headwords and texts in a container, about.
+CONTAINER_BYTES = 32 << 20
 LARGEST_INDEX = LARGEST_PAYLOAD = (1 << 32) - 1
 
 
@@ -116,7 +116,8 @@ def write_containers(rows: DataFrame, folder: str, then: tuple[str, ...] = (), c
     spark = rows.sparkSession
     spark.dataSource.register(StarDictSource)
     if containers is None:
-        containers = max(1, -(-rows.count() // RECORDS))
+        size = rows.agg(F.sum(F.octet_length("headword") + F.octet_length("text"))).first()[0] or 0
+        containers = max(1, -(-size // CONTAINER_BYTES))
     keys = [*in_order(F.col("headword")), *map(F.col, then), F.col("text")]
     dealt = rows.repartitionByRange(containers, *keys).sortWithinPartitions(*keys).select("headword", "text")
     dealt.write.format("stardict").mode(mode).option("bookname", bookname).save(folder)
