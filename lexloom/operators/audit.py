@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import LABEL, NUMBERED, SECTIONS
+from .ordering import order_statistics, running
 
 # The audit's own line kinds and tokens.
 LINE_SECTIONS = ("表現", "派生", "語源", "類語", "対義語", "参考", "注意", "表記", "用法", "語法")
@@ -67,14 +70,30 @@ def duplicate_groups(df: DataFrame, *keys: str) -> DataFrame:
     return groups.agg(F.count("*").alias("duplicate_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
 
 
-def size_statistics(df: DataFrame, size: str) -> DataFrame:
-    return df.agg(F.min(size).alias("least"), F.max(size).alias("most"), F.median(size).alias("median"), F.avg(size).alias("mean"))
+def size_statistics(df: DataFrame, size: str, *keys: str) -> DataFrame:
+    """least, most, median (of an even number, the mean of the middle two) and mean; null where there are none."""
+    middle = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1}
+    ends = [F.min(size).alias("least"), F.max(size).alias("most"), F.avg(size).alias("mean")]
+    median = ((F.col("low").cast("double") + F.col("high")) / 2).alias("median")
+    return _with_ranks(df, size, keys, middle, ends).select(*keys, "least", "most", median, "mean")
 
 
 def latency_statistics(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """avg, nearest-rank p50, p95, p99, and max of the values that aren't null; null where there are none."""
-    ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return df.groupBy(*keys).agg(F.avg(value).alias("avg"), *ranks, F.max(value).alias("max"))
+    shares = {f"p{round(p * 100)}": p for p in (0.5, 0.95, 0.99)}
+    ranks = {name: (lambda n, p=p: F.greatest(F.ceil(n * F.lit(p)), F.lit(1))) for name, p in shares.items()}
+    return _with_ranks(df, value, keys, ranks, [F.avg(value).alias("avg"), F.max(value).alias("max")]).select(*keys, "avg", *shares, "max")
+
+
+def _with_ranks(df: DataFrame, value: str, keys: tuple[str, ...], ranks: dict, ends: list[Column]) -> DataFrame:
+    """A row a group, of values or not, with aggregates and the values at ranks."""
+    every = df.groupBy(*keys).agg(*ends)
+    told = order_statistics(df, value, list(keys), ranks).drop("n")
+    if not keys:
+        return in_one_row(every, told.agg(*(F.max(c).alias(c) for c in ranks)))
+    told = told.select(*(F.col(k).alias(f"ranked_{k}") for k in keys), *ranks)
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"ranked_{k}")) for k in keys))
+    return every.join(told, same, "left").drop(*(f"ranked_{k}" for k in keys))
 
 
 def rate_per_second(count: Column, nanoseconds: Column) -> Column:
@@ -127,9 +146,9 @@ def shapes(rows: DataFrame, entry: str, order: str, kind: str) -> DataFrame:
 
 def cumulative_share(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """key, n, rank, share: running share of all, most frequent first. counts has one row a key."""
-    ranked = Window.orderBy(F.col(n).desc(), F.col(key).asc_nulls_first())
-    running = F.sum(n).over(ranked.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(key, n, F.row_number().over(ranked).alias("rank"), (running / F.sum(n).over(Window.partitionBy())).alias("share"))
+    placed = running(counts.select(key, n), [F.col(n).desc(), F.col(key).asc_nulls_first()], {"upto": n}, "place")
+    total = placed.agg(F.sum(n)).first()[0]  # of a table that running() has written
+    return placed.select(key, n, (F.col("place") + 1).alias("rank"), (F.col("upto") / F.lit(total)).alias("share"))
 
 
 def sequence_flags(rows: DataFrame, entry: str, order: str, number: str, other: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import deterministic_uuid
 from ..functions.text import normalize_headword, sort_key
 from .audit import in_one_row
+from .ordering import running
 
 # The shapes of the export's JSON columns.
 ENTRY = (
@@ -32,8 +33,7 @@ def parse_entries(entries: DataFrame, dictionary: str) -> DataFrame:
     kana = F.transform(F.coalesce("d.kana", F.array()), lambda k: F.struct(k.text.alias("text"), F.lit("kana").alias("kind"), k.info.alias("tags"), k.priority.alias("priority_tags"), k.restricted_to.alias("restrictions")))
     known = F.forall(F.flatten(F.transform("d.senses", lambda s: s.glosses)), lambda g: g.lang.isin("eng", "zho"))
     checked = _must((F.col("d.id") == F.col("entry_id")) & known & (F.size(F.concat(kanji, kana)) > 0), "malformed data", F.concat(kanji, kana))
-    ordinal = F.row_number().over(Window.orderBy("id")) - 1  # ids only: the source numbers its entries in one order
-    numbered = entries.select(F.col("id").alias("entry_id"), ordinal.alias("source_ordinal"))
+    numbered = running(entries.select(F.col("id").alias("entry_id")), ["entry_id"], name="source_ordinal").withColumn("source_ordinal", F.col("source_ordinal").cast("int"))
     return parsed.join(numbered, "entry_id").select("entry_id", deterministic_uuid(dictionary, "entry", F.col("entry_id")).alias("id"), "source_ordinal", checked.alias("forms"), F.col("d.senses").alias("senses"))
 
 

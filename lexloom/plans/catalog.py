@@ -8,7 +8,6 @@ dictionary, part name the headword, its second word a form), `orders` and `event
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -196,10 +195,7 @@ def size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 def median_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_type", "value")
-    kinds = [r.event_type for r in events.select("event_type").distinct().collect()]  # a handful
-    parts = [audit.size_statistics(events.filter(F.col("event_type").eqNullSafe(F.lit(k))), "value").select(F.lit(k).alias("event_type"), F.round("median", 6).alias("median")) for k in kinds]
-    return reduce(DataFrame.unionByName, parts)
+    return audit.size_statistics(table(spark, sf_dir, "events"), "value", "event_type").select("event_type", F.round("median", 6).alias("median"))
 
 
 @query("""
