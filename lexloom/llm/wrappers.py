@@ -10,7 +10,7 @@ the result doesn't depend on how rows fall into tasks.
 Each page is then matched with its host's wrapper part by part, and its texts are judged by the slots they take. A
 text that the wrapper has as a constant of many pages is template; a slot that holds mostly links is a menu; elements
 that say what they are (nav, footer, class names) are believed. Where the parts that a page takes mark its article,
-only texts within the mark are kept, else all that are left. Parts that the wrapper doesn't know are judged by the page
+the texts within the mark are kept, all of them, and no others, else all that are left. Parts that the wrapper doesn't know are judged by the page
 alone.
 """
 
@@ -47,7 +47,11 @@ NEUTRAL = set("area bar block bottom box col column container content footer glo
 MAIN = {"article", "main"}
 MAIN_NAMES = set("article content entry main post story".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+METADATA = set("base link meta noscript script style template title".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile("[>\"']")
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Neighbours in a wrapper; more of them become a repeated group that has each label once.
 LONGEST = 100
@@ -55,8 +59,8 @@ LONGEST = 100
 SALTS, HELD_PARTS = 256, 500_000
 #: Elements nested deeper than this lend their texts to the one at this depth, with what their labels say of them.
 DEEPEST = 150
-#: A constant is template from so many pages on; within an article that a page marks, from so many.
-TEMPLATE_PAGES, MARKED_PAGES = 3, 10
+#: A constant is template from so many pages on, but never within an article that a page marks.
+TEMPLATE_PAGES = 3
 #: The share of linked words from which a slot is a menu.
 LINKED = 0.5
 #: Wrappers (compressed) are broadcast up to so many bytes in all; beyond, pages and wrappers are joined by host.
@@ -90,74 +94,137 @@ def label_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(names)])
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, tag or text, attributes, end) of each piece of markup: kind is "" for text, "<" and ">" for tags that begin and
+    end an element. A caller that sends a place goes on from there. Time is linear: of a "<" that begins no whole tag, which
+    is text, what was looked at is kept in mind, so that no later one looks at it again."""
+    at, last = 0, html.rfind(">")
+    failed: set[int] = set()  # signs that lead to no end of a tag, when met outside of quotes
+    ahead = -1  # the next sign from where one was last looked for
+
+    def special(start: int) -> int:
+        nonlocal ahead
+        if ahead < start:
+            m = SPECIAL.search(html, start)
+            ahead = m.start() if m else len(html)
+        return ahead
+
+    def end_of_tag(start: int) -> int:
+        """The place behind the ">" that ends a tag, or -1."""
+        seen = []
+        sign = special(start)
+        while sign < len(html) and sign not in failed:
+            if html[sign] == ">":
+                return sign + 1
+            seen.append(sign)
+            close = html.find(html[sign], sign + 1)
+            if close < 0:
+                break
+            m = SPECIAL.search(html, close + 1)
+            sign = m.start() if m else len(html)
+        failed.update(seen)
+        return -1
+
+    while at < len(html):
+        if at > last:  # no tag ends here; a comment that isn't ended goes to the end
+            cut = html.find("<!--", at)
+            yield "", html[at : len(html) if cut < 0 else cut], "", len(html)
+            return
+        less = html.find("<", at)
+        if less != at:
+            end = len(html) if less < 0 else less
+            yield "", html[at:end], "", end
+            at = end
+            continue
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = len(html) if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), at):
+            at = html.index(">", at) + 1
+            continue
+        m = TAG.match(html, at)
+        end = end_of_tag(m.end()) if m else -1
+        if end < 0:
+            yield "", "<", "", at + 1
+            at += 1
+            continue
+        on = yield "</" if m[1] else "<", m[2].lower(), html[m.end() : end - 1], end
+        at = end if on is None else on
+        if on is not None:
+            yield "", "", "", at
+
+
+def said_below(says: int, label: str) -> int:
+    """What labels below DEEPEST say of a text, with one more of them."""
+    return OUT if says == OUT or is_boilerplate(label, says == WITHIN) else WITHIN if says == WITHIN or is_main(label) else PLAIN
+
+
 def parse(html: str) -> Node:
-    """The tree of block elements. Never fails: stray end tags are ignored, open elements end with their parents."""
+    """The tree of block elements. Never fails: stray end tags are ignored, open elements end with their parents, and of
+    elements whose end tags may be left out (paragraphs, items, cells, the head) what can't stand in them ends them."""
     root = Node("")
-    stack, anchors = [(root, "")], 0  # the node that takes the parts, and the element's own label
+    # The node that takes the parts, the element's own tag, and what labels below DEEPEST say of its texts.
+    stack, anchors = [(root, "", PLAIN)], 0
+    opened: dict[str, int] = {}
 
     def add(text: str, linked: bool) -> None:
-        says = PLAIN
-        if len(stack) > DEEPEST:
-            for _, label in stack[DEEPEST:]:
-                says = OUT if says == OUT or is_boilerplate(label, says == WITHIN) else WITHIN if says == WITHIN or is_main(label) else PLAIN
-        stack[-1][0].parts.append((text, linked, says))
+        if stack[-1][1] == "head" and text.strip():
+            close(len(stack) - 1)
+        stack[-1][0].parts.append((text, linked, stack[-1][2]))
 
     def close(k: int) -> None:
         if len(stack) > DEEPEST:
             stack[-1][0].parts.append(None)
+        for _, tag, _ in stack[k:]:
+            opened[tag] -= 1
         del stack[k:]
 
-    at, low = 0, None
-    while at < len(html):
-        m = TOKEN.match(html, at)
-        if not m:  # a "<" that begins nothing
-            add("<", anchors > 0)
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            add(entities.unescape(m[4]), anchors > 0)
-            continue
-        if m[2] is None:
+    pieces = tokens(html)
+    for kind, tag, attributes, at in pieces:
+        if not kind:
+            if tag:
+                add(entities.unescape(tag), anchors > 0)
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            low = html.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            at = len(html) if end < 0 else html.find(">", end) + 1 or len(html)
+        if kind == "<" and stack[-1][1] == "head" and tag not in METADATA:
+            close(len(stack) - 1)
+        if tag in RAW and kind == "<":
+            m = RAW_ENDS[tag].search(html, at)
+            pieces.send(len(html) if not m else html.find(">", m.start()) + 1 or len(html))
         elif tag in INLINE:
             if tag == "a":
-                anchors = max(0, anchors + (-1 if m[1] else 1))
+                anchors = max(0, anchors + (-1 if kind == "</" else 1))
             elif tag == "br":
                 add(" ", False)
-        elif m[1]:
+        elif kind == "</":
             anchors = 0
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][1].split(".")[0]
-                if name == tag:
-                    close(k)
-                    break
-                if tag in ("p", "li") and name in BOUNDARY:
-                    break
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][1] == tag:
+                        close(k)
+                        break
+                    if tag in ("p", "li") and stack[k][1] in BOUNDARY:
+                        break
         else:
             anchors = 0
             closes = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][1].split(".")[0]
-                if name in closes:
-                    close(k)
-                    break
-                if name in BOUNDARY:
-                    break
-            label, open_ = label_of(tag, m[3]), tag not in VOID and not m[3].rstrip().endswith("/")
+            if any(opened.get(c) for c in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][1] in closes:
+                        close(k)
+                        break
+                    if stack[k][1] in BOUNDARY:
+                        break
+            label, open_ = label_of(tag, attributes), tag not in VOID and not attributes.rstrip().endswith("/")
             if len(stack) < DEEPEST:
-                node = Node(label)
+                node, says = Node(label), PLAIN
                 stack[-1][0].parts.append(node)
             else:
-                node = stack[-1][0]
+                node, says = stack[-1][0], said_below(stack[-1][2], label)
                 node.parts.append(None)
             if open_:
-                stack.append((node, label))
+                stack.append((node, tag, says))
+                opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -393,9 +460,7 @@ def main_text(html: str, known: list | None) -> str:
     tree = parse(html or "")
     found, marked = taken(tree, known)
     if marked:
-        found = [(text, r) for text, in_main, out_of, r in found if in_main and not out_of]
-        varies = any(r is not None and not r[3] for _, r in found)
-        return "\n".join(text for text, r in found if not varies or r is None or r[3] < MARKED_PAGES)
+        return "\n".join(text for text, in_main, out_of, _ in found if in_main and not out_of)
     if any(r is None for *_, r in found) or all(r[3] for *_, r in found):
         varies = any(r is not None and not r[3] for *_, r in found)
         alone, _ = taken(tree, rules(stream(tree)))

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -22,6 +23,40 @@ def test_never_fails(html):
     assert isinstance(wr.main_text(html, None), str)
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<html><head><title>t</title><body><p>Hello...</p><p>Second.</p></body></html>", "Hello...\nSecond."),
+        ("<title>t</title><p>One<p>Two", "One\nTwo"),
+        ("<html><head><meta charset=x><title>t</title><link rel=a><p>One</p>", "One"),
+        ("<html><head><style>p {}</style>Bare text<div>Two</div>", "Bare text\nTwo"),
+        ("<head><script>x</script></head><ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+        ("<table><tr><td>a<td>b<tr><th>c</table><dl><dt>d<dd>e</dl>", "a\nb\nc\nd\ne"),
+        ("<p>One<div>Two</div><script>İİİ</script>Three</SCRIPT >Four", "One\nTwo\nThreeFour"),
+    ],
+)
+def test_end_tags_that_are_left_out(html, text):
+    assert wr.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("piece", ["<p ", "</x ", '<p "', '<p ">" ', "<a '\"", "<! ", "<!-- ", "<blockquote>", "<li><blockquote>", "<script>", "a<"])
+@pytest.mark.parametrize("end", ["", ">", '">"'])
+def test_long_broken_markup_takes_linear_time(piece, end):
+    def seconds(n):
+        start = time.perf_counter()
+        wr.parse(piece * (n // len(piece)) + end)
+        return time.perf_counter() - start
+
+    assert seconds(5_000_000) < 30 and seconds(1_000_000) < 30 * seconds(100_000) + 0.2
+
+
+def test_texts_of_a_marked_article_stay_however_often_they_are_repeated(spark):
+    page = "<body><nav>menu</nav><article><p>running text {} of the page</p><p>Under a licence of the host.</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in wr.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"running text {i} of the page\nUnder a licence of the host." for i in range(12)}
+
+
 def test_unmarked_pages_need_their_host(spark):
     """Without marks for the article, the template's fixed texts only show beside the host's other pages."""
     page = "<html><body><div class=\"top\">This line of ten or more words stands on every page of the host here</div><div><p>{}</p></div></body></html>"
@@ -105,13 +140,13 @@ def test_the_same_text_is_template_in_one_slot_and_article_in_another():
     assert wr.main_text(pages[4], known) == "t 4\nstory 4"
 
 
-def test_template_within_a_marked_article():
+def test_nothing_of_a_marked_article_is_template():
+    """A line that closes every article, such as its licence, is part of it."""
     pages = [f"<article><h1>t {i}</h1><p>story {i}</p><div>Write to the editor about this</div></article>" for i in range(12)]
     whole = stream(pages[0])
     for page in pages[1:]:
         whole = wr.merged(whole, stream(page))
-    assert wr.main_text(pages[0], wr.rules(whole)) == "t 0\nstory 0"
-    assert wr.main_text(pages[0], None) == "t 0\nstory 0\nWrite to the editor about this"
+    assert wr.main_text(pages[0], wr.rules(whole)) == wr.main_text(pages[0], None) == "t 0\nstory 0\nWrite to the editor about this"
 
 
 def test_copies_of_one_page_are_not_template():
