@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexloom.storage import durable, shared_path  # noqa: F401 - the operators take them from here
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,25 +27,12 @@ def id_bucket(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % k
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share. A session without spark.checkpoint.dir (tests) gets a temporary one."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if root is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
-        root = sc.getCheckpointDir()
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so later reads survive lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

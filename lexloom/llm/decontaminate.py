@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, durable, encode, hash_words, mix, owners, slices, split_words, table, text_of, windows
+from .common import annotate, durable, encode, free_name, hash_words, mix, owners, slices, split_words, table, text_of, windows
 
 PIECE, STEP = 32, 32
 THRESHOLD = 0.6
@@ -285,7 +285,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     kind = "array<struct<item_id: string, score: double, question: double, answer: double>>"
     spark = docs.sparkSession
     out = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "leaks"])
-    parts = indexes(items)
+    parts, names = indexes(items), []
     for p, index in enumerate(parts):
         shared = spark.sparkContext.broadcast(vars(index))  # about INDEX_WORDS words of test items
         del index
@@ -295,12 +295,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
             struct = pa.struct([("item_id", pa.string()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
             return lambda batch: [pa.array([[dict(zip(struct.names, x, strict=True)) for x in r] for r in find(batch)], pa.list_(struct))]
 
-        out = annotate(out, make, f"_leaks{p} {kind}", 1 << 20)
+        names.append(free_name(out, f"leaks_{p}"))
+        out = annotate(out, make, f"`{names[-1]}` {kind}", 1 << 20)
     own = dict(items.dtypes)["item_id"]
     final = kind.replace("item_id: string", f"item_id: {own}")
     if not parts:
         return out.withColumn("leaks", F.from_json(F.lit("[]"), final))
-    names = [f"_leaks{p}" for p in range(len(parts))]
     return out.withColumn("leaks", F.array_sort(F.concat(*names).cast(final))).drop(*names)
 
 

@@ -1,14 +1,12 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact word length. A source's target is first met by whole passes over the source;
-the words then missing are fitted from its histogram: every length gives its proportional share, the longest lengths
-that still fit are added, and a bounded knapsack over the lengths left chooses how many documents of each close the
-gap, exactly if any choice of them does. Which documents of a length are taken is decided by a seeded hash.
+the words then missing are fitted from its histogram: beyond a window of words every length gives its proportional share,
+and a bounded knapsack over what is left chooses how many documents of each length close the gap. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,9 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to the budget from below.
 
-    0 <= budget <= the words of all. Proportional shares first, then the longest that fit, then a bounded knapsack on
-    the rest, which is exact for what it is given: for budgets within the window, that is everything. A budget that is
-    missed is tried again with a window of twice the longest length, so that every document left may be chosen.
+    0 <= budget <= the words of all. A budget within the window is met by a bounded knapsack over all documents, and so as
+    nearly as any choice of them can. A greater one is met by proportional shares first, of which documents of all lengths
+    are given back until half the window is open, and a knapsack over all that aren't taken. A budget that is missed is
+    tried again with a window of twice the longest length; then it is exact for budgets up to that.
     """
     take = _fill(lengths, counts, budget, window)
     wide = 2 * int(lengths.max(initial=0))
@@ -71,40 +70,65 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
 
 def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
     total = int((lengths * counts).sum())
+    take = np.zeros(len(lengths), dtype=np.int64)
     if not total or budget <= 0:
-        return np.zeros(len(lengths), dtype=np.int64)
-    # Integer division in Python's own integers: no product overflows.
-    take = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
-    # Half the window is given back, evenly by length, so that the knapsack may choose of every length.
-    take -= np.minimum(take, window // 2 // len(lengths) // lengths)
-    gap = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths):
-        if gap <= window:
-            break
-        more = min(int(counts[i] - take[i]), max(0, (gap - window // 2) // int(lengths[i])))
-        take[i] += more
-        gap -= more * int(lengths[i])
-    left = counts - take
-    small = np.flatnonzero((lengths <= min(gap, window)) & (left > 0))
-    # Reachable sums as the bits of one integer; a length is added in groups of 1, 2, 4, ... documents.
-    goal = min(gap, window)
-    mask, reach, steps = (1 << (goal + 1)) - 1, 1, []
-    for i in small.tolist():
-        rest, group = min(int(left[i]), goal // int(lengths[i])), 1
-        while rest:
+        return take
+    gap = budget
+    if budget > window:
+        # Integer division in Python's own integers: no product overflows.
+        take = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
+        # Half the window is given back, evenly by words, so that short documents may be chosen anew, all of them.
+        take -= np.minimum(take, window // 2 // len(lengths) // lengths)
+        gap = budget - int((take * lengths).sum())
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            if gap <= window:
+                break
+            more = min(int(counts[i] - take[i]), max(0, (gap - window // 2) // int(lengths[i])))
+            take[i] += more
+            gap -= more * int(lengths[i])
+        # Long ones are given back one of each length in turn, the short first, as far as they fit.
+        while gap < window // 2:
+            back = np.flatnonzero((take > 0) & (np.cumsum(np.where(take > 0, lengths, 0)) <= window - gap))
+            if not len(back):
+                break
+            take[back] -= 1
+            gap += int(lengths[back].sum())
+    added = knapsack(lengths, counts - take, min(gap, window))
+    return take + added
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """How many of each length make the greatest sum that is at most the goal.
+
+    Sums that can be reached are the bits of one integer; a length is added in groups of 1, 2, 4, ... documents. Of each sum
+    the group that first reached it is kept, whose rest was reached by groups before it: one number a sum, however many
+    lengths there are.
+    """
+    take = np.zeros(len(lengths), dtype=np.int64)
+    mask, reach = (1 << (goal + 1)) - 1, 1
+    groups: list[tuple[int, int]] = []
+    by = np.zeros(goal + 1, dtype=np.int32)
+    for i in np.flatnonzero((lengths <= goal) & (counts > 0)).tolist():
+        length = int(lengths[i])
+        rest, group = min(int(counts[i]), goal // length), 1
+        while rest and not reach >> goal & 1:
             n = min(group, rest)
-            more = reach | (reach << (n * int(lengths[i]))) & mask
-            if more != reach:
-                steps.append((i, n, reach))
-                reach = more
+            new = ((reach << (n * length)) & mask) & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(goal // 8 + 1, "little"), dtype=np.uint8)
+                full = np.flatnonzero(bits)
+                at = (full[:, None] * 8 + np.arange(8))[np.unpackbits(bits[full], bitorder="little").reshape(-1, 8) > 0]
+                by[at] = len(groups)
+                groups.append((i, n))
+                reach |= new
             rest, group = rest - n, group * 2
         if reach >> goal & 1:
             break
     at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(lengths[i])
+    while at:
+        i, n = groups[by[at]]
+        take[i] += n
+        at -= n * int(lengths[i])
     return take
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, annotate, encode, owners, per_row, slices, split_words, table, text_of
+from .common import WORD, annotate, encode, free_name, owners, per_row, slices, split_words, table, text_of
 
 # The base patterns, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -415,7 +415,8 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, mark: s
 
         return clean
 
-    return annotate(docs, make, "clean_text string", 1 << 20).withColumn("text", F.col("clean_text")).drop("clean_text")
+    clean = free_name(docs, "clean_text")
+    return annotate(docs, make, f"`{clean}` string", 1 << 20).withColumn("text", F.col(clean)).drop(clean)
 
 
 def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate as dc
 
@@ -133,3 +134,10 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id for r in got.collect() if r.leaks) == [6, 6, 7]
     assert not any(r.leaks for r in dc.leaks(documents(spark), items.limit(0)).collect())
     assert dc.leaks(no_documents(spark), items).count() == 0
+
+
+def test_columns_of_the_callers_stay(spark):
+    docs = documents(spark).withColumn("_leaks0", F.lit("mine")).withColumn("Leaks_0", F.lit("too"))
+    items = spark.createDataFrame([(1, "some benchmark text of a few words that stands nowhere")], "item_id long, text string")
+    got = dc.leaks(docs, items)
+    assert got.columns == [*docs.columns, "leaks"] and {(r["_leaks0"], r["Leaks_0"]) for r in got.collect()} == {("mine", "too")}

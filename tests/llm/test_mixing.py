@@ -87,3 +87,28 @@ def test_hot_length_takes_exactly_what_was_planned(spark):
     got = mixing.mix(docs).collect()
     x = [r for r in got if r.source == "x"]
     assert abs(sum(r.taken for r in x) - x[0].target) <= 3
+
+
+def test_budgets_within_the_window_are_exact():
+    """Few long documents, of which proportional shares would take the wrong ones."""
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        lengths = np.sort(rng.choice(np.arange(5000, 60_000), rng.integers(1, 6), replace=False))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(0, min(mixing.WINDOW, int((lengths * counts).sum())) + 1))
+        best = max(s for s in (int((np.array(w) * lengths).sum()) for w in itertools.product(*[range(c + 1) for c in counts.tolist()])) if s <= budget)
+        assert int((mixing.fill(lengths, counts, budget) * lengths).sum()) == best
+    assert int((mixing.fill(np.array([30_000, 40_000]), np.array([2, 3]), 60_000) * np.array([30_000, 40_000])).sum()) == 60_000
+
+
+def test_memory_does_not_grow_with_the_number_of_lengths():
+    import tracemalloc
+
+    lengths = np.unique(np.random.default_rng(1).integers(1, 4_000_000, 4000))
+    counts = np.full(len(lengths), 3)
+    for ls, cs, budget in ((lengths, counts, int((lengths * counts).sum() * 0.37)), (np.array([3, 12_345_678, 17_000_000]), np.array([1, 1, 1]), 17_000_003)):
+        tracemalloc.start()
+        take = mixing.fill(ls, cs, budget)
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+        assert int((take * ls).sum()) == budget

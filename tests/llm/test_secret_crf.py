@@ -125,3 +125,9 @@ def test_query_digests(spark, small_dir):
         joined = ",".join(f"{sc.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+
+
+def test_a_column_of_the_callers_stays(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh1", "mine")], "doc_id long, text string, Clean_Text string")
+    got = sc.redact(docs, None)
+    assert got.columns == docs.columns and tuple(got.first()) == (1, "[SECRET]", "mine")
