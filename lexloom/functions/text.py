@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 # The white space of the sources' language of origin, and the characters of its scripts.
 SPACES = "\t\n\x0b\x0c\r    -     　﻿"
+#: The same as single characters.
+TRIMMED = "".join(chr(c) for c in range(0x10000) if re.match(f"[{SPACES}]", chr(c)))
 KANA = "[ぁ-ヿー]"
 HAN = "[㐀-鿿]"
 KANA_ONLY = "^[ぁ-ヿー]+$"
@@ -38,6 +41,12 @@ def nfc_each(values: pd.Series) -> pd.Series:
     return values.map(lambda words: [unicodedata.normalize("NFC", (w or "").strip()) for w in words], na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(values: pd.Series) -> pd.Series:
+    """Texts of a list trimmed and compatibility-composed; a null among them counts as empty."""
+    return values.map(lambda words: [unicodedata.normalize("NFKC", (w or "").strip(TRIMMED)) for w in words], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """Decomposed, without the combining marks U+0300 to U+036F."""
@@ -51,8 +60,13 @@ def stable_json(values: pd.Series) -> pd.Series:
     return values.map(lambda s: json.dumps(json.loads(s), sort_keys=True, ensure_ascii=False, separators=(",", ":")), na_action="ignore")
 
 
+def trim_spaces(value: Column) -> Column:
+    """Without the white space at both ends, line breaks included."""
+    return F.regexp_replace(value, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def collapse_spaces(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, f"^[{SPACES}]+|[{SPACES}]+$", ""), f"[{SPACES}]+", " ")
+    return F.regexp_replace(trim_spaces(value), f"[{SPACES}]+", " ")
 
 
 def strip_nul(value: Column) -> Column:

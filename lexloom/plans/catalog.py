@@ -391,11 +391,18 @@ def oldest_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail.next_job(jobs).select("id")
 
 
-@query("SELECT s, t, (s = 'queued' AND t = 'running') OR (s = 'running' AND t IN ('completed', 'failed')) AS allowed FROM (VALUES ('queued'), ('running'), ('completed'), ('failed')) a(s) CROSS JOIN (VALUES ('queued'), ('running'), ('completed'), ('failed')) b(t)")
+STATES = ("queued", "running", "completed", "failed")
+
+
+@query("""
+SELECT event_id, s, t, (s = 'queued' AND t = 'running') OR (s = 'running' AND t IN ('completed', 'failed')) AS allowed
+FROM (SELECT event_id, ['queued', 'running', 'completed', 'failed'][1 + user_id % 4] AS s, ['queued', 'running', 'completed', 'failed'][1 + event_id % 4] AS t FROM events)
+""")
 def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = F.array(*map(F.lit, ("queued", "running", "completed", "failed")))
-    both = spark.range(1).select(F.explode(states).alias("s")).select("s", F.explode(states).alias("t"))
-    return both.select("s", "t", detail.allowed_transition(F.col("s"), F.col("t")).alias("allowed"))
+    """Events as jobs that go from the state of their user's number to that of their own."""
+    names = F.array(*map(F.lit, STATES))
+    both = table(spark, sf_dir, "events").select("event_id", *(F.get(names, (F.col(c) % 4).cast("int")).alias(n) for c, n in (("user_id", "s"), ("event_id", "t"))))
+    return both.select("event_id", "s", "t", detail.allowed_transition(F.col("s"), F.col("t")).alias("allowed"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0")
@@ -544,13 +551,16 @@ def integrity_asserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate.unionByName(orphan).unionByName(outside)
 
 
-MAGIC = "(VALUES ('4F67675300', 'audio/ogg'), ('89504E470D0A1A0A00', 'image/png'), ('FFD8FFE0', 'image/jpeg'), ('474946383961', 'image/gif'), ('524946460000000057454250', 'image/webp'), ('00', 'application/octet-stream'))"
+#: First bytes of a file and the kind they tell.
+MAGIC = (("4F67675300", "audio/ogg"), ("89504E470D0A1A0A00", "image/png"), ("FFD8FFE0", "image/jpeg"), ("474946383961", "image/gif"), ("524946460000000057454250", "image/webp"), ("00", "application/octet-stream"))
 
 
-@query(f"SELECT h, kind FROM {MAGIC} v(h, kind)")
+@query(f"SELECT doc_id, {[kind for _, kind in MAGIC]}[1 + doc_id % 6] AS kind FROM documents")
 def mime_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bytes_ = spark.sql(f"SELECT col1 AS h, unhex(col1) AS content FROM {MAGIC}")
-    return bytes_.select("h", paths.content_type(F.col("content")).alias("kind"))
+    """Texts behind the first bytes of six kinds of files."""
+    head = F.get(F.array(*(F.lit(h) for h, _ in MAGIC)), (F.col("doc_id") % 6).cast("int"))
+    content = F.concat(F.unhex(head), F.coalesce("text", F.lit("")).cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.content_type(content).alias("kind"))
 
 
 @query("""
@@ -704,12 +714,33 @@ def locator_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.in_one_row(maintenance.locator_collisions(same), filled.agg(F.count("*").alias("filled")))
 
 
-CASES = "(VALUES ('ShadowSanitizerError', 'x', 'sanitizer'), ('LazyDetailPipelineError', 'checksum', 'sanitizer'), ('MdxFileIdentityMismatchError', '', 'checksum_mismatch'), ('LazyDetailMappingError', 'the checksum differs', 'checksum_mismatch'), ('PartialPersistedMdxLocatorError', 'x', 'malformed_locator'), ('InvalidMdxLocatorError', 'x', 'malformed_locator'), ('LazyDetailMappingError', 'has no persisted locator', 'missing_locator'), ('LazyDetailMappingError', 'identity differs', 'identity_mismatch'), ('LazyDetailMappingError', 'does not align', 'identity_mismatch'), ('LazyDetailMappingError', 'other', 'mdx_read'), ('MdxEntryNotFoundByLocatorError', 'identity', 'mdx_read'), ('TypeError', 'checksum', 'unknown'))"
+#: Names of errors, what they say, and their category.
+CASES = (
+    ("ShadowSanitizerError", "x", "sanitizer"),
+    ("LazyDetailPipelineError", "checksum", "sanitizer"),
+    ("MdxFileIdentityMismatchError", "", "checksum_mismatch"),
+    ("LazyDetailMappingError", "the checksum differs", "checksum_mismatch"),
+    ("PartialPersistedMdxLocatorError", "x", "malformed_locator"),
+    ("InvalidMdxLocatorError", "x", "malformed_locator"),
+    ("LazyDetailMappingError", "has no persisted locator", "missing_locator"),
+    ("LazyDetailMappingError", "identity differs", "identity_mismatch"),
+    ("LazyDetailMappingError", "does not align", "identity_mismatch"),
+    ("LazyDetailMappingError", "other", "mdx_read"),
+    ("MdxEntryNotFoundByLocatorError", "identity", "mdx_read"),
+    ("TypeError", "checksum", "unknown"),
+)
+
+
+def case_sql(place: int) -> str:
+    return f"{[c[place] for c in CASES]}[1 + doc_id % {len(CASES)}]"
 
 
-@query(f"SELECT c, m, category FROM {CASES} v(c, m, category)")
+@query(f"SELECT doc_id, {case_sql(0)} AS c, {case_sql(2)} AS category FROM documents")
 def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT col1 AS c, col2 AS m FROM {CASES}").withColumn("category", maintenance.failure_category(F.col("c"), F.col("m")))
+    """Documents as failures of twelve sorts, whose messages go on with the document's language."""
+    one = lambda i: F.get(F.array(*(F.lit(c[i]) for c in CASES)), (F.col("doc_id") % len(CASES)).cast("int"))
+    failures = table(spark, sf_dir, "documents").select("doc_id", one(0).alias("c"), F.concat_ws(" ", one(1), F.lit("in"), "lang").alias("m"))
+    return failures.select("doc_id", "c", maintenance.failure_category(F.col("c"), F.col("m")).alias("category"))
 
 
 PAYLOADS = """
@@ -821,3 +852,26 @@ def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     output = F.to_json(F.struct(paragraph.alias("paragraph"), F.lit("t").alias("translation"), F.array(said).alias("usedWords")))
     asked = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 4 == 0, "{broken").otherwise(output).alias("text"), F.array(word).alias("words"))
     return generated.validate_generated(asked).select("p_partkey", F.array_join("errors", "; ").alias("errors"))
+
+
+ASKED = "CASE doc_id % 6 WHEN 4 THEN 'ice cream' ELSE coalesce(lang, 'xx') END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 6 AS v, {ASKED} AS w FROM documents)
+SELECT doc_id, CASE v WHEN 0 THEN 0 WHEN 2 THEN NULL WHEN 4 THEN 80 ELSE 40 END AS word_count, CASE v
+  WHEN 0 THEN 'paragraph must be a non-empty string; paragraph must contain 35–120 English words; paragraph is missing requested items: ' || w
+  WHEN 2 THEN 'paragraph must be a non-empty string; paragraph must contain 35–120 English words; paragraph is missing requested items: ' || w
+  WHEN 3 THEN 'translation must be a non-empty string' WHEN 4 THEN 'usedWords does not match the requested vocabulary items' ELSE '' END AS errors
+FROM d
+""")
+def generated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated texts with nothing but line breaks, words in wide letters, no paragraph, an empty translation, other blanks
+    within a reported word, and sound ones."""
+    v, word = F.col("doc_id") % 6, F.expr(ASKED)
+    wide = F.translate(word, "abcdefghijklmnopqrstuvwxyz", "".join(chr(c + 0xFEE0) for c in range(0x61, 0x7B)))
+    paragraph = F.when(v == 0, "\n\r\n \t").when(v != 2, F.repeat(F.concat(word, F.lit(" ")), 40))
+    said = F.when(v == 4, "ice  cream").when(v == 1, F.upper(word)).otherwise(F.concat(F.lit(" "), word, F.lit("\n")))
+    output = F.to_json(F.struct(paragraph.alias("paragraph"), F.when(v == 3, "\n").otherwise("t").alias("translation"), F.array(said).alias("usedWords")))
+    asked = table(spark, sf_dir, "documents").select("doc_id", output.alias("text"), F.array(F.when(v == 1, wide).otherwise(word)).alias("words"))
+    return generated.validate_generated(asked).select("doc_id", "word_count", F.array_join("errors", "; ").alias("errors"))
