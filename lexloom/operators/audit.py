@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import occurrence_counts
 from .lines import LABEL, NUMBERED, SECTIONS
 from .ordering import order_statistics, running
 
@@ -14,6 +15,8 @@ from .ordering import order_statistics, running
 LINE_SECTIONS = ("表現", "派生", "語源", "類語", "対義語", "参考", "注意", "表記", "用法", "語法")
 QUOTES = {"｢": "｣", "「": "」", "『": "』", "“": "”", "‘": "’", "《": "》", "〈": "〉"}
 BRACKETS = {"［": "］", "【": "】", "（": "）", "〔": "〕", "⟪": "⟫", "⟨": "⟩"}
+#: Tokens that are counted by expressions.
+FEW_TOKENS = 12
 ARTIFACTS = ("@@@LINK=", "░", "🗏", "⚠️", "🌸", "🍀", "▾", "▿", "ⓚ", "🡺")
 
 
@@ -36,7 +39,10 @@ def occurrences(text: Column, token: str) -> Column:
 
 
 def token_counts(df: DataFrame, text: str, tokens: tuple[str, ...]) -> DataFrame:
-    """token, n, entries: occurrences, and rows with any. One pass; a row each token."""
+    """token, n, entries: occurrences, and rows with any. One pass; a row each token. Of many tokens, all are looked for
+    together by an automaton; a few are cheaper as expressions."""
+    if len(tokens) > FEW_TOKENS:
+        return occurrence_counts(df, text, tokens)
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), occurrences(F.col(text), t).cast("long").alias("k")) for t in tokens])).alias("x")
     return df.select(each).groupBy("x.token").agg(F.sum("x.k").alias("n"), F.count_if(F.col("x.k") > 0).alias("entries"))
 

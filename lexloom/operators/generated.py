@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import sequences
 from ..functions.text import composed_tokens, contains_item, inflected_forms, length_policy, lexical_tokens, nfkc, nfkc_each, trim_spaces
 
 KEYS = ("paragraph", "translation", "usedWords")
@@ -59,14 +60,16 @@ def validate_generated(results: DataFrame) -> DataFrame:
 def covered_items(texts: DataFrame, items: list[str], key: str = "id", text: str = "text") -> DataFrame:
     """key, items: for each text, those of the items whose words stand in it in a row, each in some inflection.
 
-    Words of texts meet a small table of the items' inflections; a start at which all of an item's words stand is a hit.
+    The inflections of all items are looked for in one pass over each text's words; items without words stand nowhere.
     """
     spark = texts.sparkSession
-    asked = spark.createDataFrame([(i, w) for i, w in enumerate(items)], "item int, word string").select("item", lexical_tokens(F.col("word")).alias("words"))
-    forms = asked.select("item", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word")).select("item", "n", "offset", F.explode(inflected_forms(F.col("word"))).alias("word"))
-    words = texts.select(key, F.posexplode(lexical_tokens(F.col(text))).alias("at", "word"))
-    # A few forms for every requested word, of which a request has thirty at most.
-    hits = words.join(F.broadcast(forms), "word").groupBy(key, "item", "n", (F.col("at") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("found"))
-    names = F.array(*map(F.lit, items))
-    found = hits.filter("found = n").groupBy(key).agg(F.array_sort(F.collect_set(names[F.col("item")])).alias("items"))
-    return texts.select(key).join(found, key, "left").select(key, F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    once = list(dict.fromkeys(items))
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(once)], "item int, word string").select("item", F.posexplode(lexical_tokens(F.col("word"))).alias("offset", "word"))
+    forms: dict[int, dict[int, list[str]]] = {}
+    for r in asked.select("item", "offset", inflected_forms(F.col("word")).alias("forms")).collect():  # a row a word asked for
+        forms.setdefault(r.item, {})[r.offset] = r.forms
+    known = sorted(forms)
+    wanted = [[forms[i][k] for k in range(len(forms[i]))] for i in known]
+    found = sequences(texts.select(key, lexical_tokens(F.col(text)).alias("words")), "words", wanted)
+    names = F.array(*(F.lit(once[i]) for i in known)).cast("array<string>")
+    return found.select(key, F.array_sort(F.transform("found", lambda i: F.get(names, i))).alias("items"))

@@ -499,6 +499,22 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.token_counts(table(spark, sf_dir, "documents"), "text", ("the", "***", "License", "@"))
 
 
+BENCHMARK_WORDS = r"SELECT DISTINCT unnest(string_split_regex(text, '[ \n]+')) AS token FROM benchmark"
+
+
+@query(f"""
+WITH w AS (SELECT token FROM ({BENCHMARK_WORDS}) WHERE length(token) >= 6)
+SELECT token, CAST(coalesce(sum(k), 0) AS BIGINT) AS n, count(*) FILTER (WHERE k > 0) AS entries FROM (
+  SELECT token, (length(text) - length(replace(text, token, ''))) // length(token) AS k FROM w CROSS JOIN documents
+) GROUP BY token
+""")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long words of the benchmark, hundreds of them, counted in all documents, within other words, too."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \n]+")).alias("token")).filter(F.char_length("token") >= 6)
+    tokens = [r.token for r in words.distinct().orderBy("token").collect()]  # bounded by `patterns.MOST_CHARACTERS`
+    return audit.token_counts(table(spark, sf_dir, "documents"), "text", tuple(tokens))
+
+
 @query("""
 WITH t AS (SELECT source, count(*) AS n, count(DISTINCT doc_id) AS entries FROM documents GROUP BY source),
 s AS (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY source, lang),
