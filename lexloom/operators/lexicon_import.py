@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import deterministic_uuid
@@ -18,6 +18,8 @@ ENTRY = (
 )
 ZH = "struct<senses:map<string,struct<glosses:array<struct<text:string>>,notes:string,examples:map<string,string>>>>"
 STRINGS = "array<string>"
+#: The languages that definitions may be in.
+LANGUAGES = ("en", "ja", "zh-CN")
 
 
 def _must(condition: Column, message: str, value: Column) -> Column:
@@ -171,3 +173,29 @@ def import_counts(imported: dict[str, DataFrame]) -> DataFrame:
 def import_summary(imported: dict[str, DataFrame]) -> DataFrame:
     """One row: the counts of all tables, and the languages."""
     return in_one_row(import_counts(imported), definition_languages(imported))
+
+
+def write_import(imported: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes every table once and counts it meanwhile; one row: the rows of each table, definitions by language, languages.
+
+    The counts are metrics of the tasks that write, each counted once however often a task is tried, so no table is read or
+    computed a second time to be counted. A definition in another language is an error, after which the folder is not whole.
+    """
+    counts: dict[str, int] = {}
+    by = dict.fromkeys(LANGUAGES, 0)
+    for name, df in imported.items():
+        metrics = [F.count(F.lit(1)).alias("n")]
+        if name.endswith("_definitions"):
+            metrics += [F.count_if(F.col("language") == x).alias(x) for x in LANGUAGES]
+        seen = Observation(name)
+        df.observe(seen, *metrics).write.mode("error").parquet(f"{folder}/{name}")
+        counts[name] = seen.get["n"]
+        if len(metrics) > 1:
+            told = {x: seen.get[x] for x in LANGUAGES}
+            if sum(told.values()) != counts[name]:
+                raise ValueError(f"{name} has definitions in other languages")
+            by = {x: by[x] + told[x] for x in LANGUAGES}
+    spark = next(iter(imported.values())).sparkSession
+    row = (*counts.values(), *by.values(), [x for x in LANGUAGES if by[x]])
+    columns = [*(f"`{c}` bigint" for c in counts), *(f"`definitions_{x}` bigint" for x in LANGUAGES), "languages array<string>"]
+    return spark.createDataFrame([row], ", ".join(columns))

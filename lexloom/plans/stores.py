@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import lexicon_import
 from ..sources import ledger, lookup_store, stardict, stardict_writer
 from ..storage import shared_path
 from ..streaming import chunk_log, json_field
@@ -173,3 +174,71 @@ def ledger_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.read(spark, folder)
     kept = ledger.snapshot(rows, "doc_id", keep="first")
     return kept.join(ledger.conflicts(rows, "doc_id"), "doc_id", "left").select("doc_id", "lang", F.coalesce("ways", F.lit(1)).cast("int").alias("ways"))
+
+
+WORDS = [*(f"coalesce(nullif(split_part(text, ' ', {i}), ''), 'x{i}') AS w{i}" for i in (1, 2, 3)), "coalesce(lang, 'zz') AS zh"]
+EXPORT = f"(SELECT doc_id, {', '.join(WORDS)} FROM documents)"
+
+
+def exported(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents as the tables of a lexicon's export, written and read again: first and second word are the forms, the third
+    the English gloss, the language the Chinese one; every second entry has two Japanese definitions."""
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) entry_id", "doc_id", *WORDS)
+    none = F.array().cast("array<string>")
+
+    def form(word: str, *more: Column) -> Column:
+        return F.array(F.struct(F.col(word).alias("text"), none.alias("info"), none.alias("priority"), *more))
+
+    def gloss(word: str, lang: str) -> Column:
+        return F.struct(F.col(word).alias("text"), F.lit(lang).alias("lang"), F.lit(None).cast("string").alias("gloss_type"))
+
+    sense = F.struct(F.array(F.lit("n")).alias("pos"), none.alias("field"), none.alias("misc"), F.lit(None).cast("string").alias("notes"), F.array(gloss("w3", "eng"), gloss("zh", "zho")).alias("glosses"))
+    data = F.to_json(F.struct(F.col("entry_id").alias("id"), form("w1").alias("kanji"), form("w2", none.alias("restricted_to")).alias("kana"), F.array(sense).alias("senses")))
+    both = F.explode(F.array(*(F.struct(F.col(w).alias("text"), F.lit(k).alias("is_kana"), (F.col("doc_id") * 2 + k).alias("ord")) for k, w in enumerate(("w1", "w2"))))).alias("f")
+    zh = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("zh").alias("text"))).alias("glosses")).alias("0")).alias("senses")))
+    tables = {
+        "entries": docs.select(F.col("entry_id").alias("id"), data.alias("data")),
+        "forms": docs.select("entry_id", both).select("entry_id", "f.*"),
+        "jpn_defs": docs.filter("doc_id % 2 = 0").select("entry_id", F.col("doc_id").alias("ord"), F.lit("s").alias("source"), F.to_json(F.array("w2", "w3")).alias("glosses"), F.lit("[null,null]").alias("furigana")),
+        "zh_defs": docs.select("entry_id", zh.alias("data")),
+    }
+    folder = shared_path(spark, "export")
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS source_record_id, w1 AS headword, CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS INTEGER) AS source_ordinal,
+       sha256(w1 || chr(10) || w2 || chr(10) || w3 || chr(10) || CASE WHEN doc_id % 2 = 0 THEN w2 || chr(10) || w3 || chr(10) ELSE '' END || zh) AS checksum
+FROM {EXPORT}
+""")
+def imported_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon's export checked and imported: every entry with its place and all its forms and definitions."""
+    entries = lexicon_import.import_lexicon(exported(spark, sf_dir), "d")["dictionary_entries"]
+    return entries.select("source_record_id", F.col("headword_original").alias("headword"), "source_ordinal", F.sha2("entry_plain_text", 256).alias("checksum"))
+
+
+@query(f"""
+SELECT count(*) AS dictionary_entries, count(*) AS structured_entries, 2 * count(*) AS structured_forms, count(*) AS structured_senses, 2 * count(*) FILTER (WHERE doc_id % 2 = 0) AS structured_entry_definitions,
+       2 * count(*) AS structured_sense_definitions, count(*) AS "definitions_en", 2 * count(*) FILTER (WHERE doc_id % 2 = 0) AS "definitions_ja", count(*) AS "definitions_zh-CN", 'en,ja,zh-CN' AS languages
+FROM {EXPORT}
+""")
+def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of an import written, and counted as they are."""
+    imported = lexicon_import.import_lexicon(exported(spark, sf_dir), "d")
+    return lexicon_import.write_import(imported, shared_path(spark, "import")).withColumn("languages", F.array_join("languages", ","))
+
+
+@query(f"""
+SELECT text, language, source, ordinal, count(*) AS n FROM (
+  SELECT w3 AS text, 'en' AS language, 'jmdict' AS source, 0 AS ordinal FROM {EXPORT}
+  UNION ALL SELECT zh, 'zh-CN', 'lexicon', 0 FROM {EXPORT}
+  UNION ALL SELECT CASE k WHEN 0 THEN w2 ELSE w3 END, 'ja', 's', k FROM {EXPORT} CROSS JOIN (VALUES (0), (1)) v(k) WHERE doc_id % 2 = 0
+) GROUP BY ALL
+""")
+def imported_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = lexicon_import.import_lexicon(exported(spark, sf_dir), "d")
+    columns = ("text", "language", "source", "ordinal")
+    every = tables["structured_sense_definitions"].select(*columns).unionByName(tables["structured_entry_definitions"].select(*columns))
+    return every.groupBy(*columns).agg(F.count("*").alias("n"))

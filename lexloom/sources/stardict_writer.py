@@ -118,6 +118,7 @@ def write_containers(rows: DataFrame, folder: str, then: tuple[str, ...] = (), c
     if containers is None:
         size = rows.agg(F.sum(F.octet_length("headword") + F.octet_length("text"))).first()[0] or 0
         containers = max(1, -(-size // CONTAINER_BYTES))
-    keys = [*in_order(F.col("headword")), *map(F.col, then), F.col("text")]
+    # Ranges are cut by a sample of the keys, which the driver gets: no whole texts among them.
+    keys = [*in_order(F.col("headword")), *map(F.col, then), F.xxhash64("text")]
     dealt = rows.repartitionByRange(containers, *keys).sortWithinPartitions(*keys).select("headword", "text")
     dealt.write.format("stardict").mode(mode).option("bookname", bookname).save(folder)

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql.functions import lit
 
 from lexloom.operators import lexicon_import as li
 from lexloom.sources import html_entries, sqlite_lexicon, stardict, volumes
@@ -132,6 +133,11 @@ def test_lexicon_import(spark, tmp_path):
     assert sorted((r.language, r.text) for r in out["structured_sense_definitions"].collect()) == [("en", "cat"), ("en", "feline"), ("zh-CN", "猫科")]
     assert li.import_summary(out).first().languages == ["en", "ja", "zh-CN"]
     assert li.import_counts(out).first().asDict() == {"dictionary_entries": 2, "structured_entries": 2, "structured_forms": 3, "structured_senses": 2, "structured_entry_definitions": 3, "structured_sense_definitions": 3}
+    told = li.write_import(out, str(tmp_path / "import")).first().asDict()
+    assert told == {**li.import_counts(out).first().asDict(), "definitions_en": 2, "definitions_ja": 3, "definitions_zh-CN": 1, "languages": ["en", "ja", "zh-CN"]}
+    assert {t: spark.read.parquet(str(tmp_path / "import" / t)).count() for t in out} == li.import_counts(out).first().asDict()
+    with pytest.raises(ValueError, match="other languages"):
+        li.write_import({"other_definitions": out["structured_sense_definitions"].withColumn("language", lit("xx"))}, str(tmp_path / "other"))
     again = li.import_lexicon(tables(spark, path), "d")
     assert {r.id for r in again["structured_forms"].collect()} == {r.id for r in out["structured_forms"].collect()}
     from lexloom.operators.validation import integrity_issues
