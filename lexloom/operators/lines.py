@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.marks import SYSTEMS, nested_markers, split_orthographies  # noqa: F401 - nested_markers is part of the grammar
 from ..functions.text import align_languages, form_kind, is_safe_orthography, strip_hyphens
 
 # The marks of the grammar.
@@ -20,7 +21,6 @@ LABEL = "^【([^】]*)】$"
 HEADING = "^(.*?)［(.*)］$"
 SUBDIVISION = r"^([㋐-㋾⑴-⒇]|\(\d{1,2}\)|\[\d{1,2}\])(.*)$"
 REDIRECT = r"^→\s*(.*)$"
-SYSTEMS = {"circled-katakana": "[㋐-㋾]", "parenthesized-number": "[⑴-⒇]", "ascii-parenthesized-number": r"\(\d{1,2}\)", "square-number": r"\[\d{1,2}\]"}
 CONTAINERS = ("definition", "note", "special-section", "expression", "derivative")
 MEMBERS = ("example", "subdivision")
 
@@ -109,39 +109,6 @@ def serialize(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("ordinal").agg(F.array_join(F.transform(lines, lambda r: r.x), "").alias("text"))
 
 
-def nested_markers(body: Column) -> Column:
-    """The markers inside a body: system, marker, and offset in UTF-16 units, by offset."""
-    every = "|".join(f"(?:{p})" for p in SYSTEMS.values())
-    found = F.regexp_extract_all(body, F.lit(every), F.lit(0))
-    # Positions by walking from match to match: each is looked for after the end of the one before.
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<system:string,marker:string,offset:int>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, body, acc.at)
-        before = F.substring(body, F.lit(1), at - 1)
-        wide = F.char_length(before) + F.char_length(F.regexp_replace(before, "[^\\x{10000}-\\x{10FFFF}]", ""))
-        system = F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), F.lit(n)) for n, p in SYSTEMS.items()])
-        one = F.struct(system.alias("system"), m.alias("marker"), wide.cast("int").alias("offset"))
-        return F.struct((at + F.char_length(m)).cast("int").alias("at"), F.concat(acc.out, F.array(one)).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: acc.out)
-
-
-def split_orthographies(value: Column) -> Column:
-    """The parts between middle dots that stand outside of all brackets."""
-    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        deeper = acc.depth + F.when(c.isin("⟪", "⟨"), 1).when(c.isin("⟫", "⟩") & (acc.depth > 0), -1).otherwise(0)
-        cut = (c == "・") & (acc.depth == 0)
-        return F.struct(
-            deeper.cast("int").alias("depth"), F.when(cut, "").otherwise(F.concat(acc.now, c)).alias("now"), F.when(cut, F.concat(acc.out, F.array(acc.now))).otherwise(acc.out).alias("out")
-        )
-
-    characters = F.filter(F.split(value, ""), lambda c: c != "")
-    return F.when(value.isNotNull(), F.aggregate(characters, empty, step, lambda acc: F.concat(acc.out, F.array(acc.now))))
-
-
 def forms(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """ordinal, form_ordinal, text, normalized_text, kind: the key, a kana reading, and plain orthographies, each
     normalised text once, the first standing."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lexicon_import
+from ..operators import lexicon_import, lines
 from ..sources import ledger, lookup_store, stardict, stardict_writer
 from ..storage import shared_path
 from ..streaming import chunk_log, json_field
@@ -242,3 +242,75 @@ def imported_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("text", "language", "source", "ordinal")
     every = tables["structured_sense_definitions"].select(*columns).unionByName(tables["structured_entry_definitions"].select(*columns))
     return every.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+#: How a text's line is written under the grammar, by its number (from 1) modulo six.
+PLANTED = ("'◈注意' || raw", "'①' || raw", "'｢' || raw || '｣'", "'▶' || raw", "'㋐' || raw || '⑴b(3)c'", "'表現' || raw")
+TYPES = ("special-section", "definition", "example", "note", "subdivision", "expression")
+HEADS = "'かな［漢' || doc_id || '・⟪甲・乙⟫・' || coalesce(lang, 'zz') || '］'"
+PLANTED_LINES = f"""(
+  SELECT doc_id, 0 AS line, {HEADS} AS raw FROM documents
+  UNION ALL SELECT doc_id, k, CASE k % 6 {' '.join(f'WHEN {i} THEN {p}' for i, p in enumerate(PLANTED))} END
+  FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS raw, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)
+)"""
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of the line grammar: a heading, and all their lines with marks by turns."""
+    texts = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), "\n")
+    marked = F.transform(texts, lambda raw, i: _written(raw, (i + 1) % 6))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.array_join(F.concat(F.array(F.expr(HEADS)), F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(marked)), "\n"))
+    return docs.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("headword"), "text")
+
+
+def _written(raw: Column, turn: Column) -> Column:
+    lead = F.element_at(F.array(*map(F.lit, ("◈注意", "①", "｢", "▶", "㋐", "表現"))), (turn + 1).cast("int"))
+    return F.concat(lead, raw, F.when(turn == 2, "｣").when(turn == 4, "⑴b(3)c").otherwise(""))
+
+
+@query(f"SELECT doc_id AS ordinal, sha256(string_agg(raw, chr(10) ORDER BY line)) AS checksum FROM {PLANTED_LINES} GROUP BY doc_id")
+def grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records taken apart into nodes and put together again."""
+    return lines.serialize(lines.parse_records(planted(spark, sf_dir))).select("ordinal", F.sha2("text", 256).alias("checksum"))
+
+
+@query(f"""
+SELECT doc_id AS ordinal, line, CASE WHEN line = 0 THEN 'heading' ELSE {list(TYPES)}[1 + line % 6] END AS type, CASE WHEN line > 0 AND line % 6 IN (2, 4) THEN line - 1 END AS parent FROM {PLANTED_LINES}
+""")
+def grammar_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with the container that owns it."""
+    found = lines.containers(lines.parse_records(planted(spark, sf_dir)))
+    return found.select("ordinal", F.col("line").cast("long").alias("line"), "type", F.col("parent").cast("long").alias("parent"))
+
+
+@query(f"""
+SELECT doc_id AS ordinal, line, array_to_string(m, ',') AS markers, strpos(body, m[1]) - 1 AS first, length(body) - 6 AS planted FROM (
+  SELECT *, regexp_extract_all(body, '[㋐-㋾]|[⑴-⒇]|\\([0-9]{{1,2}}\\)|\\[[0-9]{{1,2}}\\]') AS m FROM (SELECT doc_id, line, substr(raw, 2) AS body FROM {PLANTED_LINES} WHERE line > 0 AND line % 6 = 4))
+""")
+def grammar_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markers within every subdivision: all of them, where the first stands, and where the first planted one does."""
+    nodes = lines.parse_records(planted(spark, sf_dir)).filter("type = 'subdivision'")
+    found = nodes.select("ordinal", F.col("line").cast("long").alias("line"), lines.nested_markers(F.col("body")).alias("m"))
+    at = F.get(F.filter("m", lambda m: m.marker == "⑴"), F.size(F.filter("m", lambda m: m.marker == "⑴")) - 1).getField("offset")
+    return found.select("ordinal", "line", F.array_join(F.transform("m", lambda m: m.marker), ",").alias("markers"), F.get("m", F.lit(0)).getField("offset").cast("long").alias("first"), at.cast("long").alias("planted"))
+
+
+@query("""
+SELECT doc_id AS ordinal, k AS form_ordinal, ['k' || doc_id, 'かな', '漢' || doc_id, coalesce(lang, 'zz')][k + 1] AS text, [NULL, 'kana', 'kanji', NULL][k + 1] AS kind
+FROM documents CROSS JOIN (VALUES (0), (1), (2), (3)) v(k)
+""")
+def grammar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of every record: its key, its reading, and the spellings that stand outside of brackets."""
+    records = planted(spark, sf_dir)
+    return lines.forms(records, lines.parse_records(records)).select("ordinal", F.col("form_ordinal").cast("int").alias("form_ordinal"), "text", "kind")
+
+
+@query(f"""
+SELECT doc_id AS ordinal, line - 1 AS block, CASE WHEN line % 6 IN (2, 4) THEN line - 2 END AS parent_block, ['section', 'definition', 'example', 'annotation', 'subdivision', 'section'][1 + line % 6] AS kind,
+       ['caution', NULL, NULL, 'note', NULL, 'expression'][1 + line % 6] AS annotation_kind
+FROM {PLANTED_LINES} WHERE line > 0
+""")
+def grammar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of every record, with the block that owns each."""
+    found = lines.project_blocks(lines.parse_records(planted(spark, sf_dir)))
+    return found.select("ordinal", F.col("block").cast("long").alias("block"), F.col("parent_block").cast("long").alias("parent_block"), "kind", "annotation_kind")

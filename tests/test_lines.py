@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +85,37 @@ def test_projection(spark):
 def test_restart_and_unscoped(spark):
     df = nodes(spark, "h\n㋐x\n①a\n②b\n◯c\n②d\n③e")
     assert sorted((r.line, r.code) for r in ln.diagnostics(df).filter("code in ('numbering-restart', 'unscoped-subdivision')").collect()) == [(1, "unscoped-subdivision"), (5, "numbering-restart")]
+
+
+BRACKETED = st.text(alphabet="a・⟪⟫⟨⟩㋐⑴(1)[2]😀", max_size=24)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(BRACKETED, min_size=1, max_size=30))
+def test_marks_of_a_walk_are_those_of_every_place(spark, texts):
+    """Markers are looked for at every place, brackets counted before every middle dot."""
+
+    def pieces(t):
+        depth, out = 0, [""]
+        for c in t:
+            depth = depth + (c in "⟪⟨") - (c in "⟫⟩" and depth > 0)
+            if c == "・" and depth == 0:
+                out.append("")
+            else:
+                out[-1] += c
+        return out
+
+    def markers(t):
+        out, at = [], 0
+        while at < len(t):
+            for name, p in ln.SYSTEMS.items():
+                if m := re.compile(p).match(t, at):
+                    out.append((name, m[0], len(t[:at].encode("utf-16-le")) // 2))
+                    at = m.end() - 1
+                    break
+            at += 1
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = [([tuple(m) for m in r.m] if r.m is not None else None, r.o) for r in df.select(ln.nested_markers(F.col("t")).alias("m"), ln.split_orthographies(F.col("t")).alias("o")).collect()]
+    assert got == [*((markers(t), pieces(t)) for t in texts), (None, None)]
