@@ -25,9 +25,41 @@ CONTROL = r"[\x00-\x1f\x7f]"
 REDIRECT = "(?m)^@@@LINK=([^\\n\\r  ]+)$"
 
 
+#: Characters that compatibility composition leaves as they are, whatever stands beside them: those up to U+024F and common
+#: punctuation of which that is so. No mark that combines is among them.
+STABLE = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028)) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+
+
+def ranges(characters: list[str]) -> str:
+    """Characters in order as the ranges of a regular expression's class."""
+    runs: list[list[int]] = []
+    for c in map(ord, characters):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
+UNSTABLE = f"[^{ranges(STABLE)}]"
+#: Of these, the letters with marks, and the letters without.
+MARKED = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) < 0x370) for c in STABLE}
+MARKED = {c: bare for c, bare in MARKED.items() if bare != c}
+
+
+def _unstable(value: Column) -> Column:
+    return (F.octet_length(value) != F.char_length(value)) & value.rlike(UNSTABLE)
+
+
 @F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: s if s.isascii() else unicodedata.normalize("NFKC", s), na_action="ignore")
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+
+
+def nfkc(value: Column | str) -> Column:
+    """Compatibility-composed. Texts of characters that are so already, as most are, don't leave the JVM."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(_nfkc(F.when(_unstable(value), value)), value)
 
 
 @F.pandas_udf(StringType())
@@ -48,10 +80,16 @@ def nfkc_each(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def without_marks(values: pd.Series) -> pd.Series:
-    """Decomposed, without the combining marks U+0300 to U+036F."""
+def _without_marks(values: pd.Series) -> pd.Series:
     drop = dict.fromkeys(range(0x300, 0x370))
-    return values.map(lambda s: s if s.isascii() else unicodedata.normalize("NFKD", s).translate(drop), na_action="ignore")
+    return values.map(lambda s: unicodedata.normalize("NFKD", s).translate(drop), na_action="ignore")
+
+
+def without_marks(value: Column | str) -> Column:
+    """Decomposed, without the combining marks U+0300 to U+036F; common letters without leaving the JVM."""
+    value = F.col(value) if isinstance(value, str) else value
+    plain = F.translate(value, "".join(MARKED), "".join(MARKED.values()))
+    return F.coalesce(_without_marks(F.when(_unstable(value), value)), plain)
 
 
 @F.pandas_udf(StringType())

@@ -8,101 +8,13 @@ removes what it wrote, an aborted write its whole folder; a write that is run ag
 
 from __future__ import annotations
 
-import contextlib
-import json
-import struct
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
-from . import files
-from .stardict import CACHE_HEADER, CACHE_OPAQUE, HEADER, MANIFEST, STRIDE, StarDictError, StarDictSource, folded, order
+from .stardict import StarDictSource
 
 #: Bytes of headwords and texts in a container, about.
 CONTAINER_BYTES = 32 << 20
-LARGEST_INDEX = LARGEST_PAYLOAD = (1 << 32) - 1
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str
-    first: str
-    last: str
-    records: int
-
-
-class ContainerWriter(DataSourceArrowWriter):
-    """Takes columns headword and text; each task's rows must come in the format's order, and neither may be null."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.name, self.overwrite = options["path"].rstrip("/"), options.get("bookname", "lexicon"), overwrite
-        self.write_id = f"write-{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, root = files.opened(self.folder)
-        own = f"{self.write_id}/{uuid.uuid4().hex}"
-        try:
-            return self._container(system, f"{root}/{own}", own, iterator)
-        except BaseException:
-            with contextlib.suppress(OSError):
-                system.delete_dir(f"{root}/{own}")
-            raise
-
-    def _container(self, system, path: str, own: str, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system.create_dir(path)
-        first = last = before = None
-        n = place = offset = 0
-        starts = []
-        with system.open_output_stream(f"{path}/lexicon.idx") as index, system.open_output_stream(f"{path}/lexicon.dict") as payload:
-            for batch in batches:
-                for word, text in zip(batch.column("headword").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if word is None or text is None:
-                        raise StarDictError(f"a null in record {n}")
-                    raw, data = word.encode("utf-8"), text.encode("utf-8")
-                    key = (folded(raw), raw)
-                    if not raw or b"\0" in raw:
-                        raise StarDictError(f"record {n} has no word that the format can hold")
-                    if before is not None and key < before:
-                        raise StarDictError(f"record {word} is out of order")
-                    if offset + len(data) > LARGEST_PAYLOAD or place > LARGEST_INDEX:
-                        raise StarDictError("a container holds 4 GB; write more of them")
-                    if n % STRIDE == 0:
-                        starts.append(place)
-                    index.write(raw + b"\0" + struct.pack(">II", offset, len(data)))
-                    payload.write(data)
-                    n, place, offset, before = n + 1, place + len(raw) + 9, offset + len(data), key
-                    first, last = word if first is None else first, word
-        with system.open_output_stream(f"{path}/lexicon.idx.oft") as f:
-            f.write(CACHE_HEADER + bytes(CACHE_OPAQUE) + struct.pack(f"<{len(starts) + 1}I", *starts, place))
-        head = {"version": "3.0.0", "bookname": self.name, "wordcount": n, "idxfilesize": place, "sametypesequence": "m"}
-        with system.open_output_stream(f"{path}/lexicon.ifo") as f:
-            f.write("".join(f"{x}\n" for x in (HEADER, *(f"{k}={v}" for k, v in head.items()))).encode())
-        return Written(own, first or "", last or "", n)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = files.opened(self.folder)
-        parts = sorted((m for m in messages if m is not None and m.records), key=lambda m: order(m.first))
-        for a, b in zip(parts, parts[1:], strict=False):
-            if order(a.last) > order(b.first):
-                self.abort(messages)
-                raise StarDictError("containers overlap; deal the rows by range of the format's order")
-        if not self.overwrite and files.exists(system, f"{root}/{MANIFEST}"):
-            self.abort(messages)
-            raise StarDictError(f"{self.folder} holds containers already")
-        files.put(system, f"{root}/{MANIFEST}", json.dumps({"containers": [vars(m) for m in parts]}).encode())
-        for name in files.listed(system, root):  # what earlier writes left
-            if name.startswith("write-") and name != self.write_id:
-                system.delete_dir(f"{root}/{name}")
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = files.opened(self.folder)
-        if files.exists(system, f"{root}/{self.write_id}"):
-            system.delete_dir(f"{root}/{self.write_id}")
 
 
 def in_order(word: Column) -> list[Column]:
@@ -112,7 +24,7 @@ def in_order(word: Column) -> list[Column]:
 
 def write_containers(rows: DataFrame, folder: str, then: tuple[str, ...] = (), containers: int | None = None, bookname: str = "lexicon", mode: str = "overwrite") -> None:
     """Writes rows (headword, text) as containers. `then`: columns that order rows of one headword, which so may spread over
-    containers; rows that agree in all of them are equal."""
+    containers; of rows that agree in all of them a hash of the text tells."""
     spark = rows.sparkSession
     spark.dataSource.register(StarDictSource)
     if containers is None:

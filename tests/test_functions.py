@@ -1,7 +1,10 @@
 import hashlib
+import unicodedata
 import uuid
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids, paths, text
@@ -95,3 +98,11 @@ def test_media_types(spark):
     assert column(spark, cases, paths.content_type, "binary") == ["audio/ogg", "image/png", "image/jpeg", "image/gif", "image/webp", "application/octet-stream", "application/octet-stream"]
     assert column(spark, [b"ID3x", b"\xff\xfb", b"\xff\x0b"], paths.is_mp3, "binary") == [True, True, False]
     assert column(spark, [speex, b"OggS\0"], paths.is_ogg_speex, "binary") == [True, False]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x2FF) | st.sampled_from("\u0301\u0308\u0327ａＡ①ﬁ가\u1100\u1161が\u304b\u3099…–’"), max_size=12), min_size=1, max_size=20))
+def test_composition_in_and_out_of_the_jvm(spark, texts):
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(text.nfkc("t").alias("c"), text.without_marks("t").alias("b")).collect()
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) < 0x370)
+    assert [tuple(r) for r in got] == [*((unicodedata.normalize("NFKC", t), bare(t)) for t in texts), (None, None)]
