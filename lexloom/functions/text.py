@@ -92,6 +92,17 @@ def without_marks(value: Column | str) -> Column:
     return F.coalesce(_without_marks(F.when(_unstable(value), value)), plain)
 
 
+@F.pandas_udf(StringType())
+def _casefold(values: pd.Series) -> pd.Series:
+    return values.map(str.casefold, na_action="ignore")
+
+
+def casefold(value: Column | str) -> Column:
+    """Folded for comparison without regard to case, letters that fold to several included; ASCII on the JVM."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(_casefold(F.when(F.octet_length(value) != F.char_length(value), value)), F.lower(value))
+
+
 @F.pandas_udf(StringType())
 def stable_json(values: pd.Series) -> pd.Series:
     """JSON text with keys in order and no white space."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slash_shape
+from ..functions.text import casefold, slash_shape
 from .audit import ARTIFACTS, BRACKETS, LINE_SECTIONS, QUOTES, duplicate_groups, heading_pattern, line_kind, longest, node_audit, occurrences, size_statistics
 from .lines import LABEL, LINK, NUMBERED, PRIMARY, SECTIONS, parse_records
 
@@ -184,12 +184,11 @@ def reference_facts(records: DataFrame) -> DataFrame:
 
 
 def link_relation() -> Column:
-    """How a link's headword relates to its target, display and source. Letters that fold to several are compared folded."""
-    fold = lambda c: F.replace(F.lower(F.col(c)), F.lit("ß"), F.lit("ss"))
+    """How a link's headword relates to its target, display and source."""
     return (
         F.when(F.col("headword") == F.col("target"), "headword=target")
         .when(F.col("headword") == F.col("display"), "headword=display")
-        .when(fold("headword") == fold("target"), "casefold-target")
+        .when(casefold("headword") == casefold("target"), "casefold-target")
         .when(F.contains("source", "headword"), "headword-in-source-orthography")
         .otherwise("unexplained-mismatch")
     )

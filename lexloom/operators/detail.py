@@ -53,6 +53,42 @@ def html_detail(entries: DataFrame) -> DataFrame:
     return out.select(*entries.columns, shown.alias("shown_html"), text.alias("shown_text"))
 
 
+LOCATOR = ("version", "file_checksum", "key_text", "key_block_index", "record_start_offset", "record_end_offset")
+
+
+def lazy_detail(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """id, resolved_id, sanitized_html, plain_text of entries that hold only a locator (mdx_locator_...) of their content.
+
+    records: the locator's fields, headword, raw. An entry's own record is fetched and must be its own: the same headword,
+    and a redirect to what the entry says. A redirect that names an entry of its dictionary is then answered by a second
+    fetch, by the locator of the first entry of that name; what is fetched there and redirects again is shown empty, as is
+    a redirect to nothing. An entry without a record, or with another's, is an error.
+    """
+    from ..functions.markup import plain, sanitized
+    from ..functions.text import parse_redirect
+    from ..sources.html_entries import fetch_by_locator
+    from .search import first_by_headword
+
+    def located(prefix: str) -> list[Column]:
+        return [F.col(f"{prefix}{c}").alias(c) for c in LOCATOR]
+
+    held = [f"mdx_locator_{c}" for c in LOCATOR]
+    identity = records.select(*LOCATOR, F.col("headword").alias("fetched_headword"))
+    own = entries.select("id", "dictionary_id", "headword_original", "entry_kind", "redirect_target_original", "redirect_target_normalized", *located("mdx_locator_"))
+    own = fetch_by_locator(records, own).join(identity, list(LOCATOR), "left")
+    told = parse_redirect(F.col("raw"))
+    wrong = F.col("raw").isNull() | (F.col("fetched_headword") != F.col("headword_original")) | ~told.eqNullSafe(F.col("redirect_target_original"))
+    own = own.withColumn("raw", F.when(wrong, F.raise_error(F.concat(F.lit("no record of its own at the locator of entry "), F.col("id").cast("string")))).otherwise(F.col("raw")))
+    first = first_by_headword(entries).select(F.col("dictionary_id").alias("t_dictionary"), F.col("headword_normalized").alias("t_headword"), F.col("id").alias("resolved_id"), *[F.col(h).alias(f"t_{c}") for h, c in zip(held, LOCATOR, strict=True)])
+    due = (F.col("dictionary_id") == F.col("t_dictionary")) & (F.col("redirect_target_normalized") == F.col("t_headword")) & (F.col("entry_kind") == "redirect")
+    both = own.select("id", "dictionary_id", "entry_kind", "redirect_target_normalized", F.col("raw").alias("own_raw")).join(first, due, "left")
+    again = fetch_by_locator(records, both.select("id", "own_raw", "resolved_id", *located("t_")))
+    missing = F.col("resolved_id").isNotNull() & F.col("raw").isNull()
+    shown = F.when(missing, F.raise_error(F.concat(F.lit("no record at the locator of entry "), F.col("resolved_id").cast("string")))).otherwise(F.coalesce("raw", "own_raw"))
+    done = again.select("id", "resolved_id", shown.alias("raw")).withColumn("html", F.when(parse_redirect(F.col("raw")).isNotNull(), "").otherwise(sanitized("raw")))
+    return done.select("id", "resolved_id", F.col("html").alias("sanitized_html"), plain("html").alias("plain_text"))
+
+
 def reading_applies(headword: Column, kind: Column, restrictions: Column) -> Column:
     """Whether a form is a reading of the headword: kana, and restricted to it or to nothing."""
     return (kind == "kana") & ((F.size(restrictions) == 0) | F.array_contains(restrictions, headword))

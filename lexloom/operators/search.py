@@ -38,6 +38,18 @@ def page(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFram
     return rows if limit is None else rows.limit(limit)
 
 
+def response(rows: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """One row: `items`, a page of ordered rows as an array, and `pagination`: limit, offset and how many were returned. A
+    page has LARGEST_PAGE rows at most, so the array is small."""
+    if not 1 <= limit <= LARGEST_PAGE:
+        raise ValueError(f"limit must lie between 1 and {LARGEST_PAGE}")
+    names = rows.columns
+    placed = page(rows, limit, offset).select(F.monotonically_increasing_id().alias("place"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("item"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
+    counted = F.struct(F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), F.count("*").alias("returned"))
+    return placed.agg(items.alias("items"), counted.alias("pagination"))
+
+
 def exact(entries: DataFrame, dictionary: str, word: str) -> DataFrame:
     hit = entries.filter((F.col("dictionary_id") == dictionary) & (F.col("headword_normalized") == word))
     return hit.orderBy("source_ordinal", "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lexicon_import, lines
+from ..operators import detail, lexicon_import, lines, search
 from ..sources import ledger, lookup_store, stardict, stardict_writer
 from ..storage import shared_path
 from ..streaming import chunk_log, json_field
@@ -314,3 +314,35 @@ def grammar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of every record, with the block that owns each."""
     found = lines.project_blocks(lines.parse_records(planted(spark, sf_dir)))
     return found.select("ordinal", F.col("block").cast("long").alias("block"), F.col("parent_block").cast("long").alias("parent_block"), "kind", "annotation_kind")
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS redirects, coalesce(source, 'none') AS s FROM documents), t AS (SELECT s, min(doc_id) AS t FROM d WHERE NOT redirects GROUP BY s)
+SELECT d.doc_id AS id, CASE WHEN redirects THEN t END AS resolved_id, CASE WHEN NOT redirects THEN 'text ' || doc_id WHEN t IS NULL THEN '' ELSE 'text ' || t END AS plain_text
+FROM d LEFT JOIN t ON d.s = t.s
+""")
+def lazy_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries that hold locators only; every third redirects to the first other one of its source."""
+    k, redirects = F.col("doc_id"), F.col("doc_id") % 3 == 0
+    name = F.coalesce("source", F.lit("none"))
+    head = F.when(redirects, F.concat(F.lit("r"), k.cast("string"))).otherwise(name)
+    locator = {"version": F.lit(1), "file_checksum": F.lit("f"), "key_text": head, "key_block_index": (k % 7).cast("int"), "record_start_offset": k, "record_end_offset": k + 1}
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.select(
+        k.alias("id"), F.lit("d").alias("dictionary_id"), head.alias("headword_original"), head.alias("headword_normalized"), F.when(redirects, "redirect").otherwise("definition").alias("entry_kind"),
+        F.when(redirects, name).alias("redirect_target_original"), F.when(redirects, name).alias("redirect_target_normalized"), k.alias("source_ordinal"), *(c.alias(f"mdx_locator_{n}") for n, c in locator.items()),
+    )
+    raw = F.when(redirects, F.concat(F.lit("@@@LINK="), name, F.lit("\r\n"))).otherwise(F.concat(F.lit("<p onclick=x>text "), k.cast("string"), F.lit("</p>")))
+    records = docs.select(*(c.alias(n) for n, c in locator.items()), head.alias("headword"), raw.alias("raw"))
+    return detail.lazy_detail(entries, records).select("id", "resolved_id", "plain_text")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {WORD} AS w FROM documents WHERE source = 'src3' AND starts_with({WORD}, 't') ORDER BY w, doc_id LIMIT 20 OFFSET 5)
+SELECT coalesce(string_agg(doc_id || ':' || w, ',' ORDER BY w, doc_id), '') AS items, 20 AS "limit", 5 AS "offset", count(*) AS returned FROM p
+""")
+def paged_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a prefix search as one document."""
+    found = search.response(search.prefix(entries(spark, sf_dir), "src3", "t").select("id", "headword_normalized"), 20, 5)
+    shown = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["id"].cast("string"), i["headword_normalized"])), ",")
+    return found.select(shown.alias("items"), "pagination.*")

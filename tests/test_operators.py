@@ -223,3 +223,29 @@ def test_audit_report(spark, tmp_path):
     assert found["redirect", "target-missing"][0] == 1 and found["slash-definition", "obvious-ja-zh"] == (1, 1, ["①かな/汉"])
     audit.write_report({"sizes": report["sizes"]}, str(tmp_path))
     assert spark.read.json(str(tmp_path / "sizes")).count() == 1
+
+
+def test_lazy_details(spark):
+    fields = ("version", "file_checksum", "key_text", "key_block_index", "record_start_offset", "record_end_offset")
+    raws = {1: ("apple", "<p>text<script>x</script></p>"), 2: ("apfel", "@@@LINK=apple\r\n\0"), 3: ("twice", "@@@LINK=apfel\n"), 4: ("lost", "@@@LINK=nowhere\n"), 5: ("apple", "<p>second</p>")}
+    targets = {2: "apple", 3: "apfel", 4: "nowhere"}
+    at = lambda i: (1, "f", raws[i][0], 0, i, i + 1)
+    records = spark.createDataFrame([(*at(i), h, r) for i, (h, r) in raws.items()], "version int, file_checksum string, key_text string, key_block_index int, record_start_offset long, record_end_offset long, headword string, raw string")
+    rows = [(i, "d", h, h, "redirect" if i in targets else "definition", targets.get(i), targets.get(i), i, *at(i)) for i, (h, _) in raws.items()]
+    schema = "id int, dictionary_id string, headword_original string, headword_normalized string, entry_kind string, redirect_target_original string, redirect_target_normalized string, source_ordinal int, "
+    schema += ", ".join(f"mdx_locator_{n} {k}" for n, k in zip(fields, ("int", "string", "string", "int", "long", "long"), strict=True))
+    entries = spark.createDataFrame(rows, schema)
+    got = {r.id: (r.resolved_id, r.sanitized_html, r.plain_text) for r in detail.lazy_detail(entries, records).collect()}
+    assert got == {1: (None, "<p>text</p>", "text"), 2: (1, "<p>text</p>", "text"), 3: (2, "", ""), 4: (None, "", ""), 5: (None, "<p>second</p>", "second")}
+    for bad in (entries.withColumn("headword_original", F.lit("other")), entries.withColumn("mdx_locator_record_end_offset", F.lit(9).cast("long")), entries.withColumn("redirect_target_original", F.lit("x"))):
+        with pytest.raises(Exception, match="no record of its own"):
+            detail.lazy_detail(bad, records).collect()
+
+
+def test_pages_as_documents(spark):
+    rows = spark.range(50).select("id", (F.col("id") % 3).alias("k")).orderBy(F.desc("k"), "id")
+    r = search.response(rows, 4, 15).first()
+    assert [(i.id, i.k) for i in r["items"]] == [(47, 2), (1, 1), (4, 1), (7, 1)] and tuple(r.pagination) == (4, 15, 4)
+    assert tuple(search.response(rows, 20, 60).first()) == ([], (20, 60, 0))
+    with pytest.raises(ValueError, match="limit"):
+        search.response(rows, 0)
