@@ -210,8 +210,10 @@ def facts(records: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
     # Records are dealt by ordinal, so these groups need no shuffle; no topic and key is in two of the tables.
     (of_record, in_record), (of_line, in_line) = record_facts(), line_facts()
-    tables = [stated(rows, of_record), stated(rows, in_record), stated(of_lines, of_line), stated(of_lines.filter(F.col("raw").rlike(quoted)), in_line)]
-    out = each(reference_facts(records).withColumn("line", F.lit(-1)))
+    tables = [stated(rows, in_record), stated(of_lines, of_line), stated(of_lines.filter(F.col("raw").rlike(quoted)), in_line)]
+    # A record states each of its single facts once, so these are not grouped.
+    once = stated(rows, of_record).select("f.topic", "f.key", "ordinal", "f.n", "line", "f.shown")
+    out = each(reference_facts(records).withColumn("line", F.lit(-1))).unionByName(once)
     for t in tables:
         out = out.unionByName(each(t))
     return out
