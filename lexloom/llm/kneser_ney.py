@@ -248,7 +248,8 @@ def contexts(w: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def count(docs: DataFrame, order: int = 2) -> Model:
-    """Counts all texts of docs (null: empty)."""
+    """Counts all texts of docs (null: empty), very long ones whole, repeated rows each by itself. Of a table without rows
+    the model knows no token. Other columns are ignored, whatever their names."""
     spark = docs.sparkSession
     root = shared_path(spark, "kneser-ney")
     # About one token in six bytes; more or fewer shards change only their size.
@@ -413,7 +414,8 @@ def log_probabilities(w: np.ndarray, n: np.ndarray, model: Model, arrays: list[d
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; a null text counts as empty, which is
-    one token, the end. Without any training text every token has the same probability."""
+    one token, the end. Without any training text every token has the same probability. Very long texts are scored whole;
+    repeated rows have the same score; other columns are ignored, whatever their names; no rows give none."""
     given = vars(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,7 +152,7 @@ def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], size: int = P
     The score is 1 - distance / largest possible distance, scaled by the lead over the second language, so it lies in
     [0, 1]. Null, empty and letterless texts are `und` with score 0; so is everything if no profile was learned. Very
     long texts are ranked whole. Equal distances go to the first language by code point. Repeated rows agree; other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names; no rows give none.
     """
     names = list(profiles)
 

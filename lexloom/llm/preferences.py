@@ -62,7 +62,8 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
     pairs: pair_id and the arrays of turns chosen and rejected. Where one is null there is nothing to compare: the
     prompt is empty, the other is a whole completion, and the missing one's columns are null. Where one conversation
-    begins the other, its completion is empty; equal conversations are all prompt.
+    begins the other, its completion is empty; equal conversations are all prompt. Very long turns are rendered whole;
+    repeated rows agree; other columns are ignored, whatever their names; no rows give none.
     """
     both = F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
     n = F.when(both, common_turns(F.col("chosen"), F.col("rejected"))).otherwise(0)
@@ -82,7 +83,8 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
 
     Conversations 2k and 2k + 1 are partners. The rejected side is the conversation up to its last assistant turn, with
     the partner's last assistant text there. A conversation without an assistant turn, or whose partner is missing or
-    has none, has a null rejected side.
+    has none, has a null rejected side. Very long texts stay whole; repeated turns stand beside each other; other columns
+    are ignored, whatever their names; no turns give no pairs.
     """
     own = conversations(turns).withColumn("last", F.array_max(F.transform("turns", lambda t, i: F.when(t.role == LEARNED, i))))
     partner = F.col("conv_id") + 1 - 2 * F.pmod("conv_id", F.lit(2))
