@@ -1,7 +1,8 @@
 """A training-data pipeline: quality, near duplicates, benchmark leaks, secrets, mixing.
 
 Every stage takes and returns the columns of documents; the last adds how often a document is read. Between stages the
-documents are written to the shared folder and read again.
+documents are written to the shared folder and read again. Stages take whole texts, however long, and columns of documents
+only; of a table without rows they make one without.
 """
 
 from __future__ import annotations
