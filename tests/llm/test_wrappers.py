@@ -1,7 +1,9 @@
 import itertools
+import os
 import random
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -255,3 +257,68 @@ def test_awkward_rows(spark):
     got = sorted((r.page_id or 0, len(r.text)) for r in wr.extract(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 0), (1, 99_999), (1, 99_999), (2, 0)]
     assert wr.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+NOT_ARTICLE = set("head nav header footer aside form button select menu dialog script style template noscript iframe textarea title".split())
+SAYS_OUT = re.compile(r"\b(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|menu|modal|nav\w*|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)\b")
+SAYS_MAIN = re.compile(r"\b(article|content|entry|main|post|story)\b")
+
+
+class Plain(HTMLParser):
+    """The texts of a marked article, by the standard library's parser: within what says it is the article, outside of what
+    says it isn't."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.now = [], [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in wr.INLINE:
+            if tag == "br":
+                self.handle_data(" ")
+            return
+        self.end_block()
+        if tag in wr.VOID:
+            return
+        if self.open and self.open[-1][0] == tag and tag in ("p", "li", "td", "tr"):
+            self.open.pop()
+        names = re.sub("[_-]", " ", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower())
+        main = tag in ("article", "main")
+        out = not main and (tag in NOT_ARTICLE or bool(SAYS_OUT.search(names)))
+        self.open.append((tag, out, main or (not out and bool(SAYS_MAIN.search(names)))))
+
+    def handle_endtag(self, tag):
+        if tag in wr.INLINE:
+            return
+        self.end_block()
+        at = max((i for i, (name, *_) in enumerate(self.open) if name == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        within = False
+        for tag, out, main in self.open:
+            within = within or main
+            if out and not (tag == "header" and within):
+                return
+        if within:
+            self.now.append(data)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_whole_query_is_a_plain_version(spark, small_dir, sf):
+    folder = f"{os.path.dirname(small_dir)}/{sf}"
+    html = {r.page_id: r.html or "" for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = wr.op7_wrappers(spark, folder).collect()
+    assert len(got) == len(html)
+    for r in got:
+        page = Plain()
+        page.feed(html[r.page_id])
+        page.close()
+        page.end_block()
+        assert r.text == "\n".join(page.blocks) and r.n_chars == len(r.text)
