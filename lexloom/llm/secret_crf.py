@@ -114,26 +114,58 @@ def emissions(codes: np.ndarray, counts: np.ndarray, distinct: pa.Array, weights
 
 def viterbi(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """The best tags of one sequence."""
-    best, back = scores[0], []
-    for s in scores[1:]:
-        ways = best[:, None] + transitions
-        back.append(ways.argmax(axis=0))
-        best = ways.max(axis=0) + s
-    tags = [int(best.argmax())]
-    for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
-    return np.array(tags[::-1])
+    return viterbi_each(scores, np.array([len(scores)]), transitions)
+
+
+def viterbi_each(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The best tags of many sequences, of `counts` words each (one at least): a step takes one word of all that reach it."""
+    longest = np.argsort(-counts, kind="stable")
+    first, length = (np.cumsum(counts) - counts)[longest], counts[longest]
+    running = np.searchsorted(-length, -np.arange(int(length[0])))  # sequences with more words than that
+    best, back = scores[first], np.zeros(scores.shape, dtype=np.int8)
+    for t in range(1, int(length[0])):
+        m = running[t]
+        at = first[:m] + t
+        ways = best[:m, :, None] + transitions
+        back[at] = ways.argmax(axis=1)
+        best[:m] = ways.max(axis=1) + scores[at]
+    tag, tags = best.argmax(axis=1), np.zeros(len(scores), dtype=np.int64)
+    for t in range(int(length[0]) - 1, -1, -1):
+        m = running[t]
+        at = first[:m] + t
+        tags[at] = tag[:m]
+        tag[:m] = back[at, tag[:m]]
+    return tags
+
+
+def in_a_run(scores: np.ndarray, row: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Words within some run that may score as much, tagged begin or inside throughout, as it does outside.
+
+    A run gains at most the gains of its words and, for each transition, the best gain of any. The best run through a
+    word is a difference of running sums, which fall so far between texts that no run goes over.
+    """
+    gain = (scores[:, 1:].max(axis=1) - scores[:, OUTSIDE]).astype(np.float64)
+    others = np.delete(transitions.ravel().astype(np.float64), 3 * OUTSIDE + OUTSIDE)
+    most = float(others.max() - transitions[OUTSIDE, OUTSIDE])
+    step = gain + most  # k words have k + 1 transitions, up to two less at the ends of a text
+    reach = np.bincount(row, np.abs(step))
+    fall = np.cumsum(reach) + np.cumsum(np.append(0, reach[:-1])) if len(reach) else reach
+    after = np.cumsum(step) - fall[row]
+    through = np.maximum.accumulate(after[::-1])[::-1] - np.minimum.accumulate(after - step)
+    return through + abs(most) >= -1e-4
 
 
 def may_be_tagged(scores: np.ndarray, row: np.ndarray, transitions: np.ndarray, rounds: int = 4) -> np.ndarray:
     """Words that some best sequence may tag begin or inside.
 
-    A tag y is out at a word if "outside" scores more there than y could gain by its transitions, whatever possible
-    tags the neighbours have. Each round uses what the one before ruled out.
+    Only words within a run that may pay are looked at. A tag y is out at a word if "outside" scores more there than y
+    could gain by its transitions, whatever possible tags the neighbours have. Each round uses what the one before ruled
+    out.
     """
     gain_in, gain_out = transitions - transitions[:, [OUTSIDE]], transitions - transitions[[OUTSIDE]]
     most = max(float(gain_in[:, y].max() + max(gain_out[y].max(), 0)) for y in (BEGIN, INSIDE))
     at = np.flatnonzero(scores[:, OUTSIDE] - scores[:, 1:].max(axis=1) <= max(most, float(gain_out[1:].max()), 0) + 1e-4)
+    at = at[in_a_run(scores, row, transitions)[at]]
     possible = np.zeros((len(scores) + 2, 3), dtype=bool)  # with a place before and after
     possible[:, OUTSIDE] = True
     possible[at + 1] = True
@@ -160,17 +192,15 @@ def decode(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> n
     at = np.flatnonzero(may_be_tagged(scores, row, transitions))
     if not len(at):
         return tags
-    breaks = np.flatnonzero((np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])) + 1
-    for part in np.split(at, breaks):
-        a, b = int(part[0]), int(part[-1]) + 1
-        pre = a > 0 and row[a - 1] == row[a]
-        post = b < len(row) and row[b] == row[b - 1]
-        s = scores[a:b].copy()
-        if pre:
-            s[0] += transitions[OUTSIDE]
-        if post:
-            s[-1] += transitions[:, OUTSIDE]
-        tags[a:b] = viterbi(s, transitions)
+    starts = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])))
+    sizes = np.diff(np.append(starts, len(at)))
+    a, b = at[starts], at[starts + sizes - 1]
+    pre = np.append(-1, row)[a] == row[a]
+    post = np.append(row, -1)[b + 1] == row[b]
+    s = scores[at]
+    s[starts[pre]] += transitions[OUTSIDE]
+    s[(starts + sizes - 1)[post]] += transitions[:, OUTSIDE]
+    tags[at] = viterbi_each(s, sizes, transitions)
     return tags
 
 
@@ -350,13 +380,14 @@ def _spans(model: tuple[np.ndarray, np.ndarray] | None) -> Callable[[pa.RecordBa
         words, counts = split_words(text)
         codes, distinct = encode(words)
         tags = decode(emissions(codes, counts, distinct, model[0]), counts, model[1])
-        row, start = owners(counts), np.cumsum(counts) - counts
+        start = np.cumsum(counts) - counts
         tagged = np.flatnonzero(tags)
-        for i in np.unique(row[tagged]).tolist():
+        texts, ends = np.unique(owners(counts)[tagged], return_index=True)
+        for i, words_of in zip(texts.tolist(), np.split(tagged, ends)[1:], strict=True):
             s = text[i].as_py()
             places = [m.span() for m in re.finditer(WORD, s)]
             base = list(out[i])
-            own = (tagged[row[tagged] == i] - start[i]).tolist()
+            own = (words_of - start[i]).tolist()
             runs: list[list[int]] = []
             for j in own:
                 if tags[start[i] + j] == INSIDE and runs and runs[-1][-1] == j - 1:

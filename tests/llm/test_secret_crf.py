@@ -47,6 +47,29 @@ def test_decoding_stretches_is_decoding_all():
         assert (sc.decode(s, counts, t) == (np.concatenate(want) if want else [])).all()
 
 
+def test_plain_words_are_out_though_inside_likes_to_go_on():
+    rng = np.random.default_rng(2)
+    # Neighbours inside would make up for any word's emissions, yet no run of them pays.
+    t = np.array([[1.46, 0.52, -1.51], [-0.33, -0.69, 0.52], [-0.49, -0.63, 0.48]], dtype=np.float32)
+    counts = rng.integers(0, 400, 50)
+    s = np.concatenate([np.full((int(counts.sum()), 1), 2.0), rng.normal(size=(int(counts.sum()), 2)) * 0.1], axis=1).astype(np.float32)
+    spots = rng.integers(0, len(s), 60)
+    s[spots, 1] += 9
+    row = np.repeat(np.arange(50), counts)
+    assert sc.may_be_tagged(s, row, t).sum() < 10 * len(spots)
+    ends = np.cumsum(counts)
+    want = [sc.viterbi(s[e - c : e], t) for e, c in zip(ends, counts, strict=True) if c]
+    assert (sc.decode(s, counts, t) == np.concatenate(want)).all() and sc.decode(s, counts, t).any()
+
+
+def test_sequences_together_are_sequences_alone():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 40, 30)
+    s, t = rng.normal(size=(int(counts.sum()), 3)), rng.normal(size=(3, 3))
+    ends = np.cumsum(counts)
+    assert (sc.viterbi_each(s, counts, t) == np.concatenate([sc.viterbi(s[e - c : e], t) for e, c in zip(ends, counts, strict=True)])).all()
+
+
 def test_field_finds_secrets_in_other_surroundings(spark):
     def key(i):
         return hashlib.sha1(str(i).encode()).hexdigest()
