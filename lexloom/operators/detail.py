@@ -105,13 +105,14 @@ def labels(values: Column, names: Column) -> Column:
 
 
 def first_seen(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """key, first, n: keys in order of first appearance, with their number of rows; any number of rows a key."""
-    return rows.groupBy(key).agg(F.min(ordinal).alias("first"), F.count("*").alias("n")).orderBy("first")
+    """key, first, n: keys in order of first appearance, then of the key, with their number of rows; any number of rows a key."""
+    return rows.groupBy(key).agg(F.min(ordinal).alias("first"), F.count("*").alias("n")).orderBy("first", key)
 
 
 def grouped_in_order(rows: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
-    """Values by key, keys in order of first appearance. For groups of one entry, which are as small as an entry is."""
-    return rows.groupBy(key).agg(F.min(ordinal).alias("first"), ordered((ordinal,), (value,)).alias("rows")).orderBy("first")
+    """Values by key, keys in order of first appearance, then of the key, so that ranges divide keys that appear at one
+    place. For groups of one entry, which are as small as an entry is."""
+    return rows.groupBy(key).agg(F.min(ordinal).alias("first"), ordered((ordinal,), (value,)).alias("rows")).orderBy("first", key)
 
 
 def bookmarks(items: DataFrame, entries: DataFrame) -> DataFrame:

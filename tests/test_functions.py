@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids, paths, text
+from lexloom.operators import detail
 
 
 def column(spark, values, expression, kind="string"):
@@ -106,3 +107,16 @@ def test_composition_in_and_out_of_the_jvm(spark, texts):
     got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(text.nfkc("t").alias("c"), text.without_marks("t").alias("b")).collect()
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) < 0x370)
     assert [tuple(r) for r in got] == [*((unicodedata.normalize("NFKC", t), bare(t)) for t in texts), (None, None)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_keys_that_appear_at_one_place_are_divided_in_order(spark, adaptive):
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit(1).alias("o"), F.col("id").alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for found in (detail.grouped_in_order(rows, "k", "o", "v"), detail.first_seen(rows, "k", "o")):
+            got = found.withColumn("part", F.spark_partition_id()).collect()
+            assert [r.k for r in got] == list(range(2000)) and (adaptive == "true" or len({r.part for r in got}) > 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
