@@ -103,6 +103,12 @@ def parse_records(records: DataFrame) -> DataFrame:
     return parse_lines(split_lines(records.filter(~F.coalesce(F.col("text").rlike(LINK), F.lit(False))))).drop("text")
 
 
+def outlines(nodes: DataFrame) -> DataFrame:
+    """nodes as far as counts need them: texts are empty where there is one, but for the parts of headings."""
+    texts = [F.when(F.col(c).isNotNull(), "").alias(c) for c in ("raw", "body", "left", "right")]
+    return nodes.select("ordinal", "line", "type", "label", "marker", "alignment", "reading", "orthography", "diagnostic", *texts)
+
+
 def serialize(nodes: DataFrame) -> DataFrame:
     """The payloads again, from their nodes."""
     lines = F.array_sort(F.collect_list(F.struct("line", F.concat("raw", "line_ending").alias("x"))))
@@ -162,13 +168,13 @@ def project_blocks(nodes: DataFrame) -> DataFrame:
         .when(t == "grammatical-label", F.array(text(None, "label", F.col("body"))))
         .otherwise(plain)
     )
-    blocks = containers(nodes).filter(t != "heading")
-    place = Window.partitionBy("ordinal").orderBy("line")
+    in_order = Window.partitionBy("ordinal").orderBy("line")
     sibling = Window.partitionBy("ordinal", "parent").orderBy("line")
-    numbered = blocks.withColumn("block", F.row_number().over(place) - 1)
-    numbered = numbered.withColumn("sibling_ordinal", F.row_number().over(sibling) - 1)
-    by_line = numbered.select("ordinal", F.col("line").alias("parent"), F.col("block").alias("parent_block"))
-    return numbered.join(by_line, ["ordinal", "parent"], "left").select(
+    numbered = containers(nodes).withColumn("block", (F.count_if(t != "heading").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    # The parent is the last container, so its number stands in the same window.
+    last = F.last_value(F.when(t.isin(*CONTAINERS), F.col("block")), F.lit(True)).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = numbered.withColumn("parent_block", F.when(F.col("parent").isNotNull(), last)).filter(t != "heading")
+    return blocks.withColumn("sibling_ordinal", F.row_number().over(sibling) - 1).select(
         "ordinal", "block", "parent_block", "line", F.col("type").alias("source_type"), kind.alias("kind"), annotation.alias("annotation_kind"), "sibling_ordinal", texts.alias("texts")
     )
 

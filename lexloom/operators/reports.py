@@ -15,15 +15,21 @@ def projection_audit(forms: DataFrame, definitions: DataFrame, examples: DataFra
     def counted(df: DataFrame, name: str, key: Column) -> DataFrame:
         return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.coalesce("key", F.lit("und")).alias("key"), "n")
 
-    texts = blocks.select(F.explode("texts").alias("x"))
+    def fact(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), key.alias("key"))
+
+    # The counts of blocks are of one pass over them.
+    of_block = F.array(
+        fact("blocks", F.col("kind")),
+        fact("annotations", F.coalesce("annotation_kind", F.lit("none"))),
+        fact("nesting", F.when(F.col("parent_block").isNull(), "root").otherwise("child")),
+    )
+    facts = blocks.select(F.explode(F.concat(of_block, F.transform(F.coalesce("texts", F.array()), lambda x: fact("texts", x.language)))).alias("f"))
     parts = [
         counted(forms, "forms", F.col("kind")),
         counted(definitions, "definitions", F.col("language")),
         counted(examples, "examples", F.lit("all")),
-        counted(blocks, "blocks", F.col("kind")),
-        counted(blocks, "annotations", F.coalesce("annotation_kind", F.lit("none"))),
-        counted(blocks, "nesting", F.when(F.col("parent_block").isNull(), "root").otherwise("child")),
-        counted(texts, "texts", F.col("x.language")),
+        facts.groupBy("f.name", "f.key").agg(F.count("*").alias("n")).select("name", F.coalesce("key", F.lit("und")).alias("key"), "n"),
         counted(diagnostics, "diagnostics", F.col("code")),
     ]
     out = parts[0]

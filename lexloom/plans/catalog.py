@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
 from ..operators import audit, corpus_audit, detail, generated, lexicon_import, lines, maintenance, reports, search, validation
+from ..storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,7 +669,9 @@ def diagnostic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under the line grammar, projected: rows by kind, language and code."""
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("headword"), "text")
-    nodes = lines.parse_records(records)
+    path = shared_path(spark, "outlines")
+    lines.outlines(lines.parse_records(records)).write.parquet(path)  # lines are parsed once, not for each count
+    nodes = spark.read.parquet(path)
     return reports.projection_audit(lines.forms(records, nodes), lines.project_definitions(nodes), lines.project_examples(nodes), lines.project_blocks(nodes), lines.diagnostics(nodes))
 
 
