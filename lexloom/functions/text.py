@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -41,16 +43,25 @@ def ranges(characters: list[str]) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
 
+#: Texts of a batch that are Python objects at one time.
+PIECE = 256
+MARKS = re.compile("[\u0300-\u036f]+")
+SPACE_RUN = re.compile(f"[{SPACES}]+")
+#: Where Python's own white space and SPACES differ.
+OTHER_SPACES = re.compile("[\x1c-\x1f\x85\ufeff]")
 UNSTABLE = f"[^{ranges(STABLE)}]"
-#: Of these, the letters with marks, and the letters without.
-MARKED = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) < 0x370) for c in STABLE}
-MARKED = {c: bare for c, bare in MARKED.items() if bare != c}
 
 
 def _unstable(value: Column) -> Column:
     return (F.octet_length(value) != F.char_length(value)) & value.rlike(UNSTABLE)
 
 
+def each(f: Callable[[str], str], values: pa.Array) -> pa.Array:
+    """f of every text but nulls. Only a few texts at a time are Python objects; a batch as a whole stays in Arrow's form."""
+    parts = [pa.array([v if v is None else f(v) for v in values.slice(i, PIECE).to_pylist()], pa.string()) for i in range(0, len(values), PIECE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
@@ -79,17 +90,15 @@ def nfkc_each(values: pd.Series) -> pd.Series:
     return values.map(lambda words: [unicodedata.normalize("NFKC", (w or "").strip(TRIMMED)) for w in words], na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _without_marks(values: pd.Series) -> pd.Series:
-    drop = dict.fromkeys(range(0x300, 0x370))
-    return values.map(lambda s: unicodedata.normalize("NFKD", s).translate(drop), na_action="ignore")
+@F.arrow_udf(StringType())
+def _without_marks(values: pa.Array) -> pa.Array:
+    return each(lambda s: MARKS.sub("", unicodedata.normalize("NFKD", s)), values)
 
 
 def without_marks(value: Column | str) -> Column:
-    """Decomposed, without the combining marks U+0300 to U+036F; common letters without leaving the JVM."""
+    """Decomposed, without the combining marks U+0300 to U+036F; ASCII without leaving the JVM."""
     value = F.col(value) if isinstance(value, str) else value
-    plain = F.translate(value, "".join(MARKED), "".join(MARKED.values()))
-    return F.coalesce(_without_marks(F.when(_unstable(value), value)), plain)
+    return F.coalesce(_without_marks(F.when(F.octet_length(value) != F.char_length(value), value)), value)
 
 
 @F.pandas_udf(StringType())
@@ -115,7 +124,17 @@ def trim_spaces(value: Column) -> Column:
 
 
 def collapse_spaces(value: Column) -> Column:
-    return F.regexp_replace(trim_spaces(value), f"[{SPACES}]+", " ")
+    return F.trim(F.regexp_replace(value, f"[{SPACES}]+", " "))
+
+
+def _composed(s: str) -> str:
+    s = unicodedata.normalize("NFKC", s)
+    return SPACE_RUN.sub(" ", s).strip(" ") if OTHER_SPACES.search(s) else " ".join(s.split())
+
+
+@F.arrow_udf(StringType())
+def _composed_spaces(values: pa.Array) -> pa.Array:
+    return each(_composed, values)
 
 
 def strip_nul(value: Column) -> Column:
@@ -124,7 +143,7 @@ def strip_nul(value: Column) -> Column:
 
 def normalize_headword(value: Column) -> Column:
     """Compatibility-composed, trimmed, white space made single spaces, lower-case. Computed once, when written."""
-    return F.lower(collapse_spaces(nfkc(value)))
+    return F.lower(_composed_spaces(value))
 
 
 def normalize_ascii(value: Column) -> Column:

@@ -120,3 +120,18 @@ def test_keys_that_appear_at_one_place_are_divided_in_order(spark, adaptive):
             assert [r.k for r in got] == list(range(2000)) and (adaptive == "true" or len({r.part for r in got}) > 1)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_headwords_are_normalised_in_one_step(spark, capsys):
+    odd = ["a\x1c b\x85 c", "﻿ a　﻿b  ", "  Ａ\n\n\tb ", "é ŉ", "", " ", None, *[f"Ée {i}" for i in range(600)]]
+
+    def plain(s):
+        return text.collapse_spaces(F.lit(unicodedata.normalize("NFKC", s))) if s is not None else F.lit(None).cast("string")
+
+    want = spark.range(1).select(F.array(*[F.lower(plain(s)) for s in odd[:7]]).alias("w")).first().w
+    got = column(spark, odd, text.normalize_headword)
+    assert got[:7] == want and got[7:] == [f"ée {i}" for i in range(600)]
+    assert column(spark, odd[7:], lambda c: text.without_marks(text.normalize_headword(c))) == [f"ee {i}" for i in range(600)]
+    spark.createDataFrame([("x",)], "t string").select(text.sort_key(F.col("t"))).explain()
+    plan = capsys.readouterr().out
+    assert "regexp_replace" not in plan and "translate" not in plan
