@@ -1,13 +1,16 @@
 """The sanitiser by its properties, on generated markup: what may come out, and that it says the same twice."""
 
+import gc
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexloom.functions import markup as mk
+from lexloom.functions.text import each
 
 names = st.sampled_from("a b i p div span img script style table td ul li br em strong ruby rt iframe font h2".split())
 attributes = st.lists(
@@ -97,3 +100,20 @@ def test_in_batches(spark):
     df = spark.createDataFrame([("<em>one</em><u>",), (None,), ("",)], "h string")
     got = [tuple(r) for r in df.select(mk.sanitized("h").alias("s"), mk.plain("h").alias("p")).collect()]
     assert got[1] == (None, None) and got[2] == ("", "") and got[0][1] == "one"
+
+
+def test_pieces_of_a_batch_and_nulls():
+    values = pa.array([None, *[f"<p>{i}</p><b>&amp;" for i in range(600)], None])
+    assert each(mk.plain_text, values).to_pylist() == [None, *[f"{i} &amp;" for i in range(600)], None]
+    assert each(mk.plain_text, values.slice(0, 0)).to_pylist() == []
+
+
+def test_a_text_leaves_no_class_behind():
+    gc.disable()
+    try:
+        before = len(HTMLParser.__subclasses__())
+        for _ in range(20):
+            mk.plain_text("<p>a</p>")
+        assert len(HTMLParser.__subclasses__()) == before
+    finally:
+        gc.enable()
