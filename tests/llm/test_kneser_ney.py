@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,3 +140,29 @@ def test_awkward_rows(spark):
     none = kn.score(docs, kn.count(no_documents(spark))).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in none)
     assert kn.score(no_documents(spark), kn.count(docs)).count() == 0
+
+
+def test_what_is_kept_and_sent_of_an_ngram_is_small(spark):
+    rng = np.random.default_rng(1)
+    words = np.minimum(rng.zipf(1.3, 60_000), 20_000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in words[i : i + 200])) for i in range(0, len(words), 200)], "doc_id long, text string")
+    model = kn.count(docs, 3)
+    kept = sum(f.stat().st_size for f in Path(model.root.removeprefix("file:")).glob("*.npy"))
+    assert kept < 11 * sum(model.totals[1:])
+    u, v, w = words[:-2].astype(np.uint64), words[1:-1].astype(np.uint64), words[2:].astype(np.uint64)
+    _, c, at = kn.merge(kn.gram(u, v, w), np.ones(len(u), dtype=np.int64))
+    data, size = kn.pack_numbers([x[at] for x in (u, v, w)], c[:, None])
+    assert len(data) < 5 * len(at)
+    sides, stats = kn.unpack_numbers(data, size, 3, 1)
+    assert {*zip(*(x.tolist() for x in sides), stats[:, 0].tolist(), strict=True)} == {*zip(*(x[at].tolist() for x in (u, v, w)), c.tolist(), strict=True)}
+
+
+def test_tables_find_all_keys_and_no_others():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
+    values = kn.records([rng.zipf(1.2, len(keys)).clip(max=1 << 40).astype(np.int64), np.arange(len(keys)) % 7])
+    table, _ = kn.hashed(keys, values)
+    at = kn.places(keys, table)
+    assert (at >= 0).all() and (kn.values_at(at, table) == values).all()
+    assert len(table[2])  # some are rare
+    assert (kn.places(keys + np.uint64(1 << 63), table) < 0).all()
