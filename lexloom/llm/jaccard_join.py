@@ -280,7 +280,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def unlike(rows: DataFrame) -> DataFrame:
-    """The nodes whose sets have a mean similarity below ALIKE, from (node, signs, full).
+    """The nodes whose sets have a mean similarity below ALIKE, and their numbers of sets, from (node, signs, full).
 
     Similarity is the share of pairs of sets that agree in an entry of the sketch, or (sum of c * c - n) / (n * n - n)
     with c sets for each value the entry has. If every value has a sign at random (here its lowest bit), the square of
@@ -289,11 +289,11 @@ def unlike(rows: DataFrame) -> DataFrame:
     places = range(0, BINS, PROBE)
     has = [F.getbit("full", F.lit(b)).cast("long") for b in places]
     sign = [h * (2 * F.getbit("signs", F.lit(b)).cast("long") - 1) for b, h in zip(places, has, strict=True)]
-    sums = rows.groupBy("node").agg(*[F.sum(h).alias(f"n{b}") for b, h in zip(places, has, strict=True)], *[F.sum(s).alias(f"s{b}") for b, s in zip(places, sign, strict=True)])
+    sums = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"n{b}") for b, h in zip(places, has, strict=True)], *[F.sum(s).alias(f"s{b}") for b, s in zip(places, sign, strict=True)])
     n, s = ([F.col(f"{c}{b}").cast("double") for b in places] for c in "ns")
     agree = sum(F.when(x > 1, (y * y - x) / (x * x - x)).otherwise(0.0) for x, y in zip(n, s, strict=True))
     known = sum((x > 1).cast("int") for x in n)
-    return sums.filter(F.coalesce(agree / F.nullif(known, F.lit(0)), F.lit(0.0)) < ALIKE).select("node")
+    return sums.filter(F.coalesce(agree / F.nullif(known, F.lit(0)), F.lit(0.0)) < ALIKE).select("node", "n")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
@@ -330,8 +330,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     while True:
         counts = durable(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
         large = counts.filter(F.col("n") > SPLIT).select("node")
-        wide = durable(unlike(level.join(large, "node", "left_semi"))) if not large.isEmpty() else None
-        now = counts.join(wide, "node").agg(F.sum("n")).first()[0] or 0 if wide is not None else 0
+        wide = durable(unlike(level.join(large, "node", "left_semi")))
+        now = wide.agg(F.sum("n")).first()[0] or 0
         # Sets that splitting no longer thins out are alike after all; they are compared as they are.
         done = now == 0 or (crowd is not None and now > 0.7 * crowd)
         crowd = now

@@ -152,3 +152,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in touched}
+
+
+def test_edges_that_are_stars_take_no_round(spark):
+    edges = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (4, 3), (3, 4), (6, 6)], "u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup("stars-at-once", "components")
+    try:
+        found = components(edges)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("stars-at-once"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.label for r in found.collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    assert 0 < jobs <= 6
