@@ -18,7 +18,7 @@ def stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for every node with an edge.
 
-    edges: u, v of one orderable type. Large-star and small-star steps in turn, until the edges stay: each links the
+    edges: u, v of one orderable type. Large-star and small-star steps in turn, until the edges are stars: each links the
     neighbours of a node to their least, so the edges never grow in number and end as stars. Every round is kept in
     the shared folder. A node of very many neighbours is a skewed key of a join, which adaptive execution splits.
     Edges that are stars already take no round.
