@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexloom.storage import durable, shared_path  # noqa: F401 - the operators take them from here
+from lexloom.storage import durable, let_go, shared_path  # noqa: F401 - the operators take them from here
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, let_go
 
 
 def stars(edges: DataFrame) -> bool:
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: u, v of one orderable type. Large-star and small-star steps in turn, until the edges are stars: each links the
     neighbours of a node to their least, so the edges never grow in number and end as stars. Every round is kept in
     the shared folder. A node of very many neighbours is a skewed key of a join, which adaptive execution splits.
-    Edges that are stars already take no round.
+    Edges that are stars already take no round. What a round leaves behind is let go.
     """
     now = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not stars(now):
@@ -39,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = durable(small)
+        del both, least, large, low, small
+        let_go(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, encode, hash_words, mix, owners, per_row, slices, split_words, table, text_of, windows
+from .common import durable, encode, hash_words, let_go, mix, owners, per_row, slices, split_words, table, text_of, windows
 from .components import components
 
 SHINGLE = 5
@@ -342,8 +342,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
             break
         inner = level.join(wide, "node", "left_semi").select(columns)
         level = durable(inner.mapInArrow(lambda it: _split(it, threshold), "key long, size long, node long, signs long, full long, sketch binary"))
+        let_go(docs.sparkSession)
     leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("leaves"))
     placed = durable(leaves.join(sets.select("key", "copies", "id", "hash", "sketch"), "key").withColumn("ids", F.col("leaves.node")))
+    del level, leaves, counts, large, wide, own, here
+    let_go(docs.sparkSession)
     rows = (
         placed.select("key", "sketch", "ids", F.explode("leaves").alias("leaf"))
         .select("key", "sketch", "ids", "leaf.*", F.pmod(F.xxhash64("key"), "leaf.blocks").cast("int").alias("block"))
@@ -369,6 +372,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
         .agg(F.collect_list(F.struct("key", "copies", "block", "ids", "shingles")).alias("members"))
         .mapInArrow(lambda it: _verify(it, threshold), "key long, weight long, root long")
     )
+    let_go(docs.sparkSession)
     weights = linked.groupBy("key").agg(F.sum("weight").alias("weight"))
     label = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
     least = label.join(sets.select("key", "rep"), "key").groupBy("label").agg(F.min("rep").alias("first"))

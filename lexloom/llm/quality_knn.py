@@ -66,23 +66,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: int = RANK) -> Space | None:
-    """The latent space of a bounded sample: per_label rows of each label, by hash of the id. None without labelled texts.
-
-    labels: doc_id, quality (0 or 1; rows with null are ignored; a doc_id with both counts as 0). Of a doc_id with
-    several texts, the least is taken.
-    """
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    pick = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
-    sample = F.broadcast(pick[0].unionAll(pick[1]))  # at most 2 * per_label ids
-    rows = docs.filter("text is not null").select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
-    got = rows.select("quality", "text").mapInArrow(_sparse, "quality int, feature array<int>, n array<int>").collect()
-    got = sorted((r for r in got if r.feature), key=lambda r: (r.quality, r.feature, r.n))
+def _decompose(batches: Iterator[pa.RecordBatch], rank: int) -> Iterator[pa.RecordBatch]:
+    """The arrays of the space, from all rows of the sample."""
+    got = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("quality", "feature", "n")), strict=True) if r[1]))
     if not got:
-        return None
+        return
     x = np.zeros((len(got), WORDS + SHAPES), dtype=np.float32)
-    for i, r in enumerate(got):
-        x[i, r.feature] = np.log1p(r.n)
+    for i, (_, feature, n) in enumerate(got):
+        x[i, feature] = np.log1p(n)
     idf = np.log((1 + len(got)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x *= idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -93,7 +84,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
     basis = (x.T @ (left[:, top] / np.sqrt(values[top]))).astype(np.float32)
     vectors = x @ basis
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return Space(idf, basis, vectors, np.array([r.quality for r in got], dtype=np.float32))
+    quality = np.array([q for q, *_ in got], dtype=np.float32)
+    yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in (("idf", idf), ("basis", basis), ("vectors", vectors), ("labels", quality))})
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: int = RANK) -> Space | None:
+    """The latent space of a bounded sample: per_label rows of each label, by hash of the id. None without labelled texts.
+
+    labels: doc_id, quality (0 or 1; rows with null are ignored; a doc_id with both counts as 0). Of a doc_id with
+    several texts, the least is taken. One task decomposes the sample, so the driver holds the space alone.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    pick = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
+    sample = F.broadcast(pick[0].unionAll(pick[1]))  # at most 2 * per_label ids
+    rows = docs.filter("text is not null").select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    counts = rows.select("quality", "text").mapInArrow(_sparse, "quality int, feature array<int>, n array<int>")
+    found = counts.repartition(1).mapInArrow(lambda it: _decompose(it, rank), "idf binary, basis binary, vectors binary, labels binary").first()
+    if found is None:
+        return None
+    idf, basis, vectors, quality = (np.frombuffer(c, dtype=np.float32) for c in found)
+    return Space(idf, basis.reshape(len(idf), -1), vectors.reshape(len(quality), -1), quality)
 
 
 def vectors_of(text: pa.Array, space: Space) -> np.ndarray:

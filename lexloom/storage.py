@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,10 @@ def durable(df: DataFrame) -> DataFrame:
     """df, checkpointed: later reads survive lost executors, and plans that refer to it twice don't grow."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def let_go(spark: SparkSession) -> None:
+    """A hint to drop what earlier steps left and nothing refers to: the shuffle files and checkpoints go, and the driver's
+    memory is given back, only as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

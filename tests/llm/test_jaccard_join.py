@@ -165,3 +165,12 @@ def test_edges_that_are_stars_take_no_round(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert {r.node: r.label for r in found.collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
     assert 0 < jobs <= 6
+
+
+def test_each_round_of_components_lets_go_of_the_one_before(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "u long, v long")
+    assert {r.label for r in components(path).collect()} == {0}
+    assert full() > before

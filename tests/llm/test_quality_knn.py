@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,3 +88,16 @@ def test_other_columns_stay(spark):
     out = kn.score(documents(spark), None, "other")
     assert out.columns == [*documents(spark).columns, "other"]
     assert kn.score(documents(spark), None).columns.count("score") == 1
+
+
+def test_the_driver_holds_no_matrix_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 50} Word {i} end{i % 7}.") for i in range(600)], "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    tracemalloc.start()
+    try:
+        space = kn.fit(docs, known)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    matrix = 600 * (kn.WORDS + kn.SHAPES) * 4
+    assert len(space.labels) == 600 and peak < matrix
